@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType
 
 from shoal.plans import tpch
-from shoal.plans.oracle import with_fixtures
+from shoal.plans.oracle import dates_as_text, with_fixtures
 from shoal.sources import fixtures
 from shoal.sources.tables import load
 
@@ -204,3 +204,223 @@ Q15_ORACLE = with_fixtures("""
 def q_top_supplier(spark, sf_dir):
     """Q15a (C6, D7, B12) for the quarter from 1996-01-01."""
     return tpch.top_supplier(T(spark, sf_dir), "1996-01-01")
+
+
+# --------------------------------------------------------------------------- join strategies
+def _join_with(strategy: str):
+    def run(spark, sf_dir):
+        return tpch.join_orders_lineitem(load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem"),
+                                         strategy)
+    run.__doc__ = f"C2/C3: the measured join planned as {strategy}."
+    return run
+
+
+JOIN_SQL = "SELECT * FROM orders, lineitem WHERE l_orderkey = o_orderkey"
+for _s in ("sort_merge", "shuffle_hash", "broadcast"):
+    register(f"join_{_s}", JOIN_SQL)(_join_with(_s))
+
+
+@register("join_bucketed", JOIN_SQL)
+def q_join_bucketed(spark, sf_dir):
+    """C3(b): both sides bucketed by the order key; the join plans no Exchange."""
+    from shoal.operators.joins import bucketed_join
+    return bucketed_join(spark, load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem"),
+                         "o_orderkey", "l_orderkey").select("*")
+
+
+# --------------------------------------------------------------------------- quality
+from shoal.operators import quality  # noqa: E402
+from shoal.sources.schemas import (FOREIGN_KEYS, MAX_LENGTH, NULLABLE,  # noqa: E402
+                                   PRIMARY_KEYS, SCHEMAS)
+
+ALL_FULL = [f"{t}_full" for t in SCHEMAS]
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _not_null_sql() -> str:
+    parts = []
+    for t, schema in SCHEMAS.items():
+        for f in schema.fields:
+            parts.append(f"SELECT {_q(t)} AS tbl, {_q(f.name)} AS column_name, "
+                         f"{'TRUE' if f.name in NULLABLE else 'FALSE'} AS nullable, "
+                         f"CAST(count(*) - count({f.name}) AS BIGINT) AS null_count FROM {t}_full")
+    return with_fixtures("\nUNION ALL\n".join(parts), *ALL_FULL)
+
+
+def _pk_sql() -> str:
+    parts = [f"SELECT {_q(t)} AS tbl, CAST(count(*) AS BIGINT) AS dup_keys, "
+             f"CAST(coalesce(sum(n), 0) AS BIGINT) AS dup_rows FROM "
+             f"(SELECT count(*) AS n FROM {t}_full GROUP BY {', '.join(k)} HAVING count(*) > 1) d"
+             for t, k in PRIMARY_KEYS.items()]
+    return with_fixtures("\nUNION ALL\n".join(parts), *ALL_FULL)
+
+
+def _fk_sql() -> str:
+    parts = []
+    for child, ccols, parent, pcols in FOREIGN_KEYS:
+        cond = " AND ".join(f"p.{p} = c.{c}" for c, p in zip(ccols, pcols))
+        parts.append(
+            f"SELECT {_q(child)} AS child, {_q(','.join(ccols))} AS child_cols, {_q(parent)} AS parent, "
+            f"CAST(count(*) AS BIGINT) AS orphan_keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS orphan_rows "
+            f"FROM (SELECT {', '.join(ccols)}, count(*) AS n FROM {child}_full GROUP BY {', '.join(ccols)}) c "
+            f"WHERE NOT EXISTS (SELECT 1 FROM {parent}_full p WHERE {cond})")
+    return with_fixtures("\nUNION ALL\n".join(parts), *ALL_FULL)
+
+
+def _length_sql() -> str:
+    parts = [f"SELECT {_q(t)} AS tbl, {_q(c)} AS column_name, CAST(max(length({c})) AS BIGINT) AS max_len, "
+             f"CAST({b} AS BIGINT) AS bound, "
+             f"CAST(coalesce(sum(CASE WHEN length({c}) > {b} THEN 1 ELSE 0 END), 0) AS BIGINT) AS over_bound "
+             f"FROM {t}_full"
+             for t, cols in MAX_LENGTH.items() for c, b in cols.items()]
+    return with_fixtures("\nUNION ALL\n".join(parts), *ALL_FULL)
+
+
+def _sql_lit(v) -> str:
+    import datetime as _dt
+    return f"DATE '{v.isoformat()}'" if isinstance(v, _dt.date) else repr(v)
+
+
+def _domain_sql() -> str:
+    parts = [f"SELECT {_q(t)} AS tbl, {_q(c)} AS column_name, CAST(min({c}) AS VARCHAR) AS min_value, "
+             f"CAST(max({c}) AS VARCHAR) AS max_value, {_q(str(lo))} AS lo, {_q(str(hi))} AS hi, "
+             f"CAST(coalesce(sum(CASE WHEN {c} < {_sql_lit(lo)} OR {c} > {_sql_lit(hi)} THEN 1 ELSE 0 END), 0)"
+             f" AS BIGINT) AS out_of_range FROM {t}_full"
+             for t, doms in quality.DOMAINS.items() for c, (lo, hi) in doms.items()]
+    return with_fixtures("\nUNION ALL\n".join(parts), *ALL_FULL)
+
+
+@register("not_null", _not_null_sql())
+def q_not_null(spark, sf_dir):
+    """NULL count of every column of the eight full tables."""
+    return quality.not_null(T(spark, sf_dir))
+
+
+@register("pk_violations", _pk_sql())
+def q_pk(spark, sf_dir):
+    """Duplicate primary keys per table."""
+    return quality.pk_violations(T(spark, sf_dir))
+
+
+@register("fk_violations", _fk_sql())
+def q_fk(spark, sf_dir):
+    """Orphan keys and rows per foreign key (anti join, child pre-aggregated)."""
+    return quality.fk_violations(T(spark, sf_dir))
+
+
+@register("length_check", _length_sql())
+def q_length(spark, sf_dir):
+    """Text length against the CHAR/VARCHAR bound."""
+    return quality.length_check(T(spark, sf_dir))
+
+
+@register("domain_check", _domain_sql())
+def q_domain(spark, sf_dir):
+    """min/max and out-of-domain count per bounded column."""
+    return quality.domain_check(T(spark, sf_dir))
+
+
+ROLLUP_SQL = """
+    SELECT l_orderkey AS orderkey,
+           CAST(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS DOUBLE) AS total,
+           count(*) AS lines,
+           CASE WHEN sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = count(*) THEN 'F'
+                WHEN sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) = count(*) THEN 'O'
+                ELSE 'P' END AS status
+    FROM lineitem_full GROUP BY l_orderkey"""
+
+
+@register("order_rollup", with_fixtures(ROLLUP_SQL, "lineitem_full"))
+def q_rollup(spark, sf_dir):
+    """Order total, line count and status from the lines."""
+    return quality.order_rollup(fixtures.lineitem(spark, sf_dir))
+
+
+@register("order_header_check", with_fixtures("""
+    , roll AS (SELECT l_orderkey AS orderkey,
+                      sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total, count(*) AS lines,
+                      CASE WHEN sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = count(*) THEN 'F'
+                           WHEN sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) = count(*) THEN 'O'
+                           ELSE 'P' END AS status
+               FROM lineitem_full GROUP BY l_orderkey)
+    SELECT CAST(sum(CASE WHEN o_orderkey IS NOT NULL AND orderkey IS NULL THEN 1 ELSE 0 END) AS BIGINT)
+               AS orders_without_lines,
+           CAST(sum(CASE WHEN orderkey IS NOT NULL AND o_orderkey IS NULL THEN 1 ELSE 0 END) AS BIGINT)
+               AS lines_without_order,
+           CAST(sum(CASE WHEN o_orderkey IS NOT NULL AND orderkey IS NOT NULL AND lines NOT BETWEEN 1 AND 7
+                         THEN 1 ELSE 0 END) AS BIGINT) AS bad_line_count,
+           CAST(sum(CASE WHEN o_orderkey IS NOT NULL AND orderkey IS NOT NULL AND o_orderstatus <> status
+                         THEN 1 ELSE 0 END) AS BIGINT) AS status_mismatch,
+           CAST(sum(CASE WHEN o_orderkey IS NOT NULL AND orderkey IS NOT NULL
+                              AND abs(o_totalprice - total) > 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS price_mismatch,
+           CAST(sum(CASE WHEN o_orderkey IS NOT NULL AND orderkey IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT)
+               AS orders_checked
+    FROM orders_full FULL OUTER JOIN roll ON o_orderkey = orderkey""", "lineitem_full", "orders_full"))
+def q_header_check(spark, sf_dir):
+    """Stored order headers against the rollup of their lines (counts only)."""
+    return quality.order_header_check(fixtures.orders(spark, sf_dir), fixtures.lineitem(spark, sf_dir))
+
+
+@register("table_checksum")
+def q_checksum(spark, sf_dir):
+    """Row count and order-free hash sum per table (engine-specific hash: rows-only check)."""
+    return quality.table_checksum(T(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- refresh
+from shoal.operators import refresh  # noqa: E402
+from shoal.sources.fixtures import INSERT_KEY_SHIFT, REFRESH_MODULUS  # noqa: E402
+
+ORDERS_COLS = [f.name for f in SCHEMAS["orders"].fields]
+LINE_COLS = [f.name for f in SCHEMAS["lineitem"].fields]
+
+
+ORDER_DATES = ("o_orderdate",)
+LINE_DATES = ("l_shipdate", "l_commitdate", "l_receiptdate")
+
+
+@register("refresh_insert", dates_as_text(with_fixtures(f"""
+    SELECT * FROM orders_full
+    UNION ALL
+    SELECT o_orderkey + {INSERT_KEY_SHIFT} AS o_orderkey, {', '.join(ORDERS_COLS[1:])}
+    FROM orders_full WHERE o_orderkey % {REFRESH_MODULUS} = 1""", "orders_full"), *ORDER_DATES))
+def q_refresh_insert(spark, sf_dir):
+    """Orders after the insert set (union by name)."""
+    o = fixtures.orders(spark, sf_dir)
+    return refresh.apply_inserts(o, refresh.insert_orders(o))
+
+
+@register("refresh_insert_lineitem", dates_as_text(with_fixtures(f"""
+    SELECT * FROM lineitem_full
+    UNION ALL
+    SELECT l_orderkey + {INSERT_KEY_SHIFT} AS l_orderkey, {', '.join(LINE_COLS[1:])}
+    FROM lineitem_full WHERE l_orderkey % {REFRESH_MODULUS} = 1""", "lineitem_full"), *LINE_DATES))
+def q_refresh_insert_li(spark, sf_dir):
+    """Lineitem after the insert set."""
+    li = fixtures.lineitem(spark, sf_dir)
+    return refresh.apply_inserts(li, refresh.insert_lineitem(li))
+
+
+@register("refresh_delete_orders", dates_as_text(with_fixtures(f"""
+    SELECT * FROM orders_full o
+    WHERE NOT EXISTS (SELECT 1 FROM orders_full d
+                      WHERE d.o_orderkey % {REFRESH_MODULUS} = 0 AND d.o_orderkey = o.o_orderkey)""",
+    "orders_full"), *ORDER_DATES))
+def q_refresh_delete_orders(spark, sf_dir):
+    """Orders after the delete set (left anti join on the key)."""
+    o = fixtures.orders(spark, sf_dir)
+    return refresh.apply_deletes(o, refresh.delete_keys(o), "o_orderkey")
+
+
+@register("refresh_delete_lineitem", dates_as_text(with_fixtures(f"""
+    SELECT * FROM lineitem_full l
+    WHERE NOT EXISTS (SELECT 1 FROM orders_full d
+                      WHERE d.o_orderkey % {REFRESH_MODULUS} = 0 AND d.o_orderkey = l.l_orderkey)""",
+    "orders_full", "lineitem_full"), *LINE_DATES))
+def q_refresh_delete_lineitem(spark, sf_dir):
+    """Lineitem after the delete set."""
+    o, li = fixtures.orders(spark, sf_dir), fixtures.lineitem(spark, sf_dir)
+    return refresh.apply_deletes(li, refresh.delete_keys(o), "l_orderkey")

@@ -86,3 +86,9 @@ def with_fixtures(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def dates_as_text(sql: str, *date_cols: str) -> str:
+    """Wrap ``sql`` so the named DATE columns come out as ISO text (as ``for_oracle`` does)."""
+    repl = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in date_cols)
+    return f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) q"
