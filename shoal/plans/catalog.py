@@ -424,3 +424,237 @@ def q_refresh_delete_lineitem(spark, sf_dir):
     """Lineitem after the delete set."""
     o, li = fixtures.orders(spark, sf_dir), fixtures.lineitem(spark, sf_dir)
     return refresh.apply_deletes(li, refresh.delete_keys(o), "l_orderkey")
+
+
+# --------------------------------------------------------------------------- windows, heads, chunks (E, F)
+from shoal.operators import windows  # noqa: E402
+
+HEAD_N = 5
+KEYS2 = {t: (k + [None])[:2] for t, k in PRIMARY_KEYS.items()}
+
+
+def _key_cols(k1: str, k2: str | None):
+    """The primary key as text: ``k1`` or ``k1|k2``."""
+    return [F.concat_ws("|", *[F.col(k).cast("string") for k in (k1, k2) if k]).alias("pk")]
+
+
+def _key_sql(k1: str, k2: str | None) -> str:
+    return f"CAST({k1} AS VARCHAR)" + (f" || '|' || CAST({k2} AS VARCHAR)" if k2 else "") + " AS pk"
+
+
+@register("head_per_table", with_fixtures("\nUNION ALL\n".join(
+    f"(SELECT {_q(t)} AS tbl, {_key_sql(k1, k2)} "
+    f"FROM {t}_full ORDER BY {k1}{', ' + k2 if k2 else ''} LIMIT {HEAD_N})"
+    for t, (k1, k2) in KEYS2.items()), *ALL_FULL))
+def q_head(spark, sf_dir):
+    """first rows of every table by primary key (a top-n per table)."""
+    t = T(spark, sf_dir)
+    return windows.union_all([
+        windows.first_rows(t[name], [k for k in (k1, k2) if k], HEAD_N)
+        .select(F.lit(name).alias("tbl"), *_key_cols(k1, k2))
+        for name, (k1, k2) in KEYS2.items()])
+
+
+@register("last_row_per_table", with_fixtures("\nUNION ALL\n".join(
+    f"(SELECT {_q(t)} AS tbl, {_key_sql(k1, k2)} "
+    f"FROM {t}_full ORDER BY {k1} DESC{', ' + k2 + ' DESC' if k2 else ''} LIMIT 1)"
+    for t, (k1, k2) in KEYS2.items()), *ALL_FULL))
+def q_last(spark, sf_dir):
+    """The last row of every table (a global max over a struct, no sort)."""
+    t = T(spark, sf_dir)
+    return windows.union_all([
+        windows.last_row(t[name], [k for k in (k1, k2) if k])
+        .select(F.lit(name).alias("tbl"), *_key_cols(k1, k2))
+        for name, (k1, k2) in KEYS2.items()])
+
+
+TRIM_N = 3
+TRIM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@register("trim_per_group", with_fixtures(f"""
+    SELECT l_shipmode, l_orderkey, l_linenumber, l_partkey, l_suppkey, rn FROM (
+        SELECT l_shipmode, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+               CAST(row_number() OVER (PARTITION BY l_shipmode ORDER BY {', '.join(TRIM_ORDER)}) AS INTEGER) AS rn
+        FROM lineitem_full) t
+    WHERE rn <= {TRIM_N}""", "lineitem_full"))
+def q_trim(spark, sf_dir):
+    """First lines of each group (ship mode); a partial group limit runs before the shuffle."""
+    li = fixtures.lineitem(spark, sf_dir).select("l_shipmode", *TRIM_ORDER)
+    return windows.head_per_group(li, ["l_shipmode"], TRIM_ORDER, TRIM_N)
+
+
+TOP_N = 100
+
+
+@register("top_orders", with_fixtures(f"""
+    SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate
+    FROM orders_full ORDER BY o_totalprice DESC, o_orderkey LIMIT {TOP_N}""", "orders_full"))
+def q_top_orders(spark, sf_dir):
+    """the query row limit (Q18's default 100) as an ordered top-k with a key tie-break."""
+    o = fixtures.orders(spark, sf_dir).select("o_orderkey", "o_totalprice", "o_orderdate")
+    return windows.first_rows(o, [F.desc("o_totalprice"), F.asc("o_orderkey")], TOP_N)
+
+
+CHUNKS = 4
+SEGMENTS = 3
+
+
+@register("chunk_assign", with_fixtures(f"""
+    SELECT o_orderkey,
+           CAST(least((row_number() OVER (ORDER BY o_orderkey) - 1) // (count(*) OVER () // {CHUNKS}) + 1,
+                      {CHUNKS}) AS INTEGER) AS chunk
+    FROM orders_full""", "orders_full"))
+def q_chunks(spark, sf_dir):
+    """Chunk of C for every order (distributed row number, remainder to the last chunk)."""
+    o = fixtures.orders(spark, sf_dir).select("o_orderkey")
+    return windows.assign_chunks(o, ["o_orderkey"], CHUNKS)
+
+
+@register("segment_insert", with_fixtures(f"""
+    SELECT o_orderkey + {INSERT_KEY_SHIFT} AS o_orderkey,
+           CAST(ntile({SEGMENTS}) OVER (ORDER BY o_orderkey) AS INTEGER) AS segment
+    FROM orders_full WHERE o_orderkey % {REFRESH_MODULUS} = 1""", "orders_full"))
+def q_segment_insert(spark, sf_dir):
+    """E5: the insert set split into contiguous segments (ntile: extra rows to the first)."""
+    ins = refresh.insert_orders(fixtures.orders(spark, sf_dir)).select("o_orderkey")
+    return windows.assign_segments(ins, ["o_orderkey"], SEGMENTS, "insert")
+
+
+@register("segment_delete", with_fixtures(f"""
+    SELECT o_orderkey,
+           CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // (count(*) OVER () // {SEGMENTS} + 1) + 1
+                AS INTEGER) AS segment
+    FROM orders_full WHERE o_orderkey % {REFRESH_MODULUS} = 0""", "orders_full"))
+def q_segment_delete(spark, sf_dir):
+    """E5: the delete keys split into segment files."""
+    dels = refresh.delete_keys(fixtures.orders(spark, sf_dir))
+    return windows.assign_segments(dels, ["o_orderkey"], SEGMENTS, "delete")
+
+
+@register("column_unpivot", with_fixtures("""
+    SELECT o_orderkey, column_name, value FROM (
+        UNPIVOT (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+                        CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate,
+                        o_orderpriority, o_clerk, CAST(o_shippriority AS VARCHAR) AS o_shippriority, o_comment
+                 FROM orders_full)
+        ON COLUMNS(* EXCLUDE (o_orderkey)) INTO NAME column_name VALUE value)""", "orders_full"))
+def q_unpivot(spark, sf_dir):
+    """One row per (order, column) -- the per-column split, as text."""
+    from shoal.sources.tables import unpivot_columns
+    return unpivot_columns(fixtures.orders(spark, sf_dir), ["o_orderkey"]).withColumnRenamed("column", "column_name")
+
+
+# --------------------------------------------------------------------------- key arithmetic
+from shoal.functions import keys as K  # noqa: E402
+
+
+@register("retail_price", with_fixtures("""
+    SELECT p_partkey,
+           CAST(90000 + ((p_partkey + 1) // 10) % 20001 + ((p_partkey + 1) % 1000) * 100 AS BIGINT) AS retail_cents,
+           CAST(90000 + ((p_partkey + 1) // 10) % 20001 + ((p_partkey + 1) % 1000) * 100 AS DOUBLE) / 100
+               AS retail_price
+    FROM part_full""", "part_full"))
+def q_retail(spark, sf_dir):
+    """Generator retail price of every part (1-based key = p_partkey + 1)."""
+    p = fixtures.part(spark, sf_dir).select("p_partkey")
+    cents = K.retail_price_cents(F.col("p_partkey") + 1).cast("long")
+    return p.select("p_partkey", cents.alias("retail_cents"), (cents.cast("double") / 100).alias("retail_price"))
+
+
+@register("sparse_key", """
+    SELECT o_orderkey,
+           ((o_orderkey >> 3) << 5) | (o_orderkey & 7) AS sparse_base,
+           ((o_orderkey >> 3) << 5) | (1 << 3) | (o_orderkey & 7) AS sparse_refresh
+    FROM orders""")
+def q_sparse(spark, sf_dir):
+    """Sparse order keys for base rows (sequence 0) and the first refresh (sequence 1)."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey")
+    return o.select("o_orderkey", K.sparse_key(F.col("o_orderkey"), 0).alias("sparse_base"),
+                    K.sparse_key(F.col("o_orderkey"), 1).alias("sparse_refresh"))
+
+
+@register("partsupp_bridge", with_fixtures("""
+    SELECT ps_partkey, ps_suppkey, ps_availqty, CAST(ps_supplycost AS DOUBLE) AS ps_supplycost
+    FROM partsupp_full""", "partsupp_full"))
+def q_partsupp(spark, sf_dir):
+    """Four supplier slots per part through the bridge formula."""
+    return fixtures.partsupp(spark, sf_dir).select("ps_partkey", "ps_suppkey", "ps_availqty", "ps_supplycost")
+
+
+@register("active_customer_key", """
+    SELECT o_orderkey, o_custkey,
+           CASE WHEN o_custkey % 3 <> 0 THEN o_custkey
+                WHEN least(o_custkey + 1, m) % 3 <> 0 THEN least(o_custkey + 1, m)
+                ELSE least(o_custkey + 1, m) - 1 END AS active_custkey
+    FROM orders, (SELECT max(c_custkey) AS m FROM customer) mx""")
+def q_active_customer(spark, sf_dir):
+    """Order customer key moved off every third customer (clamped at the max key)."""
+    top = load(spark, sf_dir, "customer").select(F.max("c_custkey")).scalar()
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return o.select("o_orderkey", "o_custkey", K.active_customer(F.col("o_custkey"), top).alias("active_custkey"))
+
+
+# --------------------------------------------------------------------------- distributions
+DIST_SOURCES = [("o_oprio", "orders", "o_orderpriority"), ("rflag", "lineitem", "l_returnflag"),
+                ("smode", "lineitem", "l_shipmode"), ("msegmnt", "customer", "c_mktsegment"),
+                ("p_types", "part", "p_type"), ("brands", "part", "p_brand")]
+
+
+def _distributions(spark, sf_dir) -> DataFrame:
+    t = T(spark, sf_dir)
+    return windows.union_all([windows.value_distribution(t[tbl], col, name)
+                              for name, tbl, col in DIST_SOURCES])
+
+
+_DIST_SQL = "\nUNION ALL\n".join(
+    f"SELECT {_q(name)} AS dist, CAST(row_number() OVER (ORDER BY {col}) AS INTEGER) AS pos, {col} AS text, "
+    f"count(*) AS weight FROM {tbl}_full GROUP BY {col}" for name, tbl, col in DIST_SOURCES)
+
+
+@register("dist_cumulative", with_fixtures(f"""
+    , dists AS ({_DIST_SQL})
+    SELECT dist, pos, text, weight,
+           CAST(sum(weight) OVER (PARTITION BY dist ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                AS BIGINT) AS cum
+    FROM dists""", "orders_full", "lineitem_full", "customer_full", "part_full"))
+def q_dist_cum(spark, sf_dir):
+    """Weighted value lists from the data, with running weights."""
+    return windows.cumulative_weights(_distributions(spark, sf_dir))
+
+
+@register("weighted_pick", with_fixtures("""
+    , d AS (SELECT text, weight,
+                   sum(weight) OVER (ORDER BY text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+            FROM (SELECT o_orderpriority AS text, count(*) AS weight FROM orders_full GROUP BY o_orderpriority) v),
+      c AS (SELECT c_custkey, CAST(c_custkey % (SELECT sum(weight) FROM d) + 1 AS BIGINT) AS draw
+            FROM customer_full)
+    SELECT c_custkey, draw, text AS picked FROM c JOIN d ON draw > cum - weight AND draw <= cum""",
+    "orders_full", "customer_full"))
+def q_weighted_pick(spark, sf_dir):
+    """Each customer draws an order priority with the data's own weights."""
+    from shoal.functions.draws import weighted_pick
+    t = T(spark, sf_dir)
+    dist = windows.cumulative_weights(windows.value_distribution(t["orders"], "o_orderpriority", "o_oprio"))
+    total = dist.select(F.sum("weight")).scalar()
+    cust = t["customer"].select("c_custkey", (F.col("c_custkey") % total + 1).alias("draw"))
+    return weighted_pick(cust, "draw", dist)
+
+
+# --------------------------------------------------------------------------- date dimension
+from shoal.functions import dates as D  # noqa: E402
+
+
+@register("date_dimension", with_fixtures("""
+    SELECT CAST(d - DATE '1970-01-01' + 1 AS INTEGER) AS t_timekey, strftime(d, '%Y-%m-%d') AS t_alpha,
+           CAST(year(d) AS INTEGER) AS t_year, CAST((year(d) - 1970) * 12 + month(d) AS INTEGER) AS t_month,
+           CAST((dayofyear(d) + 2) // 7 + 1 AS INTEGER) AS t_week, CAST(day(d) AS INTEGER) AS t_day,
+           CAST((year(d) - 1900) * 1000 + dayofyear(d) AS INTEGER) AS julian
+    FROM (SELECT CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS DATE) AS d
+          FROM orders_full) s""", "orders_full"))
+def q_date_dim(spark, sf_dir):
+    """One row per day of the order-date span, with generator date parts and day numbers."""
+    o = fixtures.orders(spark, sf_dir)
+    span = o.agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("d"))
+    return days.select(*D.date_parts(F.col("d")), D.julian(F.col("d")).cast("int").alias("julian"))
