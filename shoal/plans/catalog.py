@@ -658,3 +658,162 @@ def q_date_dim(spark, sf_dir):
     span = o.agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", "hi")).alias("d"))
     return days.select(*D.date_parts(F.col("d")), D.julian(F.col("d")).cast("int").alias("julian"))
+
+
+# --------------------------------------------------------------------------- run logs
+from shoal.plans import runs  # noqa: E402
+from shoal.sources import runlogs  # noqa: E402
+
+_RX = runlogs.LATENCY_REGEX
+_TS = "strftime(ts, '%y/%m/%d %H:%M:%S')"
+LATENCY_CTES = f"""
+    lat_lines AS (
+        SELECT 'run' || CAST(user_id % 4 AS VARCHAR) AS run,
+               CASE WHEN event_id % 2 = 0 THEN 'shuffle' ELSE 'noshuffle' END AS mode,
+               'scale' || CAST(user_id AS VARCHAR) || '.log' AS name, event_id AS line_no,
+               CASE WHEN event_type = 'error'
+                    THEN {_TS} || ' ERROR TaskSetManager: Lost task 0.0 in stage 1.0'
+                    ELSE {_TS} || ' INFO TpchQuery: End executing query. Time: '
+                         || CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END AS value
+        FROM events),
+    lat_parsed AS (
+        SELECT run, mode, name, line_no, CAST(regexp_extract(value, '{_RX}', 4) AS DOUBLE) AS elapsed_ms
+        FROM lat_lines WHERE regexp_matches(value, '{_RX}')),
+    files AS (
+        SELECT run, mode, name, arg_max(elapsed_ms, line_no) AS latency_ms
+        FROM lat_parsed GROUP BY run, mode, name)"""
+
+TRANSFER_CTES = """
+    tr_lines AS (
+        SELECT 'run' || CAST(user_id % 4 AS VARCHAR) AS run,
+               'workerLoad_' || CAST(event_id % 2 AS VARCHAR) || '.tsv' AS name, event_id AS line_no,
+               CAST(epoch_us(ts) // 1000 AS VARCHAR) AS f1,
+               CAST(CAST(floor(value * 1000000) AS BIGINT) AS VARCHAR) AS f3,
+               CAST(user_id % 8 AS VARCHAR) || '@host' AS f4, event_type, event_id
+        FROM events),
+    tr_text AS (
+        SELECT run, name, line_no,
+               CASE WHEN event_type = 'error' THEN f1 || chr(9) || '0'
+                    WHEN event_id % 5 = 0 THEN f1 || chr(9) || '0' || chr(9) || f3
+                    ELSE f1 || chr(9) || '0' || chr(9) || f3 || chr(9) || f4 END AS value
+        FROM tr_lines),
+    tr_parsed AS (
+        SELECT run, name, line_no, CAST(string_split(value, chr(9))[1] AS BIGINT) AS epoch_ms,
+               CAST(string_split(value, chr(9))[1] AS BIGINT) // 1000 AS second,
+               CAST(string_split(value, chr(9))[3] AS BIGINT) AS bytes,
+               CASE WHEN len(string_split(value, chr(9))) = 3 THEN -1
+                    ELSE CAST(string_split(string_split(value, chr(9))[4], '@')[1] AS INTEGER) END AS pid
+        FROM tr_text WHERE len(string_split(value, chr(9))) >= 3),
+    per_second AS (
+        SELECT run, pid, second, CAST(sum(bytes) AS BIGINT) AS bytes FROM tr_parsed GROUP BY run, pid, second)"""
+
+MBPS_SQL = "CAST(floor(CAST(bytes AS DOUBLE) / 1048576 * 8 * 1024 * 1024 / 1000000) AS BIGINT)"
+
+
+def _latency_files(spark, sf_dir) -> DataFrame:
+    lines = runlogs.latency_lines_from_events(load(spark, sf_dir, "events"))
+    return runs.file_latency(runlogs.parse_latency(lines))
+
+
+def _transfer_parsed(spark, sf_dir) -> DataFrame:
+    return runlogs.parse_transfer(runlogs.transfer_lines_from_events(load(spark, sf_dir, "events")))
+
+
+@register("latency_by_run", f"""
+    WITH {LATENCY_CTES},
+    conc AS (SELECT run, CAST(pow(2, dense_rank() OVER (ORDER BY run) - 1) AS BIGINT) AS concurrency
+             FROM (SELECT DISTINCT run FROM files) r),
+    agg AS (SELECT run, mode, count(*) AS files, CAST(sum(CAST(latency_ms AS BIGINT)) AS DOUBLE) AS s1,
+                   CAST(sum(CAST(latency_ms AS BIGINT) * CAST(latency_ms AS BIGINT)) AS DOUBLE) AS s2
+            FROM files GROUP BY run, mode)
+    SELECT run, mode, files, s1 / files / 1000 AS mean_s,
+           sqrt(greatest(s2 / files - (s1 / files) * (s1 / files), 0.0)) / 1000 AS std_s, concurrency
+    FROM agg JOIN conc USING (run)""")
+def q_latency_by_run(spark, sf_dir):
+    """Latency mean and deviation per run and mode, with concurrency."""
+    return runs.latency_by_run(_latency_files(spark, sf_dir))
+
+
+@register("latency_gap", f"""
+    WITH {LATENCY_CTES},
+    firsts AS (SELECT run, arg_min(latency_ms, name) FILTER (WHERE mode = 'shuffle') AS shuffle_ms,
+                      arg_min(latency_ms, name) FILTER (WHERE mode = 'noshuffle') AS noshuffle_ms
+               FROM files GROUP BY run)
+    SELECT run, shuffle_ms, noshuffle_ms,
+           round_even((shuffle_ms - noshuffle_ms) / nullif(noshuffle_ms, 0.0), 4) AS gap
+    FROM firsts""")
+def q_latency_gap(spark, sf_dir):
+    """Relative gap of the two modes per run (first file of each), half-even to 4 places."""
+    return runs.latency_gap(_latency_files(spark, sf_dir))
+
+
+@register("latency_box", f"""
+    WITH {LATENCY_CTES},
+    q AS (SELECT mode, count(*) AS n, quantile_cont(latency_ms, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q
+          FROM files GROUP BY mode)
+    SELECT mode, n, q[1] / 1000 AS p0, q[2] / 1000 AS p25, q[3] / 1000 AS p50, q[4] / 1000 AS p75,
+           q[5] / 1000 AS p100
+    FROM q""")
+def q_latency_box(spark, sf_dir):
+    """Five-number summary of file latencies per mode."""
+    return runs.latency_box(_latency_files(spark, sf_dir))
+
+
+@register("transfer_per_second", f"""
+    WITH {TRANSFER_CTES}
+    SELECT run, pid, second, bytes FROM per_second""")
+def q_transfer_ps(spark, sf_dir):
+    """Bytes per (run, process, second)."""
+    return runs.transfer_per_second(_transfer_parsed(spark, sf_dir))
+
+
+@register("transfer_totals", f"""
+    WITH {TRANSFER_CTES}
+    SELECT run, pid, CAST(sum(bytes) AS DOUBLE) / 1048576 AS total_mib, count(*) AS active_seconds,
+           max({MBPS_SQL}) AS peak_mbps
+    FROM per_second GROUP BY run, pid""")
+def q_transfer_totals(spark, sf_dir):
+    """Total MiB, active seconds and peak Mbps per process."""
+    return runs.transfer_totals(runs.transfer_per_second(_transfer_parsed(spark, sf_dir)))
+
+
+@register("footprint", f"""
+    WITH {TRANSFER_CTES},
+    series AS (SELECT run, pid, row_number() OVER (PARTITION BY run, pid ORDER BY second) - 1 AS idx,
+                      {MBPS_SQL} AS mbps FROM per_second),
+    lengths AS (SELECT run, pid, count(*) AS len FROM per_second GROUP BY run, pid),
+    span AS (SELECT run, max(len) AS index_num FROM lengths GROUP BY run),
+    grid AS (SELECT l.run, l.pid, unnest(generate_series(0, s.index_num)) AS idx
+             FROM lengths l JOIN span s ON l.run = s.run)
+    SELECT g.run, g.pid, g.idx, CAST(coalesce(se.mbps, 0) AS BIGINT) AS mbps
+    FROM grid g LEFT JOIN series se ON g.run = se.run AND g.pid = se.pid AND g.idx = se.idx""")
+def q_footprint(spark, sf_dir):
+    """Per-process Mbps series, zero-padded to the longest + 1."""
+    return runs.footprint(runs.transfer_per_second(_transfer_parsed(spark, sf_dir)))
+
+
+@register("transfer_first_process", f"""
+    WITH {TRANSFER_CTES},
+    firstp AS (SELECT run, name, arg_min(pid, line_no) AS first_pid FROM tr_parsed GROUP BY run, name)
+    SELECT t.run, string_split(string_split(t.name, '_')[2], '.')[1] AS file_tag, t.pid, t.second,
+           CAST(sum(t.bytes) AS DOUBLE) / 1048576 AS mib
+    FROM tr_parsed t JOIN firstp f ON t.run = f.run AND t.name = f.name AND t.pid = f.first_pid
+    GROUP BY t.run, file_tag, t.pid, t.second""")
+def q_first_process(spark, sf_dir):
+    """The first process's per-second series in each transfer file."""
+    return runs.first_process_series(_transfer_parsed(spark, sf_dir))
+
+
+@register("stage_metrics", """
+    SELECT CAST(user_id % 8 AS BIGINT) AS stage_id, count(*) AS tasks,
+           CAST(sum(floor(value * 1000)) AS BIGINT) AS run_time_ms,
+           CAST(sum(floor(value * 100)) AS BIGINT) AS gc_time_ms,
+           CAST(sum(floor(value * 1000000)) AS BIGINT) AS shuffle_bytes_written,
+           CAST(sum(floor(value * 2000000)) AS BIGINT) AS input_bytes,
+           CAST(sum(user_id) AS BIGINT) AS input_records,
+           CAST(0 AS BIGINT) AS spilled_bytes
+    FROM events WHERE event_type <> 'view' GROUP BY user_id % 8""")
+def q_stage_metrics(spark, sf_dir):
+    """Event-log JSON (derived from events) parsed and summed per stage."""
+    lines = runlogs.event_json_from_events(load(spark, sf_dir, "events"))
+    return runs.stage_metrics(runlogs.parse_event_json(lines))
