@@ -160,8 +160,12 @@ TASK_END_SCHEMA = T.StructType([
 
 
 def read_event_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Spark event-log JSON lines with the task-end fields typed (other events keep nulls)."""
-    return spark.read.schema(TASK_END_SCHEMA).json(paths)
+    """Spark event-log JSON lines with the task-end fields typed (other events keep nulls).
+
+    Folders are searched recursively: Spark 4 writes rolling logs as
+    ``eventlog_v2_<app>/events_<n>_<app>`` directories.
+    """
+    return spark.read.schema(TASK_END_SCHEMA).option("recursiveFileLookup", "true").json(paths)
 
 
 def parse_event_json(lines: DataFrame, column: str = "value") -> DataFrame:

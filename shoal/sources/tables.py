@@ -71,13 +71,16 @@ _REFRESH_PATH = r"(orders|lineitem)\.tbl\.u(\d+)(?:\.(\d+))?$"
 _DELETE_PATH = r"delete\.(\d+)(?:\.(\d+))?$"
 
 
+def _optional_int(text):
+    return F.when(text == "", F.lit(None)).otherwise(text).cast("int")
+
+
 def read_refresh_inserts(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """All insert files of one table in a folder, tagged with set and segment."""
     df = read_tbl(spark, f"{folder.rstrip('/')}/{table}.tbl.u*", table)
     path = F.col("_metadata.file_path")
     return (df.withColumn("refresh_set", F.regexp_extract(path, _REFRESH_PATH, 2).cast("int"))
-              .withColumn("segment", F.expr(
-                  f"cast(nullif(regexp_extract(_metadata.file_path, '{_REFRESH_PATH}', 3), '') as int)")))
+              .withColumn("segment", _optional_int(F.regexp_extract(path, _REFRESH_PATH, 3))))
 
 
 def read_refresh_deletes(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,10 +89,9 @@ def read_refresh_deletes(spark: SparkSession, folder: str) -> DataFrame:
                          StructField(EOL, StringType(), True)])
     df = (spark.read.schema(schema).option("sep", "|").option("quote", "")
           .csv(f"{folder.rstrip('/')}/delete.*").drop(EOL))
-    return (df.withColumn("refresh_set", F.expr(
-                f"cast(regexp_extract(_metadata.file_path, '{_DELETE_PATH}', 1) as int)"))
-              .withColumn("segment", F.expr(
-                f"cast(nullif(regexp_extract(_metadata.file_path, '{_DELETE_PATH}', 2), '') as int)")))
+    path = F.col("_metadata.file_path")
+    return (df.withColumn("refresh_set", F.regexp_extract(path, _DELETE_PATH, 1).cast("int"))
+              .withColumn("segment", _optional_int(F.regexp_extract(path, _DELETE_PATH, 2))))
 
 
 def unpivot_columns(df: DataFrame, keys: list[str]) -> DataFrame:
