@@ -162,8 +162,9 @@ def order_header_check(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.sum((has_l & ~has_o).cast("long")).alias("lines_without_order"),
         F.sum((both & ~F.col("lines").between(1, 7)).cast("long")).alias("bad_line_count"),
         F.sum((both & (F.col("o_orderstatus") != F.col("status"))).cast("long")).alias("status_mismatch"),
-        F.sum((both & (F.abs(F.col("o_totalprice") - F.col("total")) > F.lit(0.01))).cast("long"))
-         .alias("price_mismatch"),
+        # a stored total truncates cents twice per line (H21): allow 0.02 per line
+        F.sum((both & (F.abs(F.col("o_totalprice") - F.col("total")) > F.col("lines") * F.lit(0.02)))
+              .cast("long")).alias("price_mismatch"),
         F.sum(both.cast("long")).alias("orders_checked"))
 
 
