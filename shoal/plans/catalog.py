@@ -855,3 +855,25 @@ def q_gen_refresh(spark, sf_dir):
     return (o.select(F.lit("insert_orders").alias("part"), F.col("o_orderkey").alias("key"))
             .unionByName(li.select(F.lit("insert_lineitem").alias("part"), F.col("l_orderkey").alias("key")))
             .unionByName(dels.select(F.lit("delete").alias("part"), F.col("o_orderkey").alias("key"))))
+
+
+# --------------------------------------------------------------------------- query parameters (M2, M6)
+from shoal.plans import params as P  # noqa: E402
+
+PARAM_FIXTURES = ("region_full", "nation_full", "customer_full", "part_full", "lineitem_full", "supplier_full")
+
+
+@register("param_draws", with_fixtures(P.draw_params_sql(), *PARAM_FIXTURES))
+def q_param_draws(spark, sf_dir):
+    """M2: substitution parameters of the 22 queries for 41 streams, drawn from the data's domains."""
+    return P.draw_params(T(spark, sf_dir))
+
+
+@register("param_log", f"""
+    SELECT stream, query,
+           CAST(query AS VARCHAR) || chr(9) || string_agg(value, chr(9) ORDER BY n) AS line
+    FROM ({with_fixtures(P.draw_params_sql(), *PARAM_FIXTURES)}) d
+    GROUP BY stream, query""")
+def q_param_log(spark, sf_dir):
+    """M6: one log line per stream and query: number, then values tab-separated."""
+    return P.param_log(P.draw_params(T(spark, sf_dir)))
