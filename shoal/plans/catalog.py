@@ -296,31 +296,31 @@ def _domain_sql() -> str:
 @register("not_null", _not_null_sql())
 def q_not_null(spark, sf_dir):
     """NULL count of every column of the eight full tables."""
-    return quality.not_null(T(spark, sf_dir))
+    return quality.not_null(T(spark, sf_dir).materialize())
 
 
 @register("pk_violations", _pk_sql())
 def q_pk(spark, sf_dir):
     """Duplicate primary keys per table."""
-    return quality.pk_violations(T(spark, sf_dir))
+    return quality.pk_violations(T(spark, sf_dir).materialize())
 
 
 @register("fk_violations", _fk_sql())
 def q_fk(spark, sf_dir):
     """Orphan keys and rows per foreign key (anti join, child pre-aggregated)."""
-    return quality.fk_violations(T(spark, sf_dir))
+    return quality.fk_violations(T(spark, sf_dir).materialize())
 
 
 @register("length_check", _length_sql())
 def q_length(spark, sf_dir):
     """Text length against the CHAR/VARCHAR bound."""
-    return quality.length_check(T(spark, sf_dir))
+    return quality.length_check(T(spark, sf_dir).materialize())
 
 
 @register("domain_check", _domain_sql())
 def q_domain(spark, sf_dir):
     """min/max and out-of-domain count per bounded column."""
-    return quality.domain_check(T(spark, sf_dir))
+    return quality.domain_check(T(spark, sf_dir).materialize())
 
 
 ROLLUP_SQL = """
@@ -368,7 +368,7 @@ def q_header_check(spark, sf_dir):
 @register("table_checksum")
 def q_checksum(spark, sf_dir):
     """Row count and order-free hash sum per table (engine-specific hash: rows-only check)."""
-    return quality.table_checksum(T(spark, sf_dir))
+    return quality.table_checksum(T(spark, sf_dir).materialize())
 
 
 # --------------------------------------------------------------------------- refresh

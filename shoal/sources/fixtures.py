@@ -145,17 +145,45 @@ BUILDERS = {"region": region, "nation": nation, "supplier": supplier, "customer"
             "part": part, "partsupp": partsupp, "orders": orders, "lineitem": lineitem}
 
 
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return BUILDERS[name](spark, sf_dir)
+    """One full view, built once per application and folder (it is a lazy plan)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _BUILT:
+        _BUILT[key] = BUILDERS[name](spark, sf_dir)
+    return _BUILT[key]
+
+
+class Tables(dict):
+    """The eight full views, each built on first access."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark, self._dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in BUILDERS:
+            raise KeyError(name)
+        df = table(self._spark, self._dir, name)
+        self[name] = df
+        return df
+
+    def materialize(self) -> "Tables":
+        for name in BUILDERS:
+            self[name]
+        return self
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: build(spark, sf_dir) for name, build in BUILDERS.items()}
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Lazy mapping name -> full view; only the tables a query touches are read."""
+    return Tables(spark, sf_dir)
 
 
 def register(spark: SparkSession, sf_dir: str, suffix: str = "") -> dict[str, DataFrame]:
     """Register all eight full views as temp views ``<table><suffix>``."""
-    out = tables(spark, sf_dir)
+    out = tables(spark, sf_dir).materialize()
     for name, df in out.items():
         df.createOrReplaceTempView(name + suffix)
     return out

@@ -52,9 +52,19 @@ def write_tbl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
        .csv(path))
 
 
+_LOADED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver Parquet table (lazy: column pruning and filters reach the scan)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver Parquet table (lazy: column pruning and filters reach the scan).
+
+    The DataFrame (a plan, not data) is kept per application, so footers and
+    file listings are read once rather than on every query.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _LOADED:
+        _LOADED[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _LOADED[key]
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> dict[str, DataFrame]:
