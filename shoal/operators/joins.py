@@ -75,8 +75,11 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 
 
 def _table_name(prefix: str, source: DataFrame) -> str:
-    files = sorted(source.inputFiles()) + [str(source.semanticHash())]
-    tag = hashlib.sha1("\n".join(files).encode()).hexdigest()[:12]
+    """Name from the input files and the plan text without expression ids, so the
+    same inputs map to the same table in every session."""
+    plan = re.sub(r"#\d+L?|plan_id=\d+|\[id=#?\d+\]", "", physical_plan(source, "simple"))
+    parts = sorted(source.inputFiles()) + [plan]
+    tag = hashlib.sha1("\n".join(parts).encode()).hexdigest()[:12]
     return re.sub(r"[^A-Za-z0-9_]", "_", f"{prefix}_{tag}")
 
 
@@ -88,9 +91,11 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int,
     same bucket count reads matching buckets and skips the Exchange.
     """
     full = f"{database}.{name}"
+    location = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/{name}"
     (df.repartition(buckets, key)
        .write.mode("overwrite").format("parquet")
        .bucketBy(buckets, key).sortBy(key)
+       .option("path", location)      # a new session overwrites the same folder
        .saveAsTable(full))
     return full
 
