@@ -98,6 +98,22 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "rn",
             .drop("_pid", "_pos", "_off"))
 
 
+def group_row_number(df: DataFrame, group: list[str], order: list[str], name: str = "rn") -> DataFrame:
+    """1-based row number inside each group, safe when one group holds a third of the rows.
+
+    ``partitionBy(group)`` would put a whole group in one task. Instead the
+    rows are numbered globally over (group, order) -- a range-partitioned sort
+    that splits a large group across tasks -- and each group's first global
+    number (one row per group, from a partial+final aggregate) is subtracted.
+    ``group + order`` must be unique.
+    """
+    numbered = global_row_number(df, group + order, "_grn")
+    starts = numbered.groupBy(*group).agg(F.min("_grn").alias("_start"))
+    return (numbered.join(starts, group)
+            .withColumn(name, F.col("_grn") - F.col("_start") + 1)
+            .drop("_grn", "_start"))
+
+
 def _total(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 

@@ -513,24 +513,23 @@ def q_chunks(spark, sf_dir):
 
 
 @register("segment_insert", with_fixtures(f"""
-    SELECT o_orderkey + {INSERT_KEY_SHIFT} AS o_orderkey,
-           CAST(ntile({SEGMENTS}) OVER (ORDER BY o_orderkey) AS INTEGER) AS segment
-    FROM orders_full WHERE o_orderkey % {REFRESH_MODULUS} = 1""", "orders_full"))
+    SELECT o_orderkey, CAST(ntile({SEGMENTS}) OVER (ORDER BY o_orderkey) AS INTEGER) AS segment
+    FROM orders_full""", "orders_full"))
 def q_segment_insert(spark, sf_dir):
-    """E5: the insert set split into contiguous segments (ntile: extra rows to the first)."""
-    ins = refresh.insert_orders(fixtures.orders(spark, sf_dir)).select("o_orderkey")
-    return windows.assign_segments(ins, ["o_orderkey"], SEGMENTS, "insert")
+    """E5: all orders split into contiguous insert-file segments (ntile: extra rows to the first)."""
+    o = fixtures.orders(spark, sf_dir).select("o_orderkey")
+    return windows.assign_segments(o, ["o_orderkey"], SEGMENTS, "insert")
 
 
 @register("segment_delete", with_fixtures(f"""
     SELECT o_orderkey,
            CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // (count(*) OVER () // {SEGMENTS} + 1) + 1
                 AS INTEGER) AS segment
-    FROM orders_full WHERE o_orderkey % {REFRESH_MODULUS} = 0""", "orders_full"))
+    FROM orders_full""", "orders_full"))
 def q_segment_delete(spark, sf_dir):
-    """E5: the delete keys split into segment files."""
-    dels = refresh.delete_keys(fixtures.orders(spark, sf_dir))
-    return windows.assign_segments(dels, ["o_orderkey"], SEGMENTS, "delete")
+    """E5: all order keys split into delete-file segments ((rn-1) div (n div S + 1))."""
+    keys = fixtures.orders(spark, sf_dir).select("o_orderkey")
+    return windows.assign_segments(keys, ["o_orderkey"], SEGMENTS, "delete")
 
 
 @register("column_unpivot", with_fixtures("""
