@@ -876,3 +876,38 @@ def q_param_draws(spark, sf_dir):
 def q_param_log(spark, sf_dir):
     """M6: one log line per stream and query: number, then values tab-separated."""
     return P.param_log(P.draw_params(T(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- pipe-text connector (A1-A5)
+@register("tbl_roundtrip", dates_as_text(with_fixtures("SELECT * FROM orders_full", "orders_full"), "o_orderdate"))
+def q_tbl_roundtrip(spark, sf_dir):
+    """A1-A5: the orders table written as pipe-delimited text (trailing separator) into the
+    shared checkpoint folder and read back with its DDL schema."""
+    import os
+    import uuid
+
+    from shoal.session import checkpoint_dir
+    from shoal.sources.tables import read_tbl, write_tbl
+    path = os.path.join(checkpoint_dir(spark), "tbl", f"orders-{uuid.uuid4().hex[:8]}.tbl")
+    write_tbl(fixtures.orders(spark, sf_dir), path)
+    return read_tbl(spark, path, "orders")
+
+
+# --------------------------------------------------------------------------- streaming (D8 incremental)
+@register("transfer_per_second_stream", f"""
+    WITH {TRANSFER_CTES}
+    SELECT run, pid, second, bytes FROM per_second""")
+def q_transfer_stream(spark, sf_dir):
+    """D8 as a Structured Streaming query: transfer lines derived from events are written
+    as text files per run, replayed through the watermarked stream in update mode, and the
+    latest value per (run, pid, second) is read back -- equal to the batch result."""
+    import os
+    import uuid
+
+    from shoal.session import checkpoint_dir
+    from shoal.streaming.transfer import replay_update_mode
+    base = os.path.join(checkpoint_dir(spark), "stream-replay", uuid.uuid4().hex[:8])
+    lines = runlogs.transfer_lines_from_events(load(spark, sf_dir, "events"))
+    lines.select("run", "value").repartition("run").write.partitionBy("run").text(os.path.join(base, "in"))
+    return replay_update_mode(spark, os.path.join(base, "in"), os.path.join(base, "out"),
+                              f"transfer_{uuid.uuid4().hex[:8]}", layout="partitioned")

@@ -20,12 +20,23 @@ from shoal.session import checkpoint_dir
 from shoal.sources.runlogs import parse_transfer
 
 
-def transfer_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 100) -> DataFrame:
-    """Streaming (run, pid, second, bytes) over transfer-log files, with a watermark."""
-    lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
-             .option("pathGlobFilter", "workerLoad*")
-             .load(f"{root.rstrip('/')}/*/shuffle/"))
-    lines = lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("run"), "value")
+def transfer_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 100,
+                    layout: str = "runs") -> DataFrame:
+    """Streaming (run, pid, second, bytes) over transfer-log files, with a watermark.
+
+    ``layout="runs"`` reads ``<root>/<run>/shuffle/workerLoad*``;
+    ``layout="partitioned"`` reads ``<root>/run=<run>/*`` (a partitioned text write).
+    """
+    path = F.col("_metadata.file_path")
+    if layout == "runs":
+        lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
+                 .option("pathGlobFilter", "workerLoad*").load(f"{root.rstrip('/')}/*/shuffle/"))
+        run = F.element_at(F.split(path, "/"), -3)
+    else:
+        lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
+                 .load(f"{root.rstrip('/')}/run=*/"))
+        run = F.regexp_extract(path, r"run=([^/]+)/", 1)
+    lines = lines.select(run.alias("run"), "value")
     parsed = parse_transfer(lines).withColumn("event_time", F.timestamp_millis(F.col("epoch_ms")))
     return (parsed.withWatermark("event_time", "10 seconds")
             .groupBy("run", "pid", F.window("event_time", "1 second").alias("w"))
@@ -43,3 +54,25 @@ def start_transfer_stream(spark: SparkSession, root: str, out_path: str, name: s
               .option("path", out_path).option("checkpointLocation", ckpt).queryName(name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def replay_update_mode(spark: SparkSession, root: str, out_path: str, name: str,
+                       layout: str = "runs") -> DataFrame:
+    """Run the stream over the files present (``availableNow``) in *update* mode.
+
+    Each micro-batch appends the rows it changed, tagged with its batch id, to
+    ``out_path`` (a retried batch rewrites identical rows under the same id); the
+    result is the latest value per key. State for seconds behind the watermark is
+    dropped, so memory stays bounded however long the stream runs.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+
+    ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
+    q = (transfer_stream(spark, root, layout=layout).writeStream.outputMode("update")
+         .foreachBatch(sink).option("checkpointLocation", ckpt).queryName(name)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(out_path)
+    return (out.groupBy("run", "pid", "second")
+            .agg(F.max_by("bytes", "batch_id").alias("bytes")))
