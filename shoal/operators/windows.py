@@ -114,6 +114,37 @@ def group_row_number(df: DataFrame, group: list[str], order: list[str], name: st
             .drop("_grn", "_start"))
 
 
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
+                    tiebreak: list[str], names: list[str] | None = None) -> DataFrame:
+    """Exact continuous quantiles per group without holding a group in one task.
+
+    Same definition as ``percentile`` (linear interpolation between the values
+    at 0-based positions floor/ceil of ``(n - 1) * p``), computed by numbering
+    the rows of each group in value order (``group_row_number``: a distributed
+    sort), then keeping only the two rows each quantile needs. ``tiebreak``
+    makes the order total.
+    """
+    names = names or [f"p{int(round(p * 100))}" for p in probs]
+    ranked = group_row_number(df.select(*group, value, *tiebreak), group, [value, *tiebreak])
+    sizes = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    r = ranked.join(sizes, group)
+    pos = {p: (F.col("_n") - 1) * F.lit(p) for p in probs}
+    lo = {p: F.floor(pos[p]) + 1 for p in probs}
+    hi = {p: F.ceil(pos[p]) + 1 for p in probs}
+    wanted = None
+    for p in probs:
+        hit = (F.col("rn") == lo[p]) | (F.col("rn") == hi[p])
+        wanted = hit if wanted is None else wanted | hit
+    picked = r.filter(wanted)   # at most two rows per quantile and group
+    aggs = [F.first("_n").alias("n")]
+    for p, name in zip(probs, names):
+        v_lo = F.max(F.when(F.col("rn") == lo[p], F.col(value)))
+        v_hi = F.max(F.when(F.col("rn") == hi[p], F.col(value)))
+        frac = F.first(pos[p] - F.floor(pos[p]))
+        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
+    return picked.groupBy(*group).agg(*aggs)
+
+
 def _total(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 

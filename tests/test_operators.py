@@ -143,3 +143,17 @@ def test_refresh_insert_and_delete(spark):
     assert new_o.count() == o.count() + refresh.insert_orders(o).count() - deleted
     assert new_li.join(refresh.delete_keys(o, residue=3),
                        F.col("l_orderkey") == F.col("o_orderkey")).count() == 0
+
+
+def test_exact_quantiles_match_percentile_on_a_hot_group(spark):
+    import numpy as np
+    # group "a" holds most rows (a hot key); values repeat, ties broken by id
+    rows = [("a", float(i % 37), i) for i in range(300)] + [("b", float(i), 1000 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = {r.g: r for r in windows.exact_quantiles(df, ["g"], "v", probs, ["id"]).collect()}
+    for g in ("a", "b"):
+        vals = [v for gg, v, _ in rows if gg == g]
+        for p in probs:
+            assert got[g][f"p{int(round(p * 100))}"] == pytest.approx(np.quantile(vals, p))
+        assert got[g].n == len(vals)
