@@ -177,9 +177,11 @@ def text_pool(spark, chunks: int = POOL_CHUNKS, sentences: int = POOL_SENTENCES)
     (a group-by over a fixed number of rows). The (lazy, deterministic) plan is
     kept per session, so its large expression is built once.
     """
-    memo = (id(spark), chunks, sentences)
+    memo = (spark.sparkContext.applicationId, chunks, sentences)
     if memo not in _POOLS:
-        _POOLS[memo] = _build_pool(spark, chunks, sentences)
+        # about 1 MiB whatever the scale factor; deterministic, so a lost cached
+        # block is simply recomputed to the same text
+        _POOLS[memo] = _build_pool(spark, chunks, sentences).cache()
     return _POOLS[memo]
 
 

@@ -161,17 +161,15 @@ def partsupp(spark: SparkSession, sf: float, partitions: int | None = None,
 
 # --------------------------------------------------------------------------- I7, I8, I9
 def _order_rows(keys: DataFrame, sf: float, upd: int = 0) -> DataFrame:
-    """Orders with their lines as an array column (the master/detail row)."""
+    """Order headers before totals: one row per order index, with its line count."""
     n_cust = scaled(sf, "customer")
-    n_part = scaled(sf, "part")
-    n_supp = scaled(sf, "supplier")
     i = F.col("o_index")
     salt = F.lit(upd)  # refresh sets draw from their own streams
     seq = 0 if upd == 0 else 1 + upd // UPDATES_PER_SEQUENCE
     odate_day = X._int(0, (ORDER_DATE_MAX - START_DATE).days, S["o_date"], i, salt)
     odate = F.date_add(F.lit(START_DATE), odate_day.cast("int"))
     clerks = max(int(sf * 1000), 1000)
-    orders = keys.select(F.col(keys.columns[0]).alias("o_index")).select(
+    return keys.select(F.col(keys.columns[0]).alias("o_index")).select(
         "o_index", salt.alias("o_upd"),
         K.sparse_key(i, seq).alias("o_orderkey"),
         K.active_customer(X._int(1, n_cust, S["o_cust"], i, salt), n_cust).alias("o_custkey"),
@@ -181,55 +179,78 @@ def _order_rows(keys: DataFrame, sf: float, upd: int = 0) -> DataFrame:
         F.lit(0).alias("o_shippriority"),
         X._int(1, 7, S["o_lines"], i, salt).alias("n_lines"))
 
-    def line(n: Column) -> Column:
-        key = (i, salt, n)
-        partkey = X._int(1, n_part, S["l_part"], *key)
-        qty = X._int(1, 50, S["l_qty"], *key)
-        disc = X._int(0, 10, S["l_disc"], *key)
-        tax = X._int(0, 8, S["l_tax"], *key)
-        ship = F.date_add(F.col("o_orderdate"), X._int(1, 121, S["l_ship"], *key).cast("int"))
-        commit = F.date_add(F.col("o_orderdate"), X._int(30, 90, S["l_commit"], *key).cast("int"))
-        receipt = F.date_add(ship, X._int(1, 30, S["l_receipt"], *key).cast("int"))
-        eprice = K.retail_price_cents(partkey) * qty
-        return F.struct(
-            n.alias("l_linenumber"), partkey.alias("l_partkey"),
-            K.partsupp_bridge(partkey, X._int(0, 3, S["l_supp"], *key), n_supp).alias("l_suppkey"),
-            qty.alias("qty"), disc.alias("disc"), tax.alias("tax"), eprice.alias("eprice_cents"),
-            X.pick(vocab.INSTRUCTIONS, S["l_instr"], *key).alias("l_shipinstruct"),
-            X.pick(vocab.SHIP_MODES, S["l_mode"], *key).alias("l_shipmode"),
-            ship.alias("l_shipdate"), commit.alias("l_commitdate"), receipt.alias("l_receiptdate"),
-            F.when(receipt <= F.lit(CURRENT_DATE), X.pick(vocab.RETURN_FLAGS, S["l_rflag"], *key))
-             .otherwise(F.lit("N")).alias("l_returnflag"),
-            F.when(ship <= F.lit(CURRENT_DATE), F.lit("F")).otherwise(F.lit("O")).alias("l_linestatus"))
-
-    lines = F.transform(F.sequence(F.lit(1), F.col("n_lines").cast("int")), line)
-    return orders.withColumn("lines", lines)
-
-
-def _orders_from_rows(rows: DataFrame) -> DataFrame:
-    """Order header from its own lines (D16, H21): truncating cents, F/O/P status."""
-    charged = F.aggregate("lines", F.lit(0).cast("long"),
-                          lambda acc, l: acc + (F.floor(F.floor(l["eprice_cents"] * (100 - l["disc"]) / 100)
-                                                        * (100 + l["tax"]) / 100)).cast("long"))
-    f_lines = F.size(F.filter("lines", lambda l: l["l_linestatus"] == "F"))
-    status = (F.when(f_lines == F.size("lines"), "F").when(f_lines > 0, "P").otherwise("O"))
-    df = rows.withColumn("o_totalprice", _money(charged)).withColumn("o_orderstatus", status)
+
+class _Line:
+    """Draws of line ``n`` of the order in the current row. The same expressions
+    serve the header (inside ``aggregate`` over 1..n_lines) and the exploded
+    lineitem rows (plain, code-generated columns), so both see the same values."""
+
+    def __init__(self, sf: float, n: Column):
+        self.n_part, self.n_supp = scaled(sf, "part"), scaled(sf, "supplier")
+        self.key = (F.col("o_index"), F.col("o_upd"), n)
+
+    def int(self, lo: int, hi: int, stream: str) -> Column:
+        return X._int(lo, hi, S[stream], *self.key)
+
+    @property
+    def partkey(self) -> Column:
+        return self.int(1, self.n_part, "l_part")
+
+    def eprice_cents(self) -> Column:
+        return K.retail_price_cents(self.partkey) * self.int(1, 50, "l_qty")
+
+    def ship(self) -> Column:
+        return F.date_add(F.col("o_orderdate"), self.int(1, 121, "l_ship").cast("int"))
+
+
+def _orders_from_rows(rows: DataFrame, sf: float) -> DataFrame:
+    """Order header from its own lines (D16, H21): truncating cents, F/O/P status.
+
+    A per-row fold over the line numbers (no shuffle): only the draws the total
+    and the status need are evaluated.
+    """
+    def step(acc, n):
+        ln = _Line(sf, n)
+        charged = F.floor(F.floor(ln.eprice_cents() * (100 - ln.int(0, 10, "l_disc")) / 100)
+                          * (100 + ln.int(0, 8, "l_tax")) / 100).cast("long")
+        shipped = (ln.ship() <= F.lit(CURRENT_DATE)).cast("int")
+        return F.struct((acc["total"] + charged).alias("total"), (acc["f"] + shipped).alias("f"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("f"))
+    fold = F.aggregate(F.sequence(F.lit(1), F.col("n_lines").cast("int")), zero, step)
+    status = (F.when(fold["f"] == F.col("n_lines"), "F").when(fold["f"] > 0, "P").otherwise("O"))
+    df = rows.withColumn("o_totalprice", _money(fold["total"])).withColumn("o_orderstatus", status)
     return _conform(_with_text(df, "o_comment", F.col("o_index") * 10 + F.col("o_upd")), "orders")
 
 
-def _lines_from_rows(rows: DataFrame) -> DataFrame:
-    li = rows.select("o_orderkey", "o_index", "o_upd", F.explode("lines").alias("l")).select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_index", "o_upd", "l.*")
+def _lines_from_rows(rows: DataFrame, sf: float) -> DataFrame:
+    """``explode`` the line numbers, then every line column as a plain expression."""
+    li = rows.select("o_orderkey", "o_index", "o_upd", "o_orderdate",
+                     F.explode(F.sequence(F.lit(1), F.col("n_lines").cast("int"))).alias("l_linenumber"))
+    ln = _Line(sf, F.col("l_linenumber"))
+    partkey = ln.partkey
+    ship = ln.ship()
+    receipt = F.date_add(F.col("l_shipdate"), ln.int(1, 30, "l_receipt").cast("int"))
+    li = li.select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_index", "o_upd", "l_linenumber",
+        partkey.alias("l_partkey"),
+        K.partsupp_bridge(partkey, ln.int(0, 3, "l_supp"), ln.n_supp).alias("l_suppkey"),
+        ln.int(1, 50, "l_qty").cast(MONEY).alias("l_quantity"),
+        _money(ln.eprice_cents()).alias("l_extendedprice"),
+        (ln.int(0, 10, "l_disc").cast("decimal(18,0)") / 100).cast(MONEY).alias("l_discount"),
+        (ln.int(0, 8, "l_tax").cast("decimal(18,0)") / 100).cast(MONEY).alias("l_tax"),
+        ship.alias("l_shipdate"),
+        F.date_add(F.col("o_orderdate"), ln.int(30, 90, "l_commit").cast("int")).alias("l_commitdate"),
+        X.pick(vocab.INSTRUCTIONS, S["l_instr"], *ln.key).alias("l_shipinstruct"),
+        X.pick(vocab.SHIP_MODES, S["l_mode"], *ln.key).alias("l_shipmode"),
+        X.pick(vocab.RETURN_FLAGS, S["l_rflag"], *ln.key).alias("_flag"))
+    li = li.withColumn("l_receiptdate", receipt)
+    li = (li.withColumn("l_returnflag", F.when(F.col("l_receiptdate") <= F.lit(CURRENT_DATE), F.col("_flag"))
+                        .otherwise(F.lit("N")))
+            .withColumn("l_linestatus", F.when(F.col("l_shipdate") <= F.lit(CURRENT_DATE), F.lit("F"))
+                        .otherwise(F.lit("O"))))
     li = _with_text(li, "l_comment", (F.col("o_index") * 10 + F.col("o_upd")) * 8 + F.col("l_linenumber"))
-    df = li.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-        F.col("qty").cast(MONEY).alias("l_quantity"),
-        _money(F.col("eprice_cents")).alias("l_extendedprice"),
-        (F.col("disc").cast("decimal(18,0)") / 100).cast(MONEY).alias("l_discount"),
-        (F.col("tax").cast("decimal(18,0)") / 100).cast(MONEY).alias("l_tax"),
-        "l_returnflag", "l_linestatus", "l_shipdate", "l_commitdate", "l_receiptdate",
-        "l_shipinstruct", "l_shipmode", "l_comment")
-    return _conform(df, "lineitem")
+    return _conform(li, "lineitem")
 
 
 def orders_and_lineitem(spark: SparkSession, sf: float, partitions: int | None = None,
@@ -237,7 +258,7 @@ def orders_and_lineitem(spark: SparkSession, sf: float, partitions: int | None =
     """Both tables from one master/detail row set."""
     keys = key_source if key_source is not None else _keys(spark, scaled(sf, "orders"), partitions)
     rows = _order_rows(keys, sf)
-    return _orders_from_rows(rows), _lines_from_rows(rows)
+    return _orders_from_rows(rows, sf), _lines_from_rows(rows, sf)
 
 
 def refresh_set(spark: SparkSession, sf: float, update: int, partitions: int | None = None
@@ -252,7 +273,7 @@ def refresh_set(spark: SparkSession, sf: float, update: int, partitions: int | N
     keys = spark.range(lo, lo + n, numPartitions=partitions or 1)
     rows = _order_rows(keys, sf, upd=update)
     deletes = keys.select(K.sparse_key(F.col("id"), update // UPDATES_PER_SEQUENCE).alias("o_orderkey"))
-    return _orders_from_rows(rows), _lines_from_rows(rows), deletes
+    return _orders_from_rows(rows, sf), _lines_from_rows(rows, sf), deletes
 
 
 def generate(spark: SparkSession, table: str, sf: float, partitions: int | None = None) -> DataFrame:
