@@ -2,9 +2,9 @@
 
 One row per key of ``spark.range``; every value is a hash draw of (seed,
 stream, key), so a table is the same for any partition count or task retry.
-Orders are generated with their lines as an array in the same row: order
-totals and status come from that array (no shuffle), ``lineitem`` is its
-``explode``. Output chunks are a function of the key.
+An order's total and status fold over its own line draws in the same row (no
+shuffle); ``lineitem`` explodes the line numbers and recomputes the same draws
+as plain column expressions. Output chunks are a function of the key.
 
 Keys can also come from an existing table (``key_source``): the registered
 ``gen_*`` queries regenerate rows for the keys of the given tables, so their
