@@ -157,3 +157,13 @@ def test_exact_quantiles_match_percentile_on_a_hot_group(spark):
         for p in probs:
             assert got[g][f"p{int(round(p * 100))}"] == pytest.approx(np.quantile(vals, p))
         assert got[g].n == len(vals)
+
+
+def test_embed_and_cents(spark):
+    from shoal.functions import text
+    row = spark.range(1).select(
+        text.embed(F.lit("xxxxxxxxxx"), F.lit("WORD"), 5, F.lit(7)).alias("e"),
+        money.cents_to_decimal(F.lit(-12345)).alias("neg"),
+        money.cents_to_decimal(F.lit(5)).alias("small")).collect()[0]
+    assert len(row.e) == 10 and "WORD" in row.e
+    assert str(row.neg) == "-123.45" and str(row.small) == "0.05"

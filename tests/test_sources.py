@@ -113,3 +113,12 @@ def test_event_log_reader_and_stage_metrics(spark, tmp_path):
            '"Shuffle Write Metrics":{"Shuffle Bytes Written":50}}}\n')
     m = runs.stage_metrics(runlogs.read_event_log(spark, str(tmp_path))).collect()
     assert [(r.stage_id, r.tasks, r.run_time_ms, r.shuffle_bytes_written) for r in m] == [(2, 2, 12, 150)]
+
+
+def test_write_per_column_partitions_by_column(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, "a"), (2, 3.0, "b")], "k long, x double, s string")
+    out = str(tmp_path / "cols")
+    tables.write_per_column(df, ["k"], out)
+    back = spark.read.parquet(out)
+    assert sorted(r.column for r in back.select("column").distinct().collect()) == ["s", "x"]
+    assert back.filter("column = 'x' AND k = 2").collect()[0].value == "3.0"
