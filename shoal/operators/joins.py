@@ -35,10 +35,12 @@ BROADCAST_MAX_ROWS = 2_000_000
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows.
 
-    Reads at most ``limit + 1`` rows per partition (a LocalLimit per task), so
-    the check stays cheap even when the answer is "no" on a huge table.
+    A plain ``count()``: every scan task emits one partial count (no columns
+    are read for an unfiltered Parquet scan), so the check costs one row per
+    task in the shuffle. (``limit(n + 1).count()`` would instead funnel up to
+    n + 1 rows per task into a single partition.)
     """
-    return df.limit(limit + 1).count() <= limit
+    return df.count() <= limit
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
