@@ -83,6 +83,9 @@ def main() -> None:
             spark.catalog.clearCache()
         times[name] = round(statistics.median(runs), 3)
     sc.setJobGroup("bench-report", "report")
+    # the baseline's one figure is input rows per second of the orders x lineitem join
+    from shoal.sources.tables import load
+    join_rows = load(spark, sf_dir, "orders").count() + load(spark, sf_dir, "lineitem").count()
     spark.stop()  # flush the event log
     spark = build_session("local[2]", shuffle_partitions=2, app_name="shoal-bench-report")
     try:
@@ -94,7 +97,9 @@ def main() -> None:
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "shuffle_bytes": shuffle,
                       "sf": float(sf) if sf.replace(".", "").isdigit() else sf, "cpus": cpus,
-                      "repeat": repeat}))
+                      "repeat": repeat, "join_input_rows": join_rows,
+                      "join_rows_per_sec": (round(join_rows / times["join_orders_lineitem"])
+                                            if times.get("join_orders_lineitem") else None)}))
 
 
 if __name__ == "__main__":
