@@ -20,7 +20,8 @@ from shoal.sources.tables import load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, QueryFn] = {}
+QUERIES: dict[str, QueryFn] = {}   # outputs normalised for the cross-engine comparison
+RAW: dict[str, QueryFn] = {}       # the same plans with native output types (DECIMAL, DATE)
 ORACLE: dict[str, str] = {}
 
 
@@ -39,6 +40,7 @@ def for_oracle(df: DataFrame) -> DataFrame:
 
 def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
+        RAW[name] = fn
         QUERIES[name] = lambda spark, sf_dir: for_oracle(fn(spark, sf_dir))
         QUERIES[name].__doc__ = fn.__doc__
         if oracle is not None:
