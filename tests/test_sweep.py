@@ -13,3 +13,14 @@ def test_mode_sweep_round_trip(spark, tmp_path):
     assert all(r.mean_s > 0 for r in by_run.collect())
     g = {r.run: r.gap for r in gap.collect()}
     assert set(g) == {"run0", "run1"} and all(v is not None for v in g.values())
+
+
+def test_cli_runs_study_query_and_logs(spark, tmp_path, capsys):
+    from shoal.__main__ import main
+    log = tmp_path / "run0" / "shuffle" / "scale1.log"
+    assert main(["run", "--query", "1", "--sf-dir", SF_SMALL, "--log", str(log)]) == 0
+    lines = log.read_text().splitlines()
+    assert lines[0].endswith("Begin executing query")
+    assert "End executing query. Time: " in lines[1]
+    assert main(["list"]) == 0
+    assert "join_orders_lineitem" in capsys.readouterr().out
