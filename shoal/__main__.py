@@ -2,6 +2,7 @@
 
     python -m shoal run --query 0 --sf-dir /data/sf100           # 0 join, 1 aggregation, 2 filter
     python -m shoal run --query pricing_summary --sf-dir ... --log run1/shuffle/scale1.log
+    python -m shoal explain --query market_share --sf-dir ...      # physical plan (M7)
     python -m shoal list
 
 The query runs to completion (``noop`` sink, or ``--show`` for the first rows);
@@ -40,6 +41,11 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--log", help="append the timing line to this file")
     run.add_argument("--show", action="store_true", help="print the first rows instead of a full run")
     run.add_argument("--master", help="e.g. local[8]; omit under spark-submit")
+    exp = sub.add_parser("explain", help="print the physical plan of a query (M7)")
+    exp.add_argument("--query", required=True)
+    exp.add_argument("--sf-dir", required=True)
+    exp.add_argument("--mode", default="formatted", choices=["simple", "extended", "formatted", "cost"])
+    exp.add_argument("--master")
     sub.add_parser("list", help="list query names")
     args = parser.parse_args(argv)
 
@@ -51,6 +57,9 @@ def main(argv: list[str] | None = None) -> int:
     from shoal.session import build_session
     spark = build_session(args.master, app_name=f"shoal {args.query}")
     name = STUDY_QUERIES.get(args.query, args.query)
+    if args.cmd == "explain":
+        catalog.RAW[name](spark, args.sf_dir).explain(args.mode)
+        return 0
     if name == "join_orders_lineitem" and args.strategy:
         name = "join_orders_lineitem" if args.strategy == "auto" else f"join_{args.strategy}"
     df = catalog.RAW[name](spark, args.sf_dir)

@@ -24,3 +24,9 @@ def test_cli_runs_study_query_and_logs(spark, tmp_path, capsys):
     assert "End executing query. Time: " in lines[1]
     assert main(["list"]) == 0
     assert "join_orders_lineitem" in capsys.readouterr().out
+
+
+def test_cli_explain(spark, capsys):
+    from shoal.__main__ import main
+    assert main(["explain", "--query", "2", "--sf-dir", SF_SMALL, "--mode", "simple"]) == 0
+    assert "PushedFilters" in capsys.readouterr().out
