@@ -88,3 +88,19 @@ def test_chunked_write(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "cust"))
     sizes = sorted(r["count"] for r in back.groupBy("chunk").count().collect())
     assert sizes == [37, 37, 37, 39]   # 150 rows: 37 per chunk, the remainder in the last
+
+
+def test_refresh_cycle_on_generated_tables(spark):
+    from shoal.operators import refresh
+    sf = 0.01
+    base_o, base_l = G.orders_and_lineitem(spark, sf)
+    sets = [G.refresh_set(spark, sf, u) for u in (1, 2)]
+    new_o, new_l = refresh.apply_refresh_sets(base_o, base_l, sets, checkpoint_every=1)
+    n_base = base_o.count()
+    assert new_o.count() == n_base + 2 * 15 - 2 * 15         # 15 inserted and 15 deleted per set
+    pk = {r.tbl: r.dup_keys for r in quality.pk_violations({"orders": new_o, "lineitem": new_l}).collect()}
+    assert pk == {"orders": 0, "lineitem": 0}
+    orphans = new_l.join(new_o, new_l.l_orderkey == new_o.o_orderkey, "left_anti").count()
+    assert orphans == 0                                        # deleted orders took their lines along
+    hdr = quality.order_header_check(new_o, new_l).collect()[0]
+    assert (hdr.orders_without_lines, hdr.status_mismatch, hdr.price_mismatch) == (0, 0, 0)
