@@ -100,9 +100,10 @@ def transfer_totals(per_second: DataFrame) -> DataFrame:
 def footprint(per_second: DataFrame) -> DataFrame:
     """(run, pid, idx, mbps): each process's series by position, zero-padded to the
     run's longest series + 1 (E7). Gaps in time are dropped, as in the plot."""
-    # position in the series without a per-process window (a hot process is split)
-    from shoal.operators.windows import group_row_number
-    series = (group_row_number(per_second, ["run", "pid"], ["second"])
+    # position in the series without a per-process window: hour blocks bound every
+    # window to 3,600 rows, a running sum over one row per hour adds the offset
+    from shoal.operators.windows import block_row_number
+    series = (block_row_number(per_second, ["run", "pid"], "second", 3600)
               .select("run", "pid", (F.col("rn") - 1).alias("idx"), mbps(F.col("bytes")).alias("mbps")))
     lengths = per_second.groupBy("run", "pid").agg(F.count(F.lit(1)).alias("len"))
     span = lengths.groupBy("run").agg(F.max("len").alias("index_num"))

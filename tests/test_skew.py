@@ -62,3 +62,13 @@ def test_foreign_key_check_with_hot_child_key(spark):
     res = quality.fk_violations({"lineitem": facts.select("l_orderkey"), "orders": parents}).collect()
     (r,) = [x for x in res if x.child_cols == "l_orderkey"]
     assert (r.orphan_keys, r.orphan_rows) == (1, N // 3)
+
+
+def test_block_row_number_matches_brute_force_on_a_hot_group(spark):
+    df = _skewed(spark).select("k", F.col("id").alias("t"))       # (k, t) unique; key 0 is hot
+    got = {(r.k, r.t): r.rn for r in windows.block_row_number(df, ["k"], "t", 50).collect()}
+    want = {}
+    for k in {k for k, _ in got}:
+        for pos, t in enumerate(sorted(t for kk, t in got if kk == k), start=1):
+            want[(k, t)] = pos
+    assert got == want
