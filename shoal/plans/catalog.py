@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType
+from pyspark.sql.types import DateType, DecimalType, TimestampNTZType, TimestampType
 
 from shoal.plans import tpch
 from shoal.plans.oracle import dates_as_text, with_fixtures
@@ -26,13 +26,13 @@ ORACLE: dict[str, str] = {}
 
 
 def for_oracle(df: DataFrame) -> DataFrame:
-    """DECIMAL columns to DOUBLE and DATE columns to ``yyyy-MM-dd`` text."""
+    """DECIMAL columns to DOUBLE, DATE and TIMESTAMP columns to ISO text."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, DecimalType):
             c = c.cast("double")
-        elif isinstance(f.dataType, DateType):
+        elif isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType)):
             c = c.cast("string")
         cols.append(c.alias(f.name))
     return df.select(*cols)
@@ -54,8 +54,11 @@ def T(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 # --------------------------------------------------------------------------- study queries
-@register("join_orders_lineitem",
-          "SELECT * FROM orders, lineitem WHERE l_orderkey = o_orderkey")
+TS_JOIN = ("o_orderdate", "l_shipdate")
+JOIN_SQL = dates_as_text("SELECT * FROM orders, lineitem WHERE l_orderkey = o_orderkey", *TS_JOIN)
+
+
+@register("join_orders_lineitem", JOIN_SQL)
 def q_join(spark, sf_dir):
     """The measured join, every column of both tables."""
     return tpch.join_orders_lineitem(load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem"))
@@ -84,7 +87,7 @@ def q_count_before(spark, sf_dir):
 
 
 @register("filter_discount",
-          "SELECT * FROM lineitem WHERE l_discount >= 0.05 AND l_discount <= 0.1")
+          dates_as_text("SELECT * FROM lineitem WHERE l_discount >= 0.05 AND l_discount <= 0.1", "l_shipdate"))
 def q_filter(spark, sf_dir):
     """B2: closed range filter, all columns."""
     return tpch.filter_discount(load(spark, sf_dir, "lineitem"))
@@ -217,7 +220,6 @@ def _join_with(strategy: str):
     return run
 
 
-JOIN_SQL = "SELECT * FROM orders, lineitem WHERE l_orderkey = o_orderkey"
 for _s in ("sort_merge", "shuffle_hash", "broadcast"):
     register(f"join_{_s}", JOIN_SQL)(_join_with(_s))
 

@@ -3,8 +3,8 @@
 ``FIXTURES`` repeats the rules of ``shoal.sources.fixtures`` in DuckDB SQL, as
 CTEs named ``<table>_full`` over the driver views. ``with_fixtures`` prefixes a
 query with the CTEs it names. Outputs are normalised the same way on both
-engines: money as DOUBLE after exact DECIMAL arithmetic, dates as ISO text,
-counts as BIGINT.
+engines: money as DOUBLE after exact DECIMAL arithmetic, dates and timestamps
+as ISO text, counts as BIGINT.
 """
 
 from __future__ import annotations
