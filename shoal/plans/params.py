@@ -138,10 +138,12 @@ def domains(t: dict[str, DataFrame]) -> DataFrame:
 
 def draw_params(t: dict[str, DataFrame], streams: int = STREAMS) -> DataFrame:
     """(stream, query, n, value) for every stream and query slot (M2)."""
+    import json
     spark = t["nation"].sparkSession
-    spec = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(n).alias("n"), F.lit(k).alias("kind"),
-                              F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(d).alias("dom"))
-                     for q, n, k, a, b, d in SPEC])
+    # the parameter grammar as one JSON literal (folded once by the optimizer)
+    spec = F.from_json(F.lit(json.dumps([dict(query=q, n=n, kind=k, a=a, b=b, dom=d)
+                                         for q, n, k, a, b, d in SPEC])),
+                       "array<struct<query:int,n:int,kind:string,a:int,b:int,dom:string>>")
     rows = (spark.range(streams).select(F.col("id").alias("stream"), F.explode(spec).alias("p"))
             .select("stream", "p.*"))
     s, q, n = F.col("stream"), F.col("query"), F.col("n")
@@ -150,7 +152,8 @@ def draw_params(t: dict[str, DataFrame], streams: int = STREAMS) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     uni = a + h % (b - a + 1)
     sf = t["supplier"].select(F.count(F.lit(1))).scalar() / 10000
-    sizes = domains(t).groupBy("dom").agg(F.first("size").alias("size"))
+    doms = domains(t)
+    sizes = doms.groupBy("dom").agg(F.first("size").alias("size"))
     rows = rows.join(F.broadcast(sizes), "dom", "left")  # domains: bounded, distinct values
     size = F.col("size")
     kind = F.col("kind")
@@ -158,7 +161,7 @@ def draw_params(t: dict[str, DataFrame], streams: int = STREAMS) -> DataFrame:
            .when(kind == "regionof", h_prev % size)
            .otherwise(h % size))
     rows = rows.withColumn("idx", idx)
-    dom = domains(t).select("dom", "idx", F.col("value").alias("picked"))
+    dom = doms.select("dom", "idx", F.col("value").alias("picked"))
     rows = rows.join(F.broadcast(dom), ["dom", "idx"], "left")
     picked = F.col("picked")
     first_perm = F.when(q == 16, F.lit(PERM_FIRST[16])).otherwise(F.lit(PERM_FIRST[22]))
