@@ -37,6 +37,8 @@ HEADLINE = [
     # checks, refresh, windows, run logs
     "fk_violations", "order_rollup", "refresh_delete_lineitem", "chunk_assign",
     "trim_per_group", "footprint", "latency_by_run",
+    # table generation: lineitem regenerated for every order key of the input
+    "gen_lineitem",
 ]
 
 

@@ -50,6 +50,15 @@ def _keys(spark: SparkSession, n: int, partitions: int | None) -> DataFrame:
     return spark.range(1, n + 1, numPartitions=partitions or spark.sparkContext.defaultParallelism)
 
 
+def _spread(keys: DataFrame) -> DataFrame:
+    """A key source with fewer splits than the cluster has cores (e.g. one small
+    file) is spread round-robin before the per-key generation work; the shuffle
+    moves one key column. At scale the input has far more splits than cores and
+    this is a no-op."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(cores) if keys.rdd.getNumPartitions() < cores else keys
+
+
 def _with_text(df: DataFrame, column: str, key: Column, pool: DataFrame | None = None) -> DataFrame:
     lo, hi = vocab.bounds(column)
     return X.add_comment(df, column, key, S[column], lo, hi, pool)
@@ -84,7 +93,7 @@ def nation(spark: SparkSession) -> DataFrame:
 def supplier(spark: SparkSession, sf: float, partitions: int | None = None,
              key_source: DataFrame | None = None) -> DataFrame:
     k = F.col("s_suppkey")
-    keys = key_source if key_source is not None else _keys(spark, scaled(sf, "supplier"), partitions)
+    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "supplier"), partitions)
     lo, hi = vocab.bounds("s_address")
     base = keys.select(F.col(keys.columns[0]).alias("s_suppkey")).select(
         "s_suppkey",
@@ -111,7 +120,7 @@ def supplier(spark: SparkSession, sf: float, partitions: int | None = None,
 def customer(spark: SparkSession, sf: float, partitions: int | None = None,
              key_source: DataFrame | None = None) -> DataFrame:
     k = F.col("c_custkey")
-    keys = key_source if key_source is not None else _keys(spark, scaled(sf, "customer"), partitions)
+    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "customer"), partitions)
     lo, hi = vocab.bounds("c_address")
     df = keys.select(F.col(keys.columns[0]).alias("c_custkey")).select(
         "c_custkey",
@@ -129,7 +138,7 @@ def customer(spark: SparkSession, sf: float, partitions: int | None = None,
 def part(spark: SparkSession, sf: float, partitions: int | None = None,
          key_source: DataFrame | None = None) -> DataFrame:
     k = F.col("p_partkey")
-    keys = key_source if key_source is not None else _keys(spark, scaled(sf, "part"), partitions)
+    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "part"), partitions)
     m = X._int(1, 5, S["p_mfgr"], k)
     df = keys.select(F.col(keys.columns[0]).alias("p_partkey")).select(
         "p_partkey",
@@ -147,7 +156,7 @@ def partsupp(spark: SparkSession, sf: float, partitions: int | None = None,
              key_source: DataFrame | None = None) -> DataFrame:
     """Four rows per part, suppliers through the bridge formula."""
     n_supp = scaled(sf, "supplier")
-    keys = key_source if key_source is not None else _keys(spark, scaled(sf, "part"), partitions)
+    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "part"), partitions)
     rows = keys.select(F.col(keys.columns[0]).alias("ps_partkey"),
                        F.explode(F.sequence(F.lit(0), F.lit(K.SUPP_PER_PART - 1))).alias("slot"))
     p, s = F.col("ps_partkey"), F.col("slot")
@@ -256,7 +265,7 @@ def _lines_from_rows(rows: DataFrame, sf: float) -> DataFrame:
 def orders_and_lineitem(spark: SparkSession, sf: float, partitions: int | None = None,
                         key_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Both tables from one master/detail row set."""
-    keys = key_source if key_source is not None else _keys(spark, scaled(sf, "orders"), partitions)
+    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "orders"), partitions)
     rows = _order_rows(keys, sf)
     return _orders_from_rows(rows, sf), _lines_from_rows(rows, sf)
 
