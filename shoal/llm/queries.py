@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,36 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_arc_to_warc)}
+def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.chat_snapshots import collapse
+    return collapse(_table(spark, sf_dir, "conversations"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.decontaminate import decontaminate
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items",
+                      F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_arc_to_warc, op6_chat_snapshots, op9_decontamination)}
 
 ORACLE = {
+    "op6_chat_snapshots": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT *, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS piece,
+                     struct_pack(t := turn, r := role, x := text) AS key FROM t),
+        r AS (SELECT conv_id, turn, count(*) OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total,
+                     string_agg(key::VARCHAR, chr(1) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) OVER w AS p
+              FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        inner_ AS (SELECT DISTINCT md5(p) AS p, n FROM r WHERE n < total),
+        whole AS (SELECT p, total, min(conv_id) AS conv_id, count(DISTINCT conv_id) AS n_same
+                  FROM (SELECT conv_id, md5(p) AS p, total FROM r WHERE n = total) GROUP BY p, total),
+        kept AS (SELECT w.* FROM whole w ANTI JOIN inner_ i ON w.p = i.p AND w.total = i.n)
+        SELECT k.conv_id, kept.total AS n_turns, n_same,
+               CAST(floor(coalesce(turn, 0) / 4096) AS BIGINT) AS segment,
+               string_agg(piece, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+        FROM k JOIN kept USING (conv_id) GROUP BY ALL""",
     "op4_arc_to_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
