@@ -20,6 +20,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.line_chunks import dedup_lines
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "dedup.n_lines", "dedup.n_removed", "text")
+
+
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.arc_to_warc import pages_through_warc
     return pages_through_warc(_table(spark, sf_dir, "pages")).select(
@@ -38,9 +44,27 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_arc_to_warc, op6_chat_snapshots, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_arc_to_warc, op6_chat_snapshots, op9_decontamination)}
 
 ORACLE = {
+    # md5 decides the bounds in both engines; ids are unique in the given tables
+    "op2_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                          unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n
+                   FROM documents WHERE text IS NOT NULL),
+        h AS (SELECT *, md5(line) AS h,
+                     length(line) >= 99 AND length(line) - length(replace(line, ' ', '')) >= 49 AS w FROM l),
+        b AS (SELECT *, i = n - 1 OR w OR coalesce(lead(w) OVER o, false)
+                     OR (i >= 1 AND md5(lag(h) OVER o || h) < '8') AS cut FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        c AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b),
+        k AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS bytes, count(*) AS m, bool_or(w) AS w FROM c GROUP BY ALL),
+        f AS (SELECT bytes, min(struct_pack(d := doc_id, n := no)) AS first FROM k WHERE m > 1 OR w GROUP BY bytes HAVING count(*) > 1),
+        r AS (SELECT k.doc_id, k.no FROM k JOIN f USING (bytes) WHERE (m > 1 OR w) AND struct_pack(d := k.doc_id, n := k.no) <> first),
+        z AS (SELECT c.doc_id, count(*) AS n_lines, count(r.no) AS n_removed,
+                     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.no IS NULL), '') AS text
+              FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND r.no = c.no GROUP BY c.doc_id)
+        SELECT d.doc_id, coalesce(z.n_lines, 0) AS n_lines, coalesce(z.n_removed, 0) AS n_removed, z.text
+        FROM documents d LEFT JOIN z USING (doc_id)""",
     "op6_chat_snapshots": """
         WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
         k AS (SELECT *, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS piece,
