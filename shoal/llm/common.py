@@ -173,7 +173,7 @@ def hash_grams(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     out = np.zeros(m, np.uint64)
     for k in range(n):
-        out = mix64((out ^ h[k:k + m]) + np.uint64(k + 1) * _GOLD)
+        out = mix64((out ^ h[k:k + m]) + np.uint64((k + 1) * int(_GOLD) % (1 << 64)))
     return out
 
 

@@ -37,6 +37,11 @@ def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.jaccard_join import groups
+    return groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.decontaminate import decontaminate
     out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -44,7 +49,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_arc_to_warc, op6_chat_snapshots, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_arc_to_warc, op6_chat_snapshots, op8_jaccard_join, op9_decontamination)}
 
 ORACLE = {
     # md5 decides the bounds in both engines; ids are unique in the given tables
