@@ -32,6 +32,11 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.embedding_neardup import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.chat_snapshots import collapse
     return collapse(_table(spark, sf_dir, "conversations"))
@@ -49,7 +54,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_arc_to_warc, op6_chat_snapshots, op8_jaccard_join, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op8_jaccard_join, op9_decontamination)}
 
 ORACLE = {
     # md5 decides the bounds in both engines; ids are unique in the given tables
