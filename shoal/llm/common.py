@@ -9,15 +9,19 @@ task's memory by the longest single text.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import shoal
 from shoal.session import checkpoint_dir
 
 CHUNK_BYTES = 1 << 20
@@ -46,8 +50,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's modules, as Spark does with any job's Python files."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(shoal.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="shoal-code-")) / "shoal.zip"     # on the driver; Spark sends it out
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(Path("shoal") / f.relative_to(root)))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python workers by rows and, where known, by bytes."""
+    """Before Python work: the package is on the executors, and Arrow batches are bounded in rows and bytes."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 

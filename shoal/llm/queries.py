@@ -54,7 +54,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op8_jaccard_join, op9_decontamination)}
+def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.common import crc_remainder
+    from shoal.llm.katz_lm import score_documents
+    return score_documents(_table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id")) == 1)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op8_jaccard_join, op9_decontamination, op10_katz_lm)}
 
 ORACLE = {
     # md5 decides the bounds in both engines; ids are unique in the given tables
