@@ -10,14 +10,18 @@ similarity is at least ``NUM/DEN`` (exact, in integers).
    order puts shingles last that are frequent in a bounded sample, so a passage
    of a third of all documents is no tile; any order gives the same links.
    A task sends a class once, so copies don't repeat their rows.
-3. Hubs: each class is compared with the smallest class of its tiles that it
-   meets most; linked ones are joined to components. A group of thousands of
-   near copies so collapses in linear work.
-4. Pairs of different components that share a tile are counted (a tile above
-   ``BIG`` classes enumerates only what lies outside its main component). Size
-   bands and shared keys bound the overlap first, then bit counts of the
-   signatures (a bit set in one and not in the other is at least one shingle
-   missing there), and what is left is decided by intersecting sorted arrays.
+3. Contraction, which only finds links early: each class of a tile above ``BIG``
+   is compared in numpy within its block of that tile and with the tile's first
+   block, signatures first; each class is compared with the smallest class of
+   its tiles that it meets most. Linked classes become components, so a group
+   of thousands of near copies collapses in linear work.
+4. Pairs of different components that share a tile are counted. Sizes and the
+   number of keys that linked sets must share bound them: through a tile above
+   ``SMALL`` only pairs are made that could share enough keys in such tiles
+   alone, band by band of set size; a tile above ``BIG`` makes only those of
+   classes outside its main component. Then bit counts of the signatures (a bit
+   set in one and not in the other is at least one shingle missing there) bound
+   the overlap from above, and sorted arrays decide.
 5. Components over all links.
 
 No link between two different components can be missed: every such pair is
@@ -44,7 +48,9 @@ from shoal.llm.common import (WORD_NONBLANK, components, drop_path, hash_grams,
 
 WORDS = 5
 NUM, DEN = 75, 100
+SMALL = 8
 BIG = 64
+BLOCK_SHINGLES = 1 << 18
 SAMPLE_DOCS = 20_000
 FREQUENT = 1 << 16
 BROADCAST_IDS = 200_000
@@ -148,8 +154,8 @@ def tile_keys(docs: DataFrame, frequent: np.ndarray, n: int = WORDS) -> DataFram
     return docs.select("text").mapInArrow(keys, "h long, node long, n long")
 
 
-def fits(na: str = "na", nb: str = "nb") -> str:
-    return f"{DEN} * least({na}, {nb}) >= {NUM} * greatest({na}, {nb})"
+def fits() -> str:
+    return f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)"
 
 
 #: Least overlap of linked sets: ceil(NUM (na + nb) / (NUM + DEN)); a set's keys are floor(n (DEN - NUM) / DEN) + 1 of its n.
@@ -169,18 +175,12 @@ def bit_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             .select("a", "b", "na", "nb"))
 
 
-def exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int = WORDS) -> DataFrame:
-    """The pairs (a, b) that link, by intersecting their sorted arrays."""
-    spark = docs.sparkSession
-    pairs, path = write_table(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids, ids_path = write_table(nodes.join(wanted, "node", "left_semi").select("rep", "th", "node"), "wanted")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    small = ids.count() <= BROADCAST_IDS
-    side = ids.select("rep", F.col("th").alias("wanted_th"))
-    side = F.broadcast(side) if small else side
-    texts = (docs.withColumn("th", F.xxhash64("text"))
-             .join(side, docs["doc_id"].eqNullSafe(F.col("rep")) & (F.col("th") == F.col("wanted_th")), "left_semi").select("text"))
+def arrays_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, n: int = WORDS) -> tuple[DataFrame, str]:
+    """(node, s): the sorted arrays of the wanted classes, read again from one document of each."""
+    ids, path = write_table(nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("rep", "th"), "wanted")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = (docs.withColumn("wanted_th", F.xxhash64("text"))
+             .join(side, docs["doc_id"].eqNullSafe(F.col("rep")) & (F.col("wanted_th") == F.col("th")), "left_semi").select("text"))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,26 +188,68 @@ def exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int = WORDS) -
             yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))],
                                              ["node", "s"])
 
-    sets, sets_path = write_table(texts.mapInArrow(arrays, "node long, s array<long>"), "sets")
+    sets = write_table(texts.mapInArrow(arrays, "node long, s array<long>"), "sets")
+    drop_path(docs.sparkSession, path)
+    return sets
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Exact: DEN * |x & y| >= NUM * |x | y| of two sorted arrays."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DEN * both >= NUM * (len(x) + len(y) - both)
+
+
+def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by intersecting their sorted arrays."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, z = b.column("sa"), b.column("sb")
-            ok = np.zeros(b.num_rows, bool)
-            for k in range(b.num_rows):
-                x, y = (np.asarray(c[k].values.to_numpy(zero_copy_only=False)).view(np.uint64) for c in (a, z))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = DEN * both >= NUM * (len(x) + len(y) - both)
-            ok = pa.array(ok)
+            x, y = b.column("sa"), b.column("sb")
+            ok = pa.array([alike(*(np.asarray(c[k].values.to_numpy(zero_copy_only=False)).view(np.uint64) for c in (x, y)))
+                           for k in range(b.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
     links = (pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
              .join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
              .select("a", "b", "sa", "sb").mapInArrow(meet, "a long, b long"))
-    links, _ = write_table(links.distinct(), "links")
-    for p in (path, ids_path, sets_path):
-        drop_path(spark, p)
-    return links
+    return write_table(links.distinct(), "links")[0]
+
+
+def tile_forest(tile: pa.Table) -> pa.Table:
+    """Links (a, b) that join the classes of one block tile: bit bounds on all its pairs, then arrays, strongest first."""
+    node = tile.column("node").to_numpy()
+    node, at = np.unique(node, return_index=True)
+    arrays = tile.column("s").combine_chunks()
+    s = [np.asarray(arrays[int(k)].values.to_numpy(zero_copy_only=False)).view(np.uint64) for k in at]
+    size = np.array([len(x) for x in s])
+    words = max(1, 1 << max(0, int(np.median(size)).bit_length() - 6))
+    sig = np.zeros((len(s), words), np.uint64)
+    for k, x in enumerate(s):
+        bit = x % np.uint64(64 * words)
+        np.bitwise_or.at(sig[k], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    root = list(range(len(s)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    pairs = []
+    for i in range(len(s)):
+        missing = np.bitwise_count(sig[i] & ~sig[i + 1:]).sum(axis=1, dtype=np.int64)
+        extra = np.bitwise_count(sig[i + 1:] & ~sig[i]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(size[i] - missing, size[i + 1:] - extra)
+        ok = np.flatnonzero((NUM + DEN) * most >= NUM * (size[i] + size[i + 1:]))
+        pairs.append((most[ok] / (size[i] + size[i + 1:][ok]), np.full(len(ok), i), ok + i + 1))
+    bound, i, j = (np.concatenate(x) if pairs else np.zeros(0) for x in zip(*pairs)) if pairs else (np.zeros(0),) * 3
+    for k in np.argsort(-bound, kind="stable"):
+        a, z = int(i[k]), int(j[k])
+        if find(a) != find(z) and alike(s[a], s[z]):
+            root[find(z)] = find(a)
+            out.append((node[a], node[z]))
+    return pa.table([pa.array([int(x[q]) for x in out], pa.int64()) for q in (0, 1)], ["a", "b"])
 
 
 def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,35 +266,56 @@ def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: st
     met = tile_keys(slim, frequent, n).withColumns({"cnt": F.count("*").over(tile), "hub": F.min("node").over(tile), "top": F.max("node").over(tile)})
     tiles, _ = write_table(met.filter("hub <> top").select("h", "node", "n", "hub", "cnt").distinct(), "tiles")
 
-    # hubs: one candidate per class, the hub that it shares most tiles with
-    size = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+    # contraction: classes of large tiles in blocks; for each class the hub that it shares most tiles with
+    own = tiles.filter(f"cnt > {BIG}").groupBy("node").agg(F.max(F.struct("cnt", "h")).alias("t"), F.first("n").alias("n")).select("node", "n", "t.h")
+    blocks = own.groupBy("h").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dense, _ = write_table(own.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "dense")
+    size = nodes.select(F.col("node").alias("hub"), F.col("n").alias("nb"))
     hubs = (tiles.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("na"))
-            .join(size.withColumnsRenamed({"b": "hub"}), "hub").filter(fits())
-            .groupBy("node").agg(F.max(F.struct("c", "hub", "na", "nb")).alias("m"))
+            .join(size, "hub").filter(fits()).groupBy("node").agg(F.max(F.struct("c", "hub", "na", "nb")).alias("m"))
             .select(F.col("node").alias("a"), F.col("m.hub").alias("b"), "m.na", "m.nb"))
-    links = exact(bit_bound(hubs, nodes), slim, nodes, n)
+    hubs, _ = write_table(bit_bound(hubs, nodes), "hubs")
+    sets, sets_path = arrays_of(hubs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense.select("node")), slim, nodes, n)
+    # the first block goes to each block's tile, so a tile holds two blocks at most
+    other = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    near = (dense.select("h", "node", F.explode(other).alias("tile")).join(sets, "node")
+            .groupBy("h", "tile").applyInArrow(tile_forest, "a long, b long"))
+    links, _ = write_table(near.unionByName(exact(hubs, sets)), "links")
+    drop_path(spark, sets_path)
     comp, _ = write_table(components(links), "comp")
 
     # tiles' pairs between different components
     t = tiles.join(comp, "node", "left").select("h", "node", "n", "cnt", F.coalesce("root", "node").alias("root"))
-    spread = t.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    t, _ = write_table(t.join(spread.select("h"), "h"), "spread")
-    a, b = (t.select("h", "cnt", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "root"))) for x in "ab")
-    low = (a.filter(f"cnt <= {BIG}").join(b.drop("cnt"), "h").filter("a_node < b_node and a_root <> b_root"))
-    # a large tile: what lies outside its main component against all of it
-    big = t.filter(f"cnt > {BIG}")
+    spread = t.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
+    t, _ = write_table(t.join(spread, "h"), "spread")
+    large = t.filter(f"cnt > {SMALL}").groupBy("node").agg(F.count("*").alias("l"))     # keys that lie in large tiles
+    t, _ = write_table(t.join(large, "node", "left").fillna(0, "l"), "spread")
+    cols = {"node": "{}node", "root": "{}root", "n": "n{}", "l": "l{}"}
+    a, b = (t.select("h", "cnt", *(F.col(c).alias(to.format(x)) for c, to in cols.items())) for x in "ab")
+    enough = f"{NEED} - {BEYOND}"
+    possible = f"{fits()} and aroot <> broot and {enough} <= least(la, lb)"
+    low = a.filter(f"cnt <= {SMALL}").join(b.drop("cnt"), "h").filter(f"anode < bnode and aroot <> broot and {fits()}")
+    mid = a.filter(f"cnt > {SMALL} and cnt <= {BIG}").join(b.drop("cnt"), "h").filter(f"anode < bnode and {possible}")
+    big = t.filter(f"cnt > {BIG}").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))))
     main = (big.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"))
             .select("h", F.col("m.root").alias("main")))
-    outer = big.join(main, "h").filter("root <> main").select("h", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "root")))
-    high = (outer.join(big.join(main, "h").select("h", "main", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "root"))), "h")
-            .filter("a_root <> b_root and (b_root = main or a_node < b_node)").drop("main"))
-    pairs = (low.drop("cnt").unionByName(high)
-             .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"),
-                     F.when(F.col("a_node") < F.col("b_node"), F.col("a_n")).otherwise(F.col("b_n")).alias("na"),
-                     F.when(F.col("a_node") < F.col("b_node"), F.col("b_n")).otherwise(F.col("a_n")).alias("nb"))
-             .filter(fits()).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-             .filter(f"c >= {NEED} - {BEYOND}").drop("c"))
-    more = exact(bit_bound(pairs, nodes), slim, nodes, n)
+    big, _ = write_table(big.join(main, "h"), "big")
+    outer = (big.filter("root <> main").select("h", "cnt", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"),
+                                               *(F.col(c).alias(to.format("a")) for c, to in cols.items())))
+    high = (outer.join(big.select("h", "band", "main", *(F.col(c).alias(to.format("b")) for c, to in cols.items())), ["h", "band"])
+            .filter(f"{possible} and (broot = main or anode < bnode)"))
+    pairs = low.unionByName(mid).unionByName(high.select(*low.columns))
+    first = F.col("anode") < F.col("bnode")
+    pairs = (pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"),
+                          *(F.when(first, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}{x}") for c in "nl" for x, y in ("ab", "ba")),
+                          (F.col("cnt") > SMALL).cast("long").alias("in_large"))
+             .groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("c"), F.sum("in_large").alias("cl"))
+             # what is not counted in large tiles is at most the keys that lie there
+             .filter(f"IF({enough} <= least(la, lb), c, c - cl + least(la, lb)) >= {enough}"))
+    pairs, _ = write_table(bit_bound(pairs, nodes), "pairs")
+    sets, sets_path = arrays_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), slim, nodes, n)
+    more = exact(pairs, sets)
+    drop_path(spark, sets_path)
     root, _ = write_table(components(links.unionByName(more)), "root")
     named = (nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
