@@ -26,6 +26,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "dedup.n_lines", "dedup.n_removed", "text")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.common import crc_remainder
+    from shoal.llm.toxicity import score
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id")) == 0)
+
+
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.arc_to_warc import pages_through_warc
     return pages_through_warc(_table(spark, sf_dir, "pages")).select(
@@ -60,7 +66,7 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id")) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op8_jaccard_join, op9_decontamination, op10_katz_lm)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op8_jaccard_join, op9_decontamination, op10_katz_lm)}
 
 ORACLE = {
     # md5 decides the bounds in both engines; ids are unique in the given tables
