@@ -48,6 +48,15 @@ def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op7_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels whose id's remainder is not 0, so that the others measure it."""
+    from shoal.llm.common import crc_remainder
+    from shoal.llm.cotrain_quality import score
+    labels = _table(spark, sf_dir, "labels").filter(crc_remainder(F.col("doc_id")) != 0)
+    out = score(_table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", "quality.score", "quality.text_score", "quality.meta_score", "quality.keep")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.jaccard_join import groups
     return groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -66,7 +75,7 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id")) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op8_jaccard_join, op9_decontamination, op10_katz_lm)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op7_cotrain_quality, op8_jaccard_join, op9_decontamination, op10_katz_lm)}
 
 ORACLE = {
     # md5 decides the bounds in both engines; ids are unique in the given tables
