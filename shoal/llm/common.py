@@ -199,6 +199,23 @@ def hash_grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``key`` as tables of whole groups, with the groups' bounds in each table."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        k = held.column(key).to_numpy()
+        if not len(k):
+            continue
+        cuts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        if len(cuts) > 1:                               # the last group may go on in the next batch
+            yield held.slice(0, cuts[-1]).combine_chunks(), cuts
+            held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
 # -- connected components ------------------------------------------------------
 
 

@@ -16,12 +16,13 @@ similarity is at least ``NUM/DEN`` (exact, in integers).
    its tiles that it meets most. Linked classes become components, so a group
    of thousands of near copies collapses in linear work.
 4. Pairs of different components that share a tile are counted. Sizes and the
-   number of keys that linked sets must share bound them: through a tile above
-   ``SMALL`` only pairs are made that could share enough keys in such tiles
-   alone, band by band of set size; a tile above ``BIG`` makes only those of
-   classes outside its main component. Then bit counts of the signatures (a bit
-   set in one and not in the other is at least one shingle missing there) bound
-   the overlap from above, and sorted arrays decide.
+   number of keys that linked sets must share bound them. Tiles up to ``SMALL``
+   join their pairs. Larger ones are worked on in numpy, in blocks of
+   ``TILE_ROWS``: what lies outside the tile's main component against all of it,
+   and only pairs that could share enough keys in large tiles alone. Bit counts
+   of the signatures (a bit set in one and not in the other is at least one
+   shingle missing there) bound the overlap from above, and a tile returns what
+   remains of the pairs that share no earlier tile. Sorted arrays decide.
 5. Components over all links.
 
 No link between two different components can be missed: every such pair is
@@ -44,13 +45,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.llm.common import (WORD_NONBLANK, components, drop_path, hash_grams, hash_words, mix64, row_chunks,
-                              small_batches, text_buffer, write_table)
+                              small_batches, text_buffer, whole_groups, write_table)
 
 WORDS = 5
 NUM, DEN = 75, 100
 SMALL = 8
 BIG = 64
 BLOCK_SHINGLES = 1 << 18
+TILE_ROWS = 4096
+FIRST_KEYS = 16
 SAMPLE_DOCS = 20_000
 FREQUENT = 1 << 16
 BROADCAST_IDS = 200_000
@@ -252,8 +255,80 @@ def tile_forest(tile: pa.Table) -> pa.Table:
     return pa.table([pa.array([int(x[q]) for x in out], pa.int64()) for q in (0, 1)], ["a", "b"])
 
 
+def could_share(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How many keys linked sets of these sizes share at least: NEED - BEYOND in numpy."""
+    most = np.maximum(na, nb)
+    return -(-NUM * (na + nb) // (NUM + DEN)) - (most - most * (DEN - NUM) // DEN - 1)
+
+
+def overlap_bound(size_a: np.ndarray, size_b: np.ndarray, a: list, b: list) -> np.ndarray:
+    """Upper bounds of the overlaps of pairs by their signatures, the longer folded to the shorter."""
+    out = np.minimum(size_a, size_b)
+    wa, wb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for p, q in {*zip(wa.tolist(), wb.tolist())}:
+        at = np.flatnonzero((wa == p) & (wb == q))
+        x, y = np.stack([a[k] for k in at]), np.stack([b[k] for k in at])
+        w = min(p, q)
+        x, y = (np.bitwise_or.reduce(z.reshape(len(at), -1, w), axis=1) for z in (x, y))
+        out[at] = np.minimum(size_a[at] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64),
+                             size_b[at] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return out
+
+
+def large_tile_pairs(t: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, na, nb) of different components that may link, from tiles (h, node, n, root, l), by bit counts."""
+    size = t.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("rows"))
+    size = size.select("h", F.col("m.root").alias("main"), "rows", (F.col("rows") - F.col("m.c")).alias("outer"))
+    first = t.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("h")), 1, FIRST_KEYS).alias("keys"))      # a set's own keys
+    side, _ = write_table(first.join(nodes.select("node", "sig"), "node"), "side")
+    rows = t.join(size, "h").withColumns({
+        "out": F.col("root") != F.col("main"),
+        "ja": F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / TILE_ROWS)), "ia": F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("outer") / TILE_ROWS))})
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / TILE_ROWS) - 1)
+    cols = ["h", "node", "n", "root", "l", "out"]
+    member = rows.select(*cols, F.lit(False).alias("asks"), F.explode(every("outer")).alias("i"), F.col("ja").alias("j"))
+    asks = rows.filter("out").select(*cols, F.lit(True).alias("asks"), F.col("ia").alias("i"), F.explode(every("rows")).alias("j"))
+    tiles = (member.unionByName(asks).withColumn("tile", F.xxhash64("h", "i", "j")).drop("i", "j")
+             .join(side, "node").repartition("tile").sortWithinPartitions("tile"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, "tile"):
+            got: list[list] = [[], [], [], []]
+            c = {k: table.column(k).to_numpy() for k in ("h", "node", "n", "root", "l", "out", "asks")}
+            sig, keys = (table.column(k).combine_chunks() for k in ("sig", "keys"))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                ask, all_ = lo + np.flatnonzero(c["asks"][lo:hi]), lo + np.flatnonzero(~c["asks"][lo:hi])
+                step = max(1, (1 << 20) // max(1, len(all_)))
+                for s in range(0, len(ask), step):
+                    i, j = ask[s:s + step, None], all_[None, :]
+                    na, nb = c["n"][i], c["n"][j]
+                    ok = ((c["root"][i] != c["root"][j]) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
+                          & (~c["out"][j] | (c["node"][i] < c["node"][j])) & (could_share(na, nb) <= np.minimum(c["l"][i], c["l"][j])))
+                    x, y = np.nonzero(ok)
+                    x, y = ask[s:s + step][x], all_[y]
+                    if not len(x):
+                        continue
+                    rows_ = np.unique(np.r_[x, y])
+                    at = {int(k): np.asarray(sig[int(k)].values.to_numpy()).view(np.uint64) for k in rows_}
+                    na, nb = c["n"][x], c["n"][y]
+                    most = overlap_bound(na, nb, [at[int(k)] for k in x], [at[int(k)] for k in y])
+                    near = np.flatnonzero((NUM + DEN) * most >= NUM * (na + nb))
+                    mine = {int(k): set(keys[int(k)].as_py()) for k in np.unique(np.r_[x[near], y[near]])}
+                    for k in near:
+                        p, q = int(x[k]), int(y[k])
+                        h = int(c["h"][p])
+                        if any(e < h for e in mine[p] & mine[q]):          # they meet in an earlier tile too
+                            continue
+                        p, q = (p, q) if c["node"][p] < c["node"][q] else (q, p)
+                        for col, v in zip(got, (c["node"][p], c["node"][q], c["n"][p], c["n"][q])):
+                            col.append(int(v))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["a", "b", "na", "nb"])
+
+    return tiles.select("tile", "h", "node", "n", "root", "l", "out", "asks", "sig", "keys").mapInArrow(work, "a long, b long, na long, nb long")
+
+
 def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, th (xxhash64 of its text), n_shingles, component_id."""
+    """One row per document: doc_id, th (xxhash64 of its text), n_shingles, root (its group; null for an empty set), component_id."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base, _ = write_table(described(slim, n), "described")
@@ -291,27 +366,12 @@ def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: st
     large = t.filter(f"cnt > {SMALL}").groupBy("node").agg(F.count("*").alias("l"))     # keys that lie in large tiles
     t, _ = write_table(t.join(large, "node", "left").fillna(0, "l"), "spread")
     cols = {"node": "{}node", "root": "{}root", "n": "n{}", "l": "l{}"}
-    a, b = (t.select("h", "cnt", *(F.col(c).alias(to.format(x)) for c, to in cols.items())) for x in "ab")
-    enough = f"{NEED} - {BEYOND}"
-    possible = f"{fits()} and aroot <> broot and {enough} <= least(la, lb)"
-    low = a.filter(f"cnt <= {SMALL}").join(b.drop("cnt"), "h").filter(f"anode < bnode and aroot <> broot and {fits()}")
-    mid = a.filter(f"cnt > {SMALL} and cnt <= {BIG}").join(b.drop("cnt"), "h").filter(f"anode < bnode and {possible}")
-    big = t.filter(f"cnt > {BIG}").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))))
-    main = (big.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"))
-            .select("h", F.col("m.root").alias("main")))
-    big, _ = write_table(big.join(main, "h"), "big")
-    outer = (big.filter("root <> main").select("h", "cnt", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"),
-                                               *(F.col(c).alias(to.format("a")) for c, to in cols.items())))
-    high = (outer.join(big.select("h", "band", "main", *(F.col(c).alias(to.format("b")) for c, to in cols.items())), ["h", "band"])
-            .filter(f"{possible} and (broot = main or anode < bnode)"))
-    pairs = low.unionByName(mid).unionByName(high.select(*low.columns))
-    first = F.col("anode") < F.col("bnode")
-    pairs = (pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"),
-                          *(F.when(first, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}{x}") for c in "nl" for x, y in ("ab", "ba")),
-                          (F.col("cnt") > SMALL).cast("long").alias("in_large"))
-             .groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("c"), F.sum("in_large").alias("cl"))
-             # what is not counted in large tiles is at most the keys that lie there
-             .filter(f"IF({enough} <= least(la, lb), c, c - cl + least(la, lb)) >= {enough}"))
+    a, b = (t.filter(f"cnt <= {SMALL}").select("h", *(F.col(c).alias(to.format(x)) for c, to in cols.items())) for x in "ab")
+    pairs = (a.join(b, "h").filter(f"anode < bnode and aroot <> broot and {fits()}")
+             .groupBy(F.col("anode").alias("a"), F.col("bnode").alias("b"), "na", "nb", "la", "lb").agg(F.count("*").alias("c"))
+             # what the two share besides is at most the keys of either in larger tiles
+             .filter(f"c + least(la, lb) >= {NEED} - {BEYOND}").select("a", "b", "na", "nb"))
+    pairs = pairs.unionByName(large_tile_pairs(t.filter(f"cnt > {SMALL}"), nodes)).distinct()
     pairs, _ = write_table(bit_bound(pairs, nodes), "pairs")
     sets, sets_path = arrays_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), slim, nodes, n)
     more = exact(pairs, sets)
@@ -319,6 +379,6 @@ def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: st
     root, _ = write_table(components(links.unionByName(more)), "root")
     named = (nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
+    named = named.join(least, "root").select("node", "root", "component_id")
     return (base.join(named, "node", "left")
-            .select("doc_id", "th", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+            .select("doc_id", "th", "n_shingles", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
