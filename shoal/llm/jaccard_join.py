@@ -7,8 +7,9 @@ similarity is at least ``NUM/DEN`` (exact, in integers).
    signature, whose length follows the size band. Equal sets are one class.
 2. Tiles: a set sends its smallest shingles in a global order, a quarter of them
    and one, as tile keys; by pigeonhole two linked sets meet in a tile. The
-   order puts shingles last that are frequent in a bounded sample, so a passage
-   of a third of all documents is no tile; any order gives the same links.
+   order puts the shingles last that are most frequent in a sample (at most
+   ``FREQUENT`` of them), so a passage of a third of all documents is no tile; any
+   order gives the same links.
    A task sends a class once, so copies don't repeat their rows.
 3. Contraction, which only finds links early: each class of a tile above ``BIG``
    is compared in numpy within its block of that tile and with the tile's first
@@ -54,8 +55,8 @@ BIG = 64
 BLOCK_SHINGLES = 1 << 18
 TILE_ROWS = 4096
 FIRST_KEYS = 16
-SAMPLE_DOCS = 20_000
-FREQUENT = 1 << 16
+SAMPLE_SHARE = 8
+FREQUENT = 1 << 18
 BROADCAST_IDS = 200_000
 
 
@@ -103,8 +104,8 @@ def described(docs: DataFrame, n: int = WORDS) -> DataFrame:
             .mapInArrow(describe, f"doc_id {kind}, th long, n_shingles long, node long, sig array<long>"))
 
 
-def frequent_shingles(docs: DataFrame, rows: int, n: int = WORDS) -> np.ndarray:
-    """Shingles of three or more documents of a sample of about ``SAMPLE_DOCS``, the ``FREQUENT`` most frequent at most."""
+def frequent_shingles(docs: DataFrame, n: int = WORDS) -> np.ndarray:
+    """Shingles of three or more documents in one of ``SAMPLE_SHARE``, the ``FREQUENT`` most frequent at most."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,8 +114,7 @@ def frequent_shingles(docs: DataFrame, rows: int, n: int = WORDS) -> np.ndarray:
                 h, c = np.unique(np.concatenate(got), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    every = max(1, rows // SAMPLE_DOCS)
-    top = (docs.select("text").filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(every)) == 0)
+    top = (docs.select("text").filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(SAMPLE_SHARE)) == 0)
            .mapInArrow(spell, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 2")
            .orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toArrow())
     return np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
@@ -336,7 +336,7 @@ def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: st
         F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("least_id"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"))
         .select("node", "n", "sig", "least_id", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th")), "nodes")
-    frequent = frequent_shingles(slim, base.count(), n)
+    frequent = frequent_shingles(slim, n)
     tile = Window.partitionBy("h")
     met = tile_keys(slim, frequent, n).withColumns({"cnt": F.count("*").over(tile), "hub": F.min("node").over(tile), "top": F.max("node").over(tile)})
     tiles, _ = write_table(met.filter("hub <> top").select("h", "node", "n", "hub", "cnt").distinct(), "tiles")
