@@ -46,8 +46,8 @@ from shoal.llm.common import (WORD_NONBLANK, drop_path, hash_words, mix64, row_c
 KNOWN = 1 << 20
 HEAVY = 1 << 16
 GT_MAX = 5
-PART_TOKENS = 1 << 20
-CHUNK = 4 << 20
+PART_TOKENS = 1 << 19
+CHUNK = 2 << 20
 TOP = np.uint64(1 << 63)
 START, END = (mix64(np.array([k], np.uint64))[0] for k in (0x5747, 0x454E))
 BLOB = "p int, kind int, blob binary"
