@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks of lines (operator 2), DataFrame functions only.
 
-A text is cut into lines. A chunk ends after a line if the rolling hash of the
-last ``WINDOW_LINES`` line hashes (md5) falls into the lower half, so bounds depend
-only on the lines around them and return after any insertion; a line of at
-least ``LONG_LINE`` words is a chunk of its own. Of each chunk of two or more
+A text is cut into lines. A chunk ends after a line if the rolling hash over the
+last ``WINDOW_LINES`` line hashes (md5) is less than that of the lines before and
+after it, so bounds depend only on the lines around them and return after any
+insertion, and a chunk has two lines at least; a line of at least ``LONG_LINE``
+words is a chunk of its own. Of each chunk of two or more
 lines (or one long line) that occurs more than once in all documents, the
 occurrence in the smallest (id, text hash), at its smallest chunk number, stays
 and the others are removed from their texts. Hashes only nominate chunks: the
@@ -40,19 +41,23 @@ def lines_of(text: str) -> str:
 def chunks(text: str, window: int = WINDOW_LINES, long_line: int = LONG_LINE) -> Column:
     """Array of (no, s, e, h): each eligible chunk's number, first and last line, and hash."""
     rolled = "concat(" + ", ".join(f"a[i - {k}].h" for k in range(window - 1, -1, -1)) + ")"
+    start = "IF(j = 0, 0, e[j - 1] + 1)"
+    # nested one-element arrays bind a value once: a the lines (hash, long or not), r the rolling hashes, e the chunks' last lines
     return F.expr(f"""
         filter(
           element_at(transform(array(transform({lines_of(text)}, l -> struct(
                 md5(cast(l AS binary)) AS h,
                 length(l) >= {2 * long_line - 1} AND length(l) - length(replace(l, ' ', '')) >= {long_line - 1} AS w))),
-            a -> element_at(transform(array(filter(sequence(0, size(a) - 1), i ->
+            a -> element_at(transform(array(transform(sequence(0, size(a)), i ->
+                  IF(i < {window - 1} OR i = size(a), '~', md5(cast({rolled} AS binary))))),
+              r -> element_at(transform(array(filter(sequence(0, size(a) - 1), i ->
                     i = size(a) - 1 OR a[i].w OR a[i + 1].w
-                    OR (i >= {window - 1} AND md5(cast({rolled} AS binary)) < '8'))),
-              e -> transform(e, (x, j) -> struct(
-                    j AS no, IF(j = 0, 0, e[j - 1] + 1) AS s, x AS e,
-                    IF(x > IF(j = 0, 0, e[j - 1] + 1) OR a[x].w,
-                       md5(cast(array_join(transform(slice(a, IF(j = 0, 0, e[j - 1] + 1) + 1, x - IF(j = 0, 0, e[j - 1] + 1) + 1), y -> y.h), '') AS binary)),
-                       NULL) AS h))), 1)), 1),
+                    OR (i > 0 AND i < size(a) - 2 AND r[i] < r[i - 1] AND r[i] < r[i + 1]))),
+                e -> transform(e, (x, j) -> struct(
+                      j AS no, {start} AS s, x AS e,
+                      IF(x > {start} OR a[x].w,
+                         md5(cast(array_join(transform(slice(a, {start} + 1, x - {start} + 1), y -> y.h), '') AS binary)),
+                         NULL) AS h))), 1)), 1)), 1),
           c -> c.h IS NOT NULL)""")
 
 
@@ -62,7 +67,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_LINES, long_line: int =
                           .select("id", "k1", "k2", F.explode(chunks("text", window, long_line)).alias("c"))
                           .select("id", "k1", "k2", "c.*"), "chunks")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "no")
-    often = meta.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # written before it is joined: a join fed by the aggregate itself could not split a hot chunk's rows
+    often, _ = write_table(meta.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     # a document's candidates are bounded by its own chunks
     cand = meta.join(often, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("no", "s", "e", "h")).alias("cs"))
     once = docs.join(cand, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
@@ -70,7 +76,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_LINES, long_line: int =
         f"element_at(transform(array({lines_of('text')}), ls -> transform(cs, c -> struct(c.no, c.s, c.e, c.h, "
         "array_join(slice(ls, c.s + 1, c.e - c.s + 1), '\\n') AS bytes))), 1)")).alias("c")).select("id", "k1", "k2", "c.*")
     texts, _ = write_table(texts.withColumn("place", place).select("k1", "k2", "s", "e", "h", "bytes", "place"), "chunktexts")
-    first = texts.groupBy("h", "bytes").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first, _ = write_table(texts.groupBy("h", "bytes").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+                           .filter("n > 1").drop("n"), "first")
     return (texts.join(first, ["h", "bytes"]).filter("place <> first")
             .groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 

@@ -85,8 +85,10 @@ ORACLE = {
                    FROM documents WHERE text IS NOT NULL),
         h AS (SELECT *, md5(line) AS h,
                      length(line) >= 99 AND length(line) - length(replace(line, ' ', '')) >= 49 AS w FROM l),
-        b AS (SELECT *, i = n - 1 OR w OR coalesce(lead(w) OVER o, false)
-                     OR (i >= 1 AND md5(lag(h) OVER o || h) < '8') AS cut FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        q AS (SELECT *, CASE WHEN i = 0 THEN '~' ELSE md5(lag(h) OVER o || h) END AS r, coalesce(lead(w) OVER o, false) AS next
+              FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        b AS (SELECT *, i = n - 1 OR w OR next
+                     OR (i > 0 AND i < n - 2 AND r < lag(r) OVER o AND r < lead(r) OVER o) AS cut FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
         c AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b),
         k AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS bytes, count(*) AS m, bool_or(w) AS w FROM c GROUP BY ALL),
         f AS (SELECT bytes, min(struct_pack(d := doc_id, n := no)) AS first FROM k WHERE m > 1 OR w GROUP BY bytes HAVING count(*) > 1),
