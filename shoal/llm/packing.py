@@ -214,6 +214,7 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, free: np.ndarray, cap: int
                 bins[k] = t
             free[b] -= net
             free[t] += net
+            tried.clear()                        # what was stuck before may move now
         if free[t] == cap:
             alive -= 1
             failed = 0
