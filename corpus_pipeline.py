@@ -36,11 +36,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from shoal.llm.line_chunks import dedup_lines
-    out = dedup_lines(docs, stats="_dedup").filter("not (_dedup.n_removed > 0 and trim(text) = '')")
+    out = dedup_lines(docs, stats="__own_dedup").filter("not (__own_dedup.n_removed > 0 and trim(text) = '')")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_dedup.n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("_dedup")
+        out = out.withColumn("n_chars", F.when(F.col("__own_dedup.n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.drop("__own_dedup")
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,20 +50,20 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th"))
     stay = first.unionByName(g.filter("root is null").select("doc_id", "th"))
     rows = g.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
-    kept = docs.withColumn("_th", F.xxhash64("text")).join(stay.select(F.col("doc_id").alias("_id"), F.col("th").alias("_stay")).distinct(),
-                                                           F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_stay")), "left_semi")
+    kept = docs.withColumn("__own_th", F.xxhash64("text")).join(stay.select(F.col("doc_id").alias("__own_id"), F.col("th").alias("__own_stay")).distinct(),
+                                                           F.col("doc_id").eqNullSafe(F.col("__own_id")) & (F.col("__own_th") == F.col("__own_stay")), "left_semi")
     if rows.filter("n > 1").limit(1).count():          # repeated rows of an id and text: one of them
-        kept = kept.dropDuplicates(["doc_id", "_th"])
-    return kept.drop("_th")
+        kept = kept.dropDuplicates(["doc_id", "__own_th"])
+    return kept.drop("__own_th")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from shoal.llm.decontaminate import decontaminate as find
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text")
     hits = (find(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key").filter("n_hit > 0")
-            .select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.th").alias("_hit")).distinct())
-    return (docs.withColumn("_th", F.xxhash64("text"))
-            .join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hit")), "left_anti").drop("_th"))
+            .select(F.col("doc_id.doc_id").alias("__own_id"), F.col("doc_id.th").alias("__own_hit")).distinct())
+    return (docs.withColumn("__own_th", F.xxhash64("text"))
+            .join(hits, F.col("doc_id").eqNullSafe(F.col("__own_id")) & (F.col("__own_th") == F.col("__own_hit")), "left_anti").drop("__own_th"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
