@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoal.functions.keys import div
+
 DEFAULT_SEED = 19620718
 
 
@@ -23,33 +25,21 @@ def draw(stream: int, *keys, seed: int = DEFAULT_SEED) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(stream), *[_c(k) for k in keys])
 
 
-def uniform_int(lo, hi, stream: int, *keys, seed: int = DEFAULT_SEED) -> Column:
-    """Uniform integer in [lo, hi] (I16)."""
-    lo, hi = _c(lo).cast("long"), _c(hi).cast("long")
-    return lo + F.pmod(draw(stream, *keys, seed=seed), hi - lo + 1)
-
-
-def unit_draw(stream: int, *keys, seed: int = DEFAULT_SEED) -> Column:
-    """Uniform double in [0, 1)."""
-    return F.pmod(draw(stream, *keys, seed=seed), F.lit(1 << 52)).cast("double") / float(1 << 52)
-
-
-def weighted_pick(df: DataFrame, draw_col: str, dist: DataFrame, out: str = "picked") -> DataFrame:
+def weighted_pick(df: DataFrame, draw_col: str, dist: DataFrame, total: Column, out: str = "picked",
+                  buckets: int = 1024) -> DataFrame:
     """Pick the entry whose cumulative weight window holds the draw.
 
-    ``dist`` has (text, weight, cum) with ``cum`` the running weight sum and
-    ``draw_col`` in [1, total weight]. The condition ``cum - weight < draw <= cum``
-    is a range join; ``dist`` is a distribution list (a few to a few hundred
-    entries), broadcast after a row-count check so the big side never shuffles.
+    ``dist`` has (text, weight, cum) with ``cum`` the running weight sum, ``total``
+    the whole weight and ``draw_col`` in [1, total]. The condition ``cum - weight <
+    draw <= cum`` is a range join, written as an equi-join: [1, total] is cut into
+    ``buckets`` equal ranges, an entry goes to each range that it touches (at most
+    entries + buckets rows), a draw to its one range. Plans like any equi-join,
+    whatever the length of the list.
     """
-    from shoal.operators.joins import bounded_broadcast
-    small, ok = bounded_broadcast(dist.select("text", "weight", "cum"), 100_000)
+    width = F.greatest(F.ceil(total / buckets), F.lit(1)).cast("long")
+    entries = (dist.filter("weight > 0").select("text", "weight", "cum")
+               .withColumn("_range", F.explode(F.sequence(div(F.col("cum") - F.col("weight"), width), div(F.col("cum") - 1, width)))))
     d = F.col(draw_col)
-    joined = df.join(small, (d > F.col("cum") - F.col("weight")) & (d <= F.col("cum")))
-    return joined.drop("weight", "cum").withColumnRenamed("text", out)
-
-
-def pick_list(values: list[str], stream: int, *keys, seed: int = DEFAULT_SEED) -> Column:
-    """Uniform pick from a fixed list (equal weights): an array lookup, no join."""
-    idx = F.pmod(draw(stream, *keys, seed=seed), F.lit(len(values))) + 1
-    return F.element_at(F.array(*[F.lit(v) for v in values]), idx.cast("int"))
+    joined = (df.withColumn("_range", div(d - 1, width)).join(entries, "_range")
+              .filter((d > F.col("cum") - F.col("weight")) & (d <= F.col("cum"))))
+    return joined.drop("weight", "cum", "_range").withColumnRenamed("text", out)

@@ -16,10 +16,15 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def div(a, b) -> Column:
+    """Integer quotient of 64-bit numbers (no detour over doubles)."""
+    return F.call_function("div", _c(a).cast("long"), _c(b).cast("long"))
+
+
 def retail_price_cents(p) -> Column:
     """Part retail price in cents from the (1-based) part key."""
     p = _c(p)
-    return F.lit(90000) + F.floor(p / 10) % 20001 + (p % 1000) * 100
+    return F.lit(90000) + div(p, 10) % 20001 + (p % 1000) * 100
 
 
 def retail_price(p) -> Column:
@@ -53,7 +58,7 @@ def sparse_seq(ok) -> Column:
 def partsupp_bridge(p, s, n_supp) -> Column:
     """1-based supplier key of part ``p``'s slot ``s`` (0..3) among ``n_supp`` suppliers."""
     p, s, n = _c(p).cast("long"), _c(s).cast("long"), _c(n_supp).cast("long")
-    return (p + s * (F.floor(n / SUPP_PER_PART) + F.floor((p - 1) / n))) % n + 1
+    return (p + s * (div(n, SUPP_PER_PART) + div(p - 1, n))) % n + 1
 
 
 def active_customer(k, max_key) -> Column:

@@ -179,9 +179,8 @@ def text_pool(spark, chunks: int = POOL_CHUNKS, sentences: int = POOL_SENTENCES)
     """
     memo = (spark.sparkContext.applicationId, chunks, sentences)
     if memo not in _POOLS:
-        # about 1 MiB whatever the scale factor; deterministic, so a lost cached
-        # block is simply recomputed to the same text
-        _POOLS[memo] = _build_pool(spark, chunks, sentences).cache()
+        # a plan, about 1 MiB when it runs; deterministic, so any task recomputes the same text
+        _POOLS[memo] = _build_pool(spark, chunks, sentences)
     return _POOLS[memo]
 
 

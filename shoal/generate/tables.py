@@ -50,13 +50,14 @@ def _keys(spark: SparkSession, n: int, partitions: int | None) -> DataFrame:
     return spark.range(1, n + 1, numPartitions=partitions or spark.sparkContext.defaultParallelism)
 
 
-def _spread(keys: DataFrame) -> DataFrame:
-    """A key source with fewer splits than the cluster has cores (e.g. one small
-    file) is spread round-robin before the per-key generation work; the shuffle
-    moves one key column. At scale the input has far more splits than cores and
-    this is a no-op."""
-    cores = keys.sparkSession.sparkContext.defaultParallelism
-    return keys.repartition(cores) if keys.rdd.getNumPartitions() < cores else keys
+def _size(sf: float, sizes: dict[str, int] | None, table: str) -> int:
+    """Rows of a parent table: the given count where rows are made for given tables, else by scale factor."""
+    return (sizes or {}).get(table) or scaled(sf, table)
+
+
+def _spread(keys: DataFrame, partitions: int | None) -> DataFrame:
+    """Given keys, dealt to ``partitions`` tasks if that is asked for (one key column moves)."""
+    return keys.repartition(partitions) if partitions else keys
 
 
 def _with_text(df: DataFrame, column: str, key: Column, pool: DataFrame | None = None) -> DataFrame:
@@ -93,7 +94,7 @@ def nation(spark: SparkSession) -> DataFrame:
 def supplier(spark: SparkSession, sf: float, partitions: int | None = None,
              key_source: DataFrame | None = None) -> DataFrame:
     k = F.col("s_suppkey")
-    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "supplier"), partitions)
+    keys = _spread(key_source, partitions) if key_source is not None else _keys(spark, scaled(sf, "supplier"), partitions)
     lo, hi = vocab.bounds("s_address")
     base = keys.select(F.col(keys.columns[0]).alias("s_suppkey")).select(
         "s_suppkey",
@@ -120,7 +121,7 @@ def supplier(spark: SparkSession, sf: float, partitions: int | None = None,
 def customer(spark: SparkSession, sf: float, partitions: int | None = None,
              key_source: DataFrame | None = None) -> DataFrame:
     k = F.col("c_custkey")
-    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "customer"), partitions)
+    keys = _spread(key_source, partitions) if key_source is not None else _keys(spark, scaled(sf, "customer"), partitions)
     lo, hi = vocab.bounds("c_address")
     df = keys.select(F.col(keys.columns[0]).alias("c_custkey")).select(
         "c_custkey",
@@ -138,7 +139,7 @@ def customer(spark: SparkSession, sf: float, partitions: int | None = None,
 def part(spark: SparkSession, sf: float, partitions: int | None = None,
          key_source: DataFrame | None = None) -> DataFrame:
     k = F.col("p_partkey")
-    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "part"), partitions)
+    keys = _spread(key_source, partitions) if key_source is not None else _keys(spark, scaled(sf, "part"), partitions)
     m = X._int(1, 5, S["p_mfgr"], k)
     df = keys.select(F.col(keys.columns[0]).alias("p_partkey")).select(
         "p_partkey",
@@ -153,10 +154,10 @@ def part(spark: SparkSession, sf: float, partitions: int | None = None,
 
 
 def partsupp(spark: SparkSession, sf: float, partitions: int | None = None,
-             key_source: DataFrame | None = None) -> DataFrame:
+             key_source: DataFrame | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
     """Four rows per part, suppliers through the bridge formula."""
-    n_supp = scaled(sf, "supplier")
-    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "part"), partitions)
+    n_supp = _size(sf, sizes, "supplier")
+    keys = _spread(key_source, partitions) if key_source is not None else _keys(spark, scaled(sf, "part"), partitions)
     rows = keys.select(F.col(keys.columns[0]).alias("ps_partkey"),
                        F.explode(F.sequence(F.lit(0), F.lit(K.SUPP_PER_PART - 1))).alias("slot"))
     p, s = F.col("ps_partkey"), F.col("slot")
@@ -169,15 +170,15 @@ def partsupp(spark: SparkSession, sf: float, partitions: int | None = None,
 
 
 # --------------------------------------------------------------------------- I7, I8, I9
-def _order_rows(keys: DataFrame, sf: float, upd: int = 0) -> DataFrame:
+def _order_rows(keys: DataFrame, sf: float, upd: int = 0, sizes: dict[str, int] | None = None) -> DataFrame:
     """Order headers before totals: one row per order index, with its line count."""
-    n_cust = scaled(sf, "customer")
+    n_cust = _size(sf, sizes, "customer")
     i = F.col("o_index")
     salt = F.lit(upd)  # refresh sets draw from their own streams
     seq = 0 if upd == 0 else 1 + upd // UPDATES_PER_SEQUENCE
     odate_day = X._int(0, (ORDER_DATE_MAX - START_DATE).days, S["o_date"], i, salt)
     odate = F.date_add(F.lit(START_DATE), odate_day.cast("int"))
-    clerks = max(int(sf * 1000), 1000)
+    clerks = max(_size(sf, sizes, "orders") // ORDERS_PER_REFRESH, 1000)
     return keys.select(F.col(keys.columns[0]).alias("o_index")).select(
         "o_index", salt.alias("o_upd"),
         K.sparse_key(i, seq).alias("o_orderkey"),
@@ -194,8 +195,8 @@ class _Line:
     serve the header (inside ``aggregate`` over 1..n_lines) and the exploded
     lineitem rows (plain, code-generated columns), so both see the same values."""
 
-    def __init__(self, sf: float, n: Column):
-        self.n_part, self.n_supp = scaled(sf, "part"), scaled(sf, "supplier")
+    def __init__(self, sf: float, n: Column, sizes: dict[str, int] | None = None):
+        self.n_part, self.n_supp = _size(sf, sizes, "part"), _size(sf, sizes, "supplier")
         self.key = (F.col("o_index"), F.col("o_upd"), n)
 
     def int(self, lo: int, hi: int, stream: str) -> Column:
@@ -212,14 +213,14 @@ class _Line:
         return F.date_add(F.col("o_orderdate"), self.int(1, 121, "l_ship").cast("int"))
 
 
-def _orders_from_rows(rows: DataFrame, sf: float) -> DataFrame:
+def _orders_from_rows(rows: DataFrame, sf: float, sizes: dict[str, int] | None = None) -> DataFrame:
     """Order header from its own lines (D16, H21): truncating cents, F/O/P status.
 
     A per-row fold over the line numbers (no shuffle): only the draws the total
     and the status need are evaluated.
     """
     def step(acc, n):
-        ln = _Line(sf, n)
+        ln = _Line(sf, n, sizes)
         charged = F.floor(F.floor(ln.eprice_cents() * (100 - ln.int(0, 10, "l_disc")) / 100)
                           * (100 + ln.int(0, 8, "l_tax")) / 100).cast("long")
         shipped = (ln.ship() <= F.lit(CURRENT_DATE)).cast("int")
@@ -232,11 +233,11 @@ def _orders_from_rows(rows: DataFrame, sf: float) -> DataFrame:
     return _conform(_with_text(df, "o_comment", F.col("o_index") * 10 + F.col("o_upd")), "orders")
 
 
-def _lines_from_rows(rows: DataFrame, sf: float) -> DataFrame:
+def _lines_from_rows(rows: DataFrame, sf: float, sizes: dict[str, int] | None = None) -> DataFrame:
     """``explode`` the line numbers, then every line column as a plain expression."""
     li = rows.select("o_orderkey", "o_index", "o_upd", "o_orderdate",
                      F.explode(F.sequence(F.lit(1), F.col("n_lines").cast("int"))).alias("l_linenumber"))
-    ln = _Line(sf, F.col("l_linenumber"))
+    ln = _Line(sf, F.col("l_linenumber"), sizes)
     partkey = ln.partkey
     ship = ln.ship()
     receipt = F.date_add(F.col("l_shipdate"), ln.int(1, 30, "l_receipt").cast("int"))
@@ -262,27 +263,33 @@ def _lines_from_rows(rows: DataFrame, sf: float) -> DataFrame:
     return _conform(li, "lineitem")
 
 
-def orders_and_lineitem(spark: SparkSession, sf: float, partitions: int | None = None,
-                        key_source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both tables from one master/detail row set."""
-    keys = _spread(key_source) if key_source is not None else _keys(spark, scaled(sf, "orders"), partitions)
-    rows = _order_rows(keys, sf)
-    return _orders_from_rows(rows, sf), _lines_from_rows(rows, sf)
+def orders_and_lineitem(spark: SparkSession, sf: float, partitions: int | None = None, key_source: DataFrame | None = None,
+                        sizes: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables from one master/detail row set (I7, I8). ``sizes``: rows of given parent tables."""
+    keys = _spread(key_source, partitions) if key_source is not None else _keys(spark, scaled(sf, "orders"), partitions)
+    rows = _order_rows(keys, sf, sizes=sizes)
+    return _orders_from_rows(rows, sf, sizes), _lines_from_rows(rows, sf, sizes)
 
 
-def refresh_set(spark: SparkSession, sf: float, update: int, partitions: int | None = None
-                ) -> tuple[DataFrame, DataFrame, DataFrame]:
+def refresh_set(spark: SparkSession, sf: float, update: int, partitions: int | None = None, key_source: DataFrame | None = None,
+                sizes: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Refresh set ``update`` (1-based): new orders with lines, and the keys to delete.
 
-    Both cover order indices ``[(u-1)*n + 1, u*n]`` with ``n = 1500 x SF``; the
-    inserts carry sequence bits ``1 + u div 1000``, the deletes ``u div 1000``.
+    Both cover order indices ``[(u-1)*n + 1, u*n]`` with ``n`` a thousandth of the
+    orders; the inserts carry sequence bits ``1 + u div 1000``, the deletes ``u div
+    1000``. With ``key_source`` (the dense 1-based indices of given orders) the set
+    takes those of them that lie in the range, in as many tasks as they are read in.
     """
-    n = max(int(ORDERS_PER_REFRESH * sf), 1)
+    n = max(_size(sf, sizes, "orders") // UPDATES_PER_SEQUENCE, 1)
     lo = (update - 1) * n + 1
-    keys = spark.range(lo, lo + n, numPartitions=partitions or 1)
-    rows = _order_rows(keys, sf, upd=update)
-    deletes = keys.select(K.sparse_key(F.col("id"), update // UPDATES_PER_SEQUENCE).alias("o_orderkey"))
-    return _orders_from_rows(rows, sf), _lines_from_rows(rows, sf), deletes
+    if key_source is not None:
+        c = F.col(key_source.columns[0])
+        keys = _spread(key_source.filter(c.between(lo, lo + n - 1)), partitions)
+    else:
+        keys = spark.range(lo, lo + n, numPartitions=partitions or spark.sparkContext.defaultParallelism)
+    rows = _order_rows(keys, sf, upd=update, sizes=sizes)
+    deletes = keys.select(K.sparse_key(F.col(keys.columns[0]), update // UPDATES_PER_SEQUENCE).alias("o_orderkey"))
+    return _orders_from_rows(rows, sf, sizes), _lines_from_rows(rows, sf, sizes), deletes
 
 
 def generate(spark: SparkSession, table: str, sf: float, partitions: int | None = None) -> DataFrame:

@@ -8,117 +8,64 @@ logical join, and all return the same rows:
 * ``sort_merge``   hash-partition both sides on the key, sort, merge (the recorded plan);
 * ``shuffle_hash`` hash-partition both sides, build a hash table per partition
                    from the smaller side (no sort);
-* ``broadcast``    ship the smaller side to every task, no shuffle of the big side --
-                   only after a bounded count has proven the side small; otherwise
-                   falls back to ``sort_merge``;
-* ``bucketed``     both sides written once, bucketed and sorted by the key into the
-                   warehouse; every later join reads co-partitioned buckets and
-                   plans a sort-merge join with no Exchange at all.
+* ``broadcast``    ship a side to every task, no shuffle of the other -- where its
+                   measured bytes are below the session's broadcast thresholds,
+                   which Catalyst and AQE check; beyond them a sort-merge join;
+* ``bucketed``     both sides written once by an explicit call, bucketed and sorted
+                   by the key under names the caller chooses; every later join
+                   reads co-partitioned buckets and plans no Exchange at all.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import re
 from contextlib import redirect_stdout
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 STRATEGIES = ("auto", "sort_merge", "shuffle_hash", "broadcast", "bucketed")
 
-# A side is broadcast only when it has at most this many rows (checked, not assumed).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows.
-
-    A plain ``count()``: every scan task emits one partial count (no columns
-    are read for an unfiltered Parquet scan), so the check costs one row per
-    task in the shuffle. (``limit(n + 1).count()`` would instead funnel up to
-    n + 1 rows per task into a single partition.)
-    """
-    return df.count() <= limit
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """``broadcast(df)`` if its row count is proven <= ``max_rows``, else ``df`` unchanged."""
-    if row_count_at_most(df, max_rows):
-        return F.broadcast(df), True
-    return df, False
-
 
 def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-              strategy: str = "auto", how: str = "inner",
-              broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+              strategy: str = "auto", how: str = "inner") -> DataFrame:
     """``left JOIN right ON left_key = right_key`` under a chosen physical strategy.
 
-    ``auto`` leaves the choice to Catalyst + AQE (broadcast only below the
-    measured-size threshold). ``broadcast`` broadcasts ``left`` (the smaller,
-    parent side in orders x lineitem) when its size check passes.
+    ``auto`` and ``broadcast`` carry no hint: a side is broadcast only when its
+    size in bytes, estimated or measured at run time, is below
+    ``spark.sql.autoBroadcastJoinThreshold`` /
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; pick one of {STRATEGIES}")
+    if strategy == "bucketed":
+        raise ValueError("bucketed joins need tables: use write_bucketed() and bucketed_join()")
     cond = left[left_key] == right[right_key]
-    if strategy == "auto":
-        return left.join(right, cond, how)
-    if strategy == "sort_merge":
-        return left.hint("merge").join(right, cond, how)
-    if strategy == "shuffle_hash":
-        return left.hint("shuffle_hash").join(right, cond, how)
-    if strategy == "broadcast":
-        small, ok = bounded_broadcast(left, broadcast_max_rows)
-        if not ok:  # too large to ship to every task: shuffle instead
-            return left.hint("merge").join(right, cond, how)
-        return small.join(right, cond, how)
-    raise ValueError("bucketed joins need tables: use bucketed_join()")
-
-
-def _table_name(prefix: str, source: DataFrame) -> str:
-    """Name from the input files and the plan text without expression ids, so the
-    same inputs map to the same table in every session."""
-    plan = re.sub(r"#\d+L?|plan_id=\d+|\[id=#?\d+\]", "", physical_plan(source, "simple"))
-    parts = sorted(source.inputFiles()) + [plan]
-    tag = hashlib.sha1("\n".join(parts).encode()).hexdigest()[:12]
-    return re.sub(r"[^A-Za-z0-9_]", "_", f"{prefix}_{tag}")
-
-
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int,
-                   database: str = "default") -> str:
-    """Persist ``df`` bucketed and sorted by ``key`` into the session warehouse.
+    hint = {"sort_merge": "merge", "shuffle_hash": "shuffle_hash"}.get(strategy)
+    return (left.hint(hint) if hint else left).join(right, cond, how)
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, location: str | None = None) -> str:
+    """Write ``df`` as table ``name``, bucketed and sorted by ``key``.
 
     Pay one shuffle here; every later join on ``key`` against a table with the
-    same bucket count reads matching buckets and skips the Exchange.
-    """
-    full = f"{database}.{name}"
-    location = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/{name}"
-    (df.repartition(buckets, key)
-       .write.mode("overwrite").format("parquet")
-       .bucketBy(buckets, key).sortBy(key)
-       .option("path", location)      # a new session overwrites the same folder
-       .saveAsTable(full))
-    return full
-
-
-def bucketed_join(spark: SparkSession, left: DataFrame, right: DataFrame, left_key: str,
-                  right_key: str, buckets: int | None = None, how: str = "inner",
-                  reuse: bool = True) -> DataFrame:
-    """Co-located sort-merge join over bucketed copies of both sides (no Exchange).
-
-    Tables are named after the input files and the plan's semantic hash, so a
-    second call on the same inputs reuses them (``reuse=True``) instead of
-    writing again.
+    same bucket count reads matching buckets and skips the Exchange. The caller
+    names the table and decides when to write it again: nothing is reused by
+    guess. ``location`` defaults to a folder of that name below the shared
+    checkpoint folder, which on a cluster must be set.
     """
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = []
-    for side, key, prefix in ((left, left_key, "bk_l"), (right, right_key, "bk_r")):
-        name = _table_name(f"{prefix}_{key}_{buckets}", side)
-        if not (reuse and spark.catalog.tableExists(name)):
-            write_bucketed(side, name, key, buckets)
-        names.append(name)
-    lt, rt = spark.table(names[0]), spark.table(names[1])
+    from shoal.session import checkpoint_dir
+    location = location or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/bucketed/{name}"
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS `{name}`")
+    (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+       .bucketBy(buckets, key).sortBy(key).option("path", location).saveAsTable(name))
+    return name
+
+
+def bucketed_join(spark: SparkSession, left_table: str, right_table: str, left_key: str, right_key: str,
+                  how: str = "inner") -> DataFrame:
+    """Co-located sort-merge join of two tables that ``write_bucketed`` wrote (no Exchange)."""
+    lt, rt = spark.table(left_table), spark.table(right_table)
     return lt.join(rt, lt[left_key] == rt[right_key], how)
 
 

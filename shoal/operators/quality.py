@@ -24,13 +24,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoal.generate import vocab
 from shoal.sources.schemas import FOREIGN_KEYS, MAX_LENGTH, NULLABLE, PRIMARY_KEYS
 
 # Generator domains per column (inclusive bounds).
 DOMAINS: dict[str, dict[str, tuple]] = {
     "lineitem": {"l_quantity": (1, 50), "l_discount": (0.0, 0.10), "l_tax": (0.0, 0.08),
                  "l_linenumber": (1, 7), "l_shipdate": (dt.date(1992, 1, 2), dt.date(1998, 12, 1)),
-                 "l_extendedprice": (900.0, 104950.0)},
+                 "l_extendedprice": (900.0, 104950.0),
+                 "l_commitdate": (dt.date(1992, 1, 31), dt.date(1998, 10, 31)),
+                 "l_receiptdate": (dt.date(1992, 1, 3), dt.date(1998, 12, 31))},
     "orders": {"o_orderdate": (dt.date(1992, 1, 1), dt.date(1998, 8, 2)),
                "o_shippriority": (0, 0)},
     "part": {"p_size": (1, 50), "p_retailprice": (900.0, 2099.0)},
@@ -39,6 +42,20 @@ DOMAINS: dict[str, dict[str, tuple]] = {
     "customer": {"c_acctbal": (-999.99, 9999.99)},
 }
 
+VALUE_LISTS: dict[str, dict[str, list[str]]] = {
+    "lineitem": {"l_shipmode": vocab.SHIP_MODES, "l_shipinstruct": vocab.INSTRUCTIONS, "l_returnflag": ["R", "A", "N"], "l_linestatus": ["O", "F"]},
+    "orders": {"o_orderpriority": vocab.PRIORITIES, "o_orderstatus": ["O", "F", "P"]},
+    "customer": {"c_mktsegment": vocab.SEGMENTS},
+    "part": {"p_type": vocab.PART_TYPES, "p_container": vocab.CONTAINERS},
+    "region": {"r_name": vocab.REGIONS},
+}
+#: columns that hold a parent's key, by parent
+LINKS: dict[str, dict[str, str]] = {
+    "lineitem": {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"},
+    "orders": {"o_custkey": "customer"}, "partsupp": {"ps_partkey": "part", "ps_suppkey": "supplier"},
+    "customer": {"c_nationkey": "nation"}, "supplier": {"s_nationkey": "nation"}, "nation": {"n_regionkey": "region"},
+}
+
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -169,18 +186,40 @@ def order_header_check(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 
 def row_hash(cols: list[str]) -> Column:
-    return F.xxhash64(*[F.col(c) for c in cols])
+    """The first 32 bits of the md5 of the row's values as text, joined by bars."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def table_checksum(tables: dict[str, DataFrame]) -> DataFrame:
-    """(tbl, row_count, checksum): order-free sum of row hashes, exact in DECIMAL."""
-    frames = [df.agg(F.count(F.lit(1)).alias("row_count"),
-                     F.sum(row_hash(df.columns).cast("decimal(38,0)")).cast("string").alias("checksum"))
+    """(tbl, row_count, checksum): order-free sum of row hashes (D19): the same for the same rows
+    in any order, split or engine."""
+    frames = [df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(row_hash(df.columns)), F.lit(0)).alias("checksum"))
               .select(F.lit(name).alias("tbl"), "row_count", "checksum")
               for name, df in tables.items()]
     return _union(frames)
 
 
+def out_of_list(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, column_name, out_of_list): values that the column's fixed list does not hold (J5). One pass per table."""
+    frames = []
+    for name, lists in VALUE_LISTS.items():
+        if name in tables:
+            row = tables[name].agg(*(F.count_if(~F.col(c).isin(values)).alias(c) for c, values in lists.items()))
+            frames.append(row.unpivot([], list(lists), "column_name", "out_of_list").select(F.lit(name).alias("tbl"), "column_name", "out_of_list"))
+    return _union(frames)
+
+
+def key_ranges(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, column_name, out_of_range): links outside 0 .. rows of the parent - 1 (J5). One pass per table."""
+    sizes = {t: tables[t].select(F.count(F.lit(1))).scalar() for t in {p for cols in LINKS.values() for p in cols.values()}}
+    frames = []
+    for name, cols in LINKS.items():
+        row = tables[name].agg(*(F.count_if((F.col(c) < 0) | (F.col(c) >= sizes[p])).alias(c) for c, p in cols.items()))
+        frames.append(row.unpivot([], list(cols), "column_name", "out_of_range").select(F.lit(name).alias("tbl"), "column_name", "out_of_range"))
+    return _union(frames)
+
+
 def all_equal(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
     """(group..., distinct_values, all_equal) -- the "same value in every run" check."""
     return (df.groupBy(*group_cols).agg(F.countDistinct(value_col).alias("distinct_values"))

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.functions.keys import sparse_key
 from shoal.session import cut_lineage
-from shoal.sources.fixtures import INSERT_KEY_SHIFT, REFRESH_MODULUS
+from shoal.sources.fixtures import REFRESH_MODULUS
 
 
 def delete_keys(orders: DataFrame, modulus: int = REFRESH_MODULUS, residue: int = 0) -> DataFrame:
@@ -20,18 +21,22 @@ def delete_keys(orders: DataFrame, modulus: int = REFRESH_MODULUS, residue: int
     return orders.filter(F.col("o_orderkey") % modulus == residue).select("o_orderkey")
 
 
-def insert_orders(orders: DataFrame, modulus: int = REFRESH_MODULUS, residue: int = 1,
-                  shift: int = INSERT_KEY_SHIFT) -> DataFrame:
-    """New orders: copies of one order in ``modulus`` under a shifted key."""
+def sparse_form(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with its dense order key as a sparse key: base rows carry sequence bits 0,
+    so a key with other bits is never one of theirs, whatever their number."""
+    return df.withColumn(key, sparse_key(F.col(key)))
+
+
+def insert_orders(orders: DataFrame, modulus: int = REFRESH_MODULUS, residue: int = 1, seq: int = 1) -> DataFrame:
+    """New orders for a base in ``sparse_form``: copies of one dense order in ``modulus`` with sequence bits ``seq``."""
     return (orders.filter(F.col("o_orderkey") % modulus == residue)
-            .withColumn("o_orderkey", F.col("o_orderkey") + shift))
+            .withColumn("o_orderkey", sparse_key(F.col("o_orderkey"), seq)))
 
 
-def insert_lineitem(lineitem: DataFrame, modulus: int = REFRESH_MODULUS, residue: int = 1,
-                    shift: int = INSERT_KEY_SHIFT) -> DataFrame:
-    """Lines of the new orders, re-keyed like ``insert_orders``."""
+def insert_lineitem(lineitem: DataFrame, modulus: int = REFRESH_MODULUS, residue: int = 1, seq: int = 1) -> DataFrame:
+    """Lines of the new orders, keyed like ``insert_orders``."""
     return (lineitem.filter(F.col("l_orderkey") % modulus == residue)
-            .withColumn("l_orderkey", F.col("l_orderkey") + shift))
+            .withColumn("l_orderkey", sparse_key(F.col("l_orderkey"), seq)))
 
 
 def apply_inserts(base: DataFrame, inserts: DataFrame) -> DataFrame:

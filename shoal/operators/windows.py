@@ -136,35 +136,47 @@ def block_row_number(df: DataFrame, group: list[str], key: str, block: int, name
             .drop("_blk", "_r", "_off"))
 
 
+def global_running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Inclusive running sum of ``value`` over a total order, without a single-task window.
+
+    Range-partitioned sort, running sums inside each partition, and the totals of
+    the partitions before it (one row per partition) as offsets.
+    """
+    cut = cut_lineage(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    return (cut.withColumn("_in", F.sum(value).over(inside)).join(F.broadcast(offsets), "_pid")
+            .withColumn(name, F.col("_in") + F.col("_off")).drop("_pid", "_in", "_off"))
+
+
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
-                    tiebreak: list[str], names: list[str] | None = None) -> DataFrame:
+                    names: list[str] | None = None) -> DataFrame:
     """Exact continuous quantiles per group without holding a group in one task.
 
-    Same definition as ``percentile`` (linear interpolation between the values
-    at 0-based positions floor/ceil of ``(n - 1) * p``), computed by numbering
-    the rows of each group in value order (``group_row_number``: a distributed
-    sort), then keeping only the two rows each quantile needs. ``tiebreak``
-    makes the order total.
+    Same definition as ``percentile`` (linear interpolation between the values at
+    0-based positions floor/ceil of ``(n - 1) * p``). Equal values are counted
+    first (map-side combined), so a row moves only as part of a count; running
+    counts over (group, value) then tell which values hold the wanted positions.
+    NULLs are left out.
     """
     names = names or [f"p{int(round(p * 100))}" for p in probs]
-    ranked = group_row_number(df.select(*group, value, *tiebreak), group, [value, *tiebreak])
-    sizes = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    r = ranked.join(sizes, group)
-    pos = {p: (F.col("_n") - 1) * F.lit(p) for p in probs}
-    lo = {p: F.floor(pos[p]) + 1 for p in probs}
-    hi = {p: F.ceil(pos[p]) + 1 for p in probs}
-    wanted = None
-    for p in probs:
-        hit = (F.col("rn") == lo[p]) | (F.col("rn") == hi[p])
-        wanted = hit if wanted is None else wanted | hit
-    picked = r.filter(wanted)   # at most two rows per quantile and group
-    aggs = [F.first("_n").alias("n")]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    running = global_running_sum(counts, [*group, value], "_c", "_cum")
+    ends = running.groupBy(*group).agg(F.max("_cum").alias("_end"), F.sum("_c").alias("n"))
+    r = running.join(ends, group)
+    last = F.col("_cum") - F.col("_end") + F.col("n") - 1            # 0-based position of the value's last row
+    first = last - F.col("_c") + 1
+    aggs = [F.first("n").alias("n")]
+    wanted = F.lit(False)
     for p, name in zip(probs, names):
-        v_lo = F.max(F.when(F.col("rn") == lo[p], F.col(value)))
-        v_hi = F.max(F.when(F.col("rn") == hi[p], F.col(value)))
-        frac = F.first(pos[p] - F.floor(pos[p]))
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
-    return picked.groupBy(*group).agg(*aggs)
+        pos = (F.col("n") - 1) * F.lit(p)
+        at = [F.floor(pos).between(first, last), F.ceil(pos).between(first, last)]
+        wanted = wanted | at[0] | at[1]
+        lo, hi = (F.max(F.when(x, F.col(value))) for x in at)
+        aggs.append((lo + (hi - lo) * F.first(pos - F.floor(pos))).alias(name))
+    return r.filter(wanted).groupBy(*group).agg(*aggs)
 
 
 def _total(df: DataFrame) -> Column:

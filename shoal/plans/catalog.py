@@ -120,7 +120,7 @@ Q8_ARGS = dict(nation="NATION_2", region="AMERICA", part_type="ECONOMY")
 Q8_ORACLE = with_fixtures("""
     SELECT o_year,
            CAST(sum(CASE WHEN nation = 'NATION_2' THEN volume ELSE 0 END) AS DOUBLE)
-             / CAST(sum(volume) AS DOUBLE) AS mkt_share
+             / nullif(CAST(sum(volume) AS DOUBLE), 0) AS mkt_share
     FROM (SELECT CAST(extract(year FROM o_orderdate) AS INTEGER) AS o_year,
                  l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation
           FROM part_full, supplier_full, lineitem_full, orders_full, customer_full,
@@ -178,10 +178,16 @@ def q_customer_dist(spark, sf_dir):
     return tpch.customer_distribution(T(spark, sf_dir), "special", "requests")
 
 
+@register("customer_distribution_join_first", Q13_ORACLE)
+def q_customer_dist_join(spark, sf_dir):
+    """Q13a as written (C5): the outer join with the LIKE in its ON clause, then both counts."""
+    return tpch.customer_distribution_join_first(T(spark, sf_dir), "special", "requests")
+
+
 Q14_ORACLE = with_fixtures("""
     SELECT 100.0 * CAST(sum(CASE WHEN substring(p_type, 1, 5) = 'PROMO'
                                  THEN l_extendedprice * (1 - l_discount) ELSE 0 END) AS DOUBLE)
-           / CAST(sum(l_extendedprice * (1 - l_discount)) AS DOUBLE) AS promo_revenue
+           / nullif(CAST(sum(l_extendedprice * (1 - l_discount)) AS DOUBLE), 0) AS promo_revenue
     FROM lineitem_full, part_full
     WHERE l_partkey = p_partkey AND l_shipdate >= DATE '1997-09-01'
       AND l_shipdate < DATE '1997-09-01' + INTERVAL 1 MONTH""", "lineitem_full", "part_full")
@@ -211,6 +217,19 @@ def q_top_supplier(spark, sf_dir):
     return tpch.top_supplier(T(spark, sf_dir), "1996-01-01")
 
 
+# --------------------------------------------------------------------------- bound SQL text (M3, H2)
+def _bound_sql(name: str, args: dict):
+    def run(spark, sf_dir):
+        fixtures.register(spark, sf_dir)
+        return tpch.run_sql(spark, name, **args)
+    run.__doc__ = f"M3: the SQL text of {name} with bound parameters over registered views."
+    return run
+
+
+register("market_share_sql", Q8_ORACLE)(_bound_sql("q8a", dict(nation="NATION_2", region="AMERICA", ptype="ECONOMY")))
+register("promo_effect_sql", Q14_ORACLE)(_bound_sql("q14a", dict(start="1997-09-01")))
+
+
 # --------------------------------------------------------------------------- join strategies
 def _join_with(strategy: str):
     def run(spark, sf_dir):
@@ -226,14 +245,18 @@ for _s in ("sort_merge", "shuffle_hash", "broadcast"):
 
 @register("join_bucketed", JOIN_SQL)
 def q_join_bucketed(spark, sf_dir):
-    """C3(b): both sides bucketed by the order key; the join plans no Exchange."""
-    from shoal.operators.joins import bucketed_join
-    return bucketed_join(spark, load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem"),
-                         "o_orderkey", "l_orderkey").select("*")
+    """C3(b): both sides written bucketed by the order key (new tables on every call); the join plans no Exchange."""
+    import uuid
+
+    from shoal.operators.joins import bucketed_join, write_bucketed
+    tag, n = uuid.uuid4().hex[:12], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [write_bucketed(load(spark, sf_dir, t), f"bk_{t}_{tag}", k, n)
+             for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))]
+    return bucketed_join(spark, *names, "o_orderkey", "l_orderkey").select("*")
 
 
 # --------------------------------------------------------------------------- quality
-from shoal.operators import quality  # noqa: E402
+from shoal.operators import quality, windows  # noqa: E402
 from shoal.sources.schemas import (FOREIGN_KEYS, MAX_LENGTH, NULLABLE,  # noqa: E402
                                    PRIMARY_KEYS, SCHEMAS)
 
@@ -369,15 +392,52 @@ def q_header_check(spark, sf_dir):
     return quality.order_header_check(fixtures.orders(spark, sf_dir), fixtures.lineitem(spark, sf_dir))
 
 
-@register("table_checksum")
+def _checksum_sql(t: str, source: str, cols) -> str:
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols)
+    return (f"SELECT {_q(t)} AS tbl, count(*) AS row_count, "
+            f"CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 8) AS BIGINT)), 0) AS BIGINT) AS checksum FROM {source}")
+
+
+_CHECKSUMS = "\nUNION ALL\n".join(_checksum_sql(t, f"{t}_full", SCHEMAS[t].names) for t in SCHEMAS)
+
+
+@register("table_checksum", with_fixtures(_CHECKSUMS, *ALL_FULL))
 def q_checksum(spark, sf_dir):
-    """Row count and order-free hash sum per table (engine-specific hash: rows-only check)."""
+    """Row count and order-free hash sum per table."""
     return quality.table_checksum(T(spark, sf_dir).materialize())
 
 
+@register("same_rows_any_degree", with_fixtures(
+    f"SELECT tbl, CAST(1 AS BIGINT) AS distinct_values, true AS all_equal FROM ({_CHECKSUMS}) c", *ALL_FULL))
+def q_any_degree(spark, sf_dir):
+    """The tables' checksums at three degrees of parallelism are one value each."""
+    t = T(spark, sf_dir).materialize()
+    runs_ = [quality.table_checksum({n: df.repartition(d) for n, df in t.items()}) for d in (2, 5, 11)]
+    return quality.all_equal(windows.union_all(runs_).select("tbl", "checksum"), ["tbl"], "checksum")
+
+
+@register("value_lists", with_fixtures("\nUNION ALL\n".join(
+    f"SELECT {_q(t)} AS tbl, {_q(c)} AS column_name, CAST(count(*) FILTER (WHERE {c} NOT IN ({', '.join(map(_q, vs))})) AS BIGINT) AS out_of_list "
+    f"FROM {t}_full" for t, cols in quality.VALUE_LISTS.items() for c, vs in cols.items()), *ALL_FULL))
+def q_value_lists(spark, sf_dir):
+    """Values outside the fixed lists, per column."""
+    return quality.out_of_list(T(spark, sf_dir).materialize())
+
+
+@register("key_ranges", with_fixtures("\nUNION ALL\n".join(
+    f"SELECT {_q(t)} AS tbl, {_q(c)} AS column_name, "
+    f"CAST(count(*) FILTER (WHERE {c} < 0 OR {c} >= (SELECT count(*) FROM {p}_full)) AS BIGINT) AS out_of_range FROM {t}_full"
+    for t, cols in quality.LINKS.items() for c, p in cols.items()), *ALL_FULL))
+def q_key_ranges(spark, sf_dir):
+    """Links outside the parent's key range, per column."""
+    return quality.key_ranges(T(spark, sf_dir).materialize())
+
+
 # --------------------------------------------------------------------------- refresh
 from shoal.operators import refresh  # noqa: E402
-from shoal.sources.fixtures import INSERT_KEY_SHIFT, REFRESH_MODULUS  # noqa: E402
+from shoal.sources.fixtures import REFRESH_MODULUS  # noqa: E402
+
+_SPARSE = "((({k} >> 3 << 2) + {seq}) << 3) + ({k} & 7)"
 
 ORDERS_COLS = [f.name for f in SCHEMAS["orders"].fields]
 LINE_COLS = [f.name for f in SCHEMAS["lineitem"].fields]
@@ -388,25 +448,25 @@ LINE_DATES = ("l_shipdate", "l_commitdate", "l_receiptdate")
 
 
 @register("refresh_insert", dates_as_text(with_fixtures(f"""
-    SELECT * FROM orders_full
+    SELECT {_SPARSE.format(k='o_orderkey', seq=0)} AS o_orderkey, {', '.join(ORDERS_COLS[1:])} FROM orders_full
     UNION ALL
-    SELECT o_orderkey + {INSERT_KEY_SHIFT} AS o_orderkey, {', '.join(ORDERS_COLS[1:])}
+    SELECT {_SPARSE.format(k='o_orderkey', seq=1)} AS o_orderkey, {', '.join(ORDERS_COLS[1:])}
     FROM orders_full WHERE o_orderkey % {REFRESH_MODULUS} = 1""", "orders_full"), *ORDER_DATES))
 def q_refresh_insert(spark, sf_dir):
-    """Orders after the insert set (union by name)."""
+    """Orders in sparse-key form after the insert set, whose keys carry sequence bits."""
     o = fixtures.orders(spark, sf_dir)
-    return refresh.apply_inserts(o, refresh.insert_orders(o))
+    return refresh.apply_inserts(refresh.sparse_form(o, "o_orderkey"), refresh.insert_orders(o))
 
 
 @register("refresh_insert_lineitem", dates_as_text(with_fixtures(f"""
-    SELECT * FROM lineitem_full
+    SELECT {_SPARSE.format(k='l_orderkey', seq=0)} AS l_orderkey, {', '.join(LINE_COLS[1:])} FROM lineitem_full
     UNION ALL
-    SELECT l_orderkey + {INSERT_KEY_SHIFT} AS l_orderkey, {', '.join(LINE_COLS[1:])}
+    SELECT {_SPARSE.format(k='l_orderkey', seq=1)} AS l_orderkey, {', '.join(LINE_COLS[1:])}
     FROM lineitem_full WHERE l_orderkey % {REFRESH_MODULUS} = 1""", "lineitem_full"), *LINE_DATES))
 def q_refresh_insert_li(spark, sf_dir):
-    """Lineitem after the insert set."""
+    """Lineitem in sparse-key form after the insert set."""
     li = fixtures.lineitem(spark, sf_dir)
-    return refresh.apply_inserts(li, refresh.insert_lineitem(li))
+    return refresh.apply_inserts(refresh.sparse_form(li, "l_orderkey"), refresh.insert_lineitem(li))
 
 
 @register("refresh_delete_orders", dates_as_text(with_fixtures(f"""
@@ -642,7 +702,7 @@ def q_weighted_pick(spark, sf_dir):
     dist = windows.cumulative_weights(windows.value_distribution(t["orders"], "o_orderpriority", "o_oprio"))
     total = dist.select(F.sum("weight")).scalar()
     cust = t["customer"].select("c_custkey", (F.col("c_custkey") % total + 1).alias("draw"))
-    return weighted_pick(cust, "draw", dist)
+    return weighted_pick(cust, "draw", dist, total)
 
 
 # --------------------------------------------------------------------------- date dimension
@@ -678,11 +738,12 @@ LATENCY_CTES = f"""
                CASE WHEN event_type = 'error'
                     THEN {_TS} || ' ERROR TaskSetManager: Lost task 0.0 in stage 1.0'
                     ELSE {_TS} || ' INFO TpchQuery: End executing query. Time: '
-                         || CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END AS value
+                         || CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) || '.' || CAST(event_id % 4 * 25 AS VARCHAR)
+                         || CASE WHEN event_id % 97 = 0 THEN 'x' ELSE '' END END AS value
         FROM events),
     lat_parsed AS (
-        SELECT run, mode, name, line_no, CAST(regexp_extract(value, '{_RX}', 4) AS DOUBLE) AS elapsed_ms
-        FROM lat_lines WHERE regexp_matches(value, '{_RX}')),
+        SELECT run, mode, name, line_no, TRY_CAST(regexp_extract(value, '{_RX}', 4) AS DOUBLE) AS elapsed_ms
+        FROM lat_lines WHERE regexp_matches(value, '{_RX}') AND TRY_CAST(regexp_extract(value, '{_RX}', 4) AS DOUBLE) IS NOT NULL),
     files AS (
         SELECT run, mode, name, arg_max(elapsed_ms, line_no) AS latency_ms
         FROM lat_parsed GROUP BY run, mode, name)"""
@@ -725,14 +786,11 @@ def _transfer_parsed(spark, sf_dir) -> DataFrame:
 
 @register("latency_by_run", f"""
     WITH {LATENCY_CTES},
-    conc AS (SELECT run, CAST(pow(2, dense_rank() OVER (ORDER BY run) - 1) AS BIGINT) AS concurrency
-             FROM (SELECT DISTINCT run FROM files) r),
-    agg AS (SELECT run, mode, count(*) AS files, CAST(sum(CAST(latency_ms AS BIGINT)) AS DOUBLE) AS s1,
-                   CAST(sum(CAST(latency_ms AS BIGINT) * CAST(latency_ms AS BIGINT)) AS DOUBLE) AS s2
-            FROM files GROUP BY run, mode)
-    SELECT run, mode, files, s1 / files / 1000 AS mean_s,
-           sqrt(greatest(s2 / files - (s1 / files) * (s1 / files), 0.0)) / 1000 AS std_s, concurrency
-    FROM agg JOIN conc USING (run)""")
+    conc AS (SELECT run, CAST(pow(2, dense_rank() OVER (ORDER BY run) - 1) AS DOUBLE) AS concurrency
+             FROM (SELECT DISTINCT run FROM files) r)
+    SELECT run, mode, count(*) AS files, round(avg(latency_ms / 1000), 6) AS mean_s,
+           round(stddev_pop(latency_ms / 1000), 6) AS std_s, any_value(concurrency) AS concurrency
+    FROM files JOIN conc USING (run) GROUP BY run, mode""")
 def q_latency_by_run(spark, sf_dir):
     """Latency mean and deviation per run and mode, with concurrency."""
     return runs.latency_by_run(_latency_files(spark, sf_dir))
@@ -809,16 +867,21 @@ def q_first_process(spark, sf_dir):
 
 
 @register("stage_metrics", """
-    SELECT CAST(user_id % 8 AS BIGINT) AS stage_id, count(*) AS tasks,
+    SELECT 'app-' || CAST(user_id % 3 % 2 AS VARCHAR) AS application, CAST(user_id % 8 AS BIGINT) AS stage_id,
+           CAST(event_id % 2 AS BIGINT) AS attempt, count(*) AS tasks,
            CAST(sum(floor(value * 1000)) AS BIGINT) AS run_time_ms,
+           CAST(sum(floor(value * 900000)) AS BIGINT) AS cpu_time_ns,
+           CAST(sum(floor(value * 3000)) AS BIGINT) AS remote_bytes_read,
+           CAST(sum(floor(value * 4000)) AS BIGINT) AS local_bytes_read,
+           CAST(sum(user_id) AS BIGINT) AS disk_spilled_bytes,
            CAST(sum(floor(value * 100)) AS BIGINT) AS gc_time_ms,
            CAST(sum(floor(value * 1000000)) AS BIGINT) AS shuffle_bytes_written,
            CAST(sum(floor(value * 2000000)) AS BIGINT) AS input_bytes,
            CAST(sum(user_id) AS BIGINT) AS input_records,
            CAST(0 AS BIGINT) AS spilled_bytes
-    FROM events WHERE event_type <> 'view' GROUP BY user_id % 8""")
+    FROM events WHERE event_type <> 'view' GROUP BY user_id % 3 % 2, user_id % 8, event_id % 2""")
 def q_stage_metrics(spark, sf_dir):
-    """Event-log JSON (derived from events) parsed and summed per stage."""
+    """Event-log JSON (derived from events) parsed and summed per application, stage and attempt."""
     lines = runlogs.event_json_from_events(load(spark, sf_dir, "events"))
     return runs.stage_metrics(runlogs.parse_event_json(lines))
 
@@ -827,20 +890,23 @@ def q_stage_metrics(spark, sf_dir):
 from shoal.generate import tables as G  # noqa: E402
 
 
-def _data_sf(spark, sf_dir) -> float:
-    """Scale factor of the given data set: orders / 1,500,000 (one metadata count)."""
-    return max(load(spark, sf_dir, "orders").count() / G.BASE["orders"], 0.001)
+def _sizes(spark, sf_dir) -> dict[str, int]:
+    """Rows of the given tables (metadata counts): what generated links point at."""
+    return {t: load(spark, sf_dir, t).count() for t in ("supplier", "customer", "part", "orders")}
 
 
 def _gen(name: str, source: str, key: str):
     def run(spark, sf_dir):
-        sf = _data_sf(spark, sf_dir)
+        sizes = _sizes(spark, sf_dir)
+        sf = sizes["orders"] / G.BASE["orders"]
         keys = load(spark, sf_dir, source).select((F.col(key) + 1).alias("k"))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         if name in ("orders", "lineitem"):
-            o, li = G.orders_and_lineitem(spark, sf, key_source=keys)
+            o, li = G.orders_and_lineitem(spark, sf, n, key_source=keys, sizes=sizes)
             return o if name == "orders" else li
-        return {"supplier": G.supplier, "customer": G.customer, "part": G.part,
-                "partsupp": G.partsupp}[name](spark, sf, key_source=keys)
+        if name == "partsupp":
+            return G.partsupp(spark, sf, n, key_source=keys, sizes=sizes)
+        return {"supplier": G.supplier, "customer": G.customer, "part": G.part}[name](spark, sf, n, key_source=keys)
     run.__doc__ = f"I-jobs: {name} rows regenerated for every key of the given {source} table (rows-only)."
     return run
 
@@ -853,8 +919,10 @@ for _name, _src, _key in (("supplier", "supplier", "s_suppkey"), ("customer", "c
 
 @register("gen_refresh")
 def q_gen_refresh(spark, sf_dir):
-    """Refresh set 1 at the data's scale factor, inserts and delete keys tagged."""
-    o, li, dels = G.refresh_set(spark, _data_sf(spark, sf_dir), 1)
+    """Refresh set 1 over the given orders, inserts and delete keys tagged."""
+    sizes = _sizes(spark, sf_dir)
+    keys = load(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("k"))
+    o, li, dels = G.refresh_set(spark, sizes["orders"] / G.BASE["orders"], 1, key_source=keys, sizes=sizes)
     return (o.select(F.lit("insert_orders").alias("part"), F.col("o_orderkey").alias("key"))
             .unionByName(li.select(F.lit("insert_lineitem").alias("part"), F.col("l_orderkey").alias("key")))
             .unionByName(dels.select(F.lit("delete").alias("part"), F.col("o_orderkey").alias("key"))))
@@ -897,21 +965,88 @@ def q_tbl_roundtrip(spark, sf_dir):
     return read_tbl(spark, path, "orders")
 
 
+TEXT_DATES = ("o_orderdate", "l_shipdate", "l_commitdate", "l_receiptdate")
+
+
+def _text_folder(spark, name: str) -> str:
+    import os
+    import uuid
+
+    from shoal.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), "tbl", f"{name}-{uuid.uuid4().hex[:8]}.tbl")
+
+
+def _through_text(spark, sf_dir, name: str) -> DataFrame:
+    from shoal.sources.tables import read_tbl, write_tbl
+    path = _text_folder(spark, name)
+    write_tbl(fixtures.table(spark, sf_dir, name), path)
+    return read_tbl(spark, path, name)
+
+
+@register("join_from_text", dates_as_text(with_fixtures(
+    "SELECT * FROM orders_full, lineitem_full WHERE l_orderkey = o_orderkey", "orders_full", "lineitem_full"), *TEXT_DATES))
+def q_join_from_text(spark, sf_dir):
+    """The measured join with both tables read from pipe-delimited text, all 25 columns."""
+    return tpch.join_orders_lineitem(_through_text(spark, sf_dir, "orders"), _through_text(spark, sf_dir, "lineitem"))
+
+
+@register("text_checksums", with_fixtures(_CHECKSUMS, *ALL_FULL))
+def q_text_checksums(spark, sf_dir):
+    """A1-A5: all eight tables through pipe-delimited text have the checksums of the tables themselves."""
+    return quality.table_checksum({t: _through_text(spark, sf_dir, t) for t in SCHEMAS})
+
+
+@register("dist_file_roundtrip", with_fixtures(f"SELECT * FROM ({_DIST_SQL}) d", "orders_full", "lineitem_full", "customer_full", "part_full"))
+def q_dist_file(spark, sf_dir):
+    """Weighted value lists of the data written as distribution files and read back."""
+    from shoal.sources.tables import read_distributions, write_distributions
+    path = _text_folder(spark, "dists")
+    write_distributions(_distributions(spark, sf_dir), path)
+    return read_distributions(spark, path + "/*")
+
+
+REFRESH_SEGMENTS = 3
+_SEGS = f"CAST(ntile({REFRESH_SEGMENTS}) OVER (ORDER BY {{}}) AS INTEGER)"
+
+
+@register("refresh_files", with_fixtures(f"""
+    , ins AS (SELECT {_SPARSE.format(k='o_orderkey', seq=1)} AS key, o_orderkey AS k, {_SEGS.format('o_orderkey')} AS segment
+              FROM orders_full WHERE o_orderkey % {REFRESH_MODULUS} = 1),
+    del AS (SELECT {_SPARSE.format(k='o_orderkey', seq=0)} AS key, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n
+            FROM orders_full WHERE o_orderkey % {REFRESH_MODULUS} = 0)
+    SELECT 'orders' AS part, key, 7 AS refresh_set, segment FROM ins
+    UNION ALL SELECT 'lineitem', ins.key, 7, segment FROM lineitem_full JOIN ins ON l_orderkey = k
+    UNION ALL SELECT 'delete', key, 7, CAST((rn - 1) // (n // {REFRESH_SEGMENTS} + 1) + 1 AS INTEGER) FROM del""", "orders_full", "lineitem_full"))
+def q_refresh_files(spark, sf_dir):
+    """Refresh set 7 over the given orders, written as segmented insert and delete files and read back."""
+    from shoal.sources.tables import read_refresh_deletes, read_refresh_inserts, write_refresh_set
+    o, li = fixtures.orders(spark, sf_dir), fixtures.lineitem(spark, sf_dir)
+    new = windows.assign_segments(refresh.insert_orders(o), ["o_orderkey"], REFRESH_SEGMENTS)
+    lines = refresh.insert_lineitem(li).join(new.select(F.col("o_orderkey").alias("l_orderkey"), "segment"), "l_orderkey").select(*LINE_COLS, "segment")
+    gone = windows.assign_segments(refresh.delete_keys(refresh.sparse_form(refresh.delete_keys(o), "o_orderkey"), 1, 0), ["o_orderkey"],
+                                   REFRESH_SEGMENTS, "delete")
+    folder = _text_folder(spark, "refresh")
+    write_refresh_set(new, lines, gone, folder, 7, REFRESH_SEGMENTS)
+    tagged = [(read_refresh_inserts(spark, folder, "orders"), "orders", "o_orderkey"), (read_refresh_inserts(spark, folder, "lineitem"), "lineitem", "l_orderkey"),
+              (read_refresh_deletes(spark, folder), "delete", "o_orderkey")]
+    return windows.union_all([df.select(F.lit(n).alias("part"), F.col(k).alias("key"), "refresh_set", "segment") for df, n, k in tagged])
+
+
 # --------------------------------------------------------------------------- streaming (D8 incremental)
 @register("transfer_per_second_stream", f"""
     WITH {TRANSFER_CTES}
     SELECT run, pid, second, bytes FROM per_second""")
 def q_transfer_stream(spark, sf_dir):
     """D8 as a Structured Streaming query: transfer lines derived from events are written
-    as text files per run, replayed through the watermarked stream in update mode, and the
-    latest value per (run, pid, second) is read back -- equal to the batch result."""
+    as text files per run, replayed in update mode, and the latest value per (run, pid,
+    second) is read back -- equal to the batch result in whatever order files arrive."""
     import os
     import uuid
 
     from shoal.session import checkpoint_dir
-    from shoal.streaming.transfer import replay_update_mode
+    from shoal.streaming.transfer import replay
     base = os.path.join(checkpoint_dir(spark), "stream-replay", uuid.uuid4().hex[:8])
     lines = runlogs.transfer_lines_from_events(load(spark, sf_dir, "events"))
-    lines.select("run", "value").repartition("run").write.partitionBy("run").text(os.path.join(base, "in"))
-    return replay_update_mode(spark, os.path.join(base, "in"), os.path.join(base, "out"),
-                              f"transfer_{uuid.uuid4().hex[:8]}", layout="partitioned")
+    lines.select("run", "value").write.partitionBy("run").text(os.path.join(base, "in"))
+    return replay(spark, os.path.join(base, "in"), os.path.join(base, "out"),
+                  f"transfer_{uuid.uuid4().hex[:8]}", layout="partitioned")

@@ -9,6 +9,8 @@ as ISO text, counts as BIGINT.
 
 from __future__ import annotations
 
+from shoal.generate.vocab import CONTAINER_S1, CONTAINER_S2
+
 FIXTURES: dict[str, str] = {
     "region_full": """
         SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name,
@@ -34,11 +36,10 @@ FIXTURES: dict[str, str] = {
                CAST(c_acctbal AS DECIMAL(15,2)) AS c_acctbal, c_mktsegment,
                'customer ' || CAST(c_custkey AS VARCHAR) AS c_comment
         FROM customer""",
-    "part_full": """
+    "part_full": f"""
         SELECT p_partkey, p_name, 'Manufacturer#' || CAST(p_partkey % 5 + 1 AS VARCHAR) AS p_mfgr,
                p_brand, p_type, p_size,
-               ['SM', 'LG', 'MED', 'JUMBO', 'WRAP'][p_partkey % 5 + 1] || ' ' ||
-               ['CASE', 'BOX', 'BAG', 'JAR', 'PKG', 'PACK', 'CAN', 'DRUM'][(p_partkey // 5) % 8 + 1]
+               {CONTAINER_S1}[p_partkey % 5 + 1] || ' ' || {CONTAINER_S2}[(p_partkey // 5) % 8 + 1]
                    AS p_container,
                CAST(p_retailprice AS DECIMAL(15,2)) AS p_retailprice,
                'part ' || CAST(p_partkey AS VARCHAR) AS p_comment

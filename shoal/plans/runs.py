@@ -7,18 +7,18 @@ plots' data come out as tables.
 Latency (M9, D10, D11, D14, D15, E4)
     file latency = elapsed ms of the *last* matching line of the file (max_by
     on the line number); per (run, mode): mean and population deviation in
-    seconds; concurrency of a run = 2^(rank of its folder name - 1).
+    seconds; concurrency of a run = 2^(rank of its folder name - 1), a double.
 Transfer (M10, D8, D9, D12, D13, E7, H8-H10)
     bytes per (run, process, second); totals and active seconds per process;
     per-second series in Mbps indexed 0.. and zero-padded to the longest + 1.
 
-Float results are computed from exact integer sums with one fixed sequence of
-double operations, so they do not depend on how Spark splits the sums.
+Byte sums are exact; mean and deviation are Spark's own aggregates, rounded so
+that the order of summation does not show.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIB = 1024 * 1024
@@ -32,26 +32,22 @@ def file_latency(parsed: DataFrame) -> DataFrame:
 
 
 def concurrency(runs: DataFrame) -> DataFrame:
-    """(run, concurrency): folder order 1, 2, 4, ... (E4). One row per run folder."""
-    w = Window.orderBy("run")  # over distinct run names only: a few rows
-    return (runs.select("run").distinct()
-            .withColumn("concurrency", F.pow(F.lit(2), F.dense_rank().over(w) - 1).cast("long")))
+    """(run, concurrency): folder order 1, 2, 4, ... as a double (E4), for any number of run folders."""
+    from shoal.operators.windows import global_row_number
+    ranked = global_row_number(runs.select("run").distinct(), ["run"])
+    return ranked.select("run", F.pow(F.lit(2.0), F.col("rn") - 1).alias("concurrency"))
 
 
 def latency_by_run(files: DataFrame) -> DataFrame:
     """(run, concurrency, mode, files, mean_s, std_s).
 
-    mean and population deviation (numpy's default) of the file latencies in
-    seconds, from exact sums of the integer milliseconds.
+    Mean and population deviation of the file latencies in seconds, fractions of
+    a millisecond included, to six places.
     """
-    ms = F.col("latency_ms").cast("long")
-    agg = files.groupBy("run", "mode").agg(
-        F.count(F.lit(1)).alias("files"), F.sum(ms).alias("s1"), F.sum(ms * ms).alias("s2"))
-    mean_ms = F.col("s1").cast("double") / F.col("files")
-    var_ms = F.col("s2").cast("double") / F.col("files") - mean_ms * mean_ms
-    out = agg.select("run", "mode", "files", (mean_ms / 1000).alias("mean_s"),
-                     (F.sqrt(F.greatest(var_ms, F.lit(0.0))) / 1000).alias("std_s"))
-    return out.join(F.broadcast(concurrency(files)), "run")
+    s = F.col("latency_ms") / 1000
+    out = files.groupBy("run", "mode").agg(
+        F.count(F.lit(1)).alias("files"), F.round(F.avg(s), 6).alias("mean_s"), F.round(F.stddev_pop(s), 6).alias("std_s"))
+    return out.join(concurrency(files), "run")
 
 
 def latency_gap(files: DataFrame) -> DataFrame:
@@ -68,12 +64,12 @@ def latency_gap(files: DataFrame) -> DataFrame:
 def latency_box(files: DataFrame) -> DataFrame:
     """(mode, n, p0, p25, p50, p75, p100) in seconds: the box-plot numbers.
 
-    Exact quantiles (as ``percentile``), but computed by a distributed sort so
-    a mode's values are never gathered into one task.
+    Exact quantiles (as ``percentile``) from counts per (mode, latency), so a
+    mode's values are never gathered into one task.
     """
     from shoal.operators.windows import exact_quantiles
     names = ["p0", "p25", "p50", "p75", "p100"]
-    q = exact_quantiles(files, ["mode"], "latency_ms", [0.0, 0.25, 0.5, 0.75, 1.0], ["run", "name"], names)
+    q = exact_quantiles(files, ["mode"], "latency_ms", [0.0, 0.25, 0.5, 0.75, 1.0], names)
     return q.select("mode", "n", *[(F.col(n) / 1000).alias(n) for n in names])
 
 
@@ -107,10 +103,9 @@ def footprint(per_second: DataFrame) -> DataFrame:
               .select("run", "pid", (F.col("rn") - 1).alias("idx"), mbps(F.col("bytes")).alias("mbps")))
     lengths = per_second.groupBy("run", "pid").agg(F.count(F.lit(1)).alias("len"))
     span = lengths.groupBy("run").agg(F.max("len").alias("index_num"))
-    grid = (lengths.join(span, "run")
-            .select("run", "pid", F.explode(F.sequence(F.lit(0), F.col("index_num"))).alias("idx")))
-    return (grid.join(series, ["run", "pid", "idx"], "left")
-            .select("run", "pid", "idx", F.coalesce("mbps", F.lit(0)).cast("long").alias("mbps")))
+    padding = (lengths.join(span, "run")                          # one row per process
+               .select("run", "pid", F.explode(F.sequence(F.col("len"), F.col("index_num"))).alias("idx"), F.lit(0).cast("long").alias("mbps")))
+    return series.unionByName(padding)
 
 
 def first_process_series(parsed: DataFrame) -> DataFrame:
@@ -120,22 +115,22 @@ def first_process_series(parsed: DataFrame) -> DataFrame:
     """
     tag = F.element_at(F.split(F.element_at(F.split("name", "_"), 2), r"\."), 1)
     tagged = parsed.withColumn("file_tag", tag)
-    first = tagged.groupBy("run", "name").agg(F.min_by("pid", "line_no").alias("first_pid"))
-    rows = tagged.join(first, ["run", "name"]).filter(F.col("pid") == F.col("first_pid"))
-    return (rows.groupBy("run", "file_tag", "pid", "second")
+    per = tagged.groupBy("run", "name", "file_tag", "pid", "second").agg(F.sum("bytes").alias("bytes"), F.min("line_no").alias("line_no"))
+    first = per.groupBy("run", "name").agg(F.min_by("pid", "line_no").alias("pid"))
+    return (per.join(first, ["run", "name", "pid"]).groupBy("run", "file_tag", "pid", "second")
             .agg((F.sum("bytes").cast("double") / MIB).alias("mib")))
 
 
 # --------------------------------------------------------------------------- event logs
 def stage_metrics(events: DataFrame) -> DataFrame:
-    """Per stage: task count and summed task metrics from task-end events."""
-    m = "Task Metrics"
+    """Per application, stage and attempt: task count and summed task metrics from task-end events."""
+    m = F.col("Task Metrics")
+    sums = {"run_time_ms": m["Executor Run Time"], "cpu_time_ns": m["Executor CPU Time"], "gc_time_ms": m["JVM GC Time"],
+            "shuffle_bytes_written": m["Shuffle Write Metrics"]["Shuffle Bytes Written"],
+            "remote_bytes_read": m["Shuffle Read Metrics"]["Remote Bytes Read"],
+            "local_bytes_read": m["Shuffle Read Metrics"]["Local Bytes Read"],
+            "input_bytes": m["Input Metrics"]["Bytes Read"], "input_records": m["Input Metrics"]["Records Read"],
+            "spilled_bytes": m["Memory Bytes Spilled"], "disk_spilled_bytes": m["Disk Bytes Spilled"]}
     return (events.filter(F.col("Event") == "SparkListenerTaskEnd")
-            .groupBy(F.col("Stage ID").alias("stage_id"))
-            .agg(F.count(F.lit(1)).alias("tasks"),
-                 F.sum(F.col(m)["Executor Run Time"]).alias("run_time_ms"),
-                 F.sum(F.col(m)["JVM GC Time"]).alias("gc_time_ms"),
-                 F.sum(F.col(m)["Shuffle Write Metrics"]["Shuffle Bytes Written"]).alias("shuffle_bytes_written"),
-                 F.sum(F.col(m)["Input Metrics"]["Bytes Read"]).alias("input_bytes"),
-                 F.sum(F.col(m)["Input Metrics"]["Records Read"]).alias("input_records"),
-                 F.sum(F.col(m)["Memory Bytes Spilled"]).alias("spilled_bytes")))
+            .groupBy("application", F.col("Stage ID").alias("stage_id"), F.col("Stage Attempt ID").alias("attempt"))
+            .agg(F.count(F.lit(1)).alias("tasks"), *(F.sum(c).alias(n) for n, c in sums.items())))

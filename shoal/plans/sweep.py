@@ -21,7 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoal.operators.joins import bucketed_join, equi_join
+from shoal.operators.joins import bucketed_join, equi_join, write_bucketed
 from shoal.plans import runs
 from shoal.sources import runlogs
 from shoal.sources.tables import load
@@ -33,7 +33,14 @@ def _join(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
     if mode == "shuffle":
         return equi_join(o, li, "o_orderkey", "l_orderkey", "sort_merge")
-    return bucketed_join(spark, o, li, "o_orderkey", "l_orderkey")
+    return bucketed_join(spark, "sweep_orders", "sweep_lineitem", "o_orderkey", "l_orderkey")
+
+
+def _write_tables(spark: SparkSession, sf_dir: str) -> None:
+    """The bucketed copies of the ``noshuffle`` mode, written anew for each sweep."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_bucketed(load(spark, sf_dir, "orders"), "sweep_orders", "o_orderkey", n)
+    write_bucketed(load(spark, sf_dir, "lineitem"), "sweep_lineitem", "l_orderkey", n)
 
 
 def _timed_run(spark: SparkSession, sf_dir: str, mode: str, path: str) -> int:
@@ -54,7 +61,7 @@ def run_mode_sweep(spark: SparkSession, sf_dir: str, root: str, levels=(1, 2), r
     ``root`` must be a folder the driver can write and Spark can read (a shared
     folder on a cluster). Bucketed tables are written once, before timing.
     """
-    _join(spark, sf_dir, "noshuffle")  # building it writes the bucketed copies, before any timing
+    _write_tables(spark, sf_dir)  # before any timing
     for k, c in enumerate(levels):
         for mode in MODES:
             for r in range(repeats):

@@ -123,7 +123,7 @@ def market_share(t: dict[str, DataFrame], nation: str = "BRAZIL", region: str =
                                revenue_expr().alias("volume"), "nation")
     return (all_nations.groupBy("o_year")
             .agg((F.sum(F.when(F.col("nation") == nation, F.col("volume")).otherwise(0)).cast("double")
-                  / F.sum("volume").cast("double")).alias("mkt_share"))
+                  / F.nullif(F.sum("volume").cast("double"), F.lit(0.0))).alias("mkt_share"))
             .orderBy("o_year"))
 
 
@@ -201,7 +201,7 @@ def promo_effect(t: dict[str, DataFrame], start: str = "1995-09-01") -> DataFram
     rev = revenue_expr()
     promo = F.when(F.substring("p_type", 1, 5) == "PROMO", rev).otherwise(0)
     return (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
-            .agg((F.lit(100.0) * F.sum(promo).cast("double") / F.sum(rev).cast("double"))
+            .agg((F.lit(100.0) * F.sum(promo).cast("double") / F.nullif(F.sum(rev).cast("double"), F.lit(0.0)))
                  .alias("promo_revenue")))
 
 

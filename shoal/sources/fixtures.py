@@ -13,19 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoal.functions.keys import div, partsupp_bridge
+from shoal.generate.vocab import CONTAINER_S1, CONTAINER_S2, INSTRUCTIONS, SHIP_MODES
 from shoal.sources.schemas import MONEY
 from shoal.sources.tables import load
 
-# Ship modes, ship instructions, container syllables (TPC-H lists).
-SHIP_MODES = ["REG AIR", "AIR", "RAIL", "TRUCK", "MAIL", "FOB", "SHIP"]
-SHIP_INSTRUCT = ["DELIVER IN PERSON", "COLLECT COD", "TAKE BACK RETURN", "NONE"]
-CONTAINER_SIZE = ["SM", "LG", "MED", "JUMBO", "WRAP"]
-CONTAINER_KIND = ["CASE", "BOX", "BAG", "JAR", "PKG", "PACK", "CAN", "DRUM"]
-
 # Refresh sets: one order in a thousand (the TPC-H refresh fraction) is deleted,
-# and one in a thousand is re-inserted under a key shifted by INSERT_KEY_SHIFT.
+# and one in a thousand is inserted again under a key with sequence bits.
 REFRESH_MODULUS = 1000
-INSERT_KEY_SHIFT = 1_000_000
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -86,8 +81,8 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", "p_name",
         F.concat(F.lit("Manufacturer#"), (k % 5 + 1).cast("string")).alias("p_mfgr"),
         "p_brand", "p_type", "p_size",
-        F.concat(pick(CONTAINER_SIZE, k % 5), F.lit(" "),
-                 pick(CONTAINER_KIND, F.floor(k / 5) % 8)).alias("p_container"),
+        F.concat(pick(CONTAINER_S1, k % 5), F.lit(" "),
+                 pick(CONTAINER_S2, div(k, 5) % 8)).alias("p_container"),
         money("p_retailprice").alias("p_retailprice"),
         F.concat(F.lit("part "), k.cast("string")).alias("p_comment"))
 
@@ -103,7 +98,7 @@ def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("slot")
     rows = (load(spark, sf_dir, "part").select("p_partkey")
             .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(3)))))
-    supp = (p + s * (F.floor(n_supp / 4) + F.floor((p - 1) / n_supp))) % n_supp
+    supp = partsupp_bridge(p, s, n_supp) - 1
     return rows.select(
         F.col("p_partkey").alias("ps_partkey"),
         supp.cast("long").alias("ps_suppkey"),
@@ -136,7 +131,7 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag", "l_linestatus", ship.alias("l_shipdate"),
         F.date_add(ship, (h % 61 - 30).cast("int")).alias("l_commitdate"),
         F.date_add(ship, ((h * 13) % 30 + 1).cast("int")).alias("l_receiptdate"),
-        pick(SHIP_INSTRUCT, h % 4).alias("l_shipinstruct"),
+        pick(INSTRUCTIONS, h % 4).alias("l_shipinstruct"),
         pick(SHIP_MODES, h % 7).alias("l_shipmode"),
         F.concat(F.lit("line "), h.cast("string")).alias("l_comment"))
 
@@ -145,15 +140,9 @@ BUILDERS = {"region": region, "nation": nation, "supplier": supplier, "customer"
             "part": part, "partsupp": partsupp, "orders": orders, "lineitem": lineitem}
 
 
-_BUILT: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One full view, built once per application and folder (it is a lazy plan)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    if key not in _BUILT:
-        _BUILT[key] = BUILDERS[name](spark, sf_dir)
-    return _BUILT[key]
+    """One full view (a lazy plan)."""
+    return BUILDERS[name](spark, sf_dir)
 
 
 class Tables(dict):

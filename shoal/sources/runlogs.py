@@ -29,12 +29,14 @@ LATENCY_REGEX = r"^(\S+) (\S+) (\S+) TpchQuery: End executing query\. Time: (\S+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no, value) for every line of every file (G1).
 
-    ``wholetext`` reads a file as one record, so the split keeps the line order;
-    files are spread over tasks (a single log file is small).
+    Files are split like any text input, so a large log is many tasks. ``line_no``
+    is (start of the split, place in it): it orders the lines of a file and is
+    unique in it, without counting the lines before.
     """
-    df = spark.read.option("wholetext", "true").text(paths)
-    return (df.select(F.col("_metadata.file_path").alias("file"),
-                      F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line_no", "value")))
+    return (spark.read.text(paths)
+            .select(F.col("_metadata.file_path").alias("file"),
+                    F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).alias("line_no"),
+                    "value"))
 
 
 def path_parts(file: Column) -> list[Column]:
@@ -52,7 +54,19 @@ def parse_latency(lines: DataFrame) -> DataFrame:
             .withColumn("log_date", F.regexp_extract(v, LATENCY_REGEX, 1))
             .withColumn("log_time", F.regexp_extract(v, LATENCY_REGEX, 2))
             .withColumn("level", F.regexp_extract(v, LATENCY_REGEX, 3))
-            .withColumn("elapsed_ms", F.regexp_extract(v, LATENCY_REGEX, 4).cast("double")))
+            .withColumn("elapsed_ms", F.regexp_extract(v, LATENCY_REGEX, 4).try_cast("double"))
+            .filter("elapsed_ms is not null"))
+
+
+def bad_lines(lines: DataFrame, kind: str) -> DataFrame:
+    """(run, bad_lines): lines that look like records of ``kind`` but hold a field that is no number."""
+    v = F.col("value")
+    if kind == "latency":
+        bad = v.rlike(LATENCY_REGEX) & F.regexp_extract(v, LATENCY_REGEX, 4).try_cast("double").isNull()
+    else:
+        f = F.split(v, "\t")
+        bad = (F.size(f) >= 3) & _transfer_fields(f)[3]
+    return lines.groupBy("run").agg(F.count_if(F.coalesce(bad, F.lit(False))).alias("bad_lines"))
 
 
 def read_latency_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -70,14 +84,16 @@ def latency_lines_from_events(events: DataFrame) -> DataFrame:
 
     run = ``run<user_id % 4>``; mode = shuffle for even event ids, noshuffle for
     odd; file = ``scale<user_id>.log``; line order = event id. Error events
-    write a line that does not match; the others end with
-    ``Time: <floor(value * 100)>``.
+    write a line that does not match; the others end with ``Time:
+    <floor(value * 100)>`` and a fraction of quarters, but for every 97th, whose
+    number is spoiled by a letter.
     """
     d, t = _ts_text(F.col("ts"))
     msg = F.when(F.col("event_type") == "error",
                  F.concat(d, F.lit(" "), t, F.lit(" ERROR TaskSetManager: Lost task 0.0 in stage 1.0")))\
            .otherwise(F.concat(d, F.lit(" "), t, F.lit(" INFO TpchQuery: End executing query. Time: "),
-                               F.floor(F.col("value") * 100).cast("string")))
+                               F.floor(F.col("value") * 100).cast("string"), F.lit("."), (F.col("event_id") % 4 * 25).cast("string"),
+                               F.when(F.col("event_id") % 97 == 0, "x").otherwise("")))
     return events.select(
         F.concat(F.lit("run"), (F.col("user_id") % 4).cast("string")).alias("run"),
         F.when(F.col("event_id") % 2 == 0, "shuffle").otherwise("noshuffle").alias("mode"),
@@ -86,20 +102,24 @@ def latency_lines_from_events(events: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- transfer
+def _transfer_fields(f: Column) -> tuple[Column, Column, Column, Column]:
+    """(epoch_ms, bytes, pid, bad) of the split fields of a line with three or more."""
+    ms, amount = F.get(f, F.lit(0)).try_cast("long"), F.get(f, F.lit(2)).try_cast("long")
+    pid = F.when(F.size(f) == 3, F.lit(-1)).otherwise(F.element_at(F.split(F.get(f, F.lit(3)), "@"), 1).try_cast("int"))
+    return ms, amount, pid, ms.isNull() | amount.isNull() | pid.isNull()
+
+
 def parse_transfer(lines: DataFrame) -> DataFrame:
     """TSV fields to (epoch_ms, second, bytes, pid); lines with < 3 fields dropped.
 
-    pid is -1 for 3-field lines, else the number before ``@`` in field 4 (H9).
+    pid is -1 for 3-field lines, else the number before ``@`` in field 4 (H9). A
+    line with a field that is no number is dropped; ``bad_lines`` counts them.
     """
     f = F.split(F.col("value"), "\t")
-    n = F.size(f)
-    return (lines.filter(n >= 3)
-            .withColumn("epoch_ms", F.element_at(f, 1).cast("long"))
-            .withColumn("second", F.floor(F.col("epoch_ms") / 1000).cast("long"))
-            .withColumn("bytes", F.element_at(f, 3).cast("long"))
-            .withColumn("pid", F.when(n == 3, F.lit(-1))
-                        .otherwise(F.element_at(F.split(F.element_at(f, 4), "@"), 1).cast("int")))
-            .drop("value"))
+    ms, amount, pid, bad = _transfer_fields(f)
+    return (lines.filter((F.size(f) >= 3) & ~bad)
+            .withColumn("epoch_ms", ms).withColumn("second", F.floor(F.col("epoch_ms") / 1000).cast("long"))
+            .withColumn("bytes", amount).withColumn("pid", pid).drop("value"))
 
 
 def read_transfer_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -160,34 +180,42 @@ TASK_END_SCHEMA = T.StructType([
 
 
 def read_event_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Spark event-log JSON lines with the task-end fields typed (other events keep nulls).
+    """Spark event-log JSON lines with the task-end fields typed (other events keep nulls) and the
+    application, by the id in the file's or folder's name.
 
     Folders are searched recursively: Spark 4 writes rolling logs as
     ``eventlog_v2_<app>/events_<n>_<app>`` directories.
     """
-    return spark.read.schema(TASK_END_SCHEMA).option("recursiveFileLookup", "true").json(paths)
+    path = F.col("_metadata.file_path")
+    app = F.regexp_extract(path, r"((?:app|local|application)[-_][0-9][0-9_-]*)", 1)
+    return (spark.read.schema(TASK_END_SCHEMA).option("recursiveFileLookup", "true").json(paths)
+            .withColumn("application", F.when(app != "", app).otherwise(F.element_at(F.split(path, "/"), -1))))
 
 
 def parse_event_json(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Same as ``read_event_log`` for JSON text already in a column."""
-    return lines.select(F.from_json(F.col(column), TASK_END_SCHEMA).alias("e")).select("e.*")
+    """Same as ``read_event_log`` for JSON text already in a column, with its application."""
+    return lines.select("application", F.from_json(F.col(column), TASK_END_SCHEMA).alias("e")).select("application", "e.*")
 
 
 def event_json_from_events(events: DataFrame) -> DataFrame:
-    """Event-log JSON lines derived from ``events``: views become task starts, the
-    rest task ends of stage ``user_id % 8`` with run time, shuffle and input metrics."""
+    """Event-log JSON lines derived from ``events``: two applications, each with the same stage
+    numbers; views become task starts, the rest task ends of stage ``user_id % 8``, attempt
+    ``event_id % 2``, with run and CPU time, shuffle, spill and input metrics."""
     v = F.col("value")
     metrics = F.struct(
         F.floor(v * 1000).alias("Executor Run Time"),
+        F.floor(v * 900000).alias("Executor CPU Time"),
         F.floor(v * 100).alias("JVM GC Time"),
         F.lit(0).alias("Memory Bytes Spilled"),
+        F.col("user_id").alias("Disk Bytes Spilled"),
+        F.struct(F.floor(v * 3000).alias("Remote Bytes Read"), F.floor(v * 4000).alias("Local Bytes Read")).alias("Shuffle Read Metrics"),
         F.struct(F.floor(v * 1000000).alias("Shuffle Bytes Written"),
                  F.col("user_id").alias("Shuffle Records Written")).alias("Shuffle Write Metrics"),
         F.struct(F.floor(v * 2000000).alias("Bytes Read"),
                  F.col("user_id").alias("Records Read")).alias("Input Metrics"))
     end = F.struct(F.lit("SparkListenerTaskEnd").alias("Event"), (F.col("user_id") % 8).alias("Stage ID"),
-                   F.lit(0).alias("Stage Attempt ID"), F.lit("ShuffleMapTask").alias("Task Type"),
+                   (F.col("event_id") % 2).alias("Stage Attempt ID"), F.lit("ShuffleMapTask").alias("Task Type"),
                    metrics.alias("Task Metrics"))
     start = F.struct(F.lit("SparkListenerTaskStart").alias("Event"), (F.col("user_id") % 8).alias("Stage ID"))
-    return events.select(F.when(F.col("event_type") == "view", F.to_json(start))
-                         .otherwise(F.to_json(end)).alias("value"))
+    return events.select(F.concat(F.lit("app-"), (F.col("user_id") % 3 % 2).cast("string")).alias("application"),
+                         F.when(F.col("event_type") == "view", F.to_json(start)).otherwise(F.to_json(end)).alias("value"))

@@ -30,8 +30,9 @@ def _with_eol(schema: StructType) -> StructType:
 def read_tbl(spark: SparkSession, path: str, table: str, mode: str = "PERMISSIVE") -> DataFrame:
     """Read a pipe-delimited TPC-H table with its DDL schema (A1-A4).
 
-    Quotes are plain text (``quote=""``) as in a split on ``|``. A field that
-    does not parse becomes NULL in PERMISSIVE mode; the not-null check counts it.
+    Quotes are plain text (``quote=""``) as in a split on ``|``. The format has no
+    NULL: an empty text field is the empty text. A number or date that does not
+    parse becomes NULL in PERMISSIVE mode; the not-null check counts it.
     """
     schema = SCHEMAS[table]
     return (spark.read.schema(_with_eol(schema))
@@ -39,7 +40,8 @@ def read_tbl(spark: SparkSession, path: str, table: str, mode: str = "PERMISSIVE
             .option("header", "false").option("mode", mode)
             .option("dateFormat", "yyyy-MM-dd")
             .csv(path)
-            .drop(EOL))
+            .drop(EOL)
+            .withColumns({f.name: F.coalesce(F.col(f.name), F.lit("")) for f in schema.fields if isinstance(f.dataType, StringType)}))
 
 
 def write_tbl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -52,19 +54,12 @@ def write_tbl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
        .csv(path))
 
 
-_LOADED: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver Parquet table (lazy: column pruning and filters reach the scan).
 
-    The DataFrame (a plan, not data) is kept per application, so footers and
-    file listings are read once rather than on every query.
+    The folder is listed on every call, so files added or rewritten since are seen.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    if key not in _LOADED:
-        _LOADED[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return _LOADED[key]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> dict[str, DataFrame]:
@@ -77,8 +72,8 @@ def register_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> dic
     return out
 
 
-_REFRESH_PATH = r"(orders|lineitem)\.tbl\.u(\d+)(?:\.(\d+))?$"
-_DELETE_PATH = r"delete\.(\d+)(?:\.(\d+))?$"
+_REFRESH_PATH = r"(orders|lineitem)\.tbl\.u(\d+)(?:\.(\d+))?(?:/part-[^/]*)?$"   # a file, or a folder of part files
+_DELETE_PATH = r"delete\.(\d+)(?:\.(\d+))?(?:/part-[^/]*)?$"
 
 
 def _optional_int(text):
@@ -104,6 +99,50 @@ def read_refresh_deletes(spark: SparkSession, folder: str) -> DataFrame:
               .withColumn("segment", _optional_int(F.regexp_extract(path, _DELETE_PATH, 2))))
 
 
+def write_refresh_set(orders: DataFrame, lineitem: DataFrame, deletes: DataFrame, folder: str, update: int,
+                      segments: int = 1) -> None:
+    """Write one refresh set as ``orders.tbl.uN``, ``lineitem.tbl.uN`` and ``delete.N``, or with
+    ``segments`` > 1 as ``.uN.1`` .. ``.uN.M`` by their ``segment`` column (folders of part files)."""
+    folder = folder.rstrip("/")
+    for seg in range(1, segments + 1):
+        end = f"{update}.{seg}" if segments > 1 else str(update)
+        for df, name in ((orders, f"orders.tbl.u{end}"), (lineitem, f"lineitem.tbl.u{end}"), (deletes, f"delete.{end}")):
+            part = df.filter(F.col("segment") == seg) if segments > 1 else df
+            write_tbl(part.drop("segment"), f"{folder}/{name}")
+
+
+def write_distributions(dists: DataFrame, path: str) -> None:
+    """Value lists (dist, pos, text, weight) as distribution text: ``begin <name>``, ``count|<n>``, a
+    ``<text>|<weight>`` line per entry, ``end <name>``; one folder per list."""
+    sizes = dists.groupBy("dist").agg(F.count(F.lit(1)).alias("n"))
+    name = F.col("dist")
+    lines = (dists.select("dist", (F.col("pos") + 1).alias("at"), F.concat("text", F.lit("|"), F.col("weight").cast("string")).alias("value"))
+             .unionByName(sizes.select("dist", F.explode(F.array(
+                 F.struct(F.lit(0).alias("at"), F.concat(F.lit("begin "), name).alias("value")),
+                 F.struct(F.lit(1).alias("at"), F.concat(F.lit("count|"), F.col("n").cast("string")).alias("value")),
+                 F.struct((F.col("n") + 2).cast("int").alias("at"), F.concat(F.lit("end "), name).alias("value")))).alias("l")).select("dist", "l.*")))
+    # a value list is one bounded column domain
+    (lines.repartition("dist").sortWithinPartitions("dist", "at").select("dist", "value")
+     .write.mode("overwrite").partitionBy("dist").text(path))
+
+
+def read_distributions(spark: SparkSession, path: str) -> DataFrame:
+    """(dist, pos, text, weight) of distribution files (A11): ``begin``/``end`` lines name a list, a
+    ``count|n`` line and comments (``#``) are skipped, other lines are ``text|weight`` in order."""
+    from pyspark.sql import Window
+
+    from shoal.sources.runlogs import read_lines
+    lines = read_lines(spark, path).filter(~F.col("value").rlike(r"^\s*(#|$)"))
+    w = Window.partitionBy("file").orderBy("line_no")           # a file of lists is small
+    v = F.col("value")
+    inside = lines.withColumn("dist", F.last(F.when(F.lower(v).startswith("begin "), F.trim(F.substring(v, 7, 1 << 20))), True)
+                              .over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    entry = inside.filter(~F.lower(v).rlike(r"^(begin |end |count\|)") & F.col("dist").isNotNull())
+    split = F.regexp_extract(v, r"^(.*)\|([^|]*)$", 2)
+    return (entry.withColumn("pos", F.row_number().over(Window.partitionBy("file", "dist").orderBy("line_no")))
+            .select("dist", "pos", F.regexp_extract(v, r"^(.*)\|([^|]*)$", 1).alias("text"), split.try_cast("long").alias("weight")))
+
+
 def unpivot_columns(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (key, column, value): the per-column split of a table.
 

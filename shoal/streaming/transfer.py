@@ -1,11 +1,11 @@
 """Transfer logs as a stream (D8, incremental).
 
-New ``workerLoad*`` files landing under ``<root>/<run>/shuffle/`` are parsed
-as they arrive and summed per (run, process, second). Event time is the log's
-own epoch millisecond; the watermark bounds how late a line may arrive, so
-state for closed seconds is dropped and each second is emitted once (append
-mode). The result equals the batch ``plans.runs.transfer_per_second`` on the
-same files once the stream has caught up.
+New ``workerLoad*`` files landing under ``<root>/<run>/shuffle/`` are parsed as
+they arrive and summed per (run, process, second). Files of different runs cover
+the same seconds and arrive in any order, so no second is ever closed: there is
+no watermark, the query runs in update mode, and its state is one sum per (run,
+process, second) -- the size of the result. The result equals the batch
+``plans.runs.transfer_per_second`` on the same files.
 """
 
 from __future__ import annotations
@@ -20,59 +20,52 @@ from shoal.session import checkpoint_dir
 from shoal.sources.runlogs import parse_transfer
 
 
-def transfer_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 100,
-                    layout: str = "runs") -> DataFrame:
-    """Streaming (run, pid, second, bytes) over transfer-log files, with a watermark.
+def transfer_stream(spark: SparkSession, root: str, layout: str = "runs", files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming (run, pid, second, bytes) over transfer-log files.
 
     ``layout="runs"`` reads ``<root>/<run>/shuffle/workerLoad*``;
     ``layout="partitioned"`` reads ``<root>/run=<run>/*`` (a partitioned text write).
+    ``files_per_trigger`` sizes micro-batches; it does not change the result.
     """
     path = F.col("_metadata.file_path")
+    reader = spark.readStream.format("text")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if layout == "runs":
-        lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
-                 .option("pathGlobFilter", "workerLoad*").load(f"{root.rstrip('/')}/*/shuffle/"))
+        lines = reader.option("pathGlobFilter", "workerLoad*").load(f"{root.rstrip('/')}/*/shuffle/")
         run = F.element_at(F.split(path, "/"), -3)
     else:
-        lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
-                 .load(f"{root.rstrip('/')}/run=*/"))
+        lines = reader.load(f"{root.rstrip('/')}/run=*/")
         run = F.regexp_extract(path, r"run=([^/]+)/", 1)
-    lines = lines.select(run.alias("run"), "value")
-    parsed = parse_transfer(lines).withColumn("event_time", F.timestamp_millis(F.col("epoch_ms")))
-    return (parsed.withWatermark("event_time", "10 seconds")
-            .groupBy("run", "pid", F.window("event_time", "1 second").alias("w"))
-            .agg(F.sum("bytes").alias("bytes"))
-            .select("run", "pid", F.floor(F.unix_millis(F.col("w.start")) / 1000).cast("long").alias("second"),
-                    "bytes"))
-
-
-def start_transfer_stream(spark: SparkSession, root: str, out_path: str, name: str = "transfer_per_second",
-                          available_now: bool = False) -> StreamingQuery:
-    """Run the stream into Parquet at ``out_path``; progress is checkpointed in the
-    shared ``spark.checkpoint.dir`` so a restarted query resumes where it stopped."""
-    ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
-    writer = (transfer_stream(spark, root).writeStream.outputMode("append").format("parquet")
-              .option("path", out_path).option("checkpointLocation", ckpt).queryName(name))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    parsed = parse_transfer(lines.select(run.alias("run"), "value"))
+    return parsed.groupBy("run", "pid", "second").agg(F.sum("bytes").alias("bytes"))
 
 
-def replay_update_mode(spark: SparkSession, root: str, out_path: str, name: str,
-                       layout: str = "runs") -> DataFrame:
-    """Run the stream over the files present (``availableNow``) in *update* mode.
+def start(spark: SparkSession, root: str, out_path: str, name: str, layout: str = "runs",
+          files_per_trigger: int | None = None, available_now: bool = False) -> StreamingQuery:
+    """Run the stream: each micro-batch appends the rows it changed, with its batch id, to ``out_path``.
 
-    Each micro-batch appends the rows it changed, tagged with its batch id, to
-    ``out_path`` (a retried batch rewrites identical rows under the same id); the
-    result is the latest value per key. State for seconds behind the watermark is
-    dropped, so memory stays bounded however long the stream runs.
+    A retried batch rewrites the same rows under the same id. Progress and state
+    are kept in the shared ``spark.checkpoint.dir``, so a restarted query of the
+    same name resumes where it stopped.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
-    q = (transfer_stream(spark, root, layout=layout).writeStream.outputMode("update")
-         .foreachBatch(sink).option("checkpointLocation", ckpt).queryName(name)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.read.parquet(out_path)
-    return (out.groupBy("run", "pid", "second")
+    writer = (transfer_stream(spark, root, layout, files_per_trigger).writeStream.outputMode("update")
+              .foreachBatch(sink).option("checkpointLocation", ckpt).queryName(name))
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+
+
+def latest(spark: SparkSession, out_path: str) -> DataFrame:
+    """(run, pid, second, bytes): the value of each key's last batch."""
+    return (spark.read.parquet(out_path).groupBy("run", "pid", "second")
             .agg(F.max_by("bytes", "batch_id").alias("bytes")))
+
+
+def replay(spark: SparkSession, root: str, out_path: str, name: str, layout: str = "runs",
+           files_per_trigger: int | None = None) -> DataFrame:
+    """The stream over the files present, to their end."""
+    start(spark, root, out_path, name, layout, files_per_trigger, available_now=True).awaitTermination()
+    return latest(spark, out_path)

@@ -83,6 +83,17 @@ def test_refresh_sets(spark):
     assert dels.join(base_o, "o_orderkey", "left_anti").count() == 0   # deletes hit base orders
 
 
+def test_links_reach_all_given_parents(spark):
+    """Rows made for given tables use the parents' own counts, whatever the scale factor between."""
+    keys = spark.range(1, 3001)
+    o, li = G.orders_and_lineitem(spark, 1.5, 4, key_source=keys, sizes={"customer": 50, "part": 40, "supplier": 12, "orders": 3000})
+    assert {r.o_custkey for r in o.select("o_custkey").distinct().collect()} == {k for k in range(1, 51) if k % 3}
+    assert li.select("l_partkey").distinct().count() == 40 and li.select("l_suppkey").distinct().count() == 12
+    n_o, n_l, dels = G.refresh_set(spark, 1.5, 2, key_source=keys, sizes={"customer": 50, "part": 40, "supplier": 12, "orders": 3000})
+    assert (n_o.count(), dels.count()) == (3, 3)
+    assert n_l.join(n_o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").count() == 0
+
+
 def test_chunked_write(spark, tmp_path):
     G.write_chunked(G.customer(spark, SF), "c_custkey", 4, str(tmp_path / "cust"))
     back = spark.read.parquet(str(tmp_path / "cust"))

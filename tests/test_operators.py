@@ -26,24 +26,35 @@ def test_join_strategies_return_same_rows(spark, strategy):
     assert other.exceptAll(base).count() == 0
 
 
-def test_broadcast_only_after_size_check(spark):
+def test_broadcast_only_below_the_size_threshold(spark):
     small = spark.range(10).withColumnRenamed("id", "k")
     big = spark.range(1000).withColumnRenamed("id", "j")
-    ok = joins.equi_join(small, big, "k", "j", "broadcast", broadcast_max_rows=100)
+    ok = joins.equi_join(small, big, "k", "j", "broadcast")
     assert "BroadcastHashJoin" in joins.physical_plan(ok, "simple")
-    refused = joins.equi_join(big, small, "j", "k", "broadcast", broadcast_max_rows=100)
-    plan = joins.physical_plan(refused, "simple")
-    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joins.physical_plan(joins.equi_join(small, big, "k", "j", "broadcast"), "simple")
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_bucketed_join_has_no_exchange(spark):
-    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
-    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+def test_bucketed_join_has_no_exchange_and_the_given_rows(spark):
+    """Filters that differ only in a literal with '#', and a source written again, each give a plain join's rows."""
+    from shoal.operators.joins import bucketed_join, write_bucketed
+    p = fixtures.part(spark, SF_SMALL)
+    li = fixtures.lineitem(spark, SF_SMALL)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        j = joins.bucketed_join(spark, o, li, "o_orderkey", "l_orderkey", buckets=4)
-        assert joins.count_exchanges(j) == 0
-        assert j.count() == li.join(o, li.l_orderkey == o.o_orderkey).count()
+        write_bucketed(li, "t_bk_li", "l_partkey", 4)
+        brands = [r.p_brand for r in p.select("p_brand").distinct().orderBy("p_brand").limit(2).collect()]
+        for brand in brands:
+            side = p.filter(F.col("p_brand") == brand)
+            write_bucketed(side, "t_bk_part", "p_partkey", 4)
+            j = bucketed_join(spark, "t_bk_part", "t_bk_li", "p_partkey", "l_partkey")
+            plain = side.join(li, side.p_partkey == li.l_partkey)
+            assert joins.count_exchanges(j) == 0
+            assert j.count() == plain.count() and j.exceptAll(plain).count() == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -136,13 +147,35 @@ def test_dates_and_rounding(spark):
 def test_refresh_insert_and_delete(spark):
     o = fixtures.orders(spark, SF_SMALL)
     li = fixtures.lineitem(spark, SF_SMALL)
-    sets = [(refresh.insert_orders(o, residue=r), refresh.insert_lineitem(li, residue=r),
-             refresh.delete_keys(o, residue=r + 2)) for r in (1,)]
-    new_o, new_li = refresh.apply_refresh_sets(o, li, sets, checkpoint_every=1)
-    deleted = refresh.delete_keys(o, residue=3).count()
-    assert new_o.count() == o.count() + refresh.insert_orders(o).count() - deleted
-    assert new_li.join(refresh.delete_keys(o, residue=3),
-                       F.col("l_orderkey") == F.col("o_orderkey")).count() == 0
+    base_o, base_li = refresh.sparse_form(o, "o_orderkey"), refresh.sparse_form(li, "l_orderkey")
+    gone = refresh.sparse_form(refresh.delete_keys(o, residue=3), "o_orderkey")
+    sets = [(refresh.insert_orders(o), refresh.insert_lineitem(li), gone)]
+    new_o, new_li = refresh.apply_refresh_sets(base_o, base_li, sets, checkpoint_every=1)
+    assert new_o.count() == o.count() + refresh.insert_orders(o).count() - gone.count()
+    assert new_o.select("o_orderkey").distinct().count() == new_o.count()
+    assert new_li.join(gone, F.col("l_orderkey") == F.col("o_orderkey")).count() == 0
+
+
+def test_insert_keys_are_never_base_keys(spark):
+    """Two million dense orders: no inserted key is one of theirs, at any sequence number."""
+    base = spark.range(2_000_000).withColumnRenamed("id", "o_orderkey")
+    keys = refresh.sparse_form(base, "o_orderkey")
+    assert keys.distinct().count() == 2_000_000
+    for seq in (1, 2, 3):
+        assert refresh.insert_orders(base, modulus=7, seq=seq).join(keys, "o_orderkey", "left_semi").count() == 0
+
+
+def test_weighted_pick_of_long_lists(spark):
+    """A list of more entries than ranges, zero weights among them: each draw finds its one entry."""
+    from shoal.functions.draws import weighted_pick
+    rows, cum = [], 0
+    for k in range(3000):
+        cum += k % 4
+        rows.append((f"t{k}", k % 4, cum))
+    dist = spark.createDataFrame(rows, "text string, weight long, cum long")
+    got = weighted_pick(spark.range(1, cum + 1).withColumnRenamed("id", "draw"), "draw", dist, F.lit(cum)).collect()
+    want = [f"t{k}" for k in range(3000) for _ in range(k % 4)]
+    assert [r.picked for r in sorted(got, key=lambda r: r.draw)] == want
 
 
 def test_exact_quantiles_match_percentile_on_a_hot_group(spark):
@@ -151,7 +184,7 @@ def test_exact_quantiles_match_percentile_on_a_hot_group(spark):
     rows = [("a", float(i % 37), i) for i in range(300)] + [("b", float(i), 1000 + i) for i in range(5)]
     df = spark.createDataFrame(rows, "g string, v double, id long")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    got = {r.g: r for r in windows.exact_quantiles(df, ["g"], "v", probs, ["id"]).collect()}
+    got = {r.g: r for r in windows.exact_quantiles(df, ["g"], "v", probs).collect()}
     for g in ("a", "b"):
         vals = [v for gg, v, _ in rows if gg == g]
         for p in probs:
