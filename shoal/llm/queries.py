@@ -119,6 +119,6 @@ ORACLE = {
         f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
         SELECT d.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
                CASE WHEN first IS NULL OR first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN first <> d.page_id THEN first END AS refers_to
+               CAST(CASE WHEN first <> d.page_id THEN first END AS DOUBLE) AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
 }
