@@ -1,9 +1,14 @@
-"""Stateless pseudo-random draws: ``pmod(xxhash64(seed, stream, key, i), n)``.
+"""Stateless pseudo-random draws: an integer mixer of (seed, stream, key, ...).
 
 The reference generator advances 48 sequential random streams and skips ahead
-per row so that a row does not depend on its chunk. A hash of (seed, stream,
-key) gives the same property with no state at all: a row's values depend only
-on its key, so any partitioning (and any task retry) yields the same table.
+per row so that a row does not depend on its chunk. A mix of (seed, stream, key)
+gives the same property with no state at all: a row's values depend only on its
+key, so any partitioning (and any task retry) yields the same table.
+
+The mixer works modulo the prime 2^31 - 1 with products below 2^62 and names its
+input once, so it is a short expression in any engine: ``mix`` is the column form,
+``mix_sql`` the same arithmetic as SQL text. Each key passes three rounds of
+exclusive-or with a constant and multiplication, which mixes all bits.
 """
 
 from __future__ import annotations
@@ -14,15 +19,59 @@ from pyspark.sql import functions as F
 from shoal.functions.keys import div
 
 DEFAULT_SEED = 19620718
+PRIME = (1 << 31) - 1
+ROUNDS = ((0x5BD1E995, 1103515245), (0x27D4EB2F, 1597334677), (0x165667B1, 1812433253))
+ROUNDS = tuple((c & PRIME, a) for c, a in ROUNDS)
+START = (12345, 54321)          # of the first and the second lane
+WIDE = 1 << 24                  # ranges above this draw from both lanes
+
+
+def _round_int(h: int, k: int) -> int:
+    h = ((h ^ ROUNDS[0][0]) + k % PRIME) % PRIME * ROUNDS[0][1] % PRIME
+    for c, a in ROUNDS[1:]:
+        h = (h ^ c) * a % PRIME
+    return h
+
+
+def _folded(keys: tuple, lane: int) -> tuple[int, tuple]:
+    """The leading integer keys mixed here, and the rest."""
+    h = START[lane]
+    while keys and isinstance(keys[0], int):
+        h, keys = _round_int(h, keys[0]), keys[1:]
+    return h, keys
+
+
+def mix(*keys, lane: int = 0) -> Column:
+    """A draw in [0, 2^31 - 1) for integer keys (numbers or columns)."""
+    h, rest = _folded(keys, lane)
+    h = F.lit(h).cast("long")
+    for k in rest:
+        k = F.lit(k % PRIME).cast("long") if isinstance(k, int) else F.pmod(k.cast("long"), F.lit(PRIME).cast("long"))
+        h = (h.bitwiseXOR(F.lit(ROUNDS[0][0]).cast("long")) + k) % PRIME * ROUNDS[0][1] % PRIME
+        for c, a in ROUNDS[1:]:
+            h = h.bitwiseXOR(F.lit(c).cast("long")) * a % PRIME
+    return h
+
+
+def mix_sql(*keys, lane: int = 0) -> str:
+    """The same draw as SQL text (DuckDB); text keys are non-negative integer expressions."""
+    h, rest = _folded(keys, lane)
+    out = f"{h}::BIGINT"
+    for k in rest:
+        k = str(k % PRIME) if isinstance(k, int) else f"({k})::BIGINT % {PRIME}"
+        out = f"((xor({out}, {ROUNDS[0][0]}::BIGINT) + {k}) % {PRIME} * {ROUNDS[0][1]} % {PRIME})"
+        for c, a in ROUNDS[1:]:
+            out = f"(xor({out}, {c}::BIGINT) * {a} % {PRIME})"
+    return out
 
 
-def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+def wide_mix(*keys) -> Column:
+    """A draw below 2^62 from both lanes, for ranges that 31 bits would not fill."""
+    return F.shiftleft(mix(*keys), 31) + mix(*keys, lane=1)
 
 
-def draw(stream: int, *keys, seed: int = DEFAULT_SEED) -> Column:
-    """A 64-bit hash draw for (seed, stream, keys...)."""
-    return F.xxhash64(F.lit(seed), F.lit(stream), *[_c(k) for k in keys])
+def wide_mix_sql(*keys) -> str:
+    return f"(({mix_sql(*keys)} << 31) + {mix_sql(*keys, lane=1)})"
 
 
 def weighted_pick(df: DataFrame, draw_col: str, dist: DataFrame, total: Column, out: str = "picked",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shoal.functions.draws import DEFAULT_SEED
+from shoal.functions.draws import DEFAULT_SEED, WIDE, mix, wide_mix
 from shoal.generate import vocab
 
 
@@ -19,12 +19,13 @@ def _c(x) -> Column:
 
 
 def _h(stream: int, *keys) -> Column:
-    return F.xxhash64(F.lit(DEFAULT_SEED), F.lit(stream), *[_c(k) for k in keys])
+    return mix(DEFAULT_SEED, stream, *keys)
 
 
-def _int(lo, hi, stream: int, *keys) -> Column:
-    lo, hi = _c(lo).cast("long"), _c(hi).cast("long")
-    return lo + F.pmod(_h(stream, *keys), hi - lo + 1)
+def _int(lo: int, hi: int, stream: int, *keys) -> Column:
+    """Uniform integer in [lo, hi] (I16)."""
+    h = _h(stream, *keys) if hi - lo < WIDE else wide_mix(DEFAULT_SEED, stream, *keys)
+    return F.lit(lo).cast("long") + h % F.lit(hi - lo + 1).cast("long")
 
 
 _SEP = "\u0001"
@@ -71,13 +72,16 @@ def embed(text: Column, word: Column, stream: int, key) -> Column:
 
 
 def distinct_picks(values: list[str], n: int, stream: int, key, sep: str = " ") -> Column:
-    """``n`` different entries of ``values`` joined by ``sep`` (H26): the list is
-    ordered by a per-row hash and the first ``n`` kept."""
-    arr = const_array(values)
-    ranked = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(len(values))),
-                                      lambda i: F.struct(_h(stream, key, i).alias("h"), i.alias("i"))))
-    idx = F.slice(ranked, 1, n)
-    return F.array_join(F.transform(idx, lambda s: F.element_at(arr, s["i"])), sep)
+    """``n`` different entries of ``values`` joined by ``sep`` (H26), by ``n`` draws: the i-th is one of
+    the first size - n + i places, or the last of these if that place is already taken."""
+    arr, size, taken = const_array(values), len(values), F.array().cast("array<long>")
+    for i in range(1, n + 1):
+        last = size - n + i
+        draw = _h(stream, key, i) % last + 1
+        # a one-element array binds what is drawn so far once
+        taken = F.element_at(F.transform(F.array(taken), lambda t: F.concat(  # noqa: B023
+            t, F.array(F.when(F.array_contains(t, draw), F.lit(last).cast("long")).otherwise(draw)))), 1)
+    return F.array_join(F.transform(taken, lambda k: F.element_at(arr, k.cast("int"))), sep)
 
 
 # --------------------------------------------------------------------------- comment grammar
@@ -93,13 +97,13 @@ class _Slots:
 
     def word(self, part: str) -> Column:
         self.n += 1
-        return pick(vocab.expand(_WORDS[part]), self.stream, self.key, self.sentence, F.lit(self.n))
+        return pick(vocab.expand(_WORDS[part]), self.stream, self.key, self.sentence, self.n)
 
     def choice(self, weighted: list[tuple[str, int]]) -> Column:
         """0-based index of a weighted pick: a draw in [0, total) against the
         running weight thresholds."""
         self.n += 1
-        r = F.pmod(_h(self.stream, self.key, self.sentence, F.lit(self.n)), F.lit(sum(w for _, w in weighted)))
+        r = _h(self.stream, self.key, self.sentence, self.n) % sum(w for _, w in weighted)
         out, upto = None, 0
         for i, (_, w) in enumerate(weighted[:-1]):
             upto += w

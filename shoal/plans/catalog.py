@@ -888,6 +888,7 @@ def q_stage_metrics(spark, sf_dir):
 
 # --------------------------------------------------------------------------- generation
 from shoal.generate import tables as G  # noqa: E402
+from shoal.plans.gen_oracle import ORACLE as GEN_ORACLE  # noqa: E402
 
 
 def _sizes(spark, sf_dir) -> dict[str, int]:
@@ -907,17 +908,17 @@ def _gen(name: str, source: str, key: str):
         if name == "partsupp":
             return G.partsupp(spark, sf, n, key_source=keys, sizes=sizes)
         return {"supplier": G.supplier, "customer": G.customer, "part": G.part}[name](spark, sf, n, key_source=keys)
-    run.__doc__ = f"I-jobs: {name} rows regenerated for every key of the given {source} table (rows-only)."
+    run.__doc__ = f"I-jobs: {name} rows regenerated for every key of the given {source} table."
     return run
 
 
 for _name, _src, _key in (("supplier", "supplier", "s_suppkey"), ("customer", "customer", "c_custkey"),
                           ("part", "part", "p_partkey"), ("partsupp", "part", "p_partkey"),
                           ("orders", "orders", "o_orderkey"), ("lineitem", "orders", "o_orderkey")):
-    register(f"gen_{_name}")(_gen(_name, _src, _key))
+    register(f"gen_{_name}", GEN_ORACLE[f"gen_{_name}"]())(_gen(_name, _src, _key))
 
 
-@register("gen_refresh")
+@register("gen_refresh", GEN_ORACLE["gen_refresh"]())
 def q_gen_refresh(spark, sf_dir):
     """Refresh set 1 over the given orders, inserts and delete keys tagged."""
     sizes = _sizes(spark, sf_dir)

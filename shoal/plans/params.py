@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoal.functions import draws
 from shoal.generate import vocab
 
 # Default substitution parameters of queries 1-22, in order.
@@ -77,12 +78,15 @@ SPEC: list[tuple[int, int, str, int, int, str]] = [
 PERM_FIRST = {16: 3, 22: 1}  # slot number of the first permutation value
 
 
+PARAM_STREAM = 1000  # apart from the streams of the generated columns
+
+
 def mix(stream: Column, query: Column, slot: Column) -> Column:
-    """Integer draw for (stream, query, slot) in [0, 2^32): the same arithmetic in SQL."""
-    return ((stream * 7919 + query * 104729 + slot * 1299709) * 2654435761) % 4294967296
+    """Integer draw for (stream, query, slot): the generator's mixer, the same arithmetic in SQL."""
+    return draws.mix(draws.DEFAULT_SEED, PARAM_STREAM, stream, query, slot)
 
 
-MIX_SQL = "(((({s}) * 7919 + ({q}) * 104729 + ({k}) * 1299709) * 2654435761) % 4294967296)"
+MIX_SQL = draws.mix_sql(draws.DEFAULT_SEED, PARAM_STREAM, "{s}", "{q}", "{k}")
 
 
 # --------------------------------------------------------------------------- M1
