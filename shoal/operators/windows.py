@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.functions.keys import div
 from shoal.session import cut_lineage
 
 
@@ -183,39 +184,43 @@ def _total(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
+def _numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, Column]:
+    """Rows with their global number ``rn``, and the number of rows from the written copy (no second scan)."""
+    numbered = global_row_number(df, order)
+    return numbered, numbered.select(F.coalesce(F.max("rn"), F.lit(0))).scalar()
+
+
 def chunk_of(rn: Column, total: Column, chunks: int) -> Column:
     """Chunk s of C with ``total div C`` rows each, the remainder in the last."""
-    per = F.floor(total / chunks)
-    return F.least(F.floor((rn - 1) / F.greatest(per, F.lit(1))) + 1, F.lit(chunks)).cast("int")
+    per = div(total, chunks)
+    return F.least(div(rn - 1, F.greatest(per, F.lit(1))) + 1, F.lit(chunks)).cast("int")
 
 
 def ntile_of(rn: Column, total: Column, n: int) -> Column:
     """``ntile(n)``: quotient rows per segment, one extra in the first ``total mod n`` (E5)."""
-    q, r = F.floor(total / n), total % n
+    q, r = div(total, n), total % n
     big = r * (q + 1)
-    return F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1) \
-            .otherwise(r + F.floor((rn - 1 - big) / F.greatest(q, F.lit(1))) + 1).cast("int")
+    return F.when(rn <= big, div(rn - 1, q + 1) + 1) \
+            .otherwise(r + div(rn - 1 - big, F.greatest(q, F.lit(1))) + 1).cast("int")
 
 
 def delete_segment_of(rn: Column, total: Column, n: int) -> Column:
     """Delete-file segment: ``(rn - 1) div (total div n + 1) + 1`` (E5, deletes)."""
-    return (F.floor((rn - 1) / (F.floor(total / n) + 1)) + 1).cast("int")
+    return (div(rn - 1, div(total, n) + 1) + 1).cast("int")
 
 
 def assign_chunks(df: DataFrame, order: list[str], chunks: int, dense_key: str | None = None) -> DataFrame:
     """Add ``chunk`` (E6). With a dense 0-based ``dense_key`` the row number is
     the key + 1 and no sort is needed (the generator's case)."""
-    total = _total(df)
     if dense_key:
-        return df.withColumn("chunk", chunk_of(F.col(dense_key) + 1, total, chunks))
-    numbered = global_row_number(df, order)
+        return df.withColumn("chunk", chunk_of(F.col(dense_key) + 1, _total(df), chunks))
+    numbered, total = _numbered(df, order)
     return numbered.withColumn("chunk", chunk_of(F.col("rn"), total, chunks)).drop("rn")
 
 
 def assign_segments(df: DataFrame, order: list[str], n: int, kind: str = "insert") -> DataFrame:
     """Add ``segment`` for an insert (ntile) or delete set split into ``n`` files (E5)."""
-    total = _total(df)
-    numbered = global_row_number(df, order)
+    numbered, total = _numbered(df, order)
     seg = ntile_of(F.col("rn"), total, n) if kind == "insert" else delete_segment_of(F.col("rn"), total, n)
     return numbered.withColumn("segment", seg).drop("rn")
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import draws
+from shoal.session import cut_lineage
 from shoal.generate import vocab
 
 # Default substitution parameters of queries 1-22, in order.
@@ -156,9 +157,9 @@ def draw_params(t: dict[str, DataFrame], streams: int = STREAMS) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     uni = a + h % (b - a + 1)
     sf = t["supplier"].select(F.count(F.lit(1))).scalar() / 10000
-    doms = domains(t)
+    doms = cut_lineage(domains(t))   # the tables are read once; sizes and values both use it
     sizes = doms.groupBy("dom").agg(F.first("size").alias("size"))
-    rows = rows.join(F.broadcast(sizes), "dom", "left")  # domains: bounded, distinct values
+    rows = rows.join(F.broadcast(sizes), "dom", "left")  # one row per domain of the grammar
     size = F.col("size")
     kind = F.col("kind")
     idx = (F.when(kind == "other", (h_prev % size + 1 + h % (size - 1)) % size)
@@ -166,7 +167,7 @@ def draw_params(t: dict[str, DataFrame], streams: int = STREAMS) -> DataFrame:
            .otherwise(h % size))
     rows = rows.withColumn("idx", idx)
     dom = doms.select("dom", "idx", F.col("value").alias("picked"))
-    rows = rows.join(F.broadcast(dom), ["dom", "idx"], "left")
+    rows = rows.join(dom, ["dom", "idx"], "left")
     picked = F.col("picked")
     first_perm = F.when(q == 16, F.lit(PERM_FIRST[16])).otherwise(F.lit(PERM_FIRST[22]))
     ranked = F.array_sort(F.transform(F.sequence(a, b), lambda x: F.struct(mix(s, q, x).alias("h"), x.alias("x"))))
