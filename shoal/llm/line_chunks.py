@@ -1,14 +1,19 @@
 """Line dedup by content-defined chunks of lines (operator 2), DataFrame functions only.
 
-A text is cut into lines. A chunk ends after a line if the rolling hash over the
-last ``WINDOW_LINES`` line hashes (md5) is less than that of the lines before and
-after it, so bounds depend only on the lines around them and return after any
-insertion, and a chunk has two lines at least; a line of at least ``LONG_LINE``
-words is a chunk of its own. Of each chunk of two or more
-lines (or one long line) that occurs more than once in all documents, the
-occurrence in the smallest (id, text hash), at its smallest chunk number, stays
-and the others are removed from their texts. Hashes only nominate chunks: the
-chunks' bytes are compared before any is removed.
+A text is cut into lines. A rolling hash over each pair of neighbouring lines (of
+their md5 hashes, with one salt for either use) marks half of the lines as starts
+and half as ends. A chunk runs from a start to the nearest end after it, at most
+``MOST`` lines on, so it has two lines at least, and its bounds follow from its own
+lines alone: wherever the lines return, whatever stands around them, the chunk
+returns. A line of at least ``LONG_LINE`` words is also a chunk of its own.
+
+Of a chunk that occurs more than once in all documents, the occurrence in the
+smallest (id, text hash), at the smallest line, stays and the others are removed
+from their texts, together with the lines before and after them, up to ``AROUND``
+on either side, that also stand before and after the first occurrence. So a line goes only where
+the same line stands at a smaller place; of overlapping repeats (a run of equal
+lines) the first lines stay. Hashes only nominate chunks: the chunks' bytes are
+compared before any is removed.
 
 Cutting is one narrow pass over the arrays of a row. What is shuffled: one
 short row per chunk (counted map-side first, so a chunk in a third of all
@@ -30,72 +35,81 @@ from pyspark.sql import functions as F
 
 from shoal.llm.common import write_table
 
-WINDOW_LINES = 2
 LONG_LINE = 50
+MOST = 16
+AROUND = 8
 
 
 def lines_of(text: str) -> str:
     return f"split({text}, '\\n', -1)"
 
 
-def chunks(text: str, window: int = WINDOW_LINES, long_line: int = LONG_LINE) -> Column:
-    """Array of (no, s, e, h): each eligible chunk's number, first and last line, and hash."""
-    rolled = "concat(" + ", ".join(f"a[i - {k}].h" for k in range(window - 1, -1, -1)) + ")"
-    start = "IF(j = 0, 0, e[j - 1] + 1)"
-    # nested one-element arrays bind a value once: a the lines (hash, long or not), r the rolling hashes, e the chunks' last lines
+def line_hashes(text: str) -> str:
+    return f"transform({lines_of(text)}, l -> md5(cast(l AS binary)))"
+
+
+def chunks(text: str, long_line: int = LONG_LINE, most: int = MOST) -> Column:
+    """Array of (s, e, h): first and last line and hash of each chunk."""
+    long = f"length(l) >= {2 * long_line - 1} AND length(l) - length(replace(l, ' ', '')) >= {long_line - 1}"
+    # nested one-element arrays bind a value once: ls the lines, a their hashes, m the marks of ends
     return F.expr(f"""
-        filter(
-          element_at(transform(array(transform({lines_of(text)}, l -> struct(
-                md5(cast(l AS binary)) AS h,
-                length(l) >= {2 * long_line - 1} AND length(l) - length(replace(l, ' ', '')) >= {long_line - 1} AS w))),
-            a -> element_at(transform(array(transform(sequence(0, size(a)), i ->
-                  IF(i < {window - 1} OR i = size(a), '~', md5(cast({rolled} AS binary))))),
-              r -> element_at(transform(array(filter(sequence(0, size(a) - 1), i ->
-                    i = size(a) - 1 OR a[i].w OR a[i + 1].w
-                    OR (i > 0 AND i < size(a) - 2 AND r[i] < r[i - 1] AND r[i] < r[i + 1]))),
-                e -> transform(e, (x, j) -> struct(
-                      j AS no, {start} AS s, x AS e,
-                      IF(x > {start} OR a[x].w,
-                         md5(cast(array_join(transform(slice(a, {start} + 1, x - {start} + 1), y -> y.h), '') AS binary)),
-                         NULL) AS h))), 1)), 1)), 1),
-          c -> c.h IS NOT NULL)""")
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW_LINES, long_line: int = LONG_LINE) -> DataFrame:
+        element_at(transform(array({lines_of(text)}), ls -> element_at(transform(array({line_hashes(text)}), a ->
+          concat(
+            element_at(transform(array(transform(a, (x, j) -> j > 0 AND md5(cast(concat('e', a[j - 1], x) AS binary)) < '8')), m ->
+              transform(
+                filter(
+                  transform(
+                    filter(sequence(0, size(a) - 1), i -> i + 1 < size(a) AND md5(cast(concat('s', a[i], a[i + 1]) AS binary)) < '8'),
+                    i -> struct(i AS s, i + cast(array_position(slice(m, i + 2, {most}), true) AS int) AS e)),
+                  c -> c.e > c.s),
+                c -> struct(c.s AS s, c.e AS e, xxhash64(slice(a, c.s + 1, c.e - c.s + 1)) AS h))), 1),
+            transform(
+              filter(transform(ls, (l, i) -> struct({long} AS w, i AS i)), c -> c.w),
+              c -> struct(c.i AS s, c.i AS e, xxhash64(a[c.i]) AS h)))), 1)), 1)""")
+
+
+def repeated_spans(docs: DataFrame, long_line: int = LONG_LINE, most: int = MOST, around: int = AROUND) -> DataFrame:
     """(k1, k2, spans): per document of (id, text, k1, k2) the line spans (s, e) to remove."""
     meta, _ = write_table(docs.filter("text is not null")
-                          .select("id", "k1", "k2", F.explode(chunks("text", window, long_line)).alias("c"))
-                          .select("id", "k1", "k2", "c.*"), "chunks")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "no")
+                          .select("k1", "k2", F.explode(chunks("text", long_line, most)).alias("c"))
+                          .select("k1", "k2", "c.*"), "chunks")
     # written before it is joined: a join fed by the aggregate itself could not split a hot chunk's rows
     often, _ = write_table(meta.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     # a document's candidates are bounded by its own chunks
-    cand = meta.join(often, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("no", "s", "e", "h")).alias("cs"))
+    cand = meta.join(often, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e", "h")).alias("cs"))
     once = docs.join(cand, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     texts = once.select("id", "k1", "k2", F.explode(F.expr(
-        f"element_at(transform(array({lines_of('text')}), ls -> transform(cs, c -> struct(c.no, c.s, c.e, c.h, "
-        "array_join(slice(ls, c.s + 1, c.e - c.s + 1), '\\n') AS bytes))), 1)")).alias("c")).select("id", "k1", "k2", "c.*")
-    texts, _ = write_table(texts.withColumn("place", place).select("k1", "k2", "s", "e", "h", "bytes", "place"), "chunktexts")
-    first, _ = write_table(texts.groupBy("h", "bytes").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-                           .filter("n > 1").drop("n"), "first")
+        f"element_at(transform(array(struct({lines_of('text')} AS ls, {line_hashes('text')} AS a)), d -> transform(cs, c -> struct(c.s, c.e, c.h, "
+        "array_join(slice(d.ls, c.s + 1, c.e - c.s + 1), '\n') AS bytes, "
+        f"reverse(slice(d.a, greatest(1, c.s - {around - 1}), least({around}, c.s))) AS pre, slice(d.a, c.e + 2, {around}) AS post))), 1)")).alias("c"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", F.col("c.s").alias("s"))
+    texts, _ = write_table(texts.select("k1", "k2", "c.*", place.alias("place")), "chunktexts")
+    first, _ = write_table(texts.groupBy("h", "bytes").agg(
+        F.min(F.struct("place", F.col("pre").alias("pre0"), F.col("post").alias("post0"))).alias("f"), F.count("*").alias("n"))
+        .filter("n > 1").select("h", "bytes", "f.*").withColumnRenamed("place", "first"), "first")
+    same = ("IF(least(size({x}), size({y})) = 0, 0, size(filter(sequence(1, greatest(1, least(size({x}), size({y})))), "
+            "k -> slice({x}, 1, k) = slice({y}, 1, k))))")
     return (texts.join(first, ["h", "bytes"]).filter("place <> first")
-            .groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+            .select("k1", "k2", F.expr(f"s - {same.format(x='pre', y='pre0')}").alias("s"), F.expr(f"e + {same.format(x='post', y='post0')}").alias("e"))
+            .groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_LINES,
-                long_line: int = LONG_LINE, stats: str = "dedup") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                long_line: int = LONG_LINE, most: int = MOST, around: int = AROUND, stats: str = "dedup") -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, and struct ``stats`` (n_lines, n_removed)."""
     own = "t" + uuid.uuid4().hex[:8]                     # names that can't clash with the input's
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     keys = {"k1": F.xxhash64(id_, text), "k2": F.xxhash64(F.lit("lane"), text, id_)}
     slim = docs.select(id_.alias("id"), text.alias("text"), *(v.alias(k) for k, v in keys.items()))
-    spans = repeated_spans(slim, window, long_line).select(*(F.col(c).alias(f"{own}_{c}") for c in ("k1", "k2", "spans")))
+    spans = repeated_spans(slim, long_line, most, around).select(*(F.col(c).alias(f"{own}_{c}") for c in ("k1", "k2", "spans")))
     wide = docs.withColumns({f"{own}_{k}": v for k, v in keys.items()}).join(spans, [f"{own}_k1", f"{own}_k2"], "left")
     t, s = f"`{text_col}`", f"{own}_spans"
-    rest = (f"IF({s} IS NULL, {t}, element_at(transform(array({lines_of(t)}), ls -> array_join(transform("
-            f"array_except(sequence(0, size(ls) - 1), flatten(transform({s}, r -> sequence(r.s, r.e)))), i -> ls[i]), '\\n')), 1))")
-    removed = f"coalesce(aggregate({s}, 0L, (n, r) -> n + r.e - r.s + 1), 0L)"
+    gone = f"array_distinct(flatten(transform({s}, r -> sequence(r.s, r.e))))"
+    wide = wide.withColumn(f"{own}_gone", F.expr(f"IF({s} IS NULL, NULL, {gone})"))
+    g = f"{own}_gone"
+    rest = (f"IF({g} IS NULL, {t}, element_at(transform(array({lines_of(t)}), ls -> array_join(transform("
+            f"array_except(sequence(0, size(ls) - 1), {g}), i -> ls[i]), '\n')), 1))")
     wide = wide.withColumn(f"{own}_stats", F.struct(
-        F.expr(f"coalesce(cast(size({lines_of(t)}) AS long), 0L)").alias("n_lines"), F.expr(removed).alias("n_removed")))
+        F.expr(f"coalesce(cast(size({lines_of(t)}) AS long), 0L)").alias("n_lines"), F.coalesce(F.size(g).cast("long"), F.lit(0)).alias("n_removed")))
     return wide.select(*(F.expr(rest).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
                        F.col(f"{own}_stats").alias(stats))

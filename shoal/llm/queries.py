@@ -80,22 +80,24 @@ QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_tox
 ORACLE = {
     # md5 decides the bounds in both engines; ids are unique in the given tables
     "op2_line_dedup": """
-        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-                          unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n
-                   FROM documents WHERE text IS NOT NULL),
-        h AS (SELECT *, md5(line) AS h,
-                     length(line) >= 99 AND length(line) - length(replace(line, ' ', '')) >= 49 AS w FROM l),
-        q AS (SELECT *, CASE WHEN i = 0 THEN '~' ELSE md5(lag(h) OVER o || h) END AS r, coalesce(lead(w) OVER o, false) AS next
+        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, ls, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+        h AS (SELECT *, md5(line) AS h, length(line) >= 99 AND length(line) - length(replace(line, ' ', '')) >= 49 AS w FROM l),
+        q AS (SELECT *, coalesce(md5('s' || h || lead(h) OVER o) < '8', false) AS st, coalesce(md5('e' || lag(h) OVER o || h) < '8', false) AS en
               FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-        b AS (SELECT *, i = n - 1 OR w OR next
-                     OR (i > 0 AND i < n - 2 AND r < lag(r) OVER o AND r < lead(r) OVER o) AS cut FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-        c AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b),
-        k AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS bytes, count(*) AS m, bool_or(w) AS w FROM c GROUP BY ALL),
-        f AS (SELECT bytes, min(struct_pack(d := doc_id, n := no)) AS first FROM k WHERE m > 1 OR w GROUP BY bytes HAVING count(*) > 1),
-        r AS (SELECT k.doc_id, k.no FROM k JOIN f USING (bytes) WHERE (m > 1 OR w) AND struct_pack(d := k.doc_id, n := k.no) <> first),
-        z AS (SELECT c.doc_id, count(*) AS n_lines, count(r.no) AS n_removed,
-                     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.no IS NULL), '') AS text
-              FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND r.no = c.no GROUP BY c.doc_id)
+        b AS (SELECT *, min(CASE WHEN en THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 16 FOLLOWING) AS e FROM q),
+        c AS (SELECT doc_id, ls, i AS s, e FROM b WHERE st AND e IS NOT NULL UNION ALL SELECT doc_id, ls, i, i FROM b WHERE w),
+        k AS (SELECT *, array_to_string(ls[s + 1:e + 1], chr(10)) AS bytes FROM c),
+        f AS (SELECT bytes, min(struct_pack(d := doc_id, n := s)) AS f, arg_min(ls, struct_pack(d := doc_id, n := s)) AS ls0,
+                     arg_min(e, struct_pack(d := doc_id, n := s)) AS e0 FROM k GROUP BY bytes HAVING count(*) > 1),
+        r AS (SELECT k.doc_id,
+                     s - len([x FOR x IN range(1, 9) IF s >= x AND f.n >= x AND ls[s - x + 1:s] = ls0[f.n - x + 1:f.n]]) AS s,
+                     e + len([x FOR x IN range(1, 9) IF e + x < len(ls) AND e0 + x < len(ls0) AND ls[e + 2:e + 1 + x] = ls0[e0 + 2:e0 + 1 + x]]) AS e
+              FROM k JOIN f USING (bytes) WHERE struct_pack(d := k.doc_id, n := k.s) <> f),
+        g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM r),
+        z AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+                     coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
+              FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
         SELECT d.doc_id, coalesce(z.n_lines, 0) AS n_lines, coalesce(z.n_removed, 0) AS n_removed, z.text
         FROM documents d LEFT JOIN z USING (doc_id)""",
     "op6_chat_snapshots": """

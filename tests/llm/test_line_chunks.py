@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 from shoal.llm.line_chunks import dedup_lines
@@ -8,25 +9,39 @@ from .helpers import CLASHES, awkward_texts, docs
 def chunks(text):
     lines = text.split("\n")
     md5 = [hashlib.md5(x.encode()).hexdigest() for x in lines]
-    long = [len(x) >= 99 and x.count(" ") >= 49 for x in lines]
-    r = ["~", *(hashlib.md5((a + b).encode()).hexdigest() for a, b in zip(md5, md5[1:])), "~"]
-    out, s = [], 0
+
+    def mark(salt, i):
+        return 0 <= i < len(lines) - 1 and hashlib.md5((salt + md5[i] + md5[i + 1]).encode()).hexdigest() < "8"
+
+    out = [(i, i) for i, x in enumerate(lines) if len(x) >= 99 and x.count(" ") >= 49]
     for i in range(len(lines)):
-        if i == len(lines) - 1 or long[i] or long[i + 1] or (0 < i < len(lines) - 2 and r[i] < min(r[i - 1], r[i + 1])):
-            out.append((s, i, "\n".join(lines[s:i + 1]), i > s or long[i]))
-            s = i + 1
+        if mark("s", i):
+            out += [(i, e) for e in range(i + 1, min(i + 17, len(lines))) if mark("e", e - 1)][:1]
     return lines, out
 
 
 def brute(rows):
-    """Expected (id, text) -> text, for rows with unique (id, text)."""
+    """(id, text) -> (text left, lines removed), for rows with unique ids."""
+    cut = {i: chunks(t) for i, t in rows}
     places = defaultdict(list)
-    for i, t in rows:
-        if t is not None:
-            for no, (s, e, body, ok) in enumerate(chunks(t)[1]):
-                if ok:
-                    places[body].append((i is None, i or 0, t, no))
-    return places
+    for i, (lines, cs) in cut.items():
+        for s, e in cs:
+            places["\n".join(lines[s:e + 1])].append((i, s, e))
+    out = {}
+    for i, (lines, cs) in cut.items():
+        gone = set()
+        for s, e in cs:
+            i0, s0, e0 = min(places["\n".join(lines[s:e + 1])])
+            if (i0, s0) == (i, s):
+                continue
+            first, a, z = cut[i0][0], 0, 0
+            while a < 8 and s > a and s0 > a and lines[s - a - 1] == first[s0 - a - 1]:
+                a += 1
+            while z < 8 and e + z + 1 < len(lines) and e0 + z + 1 < len(first) and lines[e + z + 1] == first[e0 + z + 1]:
+                z += 1
+            gone |= set(range(s - a, e + z + 1))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
+    return out
 
 
 def test_repeated_passages_go_from_all_but_the_first(spark):
@@ -34,16 +49,31 @@ def test_repeated_passages_go_from_all_but_the_first(spark):
     long_line = " ".join(f"word{k}" for k in range(60))
     rows = [(k, f"own start {k}\nsecond {k}\n{passage}\nown end {k}") for k in range(6)]
     rows += [(10 + k, f"head {k}\n{long_line}\ntail {k}") for k in range(3)]
+    rows += [(20, "a\nb\n" * 30), (21, "x\n" * 40), (22, "\n" * 5), (23, passage)]
     got = {r.doc_id: r for r in dedup_lines(docs(spark, rows)).collect()}
-    places = brute(rows)
-    for i, t in rows:
-        lines, cs = chunks(t)
-        keep = [x for no, (s, e, body, ok) in enumerate(cs)
-                if not (ok and len({p[:3] for p in places[body]}) > 1 and min(places[body]) != (False, i, t, no)) for x in lines[s:e + 1]]
-        assert got[i].text == "\n".join(keep), i
-        assert got[i].dedup.n_lines == len(lines) and got[i].dedup.n_removed == len(lines) - len(keep)
-    assert sum("shared line number 5 " in r.text for r in got.values()) == 1
+    for i, (text, n) in brute(rows).items():
+        assert (got[i].text, got[i].dedup.n_removed) == (text, n), i
+        assert got[i].dedup.n_lines == rows[[r[0] for r in rows].index(i)][1].count("\n") + 1
+    for k in range(12):                                    # the whole passage, its first and last lines too
+        assert sum(f"shared line number {k} " in r.text for r in got.values()) == 1
     assert sum(long_line in r.text for r in got.values()) == 1
+    assert all(f"own start {k}" in got[k].text and f"own end {k}" in got[k].text for k in range(6))
+
+
+def test_random_documents_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = [f"line {k}" for k in range(60)]
+    shared = [rng.sample(pool, rng.randint(2, 9)) for _ in range(6)]
+    rows = []
+    for i in range(80):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            lines += rng.choice(shared) if rng.random() < 0.4 else [f"own {i} {rng.random()}" for _ in range(rng.randint(1, 4))]
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: (r.text, r.dedup.n_removed) for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got == brute(rows)
+    kept = {x for t, _ in got.values() for x in t.split("\n")}
+    assert kept >= {x for _, t in rows for x in t.split("\n")}       # no line is lost altogether
 
 
 def test_awkward_rows(spark):
