@@ -53,6 +53,7 @@ NUM, DEN = 75, 100
 SMALL = 8
 BIG = 64
 BLOCK_SHINGLES = 1 << 18
+BLOCK_ROWS = 1024
 TILE_ROWS = 4096
 FIRST_KEYS = 16
 SAMPLE_SHARE = 8
@@ -239,19 +240,15 @@ def tile_forest(tile: pa.Table) -> pa.Table:
         return x
 
     out = []
-    pairs = []
-    for i in range(len(s)):
+    for i in range(len(s) - 1):
         missing = np.bitwise_count(sig[i] & ~sig[i + 1:]).sum(axis=1, dtype=np.int64)
         extra = np.bitwise_count(sig[i + 1:] & ~sig[i]).sum(axis=1, dtype=np.int64)
         most = np.minimum(size[i] - missing, size[i + 1:] - extra)
         ok = np.flatnonzero((NUM + DEN) * most >= NUM * (size[i] + size[i + 1:]))
-        pairs.append((most[ok] / (size[i] + size[i + 1:][ok]), np.full(len(ok), i), ok + i + 1))
-    bound, i, j = (np.concatenate(x) if pairs else np.zeros(0) for x in zip(*pairs)) if pairs else (np.zeros(0),) * 3
-    for k in np.argsort(-bound, kind="stable"):
-        a, z = int(i[k]), int(j[k])
-        if find(a) != find(z) and alike(s[a], s[z]):
-            root[find(z)] = find(a)
-            out.append((node[a], node[z]))
+        for j in ok[np.argsort(-most[ok], kind="stable")] + i + 1:
+            if find(i) != find(int(j)) and alike(s[i], s[j]):
+                root[find(int(j))] = find(i)
+                out.append((node[i], node[j]))
     return pa.table([pa.array([int(x[q]) for x in out], pa.int64()) for q in (0, 1)], ["a", "b"])
 
 
@@ -298,7 +295,7 @@ def large_tile_pairs(t: DataFrame, nodes: DataFrame) -> DataFrame:
             sig, keys = (table.column(k).combine_chunks() for k in ("sig", "keys"))
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 ask, all_ = lo + np.flatnonzero(c["asks"][lo:hi]), lo + np.flatnonzero(~c["asks"][lo:hi])
-                step = max(1, (1 << 20) // max(1, len(all_)))
+                step = max(1, (1 << 18) // max(1, len(all_)))
                 for s in range(0, len(ask), step):
                     i, j = ask[s:s + step, None], all_[None, :]
                     na, nb = c["n"][i], c["n"][j]
@@ -343,7 +340,7 @@ def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: st
 
     # contraction: classes of large tiles in blocks; for each class the hub that it shares most tiles with
     own = tiles.filter(f"cnt > {BIG}").groupBy("node").agg(F.max(F.struct("cnt", "h")).alias("t"), F.first("n").alias("n")).select("node", "n", "t.h")
-    blocks = own.groupBy("h").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = own.groupBy("h").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
     dense, _ = write_table(own.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "dense")
     size = nodes.select(F.col("node").alias("hub"), F.col("n").alias("nb"))
     hubs = (tiles.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("na"))
