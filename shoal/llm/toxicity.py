@@ -2,7 +2,8 @@
 
 Voters look at a text and vote toxic, clean, or abstain: lexicons by theme,
 lexicons mined from labelled training rows, and patterns (an insult near "you",
-many insults, masked spellings, shouting, or at most one lexicon word). A
+many insults, masked spellings, shouting, or at most one lexicon word and that not in
+a theme and mined too). A
 generative label model explains the votes of all training documents by a hidden
 class: each voter's accuracy, and the correlations of voters as a tree of
 dependences given the class (each voter may lean on one other), fitted by EM on
@@ -89,9 +90,11 @@ def votes(data: np.ndarray, offsets: np.ndarray, i: int, j: int, mined: tuple[np
         insult |= hit
         out[:, k] = per_row(hit, first) > 0
     at = len(LEXICONS)
+    themed, agreed = insult.copy(), np.zeros(len(h), bool)
     for k, words in enumerate(mined):
         hit = _isin(h, words)
         insult |= hit
+        agreed |= hit & themed
         out[:, at + k] = per_row(hit, first) > 0
     at += 2
     order = np.lexsort((h[insult], doc[insult]))
@@ -114,7 +117,7 @@ def votes(data: np.ndarray, offsets: np.ndarray, i: int, j: int, mined: tuple[np
         out[:, at + 2] = per_row(_isin(mh, lexicon), mf) > per_row(_isin(h, lexicon), first)
     upper, letters, bangs = (per_row(m, rel) for m in (_UPPER[raw], _LETTER[raw], raw == 0x21))
     out[:, at + 3] = (letters > 20) & (2 * upper > letters) & (bangs > 2)
-    out[:, CLEAN_VOTER] = (distinct < 2) & ~out[:, at + 1:at + 3].any(axis=1)
+    out[:, CLEAN_VOTER] = (distinct < 2) & (per_row(agreed, first) == 0) & ~out[:, at + 1:at + 3].any(axis=1)
     return out, h, doc
 
 
