@@ -47,7 +47,7 @@ KNOWN = 1 << 20
 HEAVY = 1 << 16
 GT_MAX = 5
 PART_TOKENS = 1 << 19
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 TOP = np.uint64(1 << 63)
 START, END = (mix64(np.array([k], np.uint64))[0] for k in (0x5747, 0x454E))
 BLOB = "p int, kind int, blob binary"
@@ -93,6 +93,34 @@ def summed(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.
     return v[at], w[at], (np.add.reduceat(c.astype(np.int64), at) if len(at) else c).astype(np.uint32)
 
 
+def tally(v: np.ndarray, w: np.ndarray, doc: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (v, w, doc) and how often each occurs, in order of v's and w's codes.
+
+    The codes of a chunk's rare words get numbers after the ``known`` ranks, so a row
+    is one 64-bit number and one sort does; what does not fit is sorted by columns.
+    """
+    rare = np.unique(np.concatenate([v[v >= TOP], w[w >= TOP]]))
+    b = int(known + len(rare)).bit_length()
+    d = int(doc.max()).bit_length() if len(doc) else 0
+    if 2 * b + d > 64:
+        order = np.lexsort((doc, w, v))
+        v, w, doc = v[order], w[order], doc[order]
+        at = runs(v, w, doc)
+        return v[at], w[at], doc[at], np.diff(np.r_[at, len(v)])
+    vi, wi = (np.where(x < TOP, x, np.uint64(known) + np.searchsorted(rare, x).astype(np.uint64)) for x in (v, w))
+    key = (vi << np.uint64(b + d)) | (wi << np.uint64(d)) | doc.astype(np.uint64)
+    key.sort()
+    at = runs(key)
+    n = np.diff(np.r_[at, len(key)])
+    key = key[at]
+    out = []
+    for x in (key >> np.uint64(b + d), (key >> np.uint64(d)) & np.uint64((1 << b) - 1)):
+        late = x >= np.uint64(known)
+        x[late] = rare[(x[late] - np.uint64(known)).astype(np.int64)]
+        out.append(x)
+    return out[0], out[1], (key & np.uint64((1 << d) - 1)).astype(np.int64), n
+
+
 # -- the part of the model that every task knows --------------------------------
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -197,12 +225,15 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def bigrams(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, previous word, word, row) hashes of the tokens of each chunk of rows."""
+def bigrams(column, known: Known | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, previous word, word, row) of the tokens of each chunk of rows: hashes, or codes of ``known``."""
     data, offsets = text_buffer(column)
     for i, j in row_chunks(offsets, CHUNK):
         h, first, _, _ = hash_words(data, offsets, i, j, WORD_NONBLANK)
-        yield (i, j, np.insert(h, first[:-1], START), np.insert(h, first[1:], END), np.repeat(np.arange(j - i), np.diff(first) + 1))
+        start, end = START, END
+        if known is not None:
+            h, (start, end) = known.code(h), known.code(np.array([START, END]))
+        yield i, j, np.insert(h, first[:-1], start), np.insert(h, first[1:], end), np.repeat(np.arange(j - i), np.diff(first) + 1)
 
 
 def _rows(schema: pa.Schema, rows: list) -> pa.RecordBatch:
@@ -214,7 +245,7 @@ BLOBS = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary()
 
 def dealt(p: np.ndarray, kind: int, *cols: np.ndarray) -> list:
     """A row (partition, kind, block) for each partition; rows keep their order in it."""
-    order = np.argsort(p, kind="stable")
+    order = np.argsort(p.astype(np.uint16) if len(p) and p.max() < 1 << 16 else p, kind="stable")     # 16 bits: a radix sort
     at = runs(p[order])
     ends = np.r_[at[1:], len(p)] if len(at) else at
     cols = [c[order] for c in cols]
@@ -259,8 +290,9 @@ def pair_table(train: DataFrame, known: Known) -> tuple[DataFrame, str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunked(batches):
-            for _, _, v, w, _ in bigrams(t.column("text")):
-                v, w, c = summed(known.code(v), known.code(w), np.ones(len(v), np.uint32))
+            for _, _, v, w, doc in bigrams(t.column("text"), known):
+                v, w, _, c = tally(v, w, np.zeros(len(doc), np.int64), len(known.hash))
+                c = c.astype(np.uint32)
                 rare = w >= TOP
                 yield _rows(BLOBS, dealt((mix64(w[rare]) % parts).astype(np.int64), 0, v[rare], w[rare], c[rare])
                             + dealt(known.route(v[~rare], w[~rare]), 1, v[~rare], w[~rare], c[~rare]))
@@ -346,8 +378,7 @@ def ask(batches: Iterator[pa.RecordBatch], known: Known, shared: Shared) -> Iter
         ids, held = t.column("doc_id"), t.column("held_out")
         part = t.column("part")[0].as_py() if t.num_rows else 0
         chunk = part << 32 if chunk is None else chunk
-        for i, j, v, w, doc in bigrams(t.column("text")):
-            v, w = known.code(v), known.code(w)
+        for i, j, v, w, doc in bigrams(t.column("text"), known):
             n_tokens = np.bincount(doc, minlength=j - i)
             there = w < TOP
             base, seen, score = np.zeros(j - i), np.zeros(j - i, np.int64), np.zeros(j - i)
@@ -362,11 +393,7 @@ def ask(batches: Iterator[pa.RecordBatch], known: Known, shared: Shared) -> Iter
                 hit &= ~np.isnan(heavy_over[k])
                 np.add.at(score, doc[hit], heavy_over[k[hit]])
                 v, w, doc = v[~hit], w[~hit], doc[~hit]
-            order = np.lexsort((doc, w, v))
-            v, w, doc = v[order], w[order], doc[order]
-            at = runs(v, w, doc)
-            n = np.diff(np.r_[at, len(v)])
-            v, w, doc = v[at], w[at], doc[at]
+            v, w, doc, n = tally(v, w, doc, len(known.hash))
             rows = [(p, 1, chunk, blob) for p, _, blob in dealt(known.route(v, w), 1, v, w, doc.astype(np.uint32), n.astype(np.uint32))]
             own = pack(np.arange(j - i, dtype=np.uint32), score, base, seen.astype(np.uint32), n_tokens.astype(np.uint32))
             sent = pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(ids.type)), pa.array([held.slice(i, j - i).to_pylist()], pa.list_(pa.bool_()))
