@@ -23,11 +23,6 @@ def day_to_date(n) -> Column:
     return F.date_add(F.lit(START_DATE), (n - 1).cast("int"))
 
 
-def date_to_day(d: Column) -> Column:
-    """DATE to generator day number (1-based from 1992-01-01)."""
-    return F.datediff(d, F.lit(START_DATE)) + 1
-
-
 def julian(d: Column) -> Column:
     """``yyddd``: two-digit year offset from 1900, then day of year."""
     return (F.year(d) - 1900) * 1000 + F.dayofyear(d)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from shoal.functions.keys import div
 
 PENNIES = 100
 
@@ -16,5 +17,4 @@ def cents_to_decimal(cents: Column) -> Column:
 def charged_cents(eprice_cents: Column, discount_pct: Column, tax_pct: Column) -> Column:
     """Discounted, taxed line price with integer truncation at each step (H21):
     ``((e * (100 - d)) / 100) * (100 + t) / 100``."""
-    step = F.floor(eprice_cents * (PENNIES - discount_pct) / PENNIES)
-    return F.floor(step * (PENNIES + tax_pct) / PENNIES)
+    return div(div(eprice_cents * (PENNIES - discount_pct), PENNIES) * (PENNIES + tax_pct), PENNIES)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from shoal.functions import keys as K
 from shoal.functions import text as X
 from shoal.functions.dates import CURRENT_DATE, ORDER_DATE_MAX, START_DATE
+from shoal.functions.money import cents_to_decimal, charged_cents
 from shoal.generate import vocab
 from shoal.sources.schemas import MONEY, SCHEMAS
 
@@ -65,10 +66,6 @@ def _with_text(df: DataFrame, column: str, key: Column, pool: DataFrame | None =
     return X.add_comment(df, column, key, S[column], lo, hi, pool)
 
 
-def _money(cents: Column) -> Column:
-    return (cents.cast("decimal(18,0)") / 100).cast(MONEY)
-
-
 def _conform(df: DataFrame, table: str) -> DataFrame:
     schema = SCHEMAS[table]
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -101,7 +98,7 @@ def supplier(spark: SparkSession, sf: float, partitions: int | None = None,
         X.tagged("Supplier#", k).alias("s_name"),
         X.random_string(lo, hi, S["s_address"], k).alias("s_address"),
         X._int(0, len(vocab.NATIONS) - 1, S["s_nation"], k).alias("s_nationkey"),
-        _money(X._int(-99999, 999999, S["s_acctbal"], k)).alias("s_acctbal"))
+        cents_to_decimal(X._int(-99999, 999999, S["s_acctbal"], k)).alias("s_acctbal"))
     base = _with_text(base, "s_comment", k)
     base = base.withColumn("s_phone", X.phone(F.col("s_nationkey"), S["s_phone"], k))
     # about 10 in 10,000 suppliers carry "Customer ... Complaints|Recommends"
@@ -128,7 +125,7 @@ def customer(spark: SparkSession, sf: float, partitions: int | None = None,
         X.tagged("Customer#", k).alias("c_name"),
         X.random_string(lo, hi, S["c_address"], k).alias("c_address"),
         X._int(0, len(vocab.NATIONS) - 1, S["c_nation"], k).alias("c_nationkey"),
-        _money(X._int(-99999, 999999, S["c_acctbal"], k)).alias("c_acctbal"),
+        cents_to_decimal(X._int(-99999, 999999, S["c_acctbal"], k)).alias("c_acctbal"),
         X.pick(vocab.SEGMENTS, S["c_segment"], k).alias("c_mktsegment"))
     df = _with_text(df, "c_comment", k)
     df = df.withColumn("c_phone", X.phone(F.col("c_nationkey"), S["c_phone"], k))
@@ -165,7 +162,7 @@ def partsupp(spark: SparkSession, sf: float, partitions: int | None = None,
         "ps_partkey",
         K.partsupp_bridge(p, s, n_supp).alias("ps_suppkey"),
         X._int(1, 9999, S["ps_qty"], p, s).alias("ps_availqty"),
-        _money(X._int(100, 100000, S["ps_cost"], p, s)).alias("ps_supplycost"), "slot")
+        cents_to_decimal(X._int(100, 100000, S["ps_cost"], p, s)).alias("ps_supplycost"), "slot")
     return _conform(_with_text(df, "ps_comment", p * 4 + s), "partsupp")
 
 
@@ -221,15 +218,14 @@ def _orders_from_rows(rows: DataFrame, sf: float, sizes: dict[str, int] | None =
     """
     def step(acc, n):
         ln = _Line(sf, n, sizes)
-        charged = F.floor(F.floor(ln.eprice_cents() * (100 - ln.int(0, 10, "l_disc")) / 100)
-                          * (100 + ln.int(0, 8, "l_tax")) / 100).cast("long")
+        charged = charged_cents(ln.eprice_cents(), ln.int(0, 10, "l_disc"), ln.int(0, 8, "l_tax"))
         shipped = (ln.ship() <= F.lit(CURRENT_DATE)).cast("int")
         return F.struct((acc["total"] + charged).alias("total"), (acc["f"] + shipped).alias("f"))
 
     zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("f"))
     fold = F.aggregate(F.sequence(F.lit(1), F.col("n_lines").cast("int")), zero, step)
     status = (F.when(fold["f"] == F.col("n_lines"), "F").when(fold["f"] > 0, "P").otherwise("O"))
-    df = rows.withColumn("o_totalprice", _money(fold["total"])).withColumn("o_orderstatus", status)
+    df = rows.withColumn("o_totalprice", cents_to_decimal(fold["total"])).withColumn("o_orderstatus", status)
     return _conform(_with_text(df, "o_comment", F.col("o_index") * 10 + F.col("o_upd")), "orders")
 
 
@@ -246,9 +242,9 @@ def _lines_from_rows(rows: DataFrame, sf: float, sizes: dict[str, int] | None =
         partkey.alias("l_partkey"),
         K.partsupp_bridge(partkey, ln.int(0, 3, "l_supp"), ln.n_supp).alias("l_suppkey"),
         ln.int(1, 50, "l_qty").cast(MONEY).alias("l_quantity"),
-        _money(ln.eprice_cents()).alias("l_extendedprice"),
-        (ln.int(0, 10, "l_disc").cast("decimal(18,0)") / 100).cast(MONEY).alias("l_discount"),
-        (ln.int(0, 8, "l_tax").cast("decimal(18,0)") / 100).cast(MONEY).alias("l_tax"),
+        cents_to_decimal(ln.eprice_cents()).alias("l_extendedprice"),
+        cents_to_decimal(ln.int(0, 10, "l_disc")).alias("l_discount"),
+        cents_to_decimal(ln.int(0, 8, "l_tax")).alias("l_tax"),
         ship.alias("l_shipdate"),
         F.date_add(F.col("o_orderdate"), ln.int(30, 90, "l_commit").cast("int")).alias("l_commitdate"),
         X.pick(vocab.INSTRUCTIONS, S["l_instr"], *ln.key).alias("l_shipinstruct"),

@@ -82,7 +82,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local-only)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def warehouse_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.sql.warehouse.dir")
