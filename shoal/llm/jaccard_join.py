@@ -275,7 +275,8 @@ def overlap_bound(size_a: np.ndarray, size_b: np.ndarray, a: list, b: list) -> n
 def large_tile_pairs(t: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, na, nb) of different components that may link, from tiles (h, node, n, root, l), by bit counts."""
     size = t.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("rows"))
-    size = size.select("h", F.col("m.root").alias("main"), "rows", (F.col("rows") - F.col("m.c")).alias("outer"))
+    # written before it is joined, so that the join can split a hot tile's rows
+    size, _ = write_table(size.select("h", F.col("m.root").alias("main"), "rows", (F.col("rows") - F.col("m.c")).alias("outer")), "size")
     first = t.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("h")), 1, FIRST_KEYS).alias("keys"))      # a set's own keys
     side, _ = write_table(first.join(nodes.select("node", "sig"), "node"), "side")
     rows = t.join(size, "h").withColumns({
@@ -341,6 +342,7 @@ def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: st
     # contraction: classes of large tiles in blocks; for each class the hub that it shares most tiles with
     own = tiles.filter(f"cnt > {BIG}").groupBy("node").agg(F.max(F.struct("cnt", "h")).alias("t"), F.first("n").alias("n")).select("node", "n", "t.h")
     blocks = own.groupBy("h").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    blocks, _ = write_table(blocks, "blocks")
     dense, _ = write_table(own.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "dense")
     size = nodes.select(F.col("node").alias("hub"), F.col("n").alias("nb"))
     hubs = (tiles.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("na"))
@@ -358,7 +360,7 @@ def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: st
 
     # tiles' pairs between different components
     t = tiles.join(comp, "node", "left").select("h", "node", "n", "cnt", F.coalesce("root", "node").alias("root"))
-    spread = t.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
+    spread, _ = write_table(t.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h"), "spread")
     t, _ = write_table(t.join(spread, "h"), "spread")
     large = t.filter(f"cnt > {SMALL}").groupBy("node").agg(F.count("*").alias("l"))     # keys that lie in large tiles
     t, _ = write_table(t.join(large, "node", "left").fillna(0, "l"), "spread")
