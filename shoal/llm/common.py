@@ -9,6 +9,7 @@ task's memory by the longest single text.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -44,6 +45,13 @@ def write_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def finished_jobs(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are done: it acts when the
+    driver's garbage is collected, which otherwise happens by chance."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that no later plan reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from shoal.llm.common import (WORD_NONBLANK, drop_path, hash_words, mix64, row_chunks, small_batches, text_buffer,
+from shoal.llm.common import (WORD_NONBLANK, drop_path, finished_jobs, hash_words, mix64, row_chunks, small_batches, text_buffer,
                               write_table)
 
 KNOWN = 1 << 20
@@ -505,6 +505,7 @@ def score_documents(docs: DataFrame, held_out: "F.Column", id_col: str = "doc_id
     known = known_words(words)
     pairs, pairs_path = pair_table(train, known)
     shared = Shared(known, pairs)
+    finished_jobs(spark)
 
     kind: DataType = rows.schema["doc_id"].dataType
     ddl = kind.simpleString()
@@ -519,6 +520,7 @@ def score_documents(docs: DataFrame, held_out: "F.Column", id_col: str = "doc_id
             lambda it: answer(it, known, shared, id_type),
             f"chunk long, kind int, blob binary, ids array<{ddl}>, held array<boolean>, w array<long>, doc array<int>, n array<int>"), "answers")
     drop_path(spark, pairs_path)
+    finished_jobs(spark)
     # unseen pairs of rare words: the word's own count decides
     go = (answers.filter("kind = 1").select("chunk", F.explode(F.arrays_zip("w", "doc", "n")).alias("r"))
           .select("chunk", F.col("r.w").bitwiseAND(F.lit((1 << 63) - 1)).alias("key"), F.col("r.doc").alias("doc"), F.col("r.n").alias("n"))
