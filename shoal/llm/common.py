@@ -9,7 +9,6 @@ task's memory by the longest single text.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -37,21 +36,28 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and reread it: the lineage ends there."""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, tag: str, release: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and reread it: the lineage ends there.
+
+    ``release``: Spark deletes the shuffle files of this write when it is done,
+    not when the driver's garbage happens to be collected.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    if release:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def finished_jobs(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are done: it acts when the
-    driver's garbage is collected, which otherwise happens by chance."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that no later plan reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

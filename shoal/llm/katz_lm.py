@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from shoal.llm.common import (WORD_NONBLANK, drop_path, finished_jobs, hash_words, mix64, row_chunks, small_batches, text_buffer,
+from shoal.llm.common import (WORD_NONBLANK, drop_path, hash_words, mix64, row_chunks, small_batches, text_buffer,
                               write_table)
 
 KNOWN = 1 << 20
@@ -271,7 +271,7 @@ def unigrams(train: DataFrame) -> DataFrame:
                 h, c = np.unique(w, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["w", "c"])
 
-    return write_table(train.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")[0]
+    return write_table(train.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams", release=True)[0]
 
 
 def known_words(words: DataFrame) -> Known:
@@ -325,7 +325,7 @@ def pair_table(train: DataFrame, known: Known) -> tuple[DataFrame, str]:
 
     pairs = (train.select("text").mapInArrow(count, BLOB).repartition("p").sortWithinPartitions("p")
              .mapInArrow(by_word, BLOB).repartition("p").sortWithinPartitions("p").mapInArrow(by_context, BLOB))
-    return write_table(pairs, "pairs")
+    return write_table(pairs, "pairs", release=True)
 
 
 class Shared:
@@ -505,7 +505,6 @@ def score_documents(docs: DataFrame, held_out: "F.Column", id_col: str = "doc_id
     known = known_words(words)
     pairs, pairs_path = pair_table(train, known)
     shared = Shared(known, pairs)
-    finished_jobs(spark)
 
     kind: DataType = rows.schema["doc_id"].dataType
     ddl = kind.simpleString()
@@ -518,9 +517,8 @@ def score_documents(docs: DataFrame, held_out: "F.Column", id_col: str = "doc_id
     answers, path = write_table(
         model.unionByName(wanted).repartition("p").sortWithinPartitions("p", "kind").mapInArrow(
             lambda it: answer(it, known, shared, id_type),
-            f"chunk long, kind int, blob binary, ids array<{ddl}>, held array<boolean>, w array<long>, doc array<int>, n array<int>"), "answers")
+            f"chunk long, kind int, blob binary, ids array<{ddl}>, held array<boolean>, w array<long>, doc array<int>, n array<int>"), "answers", release=True)
     drop_path(spark, pairs_path)
-    finished_jobs(spark)
     # unseen pairs of rare words: the word's own count decides
     go = (answers.filter("kind = 1").select("chunk", F.explode(F.arrays_zip("w", "doc", "n")).alias("r"))
           .select("chunk", F.col("r.w").bitwiseAND(F.lit((1 << 63) - 1)).alias("key"), F.col("r.doc").alias("doc"), F.col("r.n").alias("n"))
