@@ -11,7 +11,11 @@
    underfull bins. Each exchange raises the sum of squared fills, so the search
    ends; bins that run empty are gone.
 3. Bins filled below ``good`` of the length hand their pieces to the next round,
-   which deals them into far fewer cells, until one cell packs the last of them.
+   which deals them anew into as many cells as they need, until one cell packs the
+   last of them. A piece alone in its bin that even the shortest piece handed on
+   can't join stays there. The rounds end when ``IDLE`` deals in a row save no
+   sequence: the bins of the last round that did, which are valid sequences, are
+   then final. There are at most ``ROUNDS``.
 
 Defined results: null text is the empty text (one end id); rows with the same
 id are separate documents; an empty table gives no rows; other columns of the
@@ -29,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import small_batches, write_table
+from shoal.llm.common import drop_path, small_batches, write_table
 
 SEQ_LEN = 2048
 CELL = 16384
 GOOD = 0.97
+IDLE = 2
+ROUNDS = 64                                       # a round's number has 7 bits of a sequence_id
 END_ID = 0
 
 
@@ -233,6 +239,7 @@ def _cell_packer(base: list[str], seq_len: int, level: int, good: float):
         bins, free = best_fit(sizes, seq_len)
         local_search(sizes, bins, free, seq_len)
         weak = (seq_len - free[bins]) < good * seq_len
+        alone = np.bincount(bins)[bins] == 1
         used = np.unique(bins, return_inverse=True)[1]
         order = np.argsort(used, kind="stable")
         sizes, used = sizes[order], used[order]
@@ -240,8 +247,8 @@ def _cell_packer(base: list[str], seq_len: int, level: int, good: float):
         begin = np.r_[True, used[1:] != used[:-1]]
         offset = end - sizes - np.maximum.accumulate(np.where(begin, end - sizes, 0))
         number = (level << 56) + (int(cell.column("_cell")[0].as_py()) << 20) + used.astype(np.int64)
-        return pa.table([*(cell.column(c).take(pa.array(order)) for c in base), pa.array(number), pa.array(offset), pa.array(weak[order])],
-                        [*base, "sequence_id", "offset", "_open"])
+        return pa.table([*(cell.column(c).take(pa.array(order)) for c in base), pa.array(number), pa.array(offset),
+                         pa.array(weak[order]), pa.array(alone[order])], [*base, "sequence_id", "offset", "_open", "_alone"])
 
     return fill
 
@@ -255,22 +262,39 @@ def pack(table: DataFrame, n: int, seq_len: int = SEQ_LEN, cell: int = CELL, goo
             .withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long")))
     rest = table.filter(F.col("length") < seq_len)
     out, level, left = [full], 0, n
+    held, held_bins, idle = None, 0, 0            # weak bins of the last round that saved any, rounds since then
 
     while True:
         cells = max(1, -(-left // cell))
-        last = cells == 1
+        last = cells == 1 or level == ROUNDS - 1
         dealt = rest.withColumn("_cell", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(cells)))
 
-        done, _ = write_table(dealt.groupBy("_cell").applyInArrow(
-            _cell_packer(base, seq_len, level, 0.0 if last else good), f"{kind}, sequence_id long, offset long, _open boolean"), "packed")
-        out.append(done.filter("not _open").drop("_open"))
+        done, path = write_table(dealt.groupBy("_cell").applyInArrow(
+            _cell_packer(base, seq_len, level, 0.0 if last else good),
+            f"{kind}, sequence_id long, offset long, _open boolean, _alone boolean"), "packed")
+        if held is not None and done.filter("offset = 0").count() >= held_bins:
+            drop_path(spark, path)
+            idle += 1
+            if last or idle == IDLE:
+                out.append(held)
+                break
+            level += 1
+            continue
+        idle = 0
+        out.append(done.filter("not _open").drop("_open", "_alone"))
         if last:
             break
-        rest = done.filter("_open").select(*base)
-        left = min(rest.count(), left - 1)
-        level += 1
+        least = done.filter("_open").agg(F.min("length")).first()[0]
+        if least is None:
+            break
+        stuck = F.col("_alone") & (F.col("length") > seq_len - least)
+        out.append(done.filter(F.col("_open") & stuck).drop("_open", "_alone"))
+        held = done.filter(F.col("_open") & ~stuck).drop("_open", "_alone")
+        left, held_bins = held.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
         if not left:
             break
+        rest = held.select(*base)
+        level += 1
     packed = out[0]
     for part in out[1:]:
         packed = packed.unionByName(part)

@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from shoal.llm.packing import best_fit, best_fit_pack, encoder, local_search
+from shoal.llm import packing
+from shoal.llm.packing import best_fit, best_fit_pack, encoder, local_search, pack
 from shoal.llm.queries import tokenizer_path
 from .helpers import awkward_texts, docs
 
@@ -64,3 +65,28 @@ def test_exchanges_empty_a_bin():
 
 def test_empty_table(spark):
     assert best_fit_pack(docs(spark, []), tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("lengths, sequences", [
+    ([60] * 40, 40),                                    # each alone: no other piece can join it
+    ([60] * 40 + [1] * 5, 40),                          # the short ones keep joining, no round saves a sequence
+    ([60] * 20 + [40] * 20, 20),                        # pairs that only meet when their cells do
+])
+def test_pieces_that_never_fill_a_sequence_end_the_rounds(spark, monkeypatch, lengths, sequences):
+    rounds = []
+
+    def write(df, tag, release=False):
+        rounds.append(tag)
+        return packing_write(df, tag, release)
+
+    packing_write = packing.write_table
+    monkeypatch.setattr(packing, "write_table", write)
+    table, _ = packing_write(spark.createDataFrame([(k, 0, 0, x, k) for k, x in enumerate(lengths)],
+                                                   "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    rows = pack(table, len(lengths), 100, 8).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    fill = Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 100 and len(fill) == sequences
+    assert len(rounds) <= 12
