@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from shoal.llm.line_chunks import dedup_lines
-    out = dedup_lines(docs, stats="__own_dedup").filter("not (__own_dedup.n_removed > 0 and trim(text) = '')")
+    out = dedup_lines(docs, stats="__own_dedup", windows=True).filter("not (__own_dedup.n_removed > 0 and trim(text) = '')")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__own_dedup.n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

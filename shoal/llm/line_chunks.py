@@ -7,10 +7,16 @@ and half as ends. A chunk runs from a start to the nearest end after it, at most
 lines alone: wherever the lines return, whatever stands around them, the chunk
 returns. A line of at least ``LONG_LINE`` words is also a chunk of its own.
 
+Marks leave out most short passages. So with ``windows`` a chunk is also opened at
+every line with words, to the first line after it where ``LONG_LINE`` words are
+reached, and closed at every line with words, from the last line before it where they
+are reached. These windows cover every run of lines of so many words that returns,
+from its first to its last line with words, and no shorter run.
+
 Of a chunk that occurs more than once in all documents, the occurrence in the
 smallest (id, text hash), at the smallest line, stays and the others are removed
 from their texts, together with the lines before and after them, up to ``AROUND``
-on either side, that also stand before and after the first occurrence. So a line goes only where
+on either side, that also stand before and after the first occurrence (windows are not extended). So a line goes only where
 the same line stands at a smaller place; of overlapping repeats (a run of equal
 lines) the first lines stay. Hashes only nominate chunks: the chunks' bytes are
 compared before any is removed.
@@ -68,20 +74,50 @@ def chunks(text: str, long_line: int = LONG_LINE, most: int = MOST) -> Column:
               c -> struct(c.i AS s, c.i AS e, xxhash64(a[c.i]) AS h)))), 1)), 1)""")
 
 
-def repeated_spans(docs: DataFrame, long_line: int = LONG_LINE, most: int = MOST, around: int = AROUND) -> DataFrame:
+def short_runs(text: str, long_line: int = LONG_LINE) -> Column:
+    """Array of (s, e, h): for each line with words the shortest run of ``long_line`` words that it opens or closes."""
+    long = f"length({{l}}) >= {2 * long_line - 1} AND length({{l}}) - length(replace({{l}}, ' ', '')) >= {long_line - 1}"
+    # lines until the words are reached, 0 if they are not; a line has a word at least, so long_line of them are enough
+    reach = f"aggregate({{x}}, struct(0 AS t, 0 AS k), (r, x) -> IF(r.t >= {long_line}, r, struct(r.t + x AS t, r.k + 1 AS k)), r -> IF(r.t >= {long_line}, r.k, 0))"
+
+    def ends(cut: str) -> str:
+        near, far = (reach.format(x=cut.format(n=n)) for n in (min(8, long_line), long_line))
+        return f"""filter(transform(q.w, (x, j) -> struct(j AS j, coalesce(nullif({near}, 0), {far}) AS k)),
+                          c -> c.k > 1 OR c.k = 1 AND NOT ({long.format(l='ls[q.i[c.j]]')}))"""
+
+    opened = ends("slice(q.w, j + 1, {n})")
+    closed = ends("reverse(slice(q.w, greatest(1, j + 2 - {n}), least({n}, j + 1)))")
+    # a run is one number, as sets of numbers are hashed
+    return F.expr(f"""
+        element_at(transform(array({lines_of(text)}), ls -> element_at(transform(array({line_hashes(text)}), a ->
+          element_at(transform(array(filter(transform(ls, (l, i) -> struct(i AS i, regexp_count(l, '\\\\S+') AS w)), c -> c.w > 0)), p ->
+            element_at(transform(array(struct(p.i AS i, p.w AS w)), q ->
+              transform(
+                transform(
+                  array_union(transform({opened}, c -> q.i[c.j] * 2147483648L + q.i[c.j + c.k - 1]),
+                              transform({closed}, c -> q.i[c.j - c.k + 1] * 2147483648L + q.i[c.j])),
+                  c -> struct(cast(c div 2147483648L AS int) AS s, cast(c % 2147483648L AS int) AS e)),
+                c -> struct(c.s AS s, c.e AS e, xxhash64('window', slice(a, c.s + 1, c.e - c.s + 1)) AS h))), 1)), 1)), 1)), 1)""")
+
+
+def repeated_spans(docs: DataFrame, long_line: int = LONG_LINE, most: int = MOST, around: int = AROUND, windows: bool = False) -> DataFrame:
     """(k1, k2, spans): per document of (id, text, k1, k2) the line spans (s, e) to remove."""
+    found = [F.transform(chunks("text", long_line, most), lambda c: c.withField("window", F.lit(False)))]
+    if windows:
+        found.append(F.transform(short_runs("text", long_line), lambda c: c.withField("window", F.lit(True))))
     meta, _ = write_table(docs.filter("text is not null")
-                          .select("k1", "k2", F.explode(chunks("text", long_line, most)).alias("c"))
+                          .select("k1", "k2", F.explode(F.concat(*found)).alias("c"))
                           .select("k1", "k2", "c.*"), "chunks")
     # written before it is joined: a join fed by the aggregate itself could not split a hot chunk's rows
     often, _ = write_table(meta.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     # a document's candidates are bounded by its own chunks
-    cand = meta.join(often, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e", "h")).alias("cs"))
+    cand = meta.join(often, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e", "h", "window")).alias("cs"))
     once = docs.join(cand, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     texts = once.select("id", "k1", "k2", F.explode(F.expr(
         f"element_at(transform(array(struct({lines_of('text')} AS ls, {line_hashes('text')} AS a)), d -> transform(cs, c -> struct(c.s, c.e, c.h, "
         "array_join(slice(d.ls, c.s + 1, c.e - c.s + 1), '\n') AS bytes, "
-        f"reverse(slice(d.a, greatest(1, c.s - {around - 1}), least({around}, c.s))) AS pre, slice(d.a, c.e + 2, {around}) AS post))), 1)")).alias("c"))
+        f"reverse(slice(d.a, greatest(1, c.s - {around - 1}), IF(c.window, 0, least({around}, c.s)))) AS pre, "
+        f"slice(d.a, c.e + 2, IF(c.window, 0, {around})) AS post))), 1)")).alias("c"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", F.col("c.s").alias("s"))
     texts, _ = write_table(texts.select("k1", "k2", "c.*", place.alias("place")), "chunktexts")
     first, _ = write_table(texts.groupBy("h", "bytes").agg(
@@ -95,13 +131,13 @@ def repeated_spans(docs: DataFrame, long_line: int = LONG_LINE, most: int = MOST
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                long_line: int = LONG_LINE, most: int = MOST, around: int = AROUND, stats: str = "dedup") -> DataFrame:
+                long_line: int = LONG_LINE, most: int = MOST, around: int = AROUND, stats: str = "dedup", windows: bool = False) -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, and struct ``stats`` (n_lines, n_removed)."""
     own = "t" + uuid.uuid4().hex[:8]                     # names that can't clash with the input's
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     keys = {"k1": F.xxhash64(id_, text), "k2": F.xxhash64(F.lit("lane"), text, id_)}
     slim = docs.select(id_.alias("id"), text.alias("text"), *(v.alias(k) for k, v in keys.items()))
-    spans = repeated_spans(slim, long_line, most, around).select(*(F.col(c).alias(f"{own}_{c}") for c in ("k1", "k2", "spans")))
+    spans = repeated_spans(slim, long_line, most, around, windows).select(*(F.col(c).alias(f"{own}_{c}") for c in ("k1", "k2", "spans")))
     wide = docs.withColumns({f"{own}_{k}": v for k, v in keys.items()}).join(spans, [f"{own}_k1", f"{own}_k2"], "left")
     t, s = f"`{text_col}`", f"{own}_spans"
     gone = f"array_distinct(flatten(transform({s}, r -> sequence(r.s, r.e))))"

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+from corpus_pipeline import line_dedup
 from shoal.llm.line_chunks import dedup_lines
 from .helpers import CLASHES, awkward_texts, docs
 
@@ -96,3 +97,53 @@ def test_empty_table(spark):
 def test_no_python_on_the_main_path(spark):
     plan = dedup_lines(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def all_repeated_runs(rows, least=50):
+    """(id, line): lines of every run of lines, of ``least`` words or more, that also stands at a smaller place."""
+    cut = [(i, t.split("\n")) for i, t in sorted(rows)]
+    gone = set()
+    for b, (i, lines) in enumerate(cut):
+        for a in range(b + 1):
+            other = cut[a][1]
+            for s in range(len(lines)):
+                for s0 in range(len(other) if a < b else s):
+                    n = 0
+                    while s + n < len(lines) and s0 + n < len(other) and lines[s + n] == other[s0 + n]:
+                        n += 1
+                    run = lines[s:s + n]
+                    while run and not run[-1].split():
+                        run.pop()
+                    if run and run[0].split() and sum(len(x.split()) for x in run) >= least:
+                        gone |= {(i, s + k) for k in range(len(run))}
+    return gone
+
+
+def test_every_repeated_short_passage_goes(spark):
+    rng = random.Random(3)
+    rows, planted = [], []
+    for lines in (2, 3, 4, 5):
+        for k in range(12):
+            name = f"p{lines}x{k}"
+            words = 60 // lines + 1
+            planted.append([" ".join(f"{name}w{rng.random():.6f}" for _ in range(words)) for _ in range(lines)])
+    for k, passage in enumerate(planted):
+        blank = [*passage[:1], "", *passage[1:]] if k % 4 == 0 else passage
+        for copy in range(2):
+            rows.append((100 * copy + k, "\n".join([f"own head {k} {copy}", *blank, f"own tail {k} {copy}"])))
+    small = [f"few words {k}" for k in range(3)]              # a run of 9 words is none of these
+    rows += [(300, "\n".join(["first", *small])), (301, "\n".join(["second", *small]))]
+    rows += [(400, "\n".join(f"run of short lines {k % 7}" for k in range(40)))]
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, rows), windows=True).collect()}
+    want = all_repeated_runs(rows)
+    marks = brute(rows)
+    for i, text in rows:
+        kept = "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in want)
+        if i < 200:
+            assert got[i].text == kept, i
+        assert len(got[i].text) <= min(len(kept), len(marks[i][0])), i
+    for k, passage in enumerate(planted):
+        assert all(x not in got[100 + k].text and x in got[k].text for x in passage)
+    assert got[301].text == marks[301][0]
+    stage = {r.doc_id: r.text for r in line_dedup(spark, docs(spark, rows), "").collect()}
+    assert all(stage.get(i, "") == r.text for i, r in got.items())
