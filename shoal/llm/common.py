@@ -98,6 +98,23 @@ def crc_of(value) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode())
 
 
+PER_ID = 64
+
+
+def bounded_rows(rows: DataFrame, most: int, per_id: int = PER_ID) -> DataFrame:
+    """Distinct ``rows`` (with a column id) and their hash ``row``: about ``per_id`` of an id and ``most`` in all, chosen by hash.
+
+    Without an id of more distinct rows, and up to ``most`` rows, all of them. Rows are
+    counted and thinned before any is shuffled, so a hot id's rows are no large group.
+    """
+    keyed = rows.withColumn("row", F.xxhash64(*rows.columns))
+    sizes, _ = write_table(keyed.select("id", "row").distinct().groupBy("id").agg(F.count("*").alias("of_id")), "sizes")
+    total = sizes.agg(F.sum(F.least("of_id", F.lit(per_id)))).first()[0] or 0
+    share = F.least(F.lit(1.0), per_id / F.col("of_id")) * min(1.0, most / max(1, total))
+    some = keyed.join(F.broadcast(sizes), "id").filter(F.pmod(F.xxhash64("row", F.lit("share")), F.lit(1 << 20)) < share * (1 << 20))
+    return some.dropDuplicates(["id", "row"]).select(*rows.columns, "row")
+
+
 # -- vectorised words ----------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -9,7 +9,8 @@ then calibrated on labelled documents that neither was fitted on, combined, and
 score all documents.
 
 The fit takes at most ``SAMPLE`` labelled documents and a pool of at most ``POOL``,
-chosen by hash; a third of the labelled ones calibrate. Scoring covers every
+chosen by hash, of rows with the same id the distinct ones, about ``PER_ID`` of an id
+and as many rows as ids in all; a third of the labelled ones calibrate. Scoring covers every
 document in one pass.
 
 Defined results: null text is the empty text; a text without any word is no
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import WORD_NONBLANK, hash_words, row_chunks, small_batches, text_buffer
+from shoal.llm.common import WORD_NONBLANK, bounded_rows, hash_words, row_chunks, small_batches, text_buffer
 from shoal.llm.linear import fit_logistic, per_row, scaler, sigmoid
 
 SAMPLE = 8000
@@ -207,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = slim.filter(F.col("id").isNotNull()).select("id").filter(F.pmod(F.xxhash64("id", F.lit("pool")), F.lit(max(1, total // (2 * pool)))) == 0)
     free = (some.join(named.select(F.col("lid").alias("id")), "id", "left_anti").distinct().orderBy(F.xxhash64("id", F.lit("order")), "id").limit(pool)
             .select(F.col("id").alias("lid"), F.lit(None).cast("double").alias("y")))
-    rows = slim.join(F.broadcast(chosen.unionByName(free)), F.col("id") == F.col("lid"))       # at most sample + pool ids
+    ids = slim.join(F.broadcast(chosen.unionByName(free)), F.col("id") == F.col("lid")).drop("lid")       # at most sample + pool ids
+    rows = bounded_rows(ids, sample + pool)                                                   # and rows
     nc, nn = len(categories), len(numbers)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import WORD_ALNUM, hash_words, row_chunks, small_batches, text_buffer
+from shoal.llm.common import WORD_ALNUM, bounded_rows, hash_words, row_chunks, small_batches, text_buffer
 from shoal.llm.linear import fit_logistic, per_row, sigmoid
 
 SAMPLE = 8000
@@ -213,10 +213,10 @@ class LabelModel:
 
 def _sample(docs: DataFrame, labels: DataFrame, train: "F.Column", id_col: str, label_col: str, sample: int,
             mined: tuple) -> tuple[list, np.ndarray, np.ndarray]:
-    """(distinct word hashes of each, labels, vote patterns) of at most ``sample`` labelled training documents."""
+    """(distinct word hashes of each, labels, vote patterns) of at most ``sample`` labelled training documents, rows as well as ids."""
     chosen = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
               .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample))
-    rows = docs.filter(train).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("y", "text")
+    rows = bounded_rows(docs.filter(train).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", "text"), sample)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,9 +227,10 @@ def _sample(docs: DataFrame, labels: DataFrame, train: "F.Column", id_col: str,
                 cuts = np.searchsorted(doc, np.arange(j - i + 1))
                 out += [np.unique(h[a:z]).view(np.int64) for a, z in zip(cuts[:-1], cuts[1:])]
                 pattern += _pattern(v).tolist()
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(pattern, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["y", "p", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(pattern, pa.int64()), pa.array(out, pa.list_(pa.int64())), b.column("row")], ["y", "p", "h", "row"])
 
-    got = rows.mapInArrow(words, "y int, p long, h array<long>").toArrow()
+    got = rows.mapInArrow(words, "y int, p long, h array<long>, row long").toArrow().sort_by("row")     # not the order of arrival
+    got = got.combine_chunks()
     sets = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64) for x in got.column("h")]
     return sets, got.column("y").to_numpy().astype(int), got.column("p").to_numpy().astype(np.int64)
 

@@ -132,3 +132,19 @@ def test_empty_documents(spark, tmp_path):
     labelled(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_a_hot_id_do_not_fill_the_fit(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from shoal.llm import cotrain_quality, toxicity
+    rows, labels = corpus(60)
+    rows += [(7, rows[7][1])] * 400 + [(7, f"text {k} of the hot id") for k in range(400)]
+    sizes = []
+    monkeypatch.setattr(cotrain_quality, "cotrain", lambda xt, xm, y, pt, pm, held: sizes.append(len(y)) or (None, None, None, []))
+    cotrain_quality.fit(docs(spark, rows), labelled(spark, labels), sample=500, pool=500)
+    assert 60 <= sizes[0] <= 59 + 2 * 64
+    named = docs(spark, rows).select("doc_id", "text")
+    sets, y, _ = toxicity._sample(named, labelled(spark, labels), F.lit(True), "doc_id", "quality", 500, (np.zeros(0, np.uint64),) * 2)
+    assert 60 <= len(sets) == len(y) <= 59 + 2 * 64
+    few, _, _ = toxicity._sample(named, labelled(spark, labels), F.lit(True), "doc_id", "quality", 60, (np.zeros(0, np.uint64),) * 2)
+    assert len(few) <= 90                                  # 60 ids of 860 rows
