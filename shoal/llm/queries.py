@@ -75,7 +75,13 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id")) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op7_cotrain_quality, op8_jaccard_join, op9_decontamination, op10_katz_lm)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.source_divergence import audit
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op7_cotrain_quality, op8_jaccard_join, op9_decontamination, op10_katz_lm,
+                                   op13_source_divergence)}
 
 ORACLE = {
     # md5 decides the bounds in both engines; ids are unique in the given tables
@@ -123,4 +129,26 @@ ORACLE = {
                CASE WHEN first IS NULL OR first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CAST(CASE WHEN first <> d.page_id THEN first END AS DOUBLE) AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
+    # one row per kept term and pair of sources, no bitmaps
+    "op13_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+        kl AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+        gt AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                     1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(gt.total, 0) + 2 * kl.v) AS p,
+                     1 + (1000000000::HUGEINT * (k.n + 2)) // (kl.total + 2 * kl.v) AS q
+              FROM g JOIN k USING (lang) JOIN kl USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN gt USING (lang, source)),
+        v AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::HUGEINT AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM r QUALIFY part = 'pair' OR rank <= 10""",
 }
