@@ -75,13 +75,23 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id")) == 1)
 
 
+def op11_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.pii_bootstrap import report
+    return report(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.conversation_repair import repair_damaged
+    return repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.source_divergence import audit
     return audit(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op4_arc_to_warc, op5_embedding_neardup, op6_chat_snapshots, op7_cotrain_quality, op8_jaccard_join, op9_decontamination, op10_katz_lm,
-                                   op13_source_divergence)}
+                                   op11_pii_bootstrap, op12_conversation_repair, op13_source_divergence)}
 
 ORACLE = {
     # md5 decides the bounds in both engines; ids are unique in the given tables
@@ -129,6 +139,50 @@ ORACLE = {
                CASE WHEN first IS NULL OR first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CAST(CASE WHEN first <> d.page_id THEN first END AS DOUBLE) AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
+    # the four states' lightest (cost, audit) carried from the last row to the first; crc32 bit by bit
+    "op12_conversation_repair": """
+        WITH RECURSIVE c AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT)),
+                   lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 20 AS kind
+          FROM conversations),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+              FROM c WHERE kind <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS total,
+                     NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM d),
+        f AS (SELECT *, role[1:1] AS x, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] AS two,
+                     NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup FROM n),
+        g AS (SELECT *, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM f),
+        w AS (SELECT *, CASE WHEN blank OR dup THEN 1000000000 WHEN cut THEN 5 ELSE 0 END::BIGINT AS e FROM g),
+        r AS (
+          SELECT conv_id, total + 1 AS i, {'c': 0::BIGINT, 'a': ''} AS s, {'c': 10::BIGINT, 'a': 'II'} AS b, {'c': 5::BIGINT, 'a': 'I'} AS a, {'c': 0::BIGINT, 'a': ''} AS u
+          FROM (SELECT DISTINCT conv_id, total FROM n)
+          UNION ALL
+          SELECT conv_id, i,
+            list_min([ys, {'c': ya.c + 5, 'a': 'I' || ya.a}, {'c': yu.c + 10, 'a': 'II' || yu.a}]), list_min([yb, {'c': ya.c + 5, 'a': 'I' || ya.a}, {'c': yu.c + 10, 'a': 'II' || yu.a}]),
+            list_min([ya, {'c': yu.c + 5, 'a': 'I' || yu.a}]), list_min([yu, {'c': ya.c + 5, 'a': 'I' || ya.a}])
+          FROM (SELECT w.conv_id, w.i,
+                  list_min([{'c': s.c + 2, 'a': 'D' || s.a}, {'c': b.c + CASE WHEN x = 's' THEN e ELSE 1000000000 END, 'a': 'K' || b.a}, {'c': a.c + e + lu, 'a': ku || a.a}]) AS ys,
+                  list_min([{'c': b.c + 2, 'a': 'D' || b.a}, {'c': a.c + e + lu, 'a': ku || a.a}]) AS yb,
+                  list_min([{'c': a.c + 2, 'a': 'D' || a.a}, {'c': u.c + e + la, 'a': ka || u.a}]) AS ya,
+                  list_min([{'c': u.c + 2, 'a': 'D' || u.a}, {'c': a.c + e + lu, 'a': ku || a.a}]) AS yu
+                FROM r JOIN (SELECT conv_id, i, x, e, CASE WHEN x = 'u' THEN 0 ELSE 1 END AS lu, CASE WHEN x = 'u' THEN 'K' ELSE 'R' END AS ku,
+                                    CASE WHEN x = 'a' THEN 0 ELSE 1 END AS la, CASE WHEN x = 'a' THEN 'K' ELSE 'R' END AS ka FROM w) w
+                  ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.i = r.i - 1)),
+        best AS (SELECT conv_id, s.c AS cost, s.a AS audit FROM r WHERE i = 1),
+        l AS (SELECT conv_id, audit, unnest(string_split(audit, '')) AS l, unnest(range(len(audit))) AS k FROM best WHERE audit <> ''),
+        p AS (SELECT *, count(*) FILTER (l <> 'I') OVER o AS i, count(*) FILTER (l <> 'D') OVER o AS place FROM l WINDOW o AS (PARTITION BY conv_id ORDER BY k)),
+        q AS (SELECT p.*, w.role, w.text, w.x, max(CASE WHEN place = 1 AND l = 'K' AND x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS sys
+              FROM p LEFT JOIN w ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i AND p.l <> 'I'),
+        t AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN (place - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole
+              FROM q WHERE l <> 'D' GROUP BY conv_id),
+        m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate, count_if(cut) AS truncated,
+                     count_if(two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN m ON o.conv_id IS NOT DISTINCT FROM m.conv_id
+          LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN t ON o.conv_id IS NOT DISTINCT FROM t.conv_id""",
     # one row per kept term and pair of sources, no bitmaps
     "op13_source_divergence": """
         WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
