@@ -52,6 +52,7 @@ UNKNOWN = 0.25
 BELIEVED = 0.4                  # half of the occurrences, in patterns of the least confidence
 ROUNDS = 4
 FILTER_BITS = 1 << 25
+HELD = 1 << 20                  # counts that a task holds before it passes them on
 
 LOCAL = np.zeros(256, bool)
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-":
@@ -219,7 +220,12 @@ def count_patterns(bits: np.ndarray):
         at = p.view(np.uint64) & mask
         return p[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
 
+    def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
+        p, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return p, np.bincount(at, np.concatenate([n for _, n in held]), len(p)).astype(np.int64)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0                      # counts of the task so far, in chunks
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
             for i, j in row_chunks(offsets):
@@ -231,9 +237,16 @@ def count_patterns(bits: np.ndarray):
                 ends = first[1:-1]
                 inner[ends[(ends > 0) & (ends < len(h))] - 1] = False       # pairs within a row only
                 seen = np.concatenate([hit(_left1(h)), *(hit(_pair(h, side)[inner]) for side in (LEFT2, RIGHT2))])
-                p, n = np.unique(seen, return_counts=True)
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n.astype(np.int64))], names=["pattern", "n"])
+                held.append(np.unique(seen, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["pattern", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], names=["pattern", "n"])
     return work
 
 
@@ -294,7 +307,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     could, _ = write_table(could, "could", release=True)
     bits = filter_bits(could, filter_size)
     totals = slim.select("text").mapInArrow(count_patterns(bits), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
-    totals, _ = write_table(totals.join(could, "pattern", "left_semi"), "totals", release=True)
+    # written before it is joined: Spark would move a semi join below the sum, to every task's counts
+    totals, _ = write_table(totals, "totals", release=True)
+    totals = totals.join(could, "pattern", "left_semi")
     confs, believed = score_graph(occ, totals, rounds, support, confident)
 
     other = occ.filter("kind < 0").select("rid", "s", "e", "instance", "patterns")
