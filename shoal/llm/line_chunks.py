@@ -7,11 +7,12 @@ and half as ends. A chunk runs from a start to the nearest end after it, at most
 lines alone: wherever the lines return, whatever stands around them, the chunk
 returns. A line of at least ``LONG_LINE`` words is also a chunk of its own.
 
-Marks leave out most short passages. So with ``windows`` a chunk is also opened at
-every line with words, to the first line after it where ``LONG_LINE`` words are
-reached, and closed at every line with words, from the last line before it where they
-are reached. These windows cover every run of lines of so many words that returns,
-from its first to its last line with words, and no shorter run.
+Marks leave out most short passages. So with ``windows``, as the query and the pipeline
+have it, a chunk is also opened at every line with words, to the first line where
+``LONG_LINE`` words are reached, and closed at every line with words, from the last
+line before it where they are reached. These bounds too follow from the chunk's own lines.
+They cover every run of lines of so many words that returns, from its first to its last
+line with words, and no shorter run; lines without words go with the line before them.
 
 Of a chunk that occurs more than once in all documents, the occurrence in the
 smallest (id, text hash), at the smallest line, stays and the others are removed
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from shoal.llm.common import write_table
 
 LONG_LINE = 50
+WORD = r"[^\\x20\\x09-\\x0D]+"          # as a SQL literal
 MOST = 16
 AROUND = 8
 
@@ -75,46 +77,45 @@ def chunks(text: str, long_line: int = LONG_LINE, most: int = MOST) -> Column:
 
 
 def short_runs(text: str, long_line: int = LONG_LINE) -> Column:
-    """Array of (s, e, h): for each line with words the shortest run of ``long_line`` words that it opens or closes."""
-    long = f"length({{l}}) >= {2 * long_line - 1} AND length({{l}}) - length(replace({{l}}, ' ', '')) >= {long_line - 1}"
+    """Array of (s, e, x, h): for each line with words the shortest run of ``long_line`` words that it opens or closes,
+    x the last of the lines without words that follow the run."""
     # lines until the words are reached, 0 if they are not; a line has a word at least, so long_line of them are enough
     reach = f"aggregate({{x}}, struct(0 AS t, 0 AS k), (r, x) -> IF(r.t >= {long_line}, r, struct(r.t + x AS t, r.k + 1 AS k)), r -> IF(r.t >= {long_line}, r.k, 0))"
 
     def ends(cut: str) -> str:
         near, far = (reach.format(x=cut.format(n=n)) for n in (min(8, long_line), long_line))
-        return f"""filter(transform(q.w, (x, j) -> struct(j AS j, coalesce(nullif({near}, 0), {far}) AS k)),
-                          c -> c.k > 1 OR c.k = 1 AND NOT ({long.format(l='ls[q.i[c.j]]')}))"""
+        return f"filter(transform(q.w, (x, j) -> struct(j AS j, coalesce(nullif({near}, 0), {far}) AS k)), c -> c.k > 0)"
 
     opened = ends("slice(q.w, j + 1, {n})")
     closed = ends("reverse(slice(q.w, greatest(1, j + 2 - {n}), least({n}, j + 1)))")
-    # a run is one number, as sets of numbers are hashed
+    # a run is one number, as sets of numbers are hashed: the places of its ends among the lines with words
     return F.expr(f"""
         element_at(transform(array({lines_of(text)}), ls -> element_at(transform(array({line_hashes(text)}), a ->
-          element_at(transform(array(filter(transform(ls, (l, i) -> struct(i AS i, regexp_count(l, '\\\\S+') AS w)), c -> c.w > 0)), p ->
+          element_at(transform(array(filter(transform(ls, (l, i) -> struct(i AS i, regexp_count(l, '{WORD}') AS w)), c -> c.w > 0)), p ->
             element_at(transform(array(struct(p.i AS i, p.w AS w)), q ->
               transform(
                 transform(
-                  array_union(transform({opened}, c -> q.i[c.j] * 2147483648L + q.i[c.j + c.k - 1]),
-                              transform({closed}, c -> q.i[c.j - c.k + 1] * 2147483648L + q.i[c.j])),
-                  c -> struct(cast(c div 2147483648L AS int) AS s, cast(c % 2147483648L AS int) AS e)),
-                c -> struct(c.s AS s, c.e AS e, xxhash64('window', slice(a, c.s + 1, c.e - c.s + 1)) AS h))), 1)), 1)), 1)), 1)""")
+                  array_union(transform({opened}, c -> c.j * 2147483648L + c.j + c.k - 1), transform({closed}, c -> (c.j - c.k + 1) * 2147483648L + c.j)),
+                  c -> struct(q.i[cast(c div 2147483648L AS int)] AS s, cast(c % 2147483648L AS int) AS j)),
+                c -> struct(c.s AS s, q.i[c.j] AS e, coalesce(get(q.i, c.j + 1), size(ls)) - 1 AS x, xxhash64('window', slice(a, c.s + 1, q.i[c.j] - c.s + 1)) AS h))), 1)), 1)), 1)), 1)""")
 
 
 def repeated_spans(docs: DataFrame, long_line: int = LONG_LINE, most: int = MOST, around: int = AROUND, windows: bool = False) -> DataFrame:
     """(k1, k2, spans): per document of (id, text, k1, k2) the line spans (s, e) to remove."""
-    found = [F.transform(chunks("text", long_line, most), lambda c: c.withField("window", F.lit(False)))]
+    form = lambda window, x: lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c[x].alias("x"), c.h.alias("h"), F.lit(window).alias("window"))
+    found = [F.transform(chunks("text", long_line, most), form(False, "e"))]
     if windows:
-        found.append(F.transform(short_runs("text", long_line), lambda c: c.withField("window", F.lit(True))))
+        found.append(F.transform(short_runs("text", long_line), form(True, "x")))
     meta, _ = write_table(docs.filter("text is not null")
                           .select("k1", "k2", F.explode(F.concat(*found)).alias("c"))
                           .select("k1", "k2", "c.*"), "chunks")
     # written before it is joined: a join fed by the aggregate itself could not split a hot chunk's rows
     often, _ = write_table(meta.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     # a document's candidates are bounded by its own chunks
-    cand = meta.join(often, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e", "h", "window")).alias("cs"))
+    cand = meta.join(often, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e", "x", "h", "window")).alias("cs"))
     once = docs.join(cand, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     texts = once.select("id", "k1", "k2", F.explode(F.expr(
-        f"element_at(transform(array(struct({lines_of('text')} AS ls, {line_hashes('text')} AS a)), d -> transform(cs, c -> struct(c.s, c.e, c.h, "
+        f"element_at(transform(array(struct({lines_of('text')} AS ls, {line_hashes('text')} AS a)), d -> transform(cs, c -> struct(c.s, c.x, c.h, "
         "array_join(slice(d.ls, c.s + 1, c.e - c.s + 1), '\n') AS bytes, "
         f"reverse(slice(d.a, greatest(1, c.s - {around - 1}), IF(c.window, 0, least({around}, c.s)))) AS pre, "
         f"slice(d.a, c.e + 2, IF(c.window, 0, {around})) AS post))), 1)")).alias("c"))
@@ -126,7 +127,7 @@ def repeated_spans(docs: DataFrame, long_line: int = LONG_LINE, most: int = MOST
     same = ("IF(least(size({x}), size({y})) = 0, 0, size(filter(sequence(1, greatest(1, least(size({x}), size({y})))), "
             "k -> slice({x}, 1, k) = slice({y}, 1, k))))")
     return (texts.join(first, ["h", "bytes"]).filter("place <> first")
-            .select("k1", "k2", F.expr(f"s - {same.format(x='pre', y='pre0')}").alias("s"), F.expr(f"e + {same.format(x='post', y='post0')}").alias("e"))
+            .select("k1", "k2", F.expr(f"s - {same.format(x='pre', y='pre0')}").alias("s"), F.expr(f"x + {same.format(x='post', y='post0')}").alias("e"))
             .groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
 
 

@@ -22,7 +22,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.line_chunks import dedup_lines
-    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), windows=True)
     return out.select("doc_id", "dedup.n_lines", "dedup.n_removed", "text")
 
 
@@ -94,7 +94,8 @@ QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_tox
                                    op11_pii_bootstrap, op12_conversation_repair, op13_source_divergence)}
 
 ORACLE = {
-    # md5 decides the bounds in both engines; ids are unique in the given tables
+    # chunks between marks (md5 decides the bounds in both engines), and maximal repeated runs of lines of 50 words or more,
+    # found as diagonals of equal lines with words (u: a line, and the lines without words after it); ids are unique in the given tables
     "op2_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
         l AS (SELECT doc_id, ls, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
@@ -110,7 +111,15 @@ ORACLE = {
                      s - len([x FOR x IN range(1, 9) IF s >= x AND f.n >= x AND ls[s - x + 1:s] = ls0[f.n - x + 1:f.n]]) AS s,
                      e + len([x FOR x IN range(1, 9) IF e + x < len(ls) AND e0 + x < len(ls0) AND ls[e + 2:e + 1 + x] = ls0[e0 + 2:e0 + 1 + x]]) AS e
               FROM k JOIN f USING (bytes) WHERE struct_pack(d := k.doc_id, n := k.s) <> f),
-        g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM r),
+        v AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+        u AS (SELECT doc_id, line, i, n, row_number() OVER o AS j, coalesce(lead(i) OVER o, len(ls)) AS till, array_to_string(ls[i + 2:coalesce(lead(i) OVER o, len(ls))], chr(10)) || '|' || till - i AS after
+              FROM v WHERE n > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        eq AS (SELECT a.doc_id AS a, b.doc_id AS b, a.j AS aj, b.j AS bj, b.n, a.after = b.after AS same
+               FROM u a JOIN u b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.j < b.j)),
+        br AS (SELECT *, CASE WHEN lag(bj) OVER o = bj - 1 AND lag(same) OVER o THEN 0 ELSE 1 END AS new FROM eq WINDOW o AS (PARTITION BY a, b, aj - bj ORDER BY bj)),
+        ru AS (SELECT *, sum(new) OVER (PARTITION BY a, b, aj - bj ORDER BY bj) AS run FROM br),
+        lo AS (SELECT DISTINCT b AS doc_id, bj AS j FROM (SELECT *, sum(n) OVER (PARTITION BY a, b, aj - bj, run) AS words FROM ru) WHERE words >= 50),
+        g AS (SELECT doc_id, unnest(range(s, e + 1)) AS i FROM r UNION SELECT u.doc_id, unnest(range(u.i, u.till)) FROM u JOIN lo USING (doc_id, j)),
         z AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
                      coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
               FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
