@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.common import components, small_batches, write_table
@@ -152,9 +152,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.withColumn("node", F.when(F.expr(_valid("label", "v")), F.xxhash64("label", "v")))
-    classes, _ = write_table(rows.filter("node is not null").groupBy("node").agg(
-        F.count("*").alias("m"), F.min("vec_id").alias("least_id"), F.first("label").cast("string").alias("label"), F.first("v").alias("v")), "classes")
+    # a class is known by two hashes, 128 bits; its number is given when the classes are written
+    rows = rows.withColumns({h: F.when(F.expr(_valid("label", "v")), F.xxhash64(*salt, "label", "v")) for h, salt in (("h1", []), ("h2", [F.lit("lane")]))})
+    classes, _ = write_table(rows.filter("h1 is not null").groupBy("h1", "h2").agg(
+        F.count("*").alias("m"), F.min("vec_id").alias("least_id"), F.first("label").cast("string").alias("label"), F.first("v").alias("v"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     table, _ = write_table(coded(classes.select("node", "m", "label", "v"), n), "coded")
 
@@ -162,9 +164,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     entries = (table.select("node", "label", F.size("v").alias("dim"), F.posexplode("codes").alias("pos", "code"))
                .select("node", F.expr(f"pos div {wide}").cast("int").alias("tab"), (F.col("pos") % wide == 0).alias("own"),
                        F.xxhash64("label", "dim", F.expr(f"pos div {wide}"), "code").alias("bucket")))
-    b = Window.partitionBy("bucket")
-    entries = (entries.withColumns({"c": F.count("*").over(b), "first": F.min("node").over(b), "last": F.max("node").over(b), "owns": F.max("own").over(b)})
-               .filter("first <> last and owns"))
+    # counted map-side and written, then joined back: Spark can split a hot bucket's rows in the join
+    shared, _ = write_table(entries.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.max("node").alias("last"), F.max("own").alias("owns"))
+                            .filter("first <> last and owns").select("bucket", "c"), "buckets")
+    entries = entries.join(shared, "bucket")
     blocks = F.ceil(F.col("c") / block).cast("int")
     tiles = (entries.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -240,7 +243,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
              .withColumn("root", F.coalesce("root", "node")))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "root").select("node", (F.col("m") - 1 + F.coalesce("weight", F.lit(0))).alias("links"), "component_id")
-    out = rows.select("vec_id", "node").join(named, "node", "left")
+    out = rows.select("vec_id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left").join(named, "node", "left")
     comp = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"),
                       F.col("vec_id").eqNullSafe(comp).alias("kept"))
