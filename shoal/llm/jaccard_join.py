@@ -32,7 +32,8 @@ component are not all enumerated; the result is the components.
 
 Defined results: without words or text a set is empty and links with nothing
 (component_id is the own id); rows with equal ids are separate documents; the
-component of documents without any id is null; other columns are ignored.
+component of documents without any id is null; very long texts are shingled
+whole; an empty table gives no rows; other columns are ignored.
 Shingle and set identity are 64-bit hashes.
 """
 
@@ -42,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.common import (WORD_NONBLANK, components, drop_path, hash_grams, hash_words, mix64, row_chunks,
@@ -335,9 +336,12 @@ def groups(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: st
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"))
         .select("node", "n", "sig", "least_id", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th")), "nodes")
     frequent = frequent_shingles(slim, n)
-    tile = Window.partitionBy("h")
-    met = tile_keys(slim, frequent, n).withColumns({"cnt": F.count("*").over(tile), "hub": F.min("node").over(tile), "top": F.max("node").over(tile)})
-    tiles, _ = write_table(met.filter("hub <> top").select("h", "node", "n", "hub", "cnt").distinct(), "tiles")
+    # counted map-side and written, then joined back: Spark can split a hot shingle's rows in the join
+    met, met_path = write_table(tile_keys(slim, frequent, n), "met")
+    shared, _ = write_table(met.groupBy("h").agg(F.count("*").alias("cnt"), F.min("node").alias("hub"), F.max("node").alias("top"))
+                            .filter("hub <> top").select("h", "hub", "cnt"), "shared", release=True)
+    tiles, _ = write_table(met.join(shared, "h").select("h", "node", "n", "hub", "cnt").distinct(), "tiles", release=True)
+    drop_path(spark, met_path)
 
     # contraction: classes of large tiles in blocks; for each class the hub that it shares most tiles with
     own = tiles.filter(f"cnt > {BIG}").groupBy("node").agg(F.max(F.struct("cnt", "h")).alias("t"), F.first("n").alias("n")).select("node", "n", "t.h")
