@@ -26,7 +26,8 @@ travel as compressed rows, several bytes a pair.
 Word identity is a 63-bit hash. Defined results: null text is the empty text
 (one end token); rows with equal ids are separate documents; a null id's
 remainder is that of the empty text; an empty training set scores 0 (everything
-is the unseen word); other columns are ignored.
+is the unseen word); very long texts are counted and scored whole; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,21 +57,27 @@ BLOB = "p int, kind int, blob binary"
 # -- packed columns ------------------------------------------------------------
 
 def pack(*cols: np.ndarray) -> bytes:
-    """Equal-length columns as one compressed block, byte planes apart."""
+    """Equal-length columns as one compressed block: their widths, then byte planes apart."""
     planes = (np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in cols)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return zstandard.ZstdCompressor(level=1).compress(bytes(c.dtype.itemsize for c in cols) + b"".join(planes))
 
 
 def unpack(blob: bytes, *types) -> list[np.ndarray]:
+    """The columns of a block; a column has the kind asked for and the width that it was packed with."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    types = [np.dtype(t) for t in types]
-    n, at, out = len(raw) // sum(t.itemsize for t in types), 0, []
+    types = [np.dtype(f"{np.dtype(t).kind}{width}") for t, width in zip(types, raw[:len(types)], strict=True)]
+    n, at, out = (len(raw) - len(types)) // sum(t.itemsize for t in types), len(types), []
     for t in types:
         out.append(raw[at:at + n * t.itemsize].reshape(t.itemsize, n).T.copy().view(t).ravel())
         at += n * t.itemsize
     return out
 
 
+def narrow(c: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of them fit, else in 64."""
+    return c.astype(np.uint32 if not len(c) or int(c.max()) < 1 << 32 else np.uint64)
+
+
 PAIR = ("u8", "u8", "u4")                 # v, w, c
 ENTRY = ("u8", "u8", "u4", "u4", "u4")    # v, w, c, c(w) (0 for a known word), unused by requests
 
@@ -90,7 +97,7 @@ def summed(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.
     order = np.lexsort((w, v))
     v, w, c = v[order], w[order], c[order]
     at = runs(v, w)
-    return v[at], w[at], (np.add.reduceat(c.astype(np.int64), at) if len(at) else c).astype(np.uint32)
+    return v[at], w[at], narrow(np.add.reduceat(c.astype(np.int64), at) if len(at) else c)
 
 
 def tally(v: np.ndarray, w: np.ndarray, doc: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -292,7 +299,7 @@ def pair_table(train: DataFrame, known: Known) -> tuple[DataFrame, str]:
         for t in chunked(batches):
             for _, _, v, w, doc in bigrams(t.column("text"), known):
                 v, w, _, c = tally(v, w, np.zeros(len(doc), np.int64), len(known.hash))
-                c = c.astype(np.uint32)
+                c = narrow(c)
                 rare = w >= TOP
                 yield _rows(BLOBS, dealt((mix64(w[rare]) % parts).astype(np.int64), 0, v[rare], w[rare], c[rare])
                             + dealt(known.route(v[~rare], w[~rare]), 1, v[~rare], w[~rare], c[~rare]))
@@ -313,7 +320,7 @@ def pair_table(train: DataFrame, known: Known) -> tuple[DataFrame, str]:
             w, v, c = summed(*(lambda a: (a[1], a[0], a[2]))(merged(blobs[0])))       # all pairs of a rare word are here
             if len(w):
                 at = runs(w)
-                cw = np.repeat(np.add.reduceat(c, at), np.diff(np.r_[at, len(w)])).astype(np.uint32)
+                cw = narrow(np.repeat(np.add.reduceat(c.astype(np.int64), at), np.diff(np.r_[at, len(w)])))
                 out += dealt(known.route(v, w), 1, v, w, c, cw)
             yield _rows(BLOBS, out)
 

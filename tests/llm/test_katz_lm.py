@@ -97,3 +97,15 @@ def test_pack_round_trip():
     cols = [rng.integers(0, 2 ** 63, 1000, dtype=np.uint64), rng.integers(0, 9, 1000, dtype=np.uint32), rng.random(1000)]
     assert all((a == b).all() for a, b in zip(cols, K.unpack(K.pack(*cols), "u8", "u4", "f8")))
     assert [len(x) for x in K.unpack(K.pack(cols[0][:0]), "u8")] == [0]
+
+
+def test_counts_beyond_32_bits():
+    import numpy as np
+    from shoal.llm import katz_lm as K
+    v, w = np.array([1, 1, 2], np.uint64), np.array([5, 5, 5], np.uint64)
+    v, w, c = K.summed(v, w, np.array([3_000_000_000, 3_000_000_000, 7], np.uint32))
+    assert c.tolist() == [6_000_000_000, 7]
+    small = K.narrow(np.array([1, 2]))
+    back = K.unpack(K.pack(v, w, c, small), "u8", "u8", "u4", "u4")
+    assert [x.tolist() for x in back] == [[1, 2], [5, 5], [6_000_000_000, 7], [1, 2]] and small.dtype == np.uint32
+    assert K.unpack(K.pack(v[:0], w[:0], small[:0]), *K.PAIR)[2].tolist() == []
