@@ -18,8 +18,8 @@ digest groups are combined map-side and their join is splittable.
 
 Defined results: null html is the empty payload; a null page id stays null and
 sorts after others; pages that share a page id and a payload are told apart by
-their place (the first is the response); an empty table gives no rows; other
-columns of the input are ignored.
+their place (the first is the response); very long payloads are written whole; an
+empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ Defined results: null text is the empty text; a text without any word is no
 good text: its score is 0; null metadata is a value of its own; rows with equal
 ids are scored each; of repeated labels of an id the larger holds; labels that
 are null or have no document are ignored; with fewer than ``LEAST`` labels of
-either class nothing can be learned: every text with words keeps score 1; other
-columns are ignored.
+either class nothing can be learned: every text with words keeps score 1; very
+long texts are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -239,8 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          categories: tuple = CATEGORIES, numbers: tuple = NUMBERS, columns: tuple | None = None) -> DataFrame:
-    """``columns`` (default: the id) of every document with struct ``quality``: score, text_score, meta_score, keep."""
+          categories: tuple = CATEGORIES, numbers: tuple = NUMBERS, columns: tuple | None = None, out: str = "quality") -> DataFrame:
+    """``columns`` (default: the id) of every document with struct ``out``: score, text_score, meta_score, keep."""
     model, _ = fit(docs, labels, id_col, text_col, label_col, categories, numbers)
     columns = (id_col,) if columns is None else columns
     nc, nn = len(categories), len(numbers)
@@ -254,7 +254,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(x) for x in s)], [*names, "score", "text_score", "meta_score"])
 
     kinds = ", ".join(f"{n} {wide.schema[n].dataType.simpleString()}" for n in names)
-    out = wide.mapInArrow(run, f"{kinds}, score double, text_score double, meta_score double")
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, columns)),
-                      F.struct("score", "text_score", "meta_score", (F.col("score") >= 0.5).alias("keep")).alias("quality"))
+    found = wide.mapInArrow(run, f"{kinds}, score double, text_score double, meta_score double")
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, columns)),
+                        F.struct("score", "text_score", "meta_score", (F.col("score") >= 0.5).alias("keep")).alias(out))
 

@@ -24,8 +24,8 @@ characters. Term identity is a 64-bit hash of the word's bytes.
 Defined results: null or empty text has no words and no hits; rows with equal
 ids are separate documents; an item without words matches nothing, one shorter
 than a window is one window of its words; repeated items count once by id, a
-null item id as the empty text; with an empty benchmark nothing is hit; other
-columns are ignored.
+null item id as the empty text; with an empty benchmark nothing is hit; very long
+texts are indexed whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Defined results: null text is the empty text; texts without words get the score
 of a text in which no voter and no word speaks; rows with equal ids are scored
 each; duplicate labels of an id count as toxic if one does; null labels and
 labels without a document are ignored; without labelled rows the lexicons and a
-prior of ``PRIOR`` remain; other columns are ignored.
+prior of ``PRIOR`` remain; very long texts are scored whole; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: names that operators use inside, as extra columns of the input
-CLASHES = ["id", "th", "h", "node", "root", "part", "c0", "n0", "k1", "spans", "segment", "held_out", "score", "key", "p", "v"]
+CLASHES = ["id", "th", "h", "node", "root", "part", "c0", "n0", "k1", "spans", "segment", "held_out", "score", "key", "p", "v",
+           "quality", "__own_dedup", "__own_th", "__own_id", "__own_hit"]
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
                      T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
