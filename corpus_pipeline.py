@@ -14,11 +14,14 @@ Where a stage returns text, n_chars is the length of that text.
 Defined results: rows that are equal in id and text are one document stored
 twice; near_dups keeps one such row. Documents without words
 are no good texts (stage 1). A group of documents that all lack
-an id keeps one of them. Extra columns pass through.
+an id keeps one of them. Extra columns pass through, whatever their names. Empty tables give
+no rows; very long texts pass each stage whole.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,42 +31,52 @@ from shoal.llm.queries import tokenizer_path
 SEQ_LEN = 2048
 
 
+def _own() -> str:
+    """A prefix for columns of our own that no input has."""
+    return "c" + uuid.uuid4().hex[:12]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from shoal.llm.cotrain_quality import score
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, labels, columns=tuple(docs.columns)).filter("quality.keep").drop("quality")
+    labels, own = spark.read.parquet(f"{sf_dir}/labels.parquet"), _own()
+    return score(docs, labels, columns=tuple(docs.columns), out=own).filter(f"{own}.keep").drop(own)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from shoal.llm.line_chunks import dedup_lines
-    out = dedup_lines(docs, stats="__own_dedup", windows=True).filter("not (__own_dedup.n_removed > 0 and trim(text) = '')")
+    own = _own()
+    out = dedup_lines(docs, stats=own, windows=True).filter(f"not ({own}.n_removed > 0 and trim(text) = '')")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__own_dedup.n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("__own_dedup")
+        out = out.withColumn("n_chars", F.when(F.col(f"{own}.n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.drop(own)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from shoal.llm.jaccard_join import groups
+    own = _own()
     g, _ = write_table(groups(docs), "groups")
     first = (g.filter("root is not null").groupBy("root")
              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th"))
-    stay = first.unionByName(g.filter("root is null").select("doc_id", "th"))
+    stay = first.unionByName(g.filter("root is null").select("doc_id", "th")).distinct().select(F.col("doc_id").alias(f"{own}id"), F.col("th").alias(f"{own}stay"))
     rows = g.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
-    kept = docs.withColumn("__own_th", F.xxhash64("text")).join(stay.select(F.col("doc_id").alias("__own_id"), F.col("th").alias("__own_stay")).distinct(),
-                                                           F.col("doc_id").eqNullSafe(F.col("__own_id")) & (F.col("__own_th") == F.col("__own_stay")), "left_semi")
-    if rows.filter("n > 1").limit(1).count():          # repeated rows of an id and text: one of them
-        kept = kept.dropDuplicates(["doc_id", "__own_th"])
-    return kept.drop("__own_th")
+    kept = docs.withColumn(f"{own}th", F.xxhash64("text")).join(
+        stay, F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}th") == F.col(f"{own}stay")), "left_semi")
+    if rows.filter("n > 1").limit(1).count():          # of the rows of an id and text the one whose columns hash least
+        cols = [F.col(f"`{c}`") for c in docs.columns]
+        kept = (kept.groupBy(F.col("doc_id").alias(f"{own}id"), f"{own}th")
+                .agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias(f"{own}row")).select(f"{own}row.*"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from shoal.llm.decontaminate import decontaminate as find
+    own = _own()
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text")
     hits = (find(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key").filter("n_hit > 0")
-            .select(F.col("doc_id.doc_id").alias("__own_id"), F.col("doc_id.th").alias("__own_hit")).distinct())
-    return (docs.withColumn("__own_th", F.xxhash64("text"))
-            .join(hits, F.col("doc_id").eqNullSafe(F.col("__own_id")) & (F.col("__own_th") == F.col("__own_hit")), "left_anti").drop("__own_th"))
+            .select(F.col("doc_id.doc_id").alias(f"{own}id"), F.col("doc_id.th").alias(f"{own}hit")).distinct())
+    return (docs.withColumn(f"{own}th", F.xxhash64("text"))
+            .join(hits, F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}th") == F.col(f"{own}hit")), "left_anti").drop(f"{own}th"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
