@@ -40,7 +40,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import write_table
+from shoal.llm.common import drop_path, write_table
 
 LONG_LINE = 50
 WORD = r"[^\\x20\\x09-\\x0D]+"          # as a SQL literal
@@ -106,11 +106,11 @@ def repeated_spans(docs: DataFrame, long_line: int = LONG_LINE, most: int = MOST
     found = [F.transform(chunks("text", long_line, most), form(False, "e"))]
     if windows:
         found.append(F.transform(short_runs("text", long_line), form(True, "x")))
-    meta, _ = write_table(docs.filter("text is not null")
+    meta, meta_path = write_table(docs.filter("text is not null")
                           .select("k1", "k2", F.explode(F.concat(*found)).alias("c"))
                           .select("k1", "k2", "c.*"), "chunks")
     # written before it is joined: a join fed by the aggregate itself could not split a hot chunk's rows
-    often, _ = write_table(meta.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
+    often, often_path = write_table(meta.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often", release=True)
     # a document's candidates are bounded by its own chunks
     cand = meta.join(often, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e", "x", "h", "window")).alias("cs"))
     once = docs.join(cand, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
@@ -120,10 +120,12 @@ def repeated_spans(docs: DataFrame, long_line: int = LONG_LINE, most: int = MOST
         f"reverse(slice(d.a, greatest(1, c.s - {around - 1}), IF(c.window, 0, least({around}, c.s)))) AS pre, "
         f"slice(d.a, c.e + 2, IF(c.window, 0, {around})) AS post))), 1)")).alias("c"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", F.col("c.s").alias("s"))
-    texts, _ = write_table(texts.select("k1", "k2", "c.*", place.alias("place")), "chunktexts")
+    texts, _ = write_table(texts.select("k1", "k2", "c.*", place.alias("place")), "chunktexts", release=True)
+    for path in (meta_path, often_path):
+        drop_path(docs.sparkSession, path)
     first, _ = write_table(texts.groupBy("h", "bytes").agg(
         F.min(F.struct("place", F.col("pre").alias("pre0"), F.col("post").alias("post0"))).alias("f"), F.count("*").alias("n"))
-        .filter("n > 1").select("h", "bytes", "f.*").withColumnRenamed("place", "first"), "first")
+        .filter("n > 1").select("h", "bytes", "f.*").withColumnRenamed("place", "first"), "first", release=True)
     same = ("IF(least(size({x}), size({y})) = 0, 0, size(filter(sequence(1, greatest(1, least(size({x}), size({y})))), "
             "k -> slice({x}, 1, k) = slice({y}, 1, k))))")
     return (texts.join(first, ["h", "bytes"]).filter("place <> first")
