@@ -214,4 +214,38 @@ ORACLE = {
         SELECT lang, source, part, item, value::BIGINT AS value,
                CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
         FROM r QUALIFY part = 'pair' OR rank <= 10""",
+    # every pair of a label
+    "op5_embedding_neardup": """
+        WITH RECURSIVE x AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        v AS (SELECT *, sqrt(list_sum([y * y FOR y IN e])) AS n FROM x
+              WHERE label IS NOT NULL AND len(e) > 0 AND len([1 FOR y IN e IF y IS NULL OR isnan(y) OR isinf(y)]) = 0 AND len([1 FOR y IN e IF y <> 0]) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+              WHERE len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+        r AS (SELECT vec_id AS d, vec_id AS root FROM x UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.d WHERE r.root < l.b),
+        c AS (SELECT d, min(root) AS root FROM r GROUP BY d)
+        SELECT vec_id, coalesce(k, 0) AS n_links, root AS component_id, vec_id = root AS kept
+        FROM x JOIN c ON d = vec_id LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) n ON a = vec_id""",
+    # every pair that shares a shingle
+    "op8_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, greatest(len(ws) - 4, 1) + 1)]) AS sh FROM w WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT doc_id AS d, doc_id AS root FROM w UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.d WHERE r.root < l.b),
+        c AS (SELECT d, min(root) AS root FROM r GROUP BY d)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM w JOIN c ON d = w.doc_id LEFT JOIN n USING (doc_id)""",
+    # every window of every item against every run of as many words
+    "op9_decontamination": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        w AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k, unnest([array_to_string(ws[i:i + 9], ' ') FOR i IN range(1, greatest(len(ws) - 9, 1) + 1)]) AS t FROM b WHERE len(ws) > 0),
+        g AS (SELECT doc_id, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS t, unnest(range(1, len(ws) - k + 2)) AS i
+              FROM d, (SELECT DISTINCT k FROM w) z WHERE len(ws) >= k),
+        h AS (SELECT doc_id, i, k, item_id FROM g JOIN w USING (k, t)),
+        p AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM h) y GROUP BY doc_id),
+        m AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) q GROUP BY doc_id)
+        SELECT d.doc_id, len(ws) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)""",
 }
