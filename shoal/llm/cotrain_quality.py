@@ -3,15 +3,16 @@
 Two views of a document: its text's content (words, their endings, repetition,
 shares of character classes) and its page metadata (language, source, size, and
 line layout). Each view has a logistic classifier. They start from labelled
-documents and work in rounds over a pool of unlabelled ones: each view gives
-the other the pool documents that it is sure of, with its label. Both views are
-then calibrated on labelled documents that neither was fitted on, combined, and
-score all documents.
+documents and work in rounds over all others: each view gives the other the
+documents that it is sure of, with its label. Both views are then calibrated on
+labelled documents that neither was fitted on, combined, and score all documents.
 
-The fit takes at most ``SAMPLE`` labelled documents and a pool of at most ``POOL``,
-chosen by hash, of rows with the same id the distinct ones, about ``PER_ID`` of an id
-and as many rows as ids in all; a third of the labelled ones calibrate. Scoring covers every
-document in one pass.
+The fit takes at most ``SAMPLE`` labelled documents, chosen by hash, of rows with the
+same id the distinct ones, about ``PER_ID`` of an id and as many rows as ids in all; a third
+of them calibrate. Every other document, whether labelled or not, is in the pool: its
+features are written once (equal documents once), and each round scores the whole pool
+in Spark. Of what a view is sure of, a share by hash, about ``POOL`` rows, is
+handed to the other's fit. The last pass scores every document.
 
 Defined results: null text is the empty text; a text without any word is no
 good text: its score is 0; null metadata is a value of its own; rows with equal
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import WORD_NONBLANK, bounded_rows, hash_words, row_chunks, small_batches, text_buffer
+from shoal.llm.common import WORD_NONBLANK, bounded_rows, drop_path, hash_words, row_chunks, small_batches, text_buffer, write_table
 from shoal.llm.linear import fit_logistic, per_row, scaler, sigmoid
 
 SAMPLE = 8000
@@ -132,37 +133,91 @@ class View:
         return self
 
 
-def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, held: np.ndarray,
+def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t, pool_m, held: np.ndarray,
             rounds: int = ROUNDS, sure: float = SURE, share: float = SHARE) -> tuple[View, View, np.ndarray, list[int]]:
-    """Both views after the exchange, the weights that combine their log odds, and the pseudo-labels given per round."""
+    """Both views after the exchange, the weights that combine their log odds, and the pseudo-labels given per round.
+
+    The pool is two arrays, or in place of the first a function from both views to
+    the rows and labels that each is given next, and their number.
+    """
     fit = ~held
-    given = [np.full(len(pool_t), np.nan), np.full(len(pool_t), np.nan)]      # labels that each view has been given
+    teach = pool_t if callable(pool_t) else _teacher(pool_t, pool_m, y, sure, share)
+    given = [(x[:0], y[:0]) for x in (xt, xm)]                    # rows and labels that each view has been given
     views, told = [], []
-    xs, pools = (xt, xm), (pool_t, pool_m)
     for r in range(rounds + 1):
         views = []
-        for k in (0, 1):
-            got = ~np.isnan(given[k])
-            x = np.vstack([xs[k][fit], pools[k][got]])
-            t = np.r_[y[fit], given[k][got]]
-            w = np.r_[np.ones(fit.sum()), np.full(got.sum(), 0.5)]
-            views.append(View(x, t, w).calibrate(xs[k][held], y[held]))
-        if r == rounds or not len(pool_t):
+        for x, (gx, gy) in zip((xt, xm), given, strict=True):
+            w = np.r_[np.ones(fit.sum()), np.full(len(gy), 0.5)]
+            views.append(View(np.vstack([x[fit], gx]), np.r_[y[fit], gy], w).calibrate(x[held], y[held]))
+        if r == rounds:
+            break
+        given, new = teach(views)
+        if not new:
             break
-        told.append(0)
-        for k in (0, 1):
+        told.append(new)
+    both = np.stack([v.odds(x[held]) for v, x in zip(views, (xt, xm), strict=True)], axis=1)
+    return views[0], views[1], fit_logistic(np.clip(both, -20, 20), y[held], l2=1e-2), told
+
+
+def _teacher(pool_t: np.ndarray, pool_m: np.ndarray, y: np.ndarray, sure: float, share: float):
+    """Pseudo-labels from a pool in memory: each round the surest that have none yet."""
+    pools, labels = (pool_t, pool_m), [np.full(len(pool_t), np.nan), np.full(len(pool_t), np.nan)]
+
+    def teach(views: list) -> tuple[list, int]:
+        new = 0
+        for k in (0, 1) if len(pool_t) else ():
             p = sigmoid(views[k].odds(pools[k]))
-            free = np.isnan(given[1 - k])
+            free = np.isnan(labels[1 - k])
             for label, conf in ((1.0, p), (0.0, 1 - p)):
                 most = int(share * len(p) * (y.mean() if label else 1 - y.mean())) + 1
                 pick = np.flatnonzero(free & (conf >= sure))
                 pick = pick[np.argsort(-conf[pick], kind="stable")][:most]
-                given[1 - k][pick] = label
-                told[-1] += len(pick)
-        if not told[-1]:
-            break
-    both = np.stack([v.odds(x[held]) for v, x in zip(views, xs)], axis=1)
-    return views[0], views[1], fit_logistic(np.clip(both, -20, 20), y[held], l2=1e-2), told
+                labels[1 - k][pick] = label
+                new += len(pick)
+        got = [~np.isnan(x) for x in labels]
+        return [(pools[k][got[k]], labels[k][got[k]]) for k in (0, 1)], new
+    return teach
+
+
+def pool_teacher(pool: DataFrame, positive: float, most: int, sure: float = SURE):
+    """Pseudo-labels from a table (row, xt, xm): both views score all of it; a share by hash of what either is sure of goes to the other.
+
+    ``most`` rows are handed to a fit, about; ``positive`` is their share of good ones.
+    """
+
+    def teach(views: list) -> tuple[list, int]:
+        def confident(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                labels = []
+                for c, view in zip(("xt", "xm"), views, strict=True):
+                    x = b.column(c).flatten().to_numpy().astype(float).reshape(b.num_rows, -1)
+                    p = sigmoid(view.odds(x))
+                    labels.append(np.where(p >= sure, 1, np.where(1 - p >= sure, 0, -1)).astype(np.int32))
+                keep = pa.array((labels[0] >= 0) | (labels[1] >= 0))
+                yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(x) for x in labels), b.column("xt"), b.column("xm")],
+                                                 ["row", "lt", "lm", "xt", "xm"]).filter(keep)
+
+        scored = pool.mapInArrow(confident, "row long, lt int, lm int, xt array<float>, xm array<float>")
+        counts = {(r.lt, r.lm): r["count"] for r in scored.groupBy("lt", "lm").count().collect()}
+        picks = []
+        for k, c in enumerate(("lt", "lm")):                     # by what share the giver's documents of a label are thinned
+            share = F.lit(0.0)
+            for label in (0, 1):
+                n = sum(v for x, v in counts.items() if x[k] == label)
+                want = 1 + int(most * (positive if label else 1 - positive))
+                share = F.when(F.col(c) == label, min(1.0, want / max(1, n))).otherwise(share)
+            picks.append(F.pmod(F.xxhash64("row", F.lit(c)), F.lit(1 << 20)) < share * (1 << 20))
+        some = scored.withColumns({"gt": picks[0], "gm": picks[1]}).filter("gt or gm").limit(4 * most).toArrow().sort_by("row").combine_chunks()
+        given = []
+        for taken, label, x in (("gm", "lm", "xt"), ("gt", "lt", "xm")):      # the metadata view teaches the text view, and the other way round
+            part = some.filter(some.column(taken))
+            wide = part.column(x).combine_chunks()
+            rows = wide.flatten().to_numpy().astype(float).reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, views[0 if x == "xt" else 1].b.size - 1))
+            given.append((rows, part.column(label).to_numpy().astype(float)))
+        return given, int(sum(v * ((x[0] >= 0) + (x[1] >= 0)) for x, v in counts.items()))
+    return teach
 
 
 class Quality:
@@ -198,18 +253,14 @@ def _inputs(id_col: str, text_col: str, categories: tuple, numbers: tuple) -> li
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         categories: tuple = CATEGORIES, numbers: tuple = NUMBERS, sample: int = SAMPLE, pool: int = POOL) -> tuple[Quality, list[int]]:
-    """Fit on bounded samples; (classifier, pseudo-labels given per round)."""
+    """(classifier, pseudo-labels given per round). ``sample`` bounds the labelled rows, ``pool`` the pseudo-labelled rows that a round hands to a fit."""
     small_batches(docs.sparkSession)
     slim = docs.select(*_inputs(id_col, text_col, categories, numbers))
     named = (labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("double").alias("y")).filter("lid is not null and y in (0, 1)")
              .groupBy("lid").agg(F.max("y").alias("y")))
     chosen = named.orderBy(F.xxhash64("lid"), "lid").limit(sample)
-    total = max(1, slim.count())
-    some = slim.filter(F.col("id").isNotNull()).select("id").filter(F.pmod(F.xxhash64("id", F.lit("pool")), F.lit(max(1, total // (2 * pool)))) == 0)
-    free = (some.join(named.select(F.col("lid").alias("id")), "id", "left_anti").distinct().orderBy(F.xxhash64("id", F.lit("order")), "id").limit(pool)
-            .select(F.col("id").alias("lid"), F.lit(None).cast("double").alias("y")))
-    ids = slim.join(F.broadcast(chosen.unionByName(free)), F.col("id") == F.col("lid")).drop("lid")       # at most sample + pool ids
-    rows = bounded_rows(ids, sample + pool)                                                   # and rows
+    ids = slim.join(F.broadcast(chosen), F.col("id") == F.col("lid")).drop("lid")             # at most sample ids
+    rows = bounded_rows(ids, sample)                                                          # and rows
     nc, nn = len(categories), len(numbers)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,18 +274,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                              ["y", "held", "xt", "xm"])
 
     got = rows.mapInArrow(features, "y double, held boolean, xt array<double>, xm array<double>").toArrow()
-    y = np.array([np.nan if v is None else v for v in got.column("y").to_pylist()], float)
-    known = ~np.isnan(y)
-    if known.sum() == 0 or min((y == 0).sum(), (y == 1).sum()) < LEAST:
+    y = got.column("y").to_numpy().astype(float)
+    if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return Quality(None, None, None), []
     order = np.lexsort(tuple(np.round(np.array(got.column("xm").to_pylist(), float).T[:3], 9)))    # not the order of arrival
     xt, xm = (np.array(got.column(c).to_pylist(), float)[order] for c in ("xt", "xm"))
-    y, known, held = y[order], known[order], got.column("held").to_numpy()[order].astype(bool)
-    if min(len(set(y[known & held])), len(set(y[known & ~held]))) < 2:
-        held = known & (np.cumsum(known) % 2 == 0) if len(set(y[known][::2])) > 1 and len(set(y[known][1::2])) > 1 else np.zeros(len(y), bool)
+    y, held = y[order], got.column("held").to_numpy()[order].astype(bool)
+    if min(len(set(y[held])), len(set(y[~held]))) < 2:
+        held = np.cumsum(np.ones(len(y))) % 2 == 0 if len(set(y[::2])) > 1 and len(set(y[1::2])) > 1 else np.zeros(len(y), bool)
         if not held.any():
             return Quality(None, None, None), []
-    a, b, w, told = cotrain(xt[known], xm[known], y[known], xt[~known], xm[~known], held[known])
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, t, m, _ in _views(b, nc, nn):
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(i, j - i), *(pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())) for x in (t, m))],
+                                                 ["row", "xt", "xm"])
+
+    # everything else, once per distinct document; at most sample ids are kept out
+    rest = slim.join(F.broadcast(chosen.select("lid")), F.col("id") == F.col("lid"), "left_anti")
+    rest = rest.withColumn("row", F.xxhash64("text", *(c for c in slim.columns if c not in ("id", "text"))))
+    others, path = write_table(rest.mapInArrow(described, "row long, xt array<float>, xm array<float>").dropDuplicates(["row"]), "pool", release=True)
+    a, b, w, told = cotrain(xt, xm, y, pool_teacher(others, float(y.mean()), pool), None, held)
+    drop_path(docs.sparkSession, path)
     return Quality(a, b, w), told
 
 
