@@ -1,7 +1,8 @@
 """Text columns of the generator as column expressions.
 
-Every draw is a hash of (seed, stream, key, position), so a row's text depends
-only on its key. Word lists are constant arrays (folded into one literal by the
+Every draw is a number of the row's own part of a random stream (``draws``), at a
+place given by the column and a running number, so a row's text depends only on
+its key. ``row`` is the row's state. Word lists are constant arrays (folded into one literal by the
 optimizer); a weighted list is expanded so a uniform index is a weighted pick.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shoal.functions.draws import DEFAULT_SEED, WIDE, mix, wide_mix
+from shoal.functions.draws import WIDE, State, advance, draw, jump, position, wide_draw
 from shoal.generate import vocab
 
 
@@ -18,13 +19,13 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def _h(stream: int, *keys) -> Column:
-    return mix(DEFAULT_SEED, stream, *keys)
+def _h(stream: int, row: State, sub: int = 0) -> Column:
+    return draw(row, position(stream, sub))
 
 
-def _int(lo: int, hi: int, stream: int, *keys) -> Column:
+def _int(lo: int, hi: int, stream: int, row: State, sub: int = 0) -> Column:
     """Uniform integer in [lo, hi] (I16)."""
-    h = _h(stream, *keys) if hi - lo < WIDE else wide_mix(DEFAULT_SEED, stream, *keys)
+    h = _h(stream, row, sub) if hi - lo < WIDE else wide_draw(row, position(stream, sub))
     return F.lit(lo).cast("long") + h % F.lit(hi - lo + 1).cast("long")
 
 
@@ -37,9 +38,9 @@ def const_array(values: list[str]) -> Column:
     return F.split(F.lit(_SEP.join(values)), _SEP)
 
 
-def pick(values: list[str], stream: int, *keys) -> Column:
+def pick(values: list[str], stream: int, row: State, sub: int = 0) -> Column:
     """Uniform pick from a list (weighted lists pass through ``vocab.expand``)."""
-    return F.element_at(const_array(values), (F.pmod(_h(stream, *keys), F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(const_array(values), (_h(stream, row, sub) % len(values) + 1).cast("int"))
 
 
 def tagged(tag: str, key, width: int = 9) -> Column:
@@ -47,40 +48,45 @@ def tagged(tag: str, key, width: int = 9) -> Column:
     return F.concat(F.lit(tag), F.lpad(_c(key).cast("string"), width, "0"))
 
 
-def phone(nationkey, stream: int, key) -> Column:
+def phone(nationkey, stream: int, row: State) -> Column:
     """``cc-aaa-eee-nnnn`` with ``cc = 10 + nation`` and three random groups."""
     return F.format_string("%02d-%03d-%03d-%04d", (_c(nationkey) + 10).cast("int"),
-                           _int(100, 999, stream, key, 1).cast("int"),
-                           _int(100, 999, stream, key, 2).cast("int"),
-                           _int(1000, 9999, stream, key, 3).cast("int"))
+                           _int(100, 999, stream, row, 1).cast("int"),
+                           _int(100, 999, stream, row, 2).cast("int"),
+                           _int(1000, 9999, stream, row, 3).cast("int"))
 
 
-def random_string(min_len: int, max_len: int, stream: int, key) -> Column:
+CHARS = 60                      # longest random string that a column's numbers give
+
+
+def random_string(min_len: int, max_len: int, stream: int, row: State) -> Column:
     """Random alphanumeric string of random length in [min, max]."""
-    n = _int(min_len, max_len, stream, key, -1)
+    if max_len > CHARS:
+        raise ValueError(f"at most {CHARS} characters")
+    n = _int(min_len, max_len, stream, row, CHARS + 1)
     alphabet = const_array(list(vocab.ALPHANUM))
     chars = F.transform(F.sequence(F.lit(1), n.cast("int")),
-                        lambda i: F.element_at(alphabet, (F.pmod(_h(stream, key, i), F.lit(64)) + 1).cast("int")))
+                        lambda i: F.element_at(alphabet, (_h(stream, advance(row, i, CHARS)) % 64 + 1).cast("int")))
     return F.array_join(chars, "")
 
 
-def embed(text: Column, word: Column, stream: int, key) -> Column:
+def embed(text: Column, word: Column, stream: int, row: State) -> Column:
     """``word`` written over ``text`` at a random position."""
     room = F.greatest(F.length(text) - F.length(word), F.lit(0))
-    pos = F.pmod(_h(stream, key), room + 1) + 1
+    pos = _h(stream, row) % (room + 1) + 1
     return F.overlay(text, word, pos.cast("int"))
 
 
-def distinct_picks(values: list[str], n: int, stream: int, key, sep: str = " ") -> Column:
+def distinct_picks(values: list[str], n: int, stream: int, row: State, sep: str = " ") -> Column:
     """``n`` different entries of ``values`` joined by ``sep`` (H26), by ``n`` draws: the i-th is one of
     the first size - n + i places, or the last of these if that place is already taken."""
     arr, size, taken = const_array(values), len(values), F.array().cast("array<long>")
     for i in range(1, n + 1):
         last = size - n + i
-        draw = _h(stream, key, i) % last + 1
+        at = _h(stream, row, i) % last + 1
         # a one-element array binds what is drawn so far once
         taken = F.element_at(F.transform(F.array(taken), lambda t: F.concat(  # noqa: B023
-            t, F.array(F.when(F.array_contains(t, draw), F.lit(last).cast("long")).otherwise(draw)))), 1)
+            t, F.array(F.when(F.array_contains(t, at), F.lit(last).cast("long")).otherwise(at)))), 1)
     return F.array_join(F.transform(taken, lambda k: F.element_at(arr, k.cast("int"))), sep)
 
 
@@ -92,18 +98,21 @@ _WORDS = {"N": vocab.NOUNS, "V": vocab.VERBS, "J": vocab.ADJECTIVES, "D": vocab.
 class _Slots:
     """Hands out a fresh draw position for every word of a sentence."""
 
-    def __init__(self, stream: int, key, sentence: Column):
-        self.stream, self.key, self.sentence, self.n = stream, key, sentence, 0
+    def __init__(self, row: State):
+        self.row, self.n = row, 0
 
-    def word(self, part: str) -> Column:
+    def draw(self) -> Column:
         self.n += 1
-        return pick(vocab.expand(_WORDS[part]), self.stream, self.key, self.sentence, self.n)
+        return draw(self.row, self.n)
+
+    def word(self, part: str) -> Column:
+        words = vocab.expand(_WORDS[part])
+        return F.element_at(const_array(words), (self.draw() % len(words) + 1).cast("int"))
 
     def choice(self, weighted: list[tuple[str, int]]) -> Column:
         """0-based index of a weighted pick: a draw in [0, total) against the
         running weight thresholds."""
-        self.n += 1
-        r = _h(self.stream, self.key, self.sentence, self.n) % sum(w for _, w in weighted)
+        r = self.draw() % sum(w for _, w in weighted)
         out, upto = None, 0
         for i, (_, w) in enumerate(weighted[:-1]):
             upto += w
@@ -129,11 +138,11 @@ def _phrase(slots: _Slots, forms: list[tuple[str, int]]) -> Column:
     return out
 
 
-def sentence_parts(stream: int, key, j: Column) -> dict[str, Column]:
+def sentence_parts(row: State) -> dict[str, Column]:
     """The phrase slots one sentence can use, each drawn once: noun phrases
     N1, N2, verb phrase V1, prepositional phrases P1, P2 (preposition + "the" +
     noun phrase), terminator T1, and the grammar choice G."""
-    slots = _Slots(stream, key, j)
+    slots = _Slots(row)
     parts = {"G": slots.choice(vocab.GRAMMAR)}
     for name in ("N1", "N2"):
         parts[name] = _phrase(slots, vocab.NOUN_PHRASES)
@@ -163,55 +172,72 @@ def sentence_from_parts(cols: dict[str, str]) -> Column:
     return out
 
 
-# Text pool: POOL_CHUNKS rows of POOL_SENTENCES grammar sentences each (about 1 KiB
-# a row, about 1 MiB in all) -- a fixed size whatever the scale factor.
-POOL_CHUNKS = 1024
+# Text pool: chunks of POOL_SENTENCES grammar sentences each (about POOL_ROW bytes a chunk), as many as
+# the pool's size asks for.
 POOL_SENTENCES = 24
-POOL_STREAM = 997
+POOL_ROW = 1024
+POOL_BYTES = 1 << 20
+BROADCAST_CHUNKS = 8192         # a pool of at most so many chunks (8 MiB) is broadcast, a larger one is joined by chunk
+POOL_SALT = 997
 
 
 _POOLS: dict = {}
 
 
-def text_pool(spark, chunks: int = POOL_CHUNKS, sentences: int = POOL_SENTENCES):
-    """(_chunk, _pool): the generator's text pool, built by Spark once per job.
+class Pool:
+    """The generator's text pool: ``rows`` (_chunk, _pool, _size) and the number of chunks."""
+
+    def __init__(self, rows, chunks: int, sentences: int):
+        self.rows, self.chunks, self.sentences = rows, chunks, sentences
+
+
+def text_pool(spark, size: int = POOL_BYTES, sentences: int = POOL_SENTENCES) -> Pool:
+    """A pool of about ``size`` bytes; the same chunks whatever its size.
 
     One row per (chunk, sentence) with every phrase slot as a column, the
     sentence composed from them, then the sentences of a chunk joined in order
-    (a group-by over a fixed number of rows). The (lazy, deterministic) plan is
+    (at most ``sentences`` rows a group). The (lazy, deterministic) plan is
     kept per session, so its large expression is built once.
     """
+    chunks = max(1, -(-size // POOL_ROW))
     memo = (spark.sparkContext.applicationId, chunks, sentences)
     if memo not in _POOLS:
-        # a plan, about 1 MiB when it runs; deterministic, so any task recomputes the same text
-        _POOLS[memo] = _build_pool(spark, chunks, sentences)
+        # a plan; deterministic, so any task recomputes the same text
+        _POOLS[memo] = Pool(_build_pool(spark, chunks, sentences), chunks, sentences)
     return _POOLS[memo]
 
 
 def _build_pool(spark, chunks: int, sentences: int):
-    parts_of = sentence_parts(POOL_STREAM, F.col("_chunk"), F.col("_j"))
     rows = (spark.range(chunks, numPartitions=max(1, min(chunks // 64, spark.sparkContext.defaultParallelism)))
             .select(F.col("id").alias("_chunk"), F.explode(F.sequence(F.lit(1), F.lit(sentences))).alias("_j")))
+    first, second = jump(F.col("_chunk") * sentences + F.col("_j"), POOL_SALT)
+    rows = rows.select("_chunk", "_j", first.alias("_r1"), second.alias("_r2"))
+    parts_of = sentence_parts((F.col("_r1"), F.col("_r2")))
     rows = rows.select("_chunk", "_j", *[c.alias(f"_s{n}") for n, c in parts_of.items()])
     rows = rows.select("_chunk", "_j", sentence_from_parts({n: f"_s{n}" for n in parts_of}).alias("_sentence"))
     ordered = F.array_sort(F.collect_list(F.struct("_j", "_sentence")))
-    return (rows.groupBy("_chunk")
-            .agg(F.array_join(F.transform(ordered, lambda x: x["_sentence"]), " ").alias("_pool")))
+    pool = rows.groupBy("_chunk").agg(F.array_join(F.transform(ordered, lambda x: x["_sentence"]), " ").alias("_pool"))
+    return pool.withColumn("_size", F.length("_pool"))
+
+
+#: places of a comment's draws among a column's numbers
+COMMENT_LENGTH, COMMENT_CHUNK, COMMENT_OFFSET = 100, 108, 116
 
 
-def add_comment(df, column: str, key: Column, stream: int, min_len: int, max_len: int, pool=None):
+def add_comment(df, column: str, row: State, stream: int, min_len: int, max_len: int, pool: Pool | None = None):
     """Add ``column``: a window of random length in [min, max] at a random offset
     of a randomly chosen pool chunk (I14).
 
-    The pool has a fixed number of rows, so broadcasting it is bounded; the big
-    side never shuffles (a broadcast hash join on the chunk number).
+    A small pool is broadcast (its number of chunks bounds its bytes) and the rows
+    don't move; a larger one is a shuffle on both sides by the chunk, of which a task
+    holds its share only. Chunks are drawn below the pool's own number of them.
     """
     pool = pool if pool is not None else text_pool(df.sparkSession)
-    chunk = F.pmod(_h(stream, key, -3), F.lit(POOL_CHUNKS))
-    want = _int(min_len, max_len, stream, key, -1)
-    tagged = df.withColumn("_chunk", chunk).withColumn("_want", want).withColumn("_salt", _h(stream, key, -2))
-    joined = tagged.join(F.broadcast(pool), "_chunk")
-    length = F.least(F.col("_want"), F.length("_pool"))
-    offset = F.pmod(F.col("_salt"), F.length("_pool") - length + 1) + 1
+    chunk = _h(stream, row, COMMENT_CHUNK) if pool.chunks < WIDE else wide_draw(row, position(stream, COMMENT_CHUNK - 64))
+    want = _int(min_len, max_len, stream, row, COMMENT_LENGTH)
+    tagged = df.withColumns({"_chunk": chunk % pool.chunks, "_want": want, "_salt": _h(stream, row, COMMENT_OFFSET)})
+    joined = tagged.join(F.broadcast(pool.rows) if pool.chunks <= BROADCAST_CHUNKS else pool.rows.hint("shuffle_hash"), "_chunk")
+    length = F.least("_want", "_size")
+    offset = F.col("_salt") % (F.col("_size") - length + 1) + 1
     return (joined.withColumn(column, F.substring(F.col("_pool"), offset.cast("int"), length.cast("int")))
-            .drop("_chunk", "_want", "_salt", "_pool"))
+            .drop("_chunk", "_want", "_salt", "_pool", "_size"))

@@ -115,3 +115,63 @@ def test_refresh_cycle_on_generated_tables(spark):
     assert orphans == 0                                        # deleted orders took their lines along
     hdr = quality.order_header_check(new_o, new_l).collect()[0]
     assert (hdr.orders_without_lines, hdr.status_mismatch, hdr.price_mismatch) == (0, 0, 0)
+
+
+PERIOD = (1 << 31) - 1                  # of the generator that one 31-bit lane would be
+
+
+def test_draws_do_not_repeat_after_2_31_keys(spark):
+    keys = [11, 11 + PERIOD, 11 + 2 * PERIOD, 11 + (1 << 40), 11 + (1 << 62)]
+    o, li = G.orders_and_lineitem(spark, 1, 1, key_source=spark.createDataFrame([(k,) for k in keys], "k long"))
+    drawn = [c for c in o.columns if c not in ("o_orderkey", "o_shippriority", "o_orderstatus")]
+    rows = [tuple(r[c] for c in drawn) for r in o.collect()]
+    assert len(set(rows)) == len(keys)
+    assert all(len({r[i] for r in rows}) > 1 for i in range(len(drawn)))
+    lines = [tuple(r)[1:] for r in li.collect()]
+    assert len(set(lines)) == len(lines)
+
+
+def test_a_row_is_reached_by_any_way(spark):
+    """The jump equals stepping through the stream, for small and for large keys."""
+    from shoal.functions import draws
+    for key in (0, 1, 2, 17, 300):
+        x = list(draws.start(5))
+        for _ in range(key):
+            x = [v * draws.power(k, draws.ROW) % draws.MODULI[k] for k, v in enumerate(x)]
+        got = spark.range(1).select(*draws.jump(F.lit(key), 5), draws.draw(draws.jump(F.lit(key), 5), 77).alias("d")).first()
+        want = [v * draws.power(k, 77) % draws.MODULI[k] for k, v in enumerate(x)]
+        assert list(got)[:2] == x and got.d == (want[0] - want[1]) % draws.RANGE
+    far = (1 << 63) - 5
+    got = spark.range(1).select(*draws.jump(F.lit(far), 5)).first()
+    assert list(got) == [s * draws.power(k, draws.ROW * far) % draws.MODULI[k] for k, s in enumerate(draws.start(5))]
+
+
+def test_draws_are_spread_evenly(spark):
+    from shoal.functions import draws
+    rows = spark.range(20000).select(*(c.alias(n) for c, n in zip(draws.jump(F.col("id")), G.ROW, strict=True)))
+    d = [draws.draw(G._state(), draws.position(s)) % 10 for s in (5, 6)]
+    cells = rows.select(d[0].alias("x"), d[1].alias("y")).groupBy("x", "y").count().collect()
+    assert len(cells) == 100 and sum((r["count"] - 200) ** 2 / 200 for r in cells) < 160      # chi-square, 99 degrees
+
+
+@pytest.mark.parametrize("size", [1, 512 << 10, 2 << 20, 9 << 20])
+def test_no_pool_size_loses_rows(spark, size):
+    from shoal.functions import draws, text
+    pool = text.text_pool(spark, size)
+    rows = spark.range(3000).select("id", *(c.alias(n) for c, n in zip(draws.jump(F.col("id")), G.ROW, strict=True)))
+    got = G._with_text(rows, "o_comment", pool)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (pool.chunks <= text.BROADCAST_CHUNKS)
+    lo, hi = vocab.bounds("o_comment")
+    lengths = [len(r.o_comment) for r in got.collect()]
+    assert len(lengths) == 3000 and min(lengths) >= lo and max(lengths) <= hi
+
+
+def test_pool_is_used_from_end_to_end(spark):
+    from shoal.functions import draws, text
+    pool = text.text_pool(spark, 2 << 20)
+    used = spark.range(40000).select((text._h(G.S["o_comment"], draws.jump(F.col("id")), text.COMMENT_CHUNK) % pool.chunks).alias("c")).distinct().count()
+    assert pool.chunks == 2048 and used == 2048
+    small = {r._chunk: r._pool for r in text.text_pool(spark, 4096).rows.collect()}
+    large = {r._chunk: r._pool for r in pool.rows.filter("_chunk < 4").collect()}
+    assert small == large and len(small) == 4
