@@ -1,5 +1,10 @@
 """Refresh sets: insert new orders with their lines, delete old ones.
 
+One set after the other (``apply_refresh_sets``), a run of sets compacted to their net
+change and applied once (``net_change``, ``apply_net``), or a set applied to a stored
+table of which only the touched key ranges are rewritten (``write_ranges``,
+``refresh_ranges``).
+
 Applying a set is a union (inserts) and a left anti join on the order key
 (deletes) -- both touch every base row once, neither sorts. The delete keys are
 0.1 % of orders; Catalyst/AQE broadcasts them only when their measured size is
@@ -8,10 +13,10 @@ under the broadcast threshold and shuffles both sides otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.functions.keys import sparse_key
+from shoal.functions.keys import div, sparse_key
 from shoal.session import cut_lineage
 from shoal.sources.fixtures import REFRESH_MODULUS
 
@@ -66,3 +71,77 @@ def apply_refresh_sets(orders: DataFrame, lineitem: DataFrame, sets: list[tuple[
         if checkpoint_every and n % checkpoint_every == 0:
             orders, lineitem = cut_lineage(orders), cut_lineage(lineitem)
     return orders, lineitem
+
+
+# -- a run of sets, compacted ----------------------------------------------------------
+
+SET = "refresh_set"
+
+
+def net_change(inserts: DataFrame, deletes: DataFrame, key: str, delete_key: str = "o_orderkey", set_col: str = SET) -> tuple[DataFrame, DataFrame]:
+    """Net effect of ordered sets, each of which inserts before it deletes: (rows to insert, keys to delete first).
+
+    A key's last deletion decides: one aggregate over all delete keys, combined
+    map-side, then one join that keeps the inserts of later sets. The plan does not
+    depend on the number of sets.
+    """
+    last = deletes.groupBy(F.col(delete_key).alias("_net_key")).agg(F.max(set_col).alias("_net_set"))
+    rows = inserts.join(last, F.col(key) == F.col("_net_key"), "left").filter(F.col("_net_set").isNull() | (F.col(set_col) > F.col("_net_set")))
+    return rows.drop("_net_key", "_net_set", set_col), last.select(F.col("_net_key").alias(delete_key))
+
+
+def apply_net(base: DataFrame, net_inserts: DataFrame, net_deletes: DataFrame, key: str, delete_key: str = "o_orderkey") -> DataFrame:
+    """``base`` after a run of sets: one anti join, one union."""
+    return apply_inserts(apply_deletes(base, net_deletes, key, delete_key), net_inserts)
+
+
+def run_of_sets(df: DataFrame, key: str, sets: int, back: int = 7, again: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(inserts, delete keys) of ``sets`` ordered sets made from the rows of ``df``, with keys that come back.
+
+    Set s deletes the keys with remainder s by 64; ``back`` sets later they return; every
+    third of them goes again ``again`` sets after its first deletion and returns once more
+    ``back + 3`` sets after that.
+    """
+    r, third = F.col(key) % 64, F.col(key) % 3 == 0
+
+    def in_sets(rows: DataFrame, first: int, second: int) -> DataFrame:
+        both = F.array(F.when((r >= 1) & (r + first <= sets), r + first), F.when(third & (r >= 1) & (r + second <= sets), r + second))
+        return rows.withColumn(SET, F.explode(both)).filter(F.col(SET).isNotNull())
+
+    deletes = in_sets(df.select(key), 0, again).withColumnRenamed(key, "o_orderkey")
+    return in_sets(df, back, again + back + 3), deletes
+
+
+# -- a stored table, rewritten by key range ----------------------------------------------
+
+RANGE = "key_range"
+
+
+def write_ranges(df: DataFrame, key: str, width: int, path: str) -> None:
+    """Store ``df`` partitioned by ranges of ``width`` keys."""
+    df.withColumn(RANGE, div(F.col(key), width)).repartition(RANGE).write.partitionBy(RANGE).parquet(path)
+
+
+def refresh_ranges(spark: SparkSession, path: str, key: str, width: int, inserts: DataFrame, deletes: DataFrame, delete_key: str = "o_orderkey") -> list[int]:
+    """Apply a set to a table of ``write_ranges``; the ranges that were rewritten.
+
+    Only partitions that hold an inserted or deleted key are read and written, by
+    dynamic partition overwrite: Spark moves a partition's new files into place when the
+    whole job has succeeded. A partition that loses its last row is not written by such a
+    job, so its folder is removed after it. What reaches the driver is range numbers, of
+    which Spark lists one per partition anyway.
+    """
+    spans = inserts.select(div(F.col(key), width).alias(RANGE)).unionByName(deletes.select(div(F.col(delete_key), width).alias(RANGE)))
+    touched = sorted(r[0] for r in spans.distinct().collect())
+    if not touched:
+        return []
+    table = spark.read.parquet(path)
+    old = table.filter(F.col(RANGE).isin(touched)).drop(RANGE)
+    new = apply_deletes(apply_inserts(old, inserts), deletes, key, delete_key).withColumn(RANGE, div(F.col(key), width))
+    before = {r[0] for r in table.filter(F.col(RANGE).isin(touched)).select(RANGE).distinct().collect()}
+    left = {r[0] for r in new.select(RANGE).distinct().collect()}
+    (new.repartition(RANGE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RANGE).parquet(path))
+    for r in sorted(before - left):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{RANGE}={r}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return touched
