@@ -219,3 +219,43 @@ def event_json_from_events(events: DataFrame) -> DataFrame:
     start = F.struct(F.lit("SparkListenerTaskStart").alias("Event"), (F.col("user_id") % 8).alias("Stage ID"))
     return events.select(F.concat(F.lit("app-"), (F.col("user_id") % 3 % 2).cast("string")).alias("application"),
                          F.when(F.col("event_type") == "view", F.to_json(start)).otherwise(F.to_json(end)).alias("value"))
+
+
+APP_STAGES, JOB_STAGES, NODE_STAGES = 64, 16, 8     # stages of an application, of a job, of a plan node
+
+
+def _plan_text() -> str:
+    """Plan tree of a derived application: a chain of nodes with a scan beside each, whose metrics are its stages' accumulators."""
+    node = ""
+    for k in range(APP_STAGES // NODE_STAGES):
+        metrics = ",".join(f'{{"name":"rows","accumulatorId":{10 * s + 1},"metricType":"sum"}}' for s in range(NODE_STAGES * k, NODE_STAGES * (k + 1)))
+        scan = f'{{"nodeName":"Scan {k}","simpleString":"","children":[],"metrics":[]}}'
+        node = f'{{"nodeName":"Step {k}","simpleString":"step {k}","children":[{node + "," if node else ""}{scan}],"metrics":[{metrics}]}}'
+    return node
+
+
+def app_log_from_events(events: DataFrame) -> DataFrame:
+    """Event-log lines (application, value) of whole applications derived from ``events``: every 64
+    consecutive event ids are one application, each its stage ``event_id % 64`` of ``floor(value * 1000)`` ms
+    with parents ``(s - 1) div 2`` and ``(s - 1) div 3``; a job starts with every 16th, the SQL execution with the first."""
+    s = F.col("event_id") % APP_STAGES
+    start = epoch_millis(F.col("ts"))
+    parents = F.when(s == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(F.array(F.floor((s - 1) / 2), F.floor((s - 1) / 3))))
+    info = F.struct(s.alias("Stage ID"), F.lit(0).alias("Stage Attempt ID"), F.concat(F.lit("stage "), s.cast("string")).alias("Stage Name"),
+                    parents.alias("Parent IDs"), start.alias("Submission Time"), (start + F.floor(F.col("value") * 1000)).alias("Completion Time"),
+                    F.array(F.struct((s * 10 + 1).alias("ID"), F.lit("rows").alias("Name"))).alias("Accumulables"))
+    stage = F.to_json(F.struct(F.lit("SparkListenerStageCompleted").alias("Event"), info.alias("Stage Info")))
+    job = F.to_json(F.struct(F.lit("SparkListenerJobStart").alias("Event"), F.floor(s / JOB_STAGES).alias("Job ID"),
+                             F.sequence(s, s + JOB_STAGES - 1).alias("Stage IDs")))
+    plan = F.lit('{"Event":"org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart","executionId":0,"sparkPlanInfo":' + _plan_text() + "}")
+    lines = F.array(stage, F.when(s % JOB_STAGES == 0, job), F.when(s == 0, plan))
+    app = F.concat(F.lit("app-"), F.floor(F.col("event_id") / APP_STAGES).cast("string"))
+    return events.select(app.alias("application"), F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("value"))
+
+
+def read_app_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Whole event-log files as (application, value), a line a row; the application is the id in the file's or folder's name."""
+    path = F.col("_metadata.file_path")
+    app = F.regexp_extract(path, r"((?:app|local|application)[-_][0-9][0-9_-]*)", 1)
+    return (spark.read.option("recursiveFileLookup", "true").text(paths)
+            .select(F.when(app != "", app).otherwise(F.element_at(F.split(path, "/"), -1)).alias("application"), "value"))
