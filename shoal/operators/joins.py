@@ -18,6 +18,7 @@ logical join, and all return the same rows:
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 from contextlib import redirect_stdout
@@ -62,9 +63,51 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, location: s
     return name
 
 
+def stored_state(spark: SparkSession, path: str) -> str:
+    """What the files of a stored table are now: a digest of their names, lengths and times."""
+    files = sorted(spark.read.parquet(path).inputFiles())
+    hadoop = spark._jsc.hadoopConfiguration()
+    found = hashlib.md5(usedforsecurity=False)
+    for f in files:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = p.getFileSystem(hadoop).getFileStatus(p)
+        found.update(f"{f} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return found.hexdigest()
+
+
+PREFIX = "shoal_bk_"
+
+
+def bucketed_copy(spark: SparkSession, path: str, key: str, buckets: int) -> str:
+    """Name of the bucketed copy of the table stored at ``path``, written if there is none of its present files.
+
+    The name follows from the files' state, the key and the number of buckets, so a
+    copy of older files is never taken for a new one. Copies stay until ``drop_bucketed``.
+    """
+    name = PREFIX + hashlib.md5(f"{stored_state(spark, path)} {key} {buckets}".encode(), usedforsecurity=False).hexdigest()
+    if not spark.catalog.tableExists(name):
+        write_bucketed(spark.read.parquet(path), name, key, buckets)
+    return name
+
+
+def drop_bucketed(spark: SparkSession) -> list[str]:
+    """Drop all copies of ``bucketed_copy`` with their files; their names."""
+    names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(PREFIX))
+    for name in names:
+        place = spark.sql(f"DESCRIBE TABLE EXTENDED `{name}`").filter("col_name = 'Location'").first().data_type
+        spark.sql(f"DROP TABLE `{name}`")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return names
+
+
 def bucketed_join(spark: SparkSession, left_table: str, right_table: str, left_key: str, right_key: str,
                   how: str = "inner") -> DataFrame:
-    """Co-located sort-merge join of two tables that ``write_bucketed`` wrote (no Exchange)."""
+    """Co-located sort-merge join of two tables that ``write_bucketed`` wrote (no Exchange).
+
+    With ``spark.sql.bucketing.coalesceBucketsInJoin.enabled`` the numbers of buckets may differ
+    by a factor of up to four: a task then reads several buckets of the finer table.
+    """
     lt, rt = spark.table(left_table), spark.table(right_table)
     return lt.join(rt, lt[left_key] == rt[right_key], how)
 

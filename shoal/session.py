@@ -29,6 +29,7 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    "spark.sql.bucketing.coalesceBucketsInJoin.enabled": "true",
 }
 
 
