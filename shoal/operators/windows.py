@@ -184,10 +184,10 @@ def _total(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
-def _numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, Column]:
-    """Rows with their global number ``rn``, and the number of rows from the written copy (no second scan)."""
+def _numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """Rows with their global number ``rn``, and the number of rows of the written copy (one number)."""
     numbered = global_row_number(df, order)
-    return numbered, numbered.select(F.coalesce(F.max("rn"), F.lit(0))).scalar()
+    return numbered, numbered.agg(F.coalesce(F.max("rn"), F.lit(0))).first()[0]
 
 
 def chunk_of(rn: Column, total: Column, chunks: int) -> Column:
@@ -196,17 +196,16 @@ def chunk_of(rn: Column, total: Column, chunks: int) -> Column:
     return F.least(div(rn - 1, F.greatest(per, F.lit(1))) + 1, F.lit(chunks)).cast("int")
 
 
-def ntile_of(rn: Column, total: Column, n: int) -> Column:
+def ntile_of(rn: Column, total: int, n: int) -> Column:
     """``ntile(n)``: quotient rows per segment, one extra in the first ``total mod n`` (E5)."""
-    q, r = div(total, n), total % n
+    q, r = divmod(total, n)
     big = r * (q + 1)
-    return F.when(rn <= big, div(rn - 1, q + 1) + 1) \
-            .otherwise(r + div(rn - 1 - big, F.greatest(q, F.lit(1))) + 1).cast("int")
+    return F.when(rn <= big, div(rn - 1, q + 1) + 1).otherwise(div(rn - 1 - big, max(q, 1)) + r + 1).cast("int")
 
 
-def delete_segment_of(rn: Column, total: Column, n: int) -> Column:
+def delete_segment_of(rn: Column, total: int, n: int) -> Column:
     """Delete-file segment: ``(rn - 1) div (total div n + 1) + 1`` (E5, deletes)."""
-    return (div(rn - 1, div(total, n) + 1) + 1).cast("int")
+    return (div(rn - 1, total // n + 1) + 1).cast("int")
 
 
 def assign_chunks(df: DataFrame, order: list[str], chunks: int, dense_key: str | None = None) -> DataFrame:

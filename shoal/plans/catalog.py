@@ -243,16 +243,24 @@ for _s in ("sort_merge", "shuffle_hash", "broadcast"):
     register(f"join_{_s}", JOIN_SQL)(_join_with(_s))
 
 
+def _bucketed(spark, sf_dir, orders: int, lines: int):
+    from shoal.operators.joins import bucketed_copy, bucketed_join
+    names = [bucketed_copy(spark, f"{sf_dir.rstrip('/')}/{t}.parquet", k, n)
+             for t, k, n in (("orders", "o_orderkey", orders), ("lineitem", "l_orderkey", lines))]
+    return bucketed_join(spark, *names, "o_orderkey", "l_orderkey").select("*")
+
+
 @register("join_bucketed", JOIN_SQL)
 def q_join_bucketed(spark, sf_dir):
-    """C3(b): both sides written bucketed by the order key (new tables on every call); the join plans no Exchange."""
-    import uuid
+    """C3(b): both sides bucketed by the order key, written when the stored tables' files have no copy yet; the join plans no Exchange."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _bucketed(spark, sf_dir, n, n)
 
-    from shoal.operators.joins import bucketed_join, write_bucketed
-    tag, n = uuid.uuid4().hex[:12], int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [write_bucketed(load(spark, sf_dir, t), f"bk_{t}_{tag}", k, n)
-             for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))]
-    return bucketed_join(spark, *names, "o_orderkey", "l_orderkey").select("*")
+
+@register("join_buckets_unequal", JOIN_SQL)
+def q_join_buckets_unequal(spark, sf_dir):
+    """8 buckets of orders against 32 of lineitem, coalesced in the join."""
+    return _bucketed(spark, sf_dir, 8, 32)
 
 
 # --------------------------------------------------------------------------- quality
@@ -491,6 +499,71 @@ def q_refresh_delete_lineitem(spark, sf_dir):
     return refresh.apply_deletes(li, refresh.delete_keys(o), "l_orderkey")
 
 
+RUN_SETS, RANGE_WIDTH, RANGE_SET = 50, 1024, 3
+
+_RUN_SQL = """
+    , del AS (SELECT o_orderkey AS k, unnest([o_orderkey % 64] || CASE WHEN o_orderkey % 3 = 0 THEN [o_orderkey % 64 + 20] ELSE [] END) AS s
+              FROM orders_full WHERE o_orderkey % 64 >= 1),
+    ins AS (SELECT *, unnest([{key} % 64 + 7] || CASE WHEN {key} % 3 = 0 THEN [{key} % 64 + 30] ELSE [] END) AS s FROM {table} WHERE {key} % 64 >= 1),
+    all_rows AS (SELECT *, 0 AS s FROM {table} UNION ALL SELECT * FROM ins WHERE s <= {sets})
+    SELECT * EXCLUDE (s) FROM all_rows r WHERE NOT EXISTS (SELECT 1 FROM del d WHERE d.k = r.{key} AND d.s >= r.s AND d.s <= {sets})"""
+
+
+@register("refresh_run_orders", dates_as_text(with_fixtures(_RUN_SQL.format(table="orders_full", key="o_orderkey", sets=RUN_SETS), "orders_full"), *ORDER_DATES))
+def q_refresh_run_orders(spark, sf_dir):
+    """Orders after 50 ordered sets with re-inserted keys, compacted to their net change and applied once."""
+    o = fixtures.orders(spark, sf_dir)
+    ins, dels = refresh.run_of_sets(o, "o_orderkey", RUN_SETS)
+    return refresh.apply_net(o, *refresh.net_change(ins, dels, "o_orderkey"), "o_orderkey")
+
+
+@register("refresh_run_lineitem", dates_as_text(with_fixtures(_RUN_SQL.format(table="lineitem_full", key="l_orderkey", sets=RUN_SETS), "orders_full", "lineitem_full"), *LINE_DATES))
+def q_refresh_run_lineitem(spark, sf_dir):
+    """The lines of the same run of sets."""
+    o, li = fixtures.orders(spark, sf_dir), fixtures.lineitem(spark, sf_dir)
+    _, dels = refresh.run_of_sets(o, "o_orderkey", RUN_SETS)
+    ins, _ = refresh.run_of_sets(li, "l_orderkey", RUN_SETS)
+    return refresh.apply_net(li, *refresh.net_change(ins, dels, "l_orderkey"), "l_orderkey")
+
+
+@register("refresh_ranges_orders", dates_as_text(with_fixtures(f"""
+    , n AS (SELECT {RANGE_SET - 1} * greatest(count(*) // 1000, 1) AS lo, {RANGE_SET} * greatest(count(*) // 1000, 1) - 1 AS hi FROM orders_full)
+    SELECT * EXCLUDE (lo, hi) REPLACE (((o_orderkey >> 3) << 5) | (o_orderkey & 7) | CASE WHEN o_orderkey BETWEEN lo AND hi THEN 8 ELSE 0 END AS o_orderkey)
+    FROM orders_full, n""", "orders_full"), *ORDER_DATES))
+def q_refresh_ranges_orders(spark, sf_dir):
+    """A set of neighbouring keys applied to a stored table, rewriting only the key ranges that it touches."""
+    import uuid
+
+    from shoal.session import checkpoint_dir
+    o = fixtures.orders(spark, sf_dir)
+    n = max(o.count() // 1000, 1)
+    some = o.filter(F.col("o_orderkey").between((RANGE_SET - 1) * n, RANGE_SET * n - 1))
+    path = f"{checkpoint_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    refresh.write_ranges(refresh.sparse_form(o, "o_orderkey"), "o_orderkey", RANGE_WIDTH, path)
+    refresh.refresh_ranges(spark, path, "o_orderkey", RANGE_WIDTH, some.withColumn("o_orderkey", K.sparse_key(F.col("o_orderkey"), 1)),
+                           refresh.sparse_form(some, "o_orderkey").select("o_orderkey"))
+    return spark.read.schema(o.schema).parquet(path).select(*o.columns)
+
+
+@register("copy_diff", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 4999 = 7 THEN 'missing' ELSE 'changed' END AS status FROM orders WHERE o_orderkey % 4999 = 7 OR o_orderkey % 6007 = 11
+    UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) + 1 FROM orders), 'extra' FROM orders WHERE o_orderkey % 7001 = 3""")
+def q_copy_diff(spark, sf_dir):
+    """Keys that differ between orders and an altered copy, by hash trees over key ranges and a read of the differing ranges."""
+    import uuid
+
+    from shoal.operators import hashtree
+    from shoal.session import checkpoint_dir
+    o = load(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    top = o.agg(F.max(k)).first()[0] + 1
+    other = (o.filter(k % 4999 != 7).withColumn("o_totalprice", F.expr("o_totalprice + IF(o_orderkey % 6007 = 11, 1, 0)"))
+             .unionByName(o.filter(k % 7001 == 3).withColumn("o_orderkey", k + top)))
+    root = f"{checkpoint_dir(spark)}/trees-{uuid.uuid4().hex}"
+    nodes, _ = hashtree.differing_leaves(hashtree.build_tree(o, "o_orderkey", f"{root}/a"), hashtree.build_tree(other, "o_orderkey", f"{root}/b"))
+    return hashtree.copy_diff(o, other, "o_orderkey", nodes)
+
+
 # --------------------------------------------------------------------------- windows, heads, chunks (E, F)
 from shoal.operators import windows  # noqa: E402
 
@@ -886,8 +959,33 @@ def q_stage_metrics(spark, sf_dir):
     return runs.stage_metrics(runlogs.parse_event_json(lines))
 
 
+_A, _J, _N = runlogs.APP_STAGES, runlogs.JOB_STAGES, runlogs.NODE_STAGES
+
+
+@register("stage_critical_path", f"""
+    WITH RECURSIVE st AS (SELECT event_id // {_A} AS a, event_id % {_A} AS s, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events),
+    -- totals and chains of the stages before stage i of each application, by stage number
+    r AS (SELECT a, 1 AS i, [ms] AS totals, [[s]] AS chains FROM st WHERE s = 0
+          UNION ALL
+          SELECT a, i + 1, list_append(totals, ms + totals[p + 1]), list_append(chains, list_append(chains[p + 1], s))
+          FROM (SELECT r.*, st.s, st.ms, CASE WHEN totals[(s - 1) // 2 + 1] > totals[(s - 1) // 3 + 1] THEN (s - 1) // 2 ELSE (s - 1) // 3 END AS p
+                FROM r JOIN st ON r.a = st.a AND st.s = r.i)),
+    l AS (SELECT a, totals, chains, list_position(totals, list_max(totals)) AS e FROM r QUALIFY row_number() OVER (PARTITION BY a ORDER BY i DESC) = 1),
+    c AS (SELECT a, totals, unnest(chains[e]) AS s, unnest(range(len(chains[e]))) AS pos FROM l)
+    SELECT 'app-' || c.a AS application, CAST(pos AS INTEGER) AS pos, c.s AS stage_id, c.s // {_J} AS job_id, ms, totals[c.s + 1] AS finish_ms,
+           'Step ' || c.s // {_N} AS plan_node
+    FROM c JOIN st ON c.a = st.a AND c.s = st.s""")
+def q_stage_critical_path(spark, sf_dir):
+    """A10: the slowest chain of stages of every application, with job and plan node, from whole event logs derived from events."""
+    from shoal.plans import critical_path as cp
+    return cp.critical_path(cp.parse(runlogs.app_log_from_events(load(spark, sf_dir, "events"))))
+
+
 # --------------------------------------------------------------------------- generation
+from shoal.functions import draws  # noqa: E402
+from shoal.functions.text import text_pool  # noqa: E402
 from shoal.generate import tables as G  # noqa: E402
+from shoal.plans import gen_oracle  # noqa: E402
 from shoal.plans.gen_oracle import ORACLE as GEN_ORACLE  # noqa: E402
 
 
@@ -929,6 +1027,28 @@ def q_gen_refresh(spark, sf_dir):
             .unionByName(dels.select(F.lit("delete").alias("part"), F.col("o_orderkey").alias("key"))))
 
 
+#: a pool too large to broadcast, and a distance at which a 31-bit generator repeats itself
+LARGE_POOL, FAR = 9 << 20, (1 << 31) - 1
+
+
+@register("gen_comments_sharded", gen_oracle.comments(LARGE_POOL))
+def q_gen_comments_sharded(spark, sf_dir):
+    """Order comments from a pool beyond the broadcast bound, joined by chunk."""
+    keys = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") + 1).alias("k"))
+    row = keys.select("o_orderkey", *(c.alias(n) for c, n in zip(draws.jump(F.col("k")), G.ROW, strict=True)))
+    return G._with_text(row, "o_comment", text_pool(spark, LARGE_POOL)).select("o_orderkey", "o_comment")
+
+
+@register("gen_far_draws", gen_oracle.far_draws(FAR))
+def q_gen_far_draws(spark, sf_dir):
+    """I16: the draws of every order key and of the key 2^31 - 1 further on."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    one, two = draws.jump(F.col("key")), draws.jump(F.col("key") + FAR)
+    o = o.select("key", *(c.alias(f"_a{k}") for k, c in enumerate(one)), *(c.alias(f"_b{k}") for k, c in enumerate(two)))
+    at = draws.position(G.S["o_cust"])
+    return o.select("key", *(draws.draw((F.col(f"_{c}0"), F.col(f"_{c}1")), at).alias(n) for c, n in (("a", "near_draw"), ("b", "far_draw"))))
+
+
 # --------------------------------------------------------------------------- query parameters (M2, M6)
 from shoal.plans import params as P  # noqa: E402
 

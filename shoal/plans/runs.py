@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.session import cut_lineage
+
 MIB = 1024 * 1024
 
 
@@ -32,10 +34,9 @@ def file_latency(parsed: DataFrame) -> DataFrame:
 
 
 def concurrency(runs: DataFrame) -> DataFrame:
-    """(run, concurrency): folder order 1, 2, 4, ... as a double (E4), for any number of run folders."""
-    from shoal.operators.windows import global_row_number
-    ranked = global_row_number(runs.select("run").distinct(), ["run"])
-    return ranked.select("run", F.pow(F.lit(2.0), F.col("rn") - 1).alias("concurrency"))
+    """(run, concurrency): folder order 1, 2, 4, ... as a double (E4); one row holds the names of the run folders."""
+    names = runs.agg(F.array_sort(F.collect_set("run")).alias("names"))
+    return names.select(F.posexplode("names").alias("pos", "run")).select("run", F.pow(F.lit(2.0), F.col("pos")).alias("concurrency"))
 
 
 def latency_by_run(files: DataFrame) -> DataFrame:
@@ -99,6 +100,7 @@ def footprint(per_second: DataFrame) -> DataFrame:
     # position in the series without a per-process window: hour blocks bound every
     # window to 3,600 rows, a running sum over one row per hour adds the offset
     from shoal.operators.windows import block_row_number
+    per_second = cut_lineage(per_second)                # aggregated once, read four times
     series = (block_row_number(per_second, ["run", "pid"], "second", 3600)
               .select("run", "pid", (F.col("rn") - 1).alias("idx"), mbps(F.col("bytes")).alias("mbps")))
     lengths = per_second.groupBy("run", "pid").agg(F.count(F.lit(1)).alias("len"))
