@@ -31,6 +31,7 @@ HEADLINE = [
     # the three study queries (join, aggregation, filter) and the join strategies
     "join_orders_lineitem", "count_by_shipmode", "filter_discount",
     "join_sort_merge", "join_shuffle_hash", "join_broadcast", "join_bucketed",
+    "join_no_key_filter", "join_key_filter",
     # TPC-H templates and variants
     "pricing_summary", "market_share", "shipmode_priority", "customer_distribution",
     "promo_effect", "top_supplier",

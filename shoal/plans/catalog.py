@@ -263,6 +263,31 @@ def q_join_buckets_unequal(spark, sf_dir):
     return _bucketed(spark, sf_dir, 8, 32)
 
 
+URGENT = "o_orderpriority = '1-URGENT' AND o_totalprice > 400000"
+_URGENT_SQL = f"""
+    SELECT o_orderkey, o_totalprice, l_linenumber, l_quantity FROM orders, lineitem
+    WHERE o_orderkey = l_orderkey AND {URGENT}"""
+
+
+def _urgent(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").filter(URGENT).select("o_orderkey", "o_totalprice")
+    return o, load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@register("join_key_filter", _URGENT_SQL)
+def q_join_key_filter(spark, sf_dir):
+    """Lines of few orders; a bitmap of their keys thins lineitem before the sort-merge join shuffles it."""
+    from shoal.operators.keyfilter import filtered_join
+    return filtered_join(*_urgent(spark, sf_dir), "o_orderkey", "l_orderkey", "sort_merge").drop("l_orderkey")
+
+
+@register("join_no_key_filter", _URGENT_SQL)
+def q_join_no_key_filter(spark, sf_dir):
+    """The same join, all of lineitem shuffled."""
+    from shoal.operators.joins import equi_join
+    return equi_join(*_urgent(spark, sf_dir), "o_orderkey", "l_orderkey", "sort_merge").drop("l_orderkey")
+
+
 # --------------------------------------------------------------------------- quality
 from shoal.operators import quality, windows  # noqa: E402
 from shoal.sources.schemas import (FOREIGN_KEYS, MAX_LENGTH, NULLABLE,  # noqa: E402
@@ -894,6 +919,19 @@ def q_latency_box(spark, sf_dir):
     return runs.latency_box(_latency_files(spark, sf_dir))
 
 
+BOX = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+@register("latency_sketch", f"""
+    WITH {LATENCY_CTES}
+    SELECT mode, n, p, true AS within_bound FROM (SELECT mode, count(*) AS n FROM files GROUP BY mode) m, (SELECT unnest({BOX}::DOUBLE[]) AS p) q""")
+def q_latency_sketch(spark, sf_dir):
+    """Box-plot quantiles from merged sketches per run, each held against its exact rank."""
+    files = _latency_files(spark, sf_dir)
+    found = runs.rank_errors(files, runs.sketched_quantiles(runs.latency_sketches(files), BOX))
+    return found.select("mode", "n", "p", (F.col("error") <= runs.SKETCH_ERROR).alias("within_bound"))
+
+
 @register("transfer_per_second", f"""
     WITH {TRANSFER_CTES}
     SELECT run, pid, second, bytes FROM per_second""")

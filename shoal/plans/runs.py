@@ -74,6 +74,31 @@ def latency_box(files: DataFrame) -> DataFrame:
     return q.select("mode", "n", *[(F.col(n) / 1000).alias(n) for n in names])
 
 
+SKETCH_K = 800              # size of a sketch; about 4 k numbers at most
+SKETCH_ERROR = 3 * 2.296 / SKETCH_K ** 0.9723      # three times the sketch's stated error of a normalised rank (99 % of cases)
+
+
+def latency_sketches(files: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """(run, mode, n, sketch): a quantile sketch of each run's latencies; a new run adds rows, no old one is read again."""
+    return files.groupBy("run", "mode").agg(F.count("latency_ms").alias("n"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), k).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, probs: list[float]) -> DataFrame:
+    """(mode, n, p, latency_ms): quantiles over all runs from their merged sketches, of bounded size whatever the runs."""
+    merged = sketches.groupBy("mode").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    at = F.array(*(F.struct(F.lit(p).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias("latency_ms")) for p in probs))
+    return merged.select("mode", "n", F.inline(at))
+
+
+def rank_errors(files: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """(mode, n, p, latency_ms, error): how far p lies from the exact ranks of the quantile, 0 between them."""
+    counts = files.groupBy("mode", "latency_ms").agg(F.count("*").alias("c"))       # one row per value
+    met = counts.withColumnRenamed("latency_ms", "value").join(quantiles, "mode").groupBy("mode", "n", "p", "latency_ms").agg(
+        F.sum(F.when(F.col("value") < F.col("latency_ms"), F.col("c")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("value") <= F.col("latency_ms"), F.col("c")).otherwise(0)).alias("upto"))
+    return met.select("mode", "n", "p", "latency_ms", F.greatest(F.col("below") / F.col("n") - F.col("p"), F.col("p") - F.col("upto") / F.col("n"), F.lit(0.0)).alias("error"))
+
+
 # --------------------------------------------------------------------------- transfer
 def transfer_per_second(parsed: DataFrame) -> DataFrame:
     """(run, pid, second, bytes): amount per process per second over all files of a run."""
