@@ -19,8 +19,9 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def _h(stream: int, row: State, sub: int = 0) -> Column:
-    return draw(row, position(stream, sub))
+def _h(stream: int, row: State | Column, sub: int = 0) -> Column:
+    """A number of the row's state; a key in its place is jumped to here."""
+    return draw(jump(row) if isinstance(row, Column) else row, position(stream, sub))
 
 
 def _int(lo: int, hi: int, stream: int, row: State, sub: int = 0) -> Column:
@@ -70,7 +71,7 @@ def random_string(min_len: int, max_len: int, stream: int, row: State) -> Column
     return F.array_join(chars, "")
 
 
-def embed(text: Column, word: Column, stream: int, row: State) -> Column:
+def embed(text: Column, word: Column, stream: int, row: State | Column) -> Column:
     """``word`` written over ``text`` at a random position."""
     room = F.greatest(F.length(text) - F.length(word), F.lit(0))
     pos = _h(stream, row) % (room + 1) + 1
