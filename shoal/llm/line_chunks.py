@@ -120,17 +120,21 @@ def repeated_spans(docs: DataFrame, long_line: int = LONG_LINE, most: int = MOST
         f"reverse(slice(d.a, greatest(1, c.s - {around - 1}), IF(c.window, 0, least({around}, c.s)))) AS pre, "
         f"slice(d.a, c.e + 2, IF(c.window, 0, {around})) AS post))), 1)")).alias("c"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", F.col("c.s").alias("s"))
-    texts, _ = write_table(texts.select("k1", "k2", "c.*", place.alias("place")), "chunktexts", release=True)
+    texts, texts_path = write_table(texts.select("k1", "k2", "c.*", place.alias("place")), "chunktexts", release=True)
     for path in (meta_path, often_path):
         drop_path(docs.sparkSession, path)
-    first, _ = write_table(texts.groupBy("h", "bytes").agg(
+    first, first_path = write_table(texts.groupBy("h", "bytes").agg(
         F.min(F.struct("place", F.col("pre").alias("pre0"), F.col("post").alias("post0"))).alias("f"), F.count("*").alias("n"))
         .filter("n > 1").select("h", "bytes", "f.*").withColumnRenamed("place", "first"), "first", release=True)
     same = ("IF(least(size({x}), size({y})) = 0, 0, size(filter(sequence(1, greatest(1, least(size({x}), size({y})))), "
             "k -> slice({x}, 1, k) = slice({y}, 1, k))))")
-    return (texts.join(first, ["h", "bytes"]).filter("place <> first")
-            .select("k1", "k2", F.expr(f"s - {same.format(x='pre', y='pre0')}").alias("s"), F.expr(f"x + {same.format(x='post', y='post0')}").alias("e"))
-            .groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    spans = (texts.join(first, ["h", "bytes"]).filter("place <> first")
+             .select("k1", "k2", F.expr(f"s - {same.format(x='pre', y='pre0')}").alias("s"), F.expr(f"x + {same.format(x='post', y='post0')}").alias("e"))
+             .groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    spans, _ = write_table(spans, "spans", release=True)         # the chunks' texts are not moved along with the documents
+    for path in (texts_path, first_path):
+        drop_path(docs.sparkSession, path)
+    return spans
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
