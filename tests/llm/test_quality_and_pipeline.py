@@ -148,3 +148,31 @@ def test_rows_of_a_hot_id_do_not_fill_the_fit(spark, monkeypatch):
     assert 60 <= len(sets) == len(y) <= 59 + 2 * 64
     few, _, _ = toxicity._sample(named, labelled(spark, labels), F.lit(True), "doc_id", "quality", 60, (np.zeros(0, np.uint64),) * 2)
     assert len(few) <= 90                                  # 60 ids of 860 rows
+
+
+def test_rounds_score_the_whole_pool_and_hand_over_a_bounded_share(spark):
+    from shoal.llm.common import small_batches
+    from shoal.llm.cotrain_quality import View, pool_teacher
+    from shoal.llm.linear import sigmoid
+    small_batches(spark)
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.6).astype(float)
+    xt, xm = (np.where(y > 0, m, -m)[:, None] + rng.normal(size=(400, k)) for m, k in ((1.5, 3), (0.8, 5)))
+    views = [View(x, y, np.ones(400)) for x in (xt, xm)]
+    z = rng.random(5000) < 0.6
+    pt, pm = ((np.where(z, m, -m)[:, None] + rng.normal(size=(5000, k))).astype(np.float32) for m, k in ((1.5, 3), (0.8, 5)))
+    pool = spark.createDataFrame([(k, pt[k].tolist(), pm[k].tolist()) for k in range(5000)], "row long, xt array<float>, xm array<float>").repartition(4)
+    given, told = pool_teacher(pool, 0.6, 300, sure=0.9)(views)
+    odds = [v.odds(x.astype(float)) for v, x in zip(views, (pt, pm), strict=True)]
+    sure = [(sigmoid(o) >= 0.9) | (1 - sigmoid(o) >= 0.9) for o in odds]
+    assert told == sum(int(s.sum()) for s in sure)                       # all 5,000 were scored
+    for (rows, labels), giver, x in zip(given, (1, 0), (pt, pm), strict=True):
+        assert 200 <= len(rows) <= 400 and rows.shape[1] == x.shape[1]  # about 300 are handed over
+        place = {tuple(np.round(r, 4)): k for k, r in enumerate(x.astype(float))}
+        at = [place[tuple(np.round(r, 4))] for r in rows]
+        assert all(sure[giver][k] and labels[i] == (odds[giver][k] > 0) for i, k in enumerate(at))
+        assert 0.4 <= labels.mean() <= 0.75
+    again, _ = pool_teacher(pool.repartition(7), 0.6, 300, sure=0.9)(views)
+    assert all((a[0] == b[0]).all() for a, b in zip(given, again, strict=True))      # the same rows whatever the partitions
+    none, told = pool_teacher(pool.limit(0), 0.6, 300)(views)
+    assert told == 0 and [x.shape for x, _ in none] == [(0, 3), (0, 5)]
