@@ -1087,6 +1087,19 @@ def q_gen_far_draws(spark, sf_dir):
     return o.select("key", *(draws.draw((F.col(f"_{c}0"), F.col(f"_{c}1")), at).alias(n) for c, n in (("a", "near_draw"), ("b", "far_draw"))))
 
 
+@register("promo_effect_by_month", Q14_ORACLE)
+def q_promo_effect_by_month(spark, sf_dir):
+    """Q14a over lineitem stored by month, pruned at run time by days of the date dimension."""
+    import uuid
+
+    from shoal.operators.months import of_days, write_by_month
+    from shoal.session import checkpoint_dir
+    path, start = f"{checkpoint_dir(spark)}/months-{uuid.uuid4().hex}", F.lit("1997-09-01").cast("date")
+    write_by_month(fixtures.lineitem(spark, sf_dir), "l_shipdate", path)
+    days = G.date_dimension(spark).select(F.to_date("t_alpha").alias("d")).filter((F.col("d") >= start) & (F.col("d") < F.add_months(start, 1)))
+    return tpch.promo_effect({"lineitem": of_days(spark.read.parquet(path), days), "part": fixtures.part(spark, sf_dir)}, "1997-09-01")
+
+
 # --------------------------------------------------------------------------- query parameters (M2, M6)
 from shoal.plans import params as P  # noqa: E402
 
