@@ -1077,6 +1077,28 @@ def q_gen_comments_sharded(spark, sf_dir):
     return G._with_text(row, "o_comment", text_pool(spark, LARGE_POOL)).select("o_orderkey", "o_comment")
 
 
+@register("gen_word_in_noise", gen_oracle.embedded("Complaints"))
+def q_gen_word_in_noise(spark, sf_dir):
+    """A word written over the text of every order at a drawn place."""
+    from shoal.functions.text import embed
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of "), "o_orderpriority").alias("c"),
+                                             *(x.alias(n) for x, n in zip(draws.jump(F.col("o_orderkey") + 1), G.ROW, strict=True)))
+    return o.select("o_orderkey", embed(F.col("c"), F.lit("Complaints"), G.S["s_bbb"], G._state()).alias("noise"))
+
+
+@register("chunked_output", f"""
+    SELECT c_custkey + 1 AS custkey, CAST(least(c_custkey // greatest((SELECT count(*) FROM customer) // {CHUNKS}, 1) + 1, {CHUNKS}) AS INTEGER) AS chunk
+    FROM customer""")
+def q_chunked_output(spark, sf_dir):
+    """Customer keys written in chunks of a dense key, a folder per chunk, and read back."""
+    import uuid
+
+    from shoal.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    G.write_chunked(load(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("custkey")), "custkey", CHUNKS, path)
+    return spark.read.schema("custkey long, chunk int").parquet(path)
+
+
 @register("gen_far_draws", gen_oracle.far_draws(FAR))
 def q_gen_far_draws(spark, sf_dir):
     """I16: the draws of every order key and of the key 2^31 - 1 further on."""

@@ -276,6 +276,13 @@ def far_draws(far: int) -> str:
         FROM (SELECT k, {one}, {two} FROM (SELECT o_orderkey AS k, CAST({far} AS BIGINT) AS far FROM orders) x) y"""
 
 
+def embedded(word: str) -> str:
+    """``word`` written over each order's comment at its drawn place."""
+    at = f"(({h(S['s_bbb'])} % (greatest(length(c) - {len(word)}, 0) + 1)) + 1)"
+    return f"""SELECT o_orderkey, substr(c, 1, CAST({at} AS BIGINT) - 1) || {q(word)} || substr(c, CAST({at} AS BIGINT) + {len(word)}) AS noise
+        FROM (SELECT o_orderkey, 'order ' || o_orderkey || ' of ' || o_orderpriority AS c, {state('o_orderkey + 1')} FROM orders) z"""
+
+
 def refresh() -> str:
     keys = f"SELECT o_orderkey + 1 AS i FROM orders WHERE o_orderkey + 1 <= greatest({ROWS['orders']} // {G.UPDATES_PER_SEQUENCE}, 1)"
     return f"""WITH {order_ctes(keys, 1)}
