@@ -57,6 +57,9 @@ LINKS: dict[str, dict[str, str]] = {
 }
 
 
+MOST_KEY_COLS = 2           # columns of the longest foreign key
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -86,19 +89,31 @@ def pk_violations(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def fk_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """(child, child_cols, parent, orphan_keys, orphan_rows) per foreign key."""
-    frames = []
-    for child, ccols, parent, pcols in FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
-            continue
-        per_key = tables[child].groupBy(*ccols).agg(F.count(F.lit(1)).alias("n"))
-        parent_keys = tables[parent].select(*[F.col(p).alias(c) for p, c in zip(pcols, ccols)])
-        orphans = per_key.join(parent_keys, ccols, "left_anti")
-        frames.append(orphans.agg(F.count(F.lit(1)).alias("orphan_keys"),
-                                  F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("orphan_rows"))
-                      .select(F.lit(child).alias("child"), F.lit(",".join(ccols)).alias("child_cols"),
-                              F.lit(parent).alias("parent"), "orphan_keys", "orphan_rows"))
-    return _union(frames)
+    """(child, child_cols, parent, orphan_keys, orphan_rows) per foreign key.
+
+    Each child is read once, whatever its number of foreign keys: a row gives one tagged
+    key for each, equal keys are counted map-side, and one anti join meets all parents' keys.
+    """
+    checks = [(i, *fk) for i, fk in enumerate(FOREIGN_KEYS) if fk[0] in tables and fk[2] in tables]
+
+    def key(i: int, cols: list[str]) -> Column:
+        parts = [F.col(c).cast("long") for c in cols] + [F.lit(0).cast("long")] * (MOST_KEY_COLS - len(cols))
+        return F.struct(F.lit(i).alias("fk"), *(p.alias(f"k{j}") for j, p in enumerate(parts)))
+
+    held, parents = [], []
+    for name in dict.fromkeys(c[1] for c in checks):
+        keys = [key(i, ccols) for i, child, ccols, _, _ in checks if child == name]
+        held.append(tables[name].select(F.inline(F.array(*keys))))
+    for name in dict.fromkeys(c[3] for c in checks):
+        keys = [key(i, pcols) for i, _, _, parent, pcols in checks if parent == name]
+        parents.append(tables[name].select(F.inline(F.array(*keys))))
+    by = ["fk", *(f"k{j}" for j in range(MOST_KEY_COLS))]
+    per_key = _union(held).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    orphans = per_key.join(_union(parents), by, "left_anti").groupBy("fk").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_rows"))
+    names = next(iter(tables.values())).sparkSession.createDataFrame(
+        [(i, child, ",".join(ccols), parent) for i, child, ccols, parent, _ in checks], "fk int, child string, child_cols string, parent string")
+    return (names.join(orphans, "fk", "left")
+            .select("child", "child_cols", "parent", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("orphan_keys", "orphan_rows"))))
 
 
 def length_check(tables: dict[str, DataFrame]) -> DataFrame:
