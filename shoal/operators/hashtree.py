@@ -9,7 +9,8 @@ tree is stored beside it and built once.
 A comparison starts at the roots and goes down level by level: of each level only
 the children of differing nodes are joined. Rows are read for differing leaves alone, by a
 semi join; where at most ``LISTED`` leaves differ, they also reach the scan as a filter,
-which prunes partitions (copies stored by ``refresh.write_ranges``) or row groups.
+which prunes partitions (copies stored by ``refresh.write_ranges``) or, as at most
+``SPANS`` spans of keys that hold them, row groups.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ LANES = ("h1", "h2", "h3")
 WIDTH = 64
 FANOUT = 16
 LISTED = 512
+SPANS = 32
 
 
 def _lanes(columns: list[str]) -> list[Column]:
@@ -93,6 +95,14 @@ def differing_leaves(one: DataFrame, two: DataFrame, fanout: int = FANOUT) -> tu
     return found, compared
 
 
+def _spans(nodes: list[int], most: int = SPANS) -> list[tuple[int, int]]:
+    """At most ``most`` spans (first, last) that hold all ``nodes``, apart at the widest gaps."""
+    at = sorted(nodes)
+    widest = sorted(range(1, len(at)), key=lambda i: at[i] - at[i - 1], reverse=True)[:most - 1]
+    cuts = sorted(i for i in widest if at[i] - at[i - 1] > 1)
+    return [(at[a], at[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True) if a < b]
+
+
 def copy_diff(one: DataFrame, two: DataFrame, key: str, nodes: DataFrame, width: int = WIDTH, range_col: str | None = None) -> DataFrame:
     """(key, status) of keys whose rows differ between the copies, looked for in the leaves ``nodes`` only: missing or extra in ``two``, or changed.
 
@@ -104,9 +114,10 @@ def copy_diff(one: DataFrame, two: DataFrame, key: str, nodes: DataFrame, width:
     if len(some) <= LISTED and range_col:
         inside = F.col(range_col).isin(some)
     elif len(some) <= LISTED:
+        # for the scan only, so the spans may hold equal leaves too; a node of 0 or less begins below its multiple
         inside = F.lit(False)
-        for x in some:
-            inside = inside | F.col(key).between(x * width, x * width + width - 1)
+        for a, b in _spans([x for x in some if x is not None]):
+            inside = inside | F.col(key).between(a * width - (width - 1 if a <= 0 else 0), b * width + (width - 1 if b >= 0 else 0))
 
     def digests(df: DataFrame, side: str) -> DataFrame:
         leaf = F.col(range_col) if range_col else div(F.col(key), width)

@@ -55,3 +55,19 @@ def test_only_differing_ranges_are_read(spark, copies):
     read = {name: {r.f.split("key_range=")[1].split("/")[0] for r in df.filter(F.col("key_range").isin([r.node for r in nodes.collect()]))
                    .select(F.input_file_name().alias("f")).distinct().collect()} for df, name in zip(stored, "gh", strict=True)}
     assert read["g"] == {"0", "1", "24", "30"} and read["h"] == {"0", "1", "24", "30", "140"}
+
+
+def test_many_scattered_leaves(spark):
+    one = spark.range(hashtree.LISTED * 40).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    two = one.withColumn("v", F.expr("IF(k % 40 = 7, 2, v)"))
+    nodes = one.filter("k % 40 = 7").select(F.expr("k div 4").alias("node"))
+    assert nodes.count() == hashtree.LISTED
+    got = hashtree.copy_diff(one, two, "k", nodes, 4)
+    assert sorted(map(tuple, got.collect())) == [(k, "changed") for k in range(7, hashtree.LISTED * 40, 40)]
+
+
+def test_spans_hold_all_nodes_and_split_at_the_widest_gaps():
+    assert hashtree._spans([]) == [] and hashtree._spans([5]) == [(5, 5)]
+    assert hashtree._spans([9, 1, 2, 3, 50], 3) == [(1, 3), (9, 9), (50, 50)]
+    assert hashtree._spans([9, 1, 2, 3, 50], 2) == [(1, 9), (50, 50)]
+    assert hashtree._spans([3, 1, 2], 3) == [(1, 3)]
