@@ -13,7 +13,7 @@ and returns a small report DataFrame; none collects rows to the driver.
 * ``order_rollup``    D16: order header (total, line count, status) from its lines
 * ``order_header_check`` J7: rollup compared with the stored header
 * ``table_checksum``  D19: row count and an order-free hash sum per table
-* ``all_equal``       D18: one distinct value per group
+* ``all_equal``       D18: one distinct value per group, as over runs ``at_degree``
 """
 
 from __future__ import annotations
@@ -57,6 +57,7 @@ LINKS: dict[str, dict[str, str]] = {
 }
 
 
+ROWS_PER_TASK = 1 << 20     # that ``at_degree`` gives to one task
 MOST_KEY_COLS = 2           # columns of the longest foreign key
 
 
@@ -215,6 +216,12 @@ def table_checksum(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(frames)
 
 
+def at_degree(df: DataFrame, degree: int, lowest: int, rows: int) -> DataFrame:
+    """``df`` (of ``rows`` rows) dealt out evenly to ``degree`` tasks, or to the same multiple of each
+    degree by which at ``lowest``, the smallest compared, no task gets more than ``ROWS_PER_TASK``."""
+    return df.repartition(degree * max(-(-rows // (lowest * ROWS_PER_TASK)), 1))
+
+
 def out_of_list(tables: dict[str, DataFrame]) -> DataFrame:
     """(tbl, column_name, out_of_list): values that the column's fixed list does not hold (J5). One pass per table."""
     frames = []

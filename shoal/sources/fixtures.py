@@ -6,10 +6,16 @@ and derive the missing columns from the keys with fixed integer rules, so every
 reference query runs unchanged. The same rules are written in DuckDB SQL in
 ``shoal.plans.oracle``; both are pure column expressions (no shuffle) except
 ``partsupp``, which reads the supplier count once as a scalar subquery.
+
+What moves or picks whole rows can be given as ``through``: it gets the stored columns
+(of ``partsupp`` the part key and slot), and the derived ones are made after it, so a
+shuffle does not carry them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,25 +41,32 @@ def phone(nationkey: Column, key: Column) -> Column:
                            ((key * 13) % 9000 + 1000).cast("int"))
 
 
+Through = Callable[[DataFrame], DataFrame]
+
+
+def _as_they_are(df: DataFrame) -> DataFrame:
+    return df
+
+
 def money(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(MONEY)
 
 
-def region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = load(spark, sf_dir, "region")
+def region(spark: SparkSession, sf_dir: str, through: Through = _as_they_are) -> DataFrame:
+    r = through(load(spark, sf_dir, "region"))
     return r.select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name",
                     F.concat(F.lit("region "), F.col("r_name")).alias("r_comment"))
 
 
-def nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = load(spark, sf_dir, "nation")
+def nation(spark: SparkSession, sf_dir: str, through: Through = _as_they_are) -> DataFrame:
+    n = through(load(spark, sf_dir, "nation"))
     return n.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name",
                     F.col("n_regionkey").cast("long").alias("n_regionkey"),
                     F.concat(F.lit("nation "), F.col("n_name")).alias("n_comment"))
 
 
-def supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = load(spark, sf_dir, "supplier")
+def supplier(spark: SparkSession, sf_dir: str, through: Through = _as_they_are) -> DataFrame:
+    s = through(load(spark, sf_dir, "supplier"))
     return s.select(
         "s_suppkey", "s_name",
         F.concat(F.lit("Address "), F.col("s_suppkey").cast("string")).alias("s_address"),
@@ -63,8 +76,8 @@ def supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("s_comment"))
 
 
-def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "customer")
+def customer(spark: SparkSession, sf_dir: str, through: Through = _as_they_are) -> DataFrame:
+    c = through(load(spark, sf_dir, "customer"))
     return c.select(
         "c_custkey", "c_name",
         F.concat(F.lit("Address "), F.col("c_custkey").cast("string")).alias("c_address"),
@@ -74,8 +87,8 @@ def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("c_comment"))
 
 
-def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part")
+def part(spark: SparkSession, sf_dir: str, through: Through = _as_they_are) -> DataFrame:
+    p = through(load(spark, sf_dir, "part"))
     k = F.col("p_partkey")
     return p.select(
         "p_partkey", "p_name",
@@ -87,7 +100,7 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("part "), k.cast("string")).alias("p_comment"))
 
 
-def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
+def partsupp(spark: SparkSession, sf_dir: str, through: Through = _as_they_are) -> DataFrame:
     """Four suppliers per part with the TPC-H bridge formula (0-based keys).
 
     ``S`` (supplier count) is a scalar subquery: evaluated once, inlined as a
@@ -96,8 +109,8 @@ def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_supp = load(spark, sf_dir, "supplier").select(F.count(F.lit(1))).scalar()
     p = F.col("p_partkey") + 1
     s = F.col("slot")
-    rows = (load(spark, sf_dir, "part").select("p_partkey")
-            .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(3)))))
+    rows = through(load(spark, sf_dir, "part").select("p_partkey")
+                   .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(3)))))
     supp = partsupp_bridge(p, s, n_supp) - 1
     return rows.select(
         F.col("p_partkey").alias("ps_partkey"),
@@ -108,8 +121,8 @@ def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
                  s.cast("string")).alias("ps_comment"))
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders")
+def orders(spark: SparkSession, sf_dir: str, through: Through = _as_they_are) -> DataFrame:
+    o = through(load(spark, sf_dir, "orders"))
     k = F.col("o_orderkey")
     return o.select(
         "o_orderkey", "o_custkey", "o_orderstatus", money("o_totalprice").alias("o_totalprice"),
@@ -120,8 +133,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.lit("furious deposits")).alias("o_comment"))
 
 
-def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem")
+def lineitem(spark: SparkSession, sf_dir: str, through: Through = _as_they_are) -> DataFrame:
+    li = through(load(spark, sf_dir, "lineitem"))
     h = F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_linenumber") * 7
     ship = F.col("l_shipdate").cast("date")
     return li.select(
@@ -140,9 +153,9 @@ BUILDERS = {"region": region, "nation": nation, "supplier": supplier, "customer"
             "part": part, "partsupp": partsupp, "orders": orders, "lineitem": lineitem}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, through: Through = _as_they_are) -> DataFrame:
     """One full view (a lazy plan)."""
-    return BUILDERS[name](spark, sf_dir)
+    return BUILDERS[name](spark, sf_dir, through)
 
 
 class Tables(dict):

@@ -72,3 +72,14 @@ def test_block_row_number_matches_brute_force_on_a_hot_group(spark):
         for pos, t in enumerate(sorted(t for kk, t in got if kk == k), start=1):
             want[(k, t)] = pos
     assert got == want
+
+
+def test_degrees_grow_with_the_rows(spark, monkeypatch):
+    from shoal.operators import quality
+    df = spark.range(1000)
+    assert [quality.at_degree(df, d, 2, 1000).rdd.getNumPartitions() for d in (2, 5, 11)] == [2, 5, 11]
+    monkeypatch.setattr(quality, "ROWS_PER_TASK", 100)
+    dealt = [quality.at_degree(df, d, 2, 1000) for d in (2, 5, 11)]
+    assert [x.rdd.getNumPartitions() for x in dealt] == [10, 25, 55]
+    assert max(dealt[0].rdd.glom().map(len).collect()) <= 101
+    assert len({tuple(quality.table_checksum({"t": x}).first()) for x in dealt}) == 1
