@@ -83,16 +83,18 @@ def net_change(inserts: DataFrame, deletes: DataFrame, key: str, delete_key: str
 
     A key's last deletion decides: one aggregate over all delete keys, combined
     map-side, then one join that keeps the inserts of later sets. The plan does not
-    depend on the number of sets.
+    depend on the number of sets. Of a join only the keys, once each, are held in memory,
+    so the rows are not sorted.
     """
     last = deletes.groupBy(F.col(delete_key).alias("_net_key")).agg(F.max(set_col).alias("_net_set"))
-    rows = inserts.join(last, F.col(key) == F.col("_net_key"), "left").filter(F.col("_net_set").isNull() | (F.col(set_col) > F.col("_net_set")))
+    rows = inserts.join(last.hint("shuffle_hash"), F.col(key) == F.col("_net_key"), "left").filter(F.col("_net_set").isNull() | (F.col(set_col) > F.col("_net_set")))
     return rows.drop("_net_key", "_net_set", set_col), last.select(F.col("_net_key").alias(delete_key))
 
 
 def apply_net(base: DataFrame, net_inserts: DataFrame, net_deletes: DataFrame, key: str, delete_key: str = "o_orderkey") -> DataFrame:
     """``base`` after a run of sets: one anti join, one union."""
-    return apply_inserts(apply_deletes(base, net_deletes, key, delete_key), net_inserts)
+    gone = net_deletes.select(F.col(delete_key).alias("_del_key")).hint("shuffle_hash")
+    return apply_inserts(base.join(gone, F.col(key) == F.col("_del_key"), "left_anti"), net_inserts)
 
 
 def run_of_sets(df: DataFrame, key: str, sets: int, back: int = 7, again: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -539,18 +539,23 @@ _RUN_SQL = """
 @register("refresh_run_orders", dates_as_text(with_fixtures(_RUN_SQL.format(table="orders_full", key="o_orderkey", sets=RUN_SETS), "orders_full"), *ORDER_DATES))
 def q_refresh_run_orders(spark, sf_dir):
     """Orders after 50 ordered sets with re-inserted keys, compacted to their net change and applied once."""
-    o = fixtures.orders(spark, sf_dir)
-    ins, dels = refresh.run_of_sets(o, "o_orderkey", RUN_SETS)
-    return refresh.apply_net(o, *refresh.net_change(ins, dels, "o_orderkey"), "o_orderkey")
+    def run(o):
+        ins, dels = refresh.run_of_sets(o, "o_orderkey", RUN_SETS)
+        return refresh.apply_net(o, *refresh.net_change(ins, dels, "o_orderkey"), "o_orderkey")
+
+    return fixtures.orders(spark, sf_dir, run)
 
 
 @register("refresh_run_lineitem", dates_as_text(with_fixtures(_RUN_SQL.format(table="lineitem_full", key="l_orderkey", sets=RUN_SETS), "orders_full", "lineitem_full"), *LINE_DATES))
 def q_refresh_run_lineitem(spark, sf_dir):
     """The lines of the same run of sets."""
-    o, li = fixtures.orders(spark, sf_dir), fixtures.lineitem(spark, sf_dir)
-    _, dels = refresh.run_of_sets(o, "o_orderkey", RUN_SETS)
-    ins, _ = refresh.run_of_sets(li, "l_orderkey", RUN_SETS)
-    return refresh.apply_net(li, *refresh.net_change(ins, dels, "l_orderkey"), "l_orderkey")
+    _, dels = refresh.run_of_sets(fixtures.orders(spark, sf_dir), "o_orderkey", RUN_SETS)
+
+    def run(li):
+        ins, _ = refresh.run_of_sets(li, "l_orderkey", RUN_SETS)
+        return refresh.apply_net(li, *refresh.net_change(ins, dels, "l_orderkey"), "l_orderkey")
+
+    return fixtures.lineitem(spark, sf_dir, run)
 
 
 @register("refresh_ranges_orders", dates_as_text(with_fixtures(f"""

@@ -77,3 +77,20 @@ def test_only_touched_ranges_are_rewritten(spark, base, tmp_path):
     want = sorted([(k, k * 3) for k in range(600) if k not in gone] + [(601, 7), (120, 8)])
     assert sorted((r.o_orderkey, r.v) for r in spark.read.parquet(path).collect()) == want
     assert refresh.refresh_ranges(spark, path, "o_orderkey", 50, ins.limit(0), dels.limit(0)) == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_run_of_sets_sorts_no_row(spark, base):
+    ins, dels = refresh.run_of_sets(base, "o_orderkey", SETS)
+    plan = _plan(refresh.apply_net(base, *refresh.net_change(ins, dels, "o_orderkey"), "o_orderkey"))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+
+
+def test_derived_columns_are_made_after_the_run(spark):
+    from shoal.plans import catalog
+    for name in ("refresh_run_lineitem", "refresh_run_orders"):
+        made, _, moved = catalog.RAW[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString().partition("Union")
+        assert "_comment" in made and "Join" in moved and "_comment" not in moved
