@@ -7,8 +7,8 @@ table of which only the touched key ranges are rewritten (``write_ranges``,
 
 Applying a set is a union (inserts) and a left anti join on the order key
 (deletes) -- both touch every base row once, neither sorts. The delete keys are
-0.1 % of orders; Catalyst/AQE broadcasts them only when their measured size is
-under the broadcast threshold and shuffles both sides otherwise.
+0.1 % of orders; they are counted first and sent to every task when they are at most
+``BROADCAST_KEYS``, so the base is not shuffled. Catalyst decides otherwise.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from shoal.session import cut_lineage
 from shoal.sources.fixtures import REFRESH_MODULUS
 
 
+BROADCAST_KEYS = 1 << 20        # 8 MiB of keys
+
+
 def delete_keys(orders: DataFrame, modulus: int = REFRESH_MODULUS, residue: int = 0) -> DataFrame:
     """Order keys of the delete set: one order in ``modulus``."""
     return orders.filter(F.col("o_orderkey") % modulus == residue).select("o_orderkey")
@@ -53,6 +56,8 @@ def apply_deletes(base: DataFrame, keys: DataFrame, base_key: str,
                   key_col: str = "o_orderkey") -> DataFrame:
     """Rows of ``base`` whose key is not in ``keys``."""
     k = keys.select(F.col(key_col).alias("_del_key"))
+    if k.count() <= BROADCAST_KEYS:
+        k = F.broadcast(k)
     return base.join(k, F.col(base_key) == F.col("_del_key"), "left_anti")
 
 

@@ -83,6 +83,21 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_few_delete_keys_move_no_base_row(spark, base, monkeypatch):
+    keys = base.filter("o_orderkey % 100 = 0").select("o_orderkey")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = refresh.apply_deletes(base, keys, "o_orderkey")
+        assert "BroadcastHashJoin" in _plan(few) and "Exchange hashpartitioning" not in _plan(few)
+        monkeypatch.setattr(refresh, "BROADCAST_KEYS", 5)
+        many = refresh.apply_deletes(base, keys, "o_orderkey")
+        assert "BroadcastHashJoin" not in _plan(many)
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == [(k, 3 * k) for k in range(600) if k % 100]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_a_run_of_sets_sorts_no_row(spark, base):
     ins, dels = refresh.run_of_sets(base, "o_orderkey", SETS)
     plan = _plan(refresh.apply_net(base, *refresh.net_change(ins, dels, "o_orderkey"), "o_orderkey"))
