@@ -237,7 +237,9 @@ def _plan_text() -> str:
 def app_log_from_events(events: DataFrame) -> DataFrame:
     """Event-log lines (application, value) of whole applications derived from ``events``: every 64
     consecutive event ids are one application, each its stage ``event_id % 64`` of ``floor(value * 1000)`` ms
-    with parents ``(s - 1) div 2`` and ``(s - 1) div 3``; a job starts with every 16th, the SQL execution with the first."""
+    with parents ``(s - 1) div 2`` and ``(s - 1) div 3``; a job starts with every 16th, the SQL execution with the first.
+    The events are dealt out first: a line is many times their stored size, and few tasks would write all of them."""
+    events = events.select("event_id", "ts", "value").repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     s = F.col("event_id") % APP_STAGES
     start = epoch_millis(F.col("ts"))
     parents = F.when(s == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(F.array(F.floor((s - 1) / 2), F.floor((s - 1) / 3))))

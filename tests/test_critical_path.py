@@ -60,3 +60,24 @@ def test_derived_lines_parse_like_recorded_ones(spark):
     events = cp.parse(lines)
     assert cp.stages(events).count() == 130 and cp.plan_nodes(events).count() == 3 * 16
     assert {r.application for r in cp.critical_path(events).select("application").distinct().collect()} == {"app-0", "app-1", "app-2"}
+
+
+def test_folded_paths_equal_the_rounds(spark, monkeypatch):
+    rows = [(f"a{a}", s, (s * 7919 + a * 31) % 97 - (s % 50 == 0), [(s - 1) // 2, (s - 1) // 3, s, -5, None] if s else None) for a in range(5) for s in range(40 + a) if s != 11]
+    rows += [("a9", 0, 3, [1]), ("a9", 1, 4, [0]), ("a9", 2, 5, [1]), (None, 0, 3, []), (None, 1, 4, [0])]
+    found = spark.createDataFrame(rows, "application string, stage_id long, ms long, parents array<long>")
+    calls = []
+    relaxed = cp._relaxed
+    monkeypatch.setattr(cp, "_relaxed", lambda f: calls.append(sorted({r.application or "" for r in f.select("application").collect()})) or relaxed(f))
+    got = sorted(map(tuple, cp.longest_paths(found).collect()), key=str)
+    assert calls == [["a9"]]                                     # only those that one pass cannot do
+    assert got == sorted(map(tuple, relaxed(found).collect()), key=str)
+    monkeypatch.setattr(cp, "FOLDED", 41)
+    assert sorted(map(tuple, cp.longest_paths(found).collect()), key=str) == got
+    assert calls[1] == ["a3", "a4", "a9"]
+
+
+def test_derived_lines_are_dealt_out(spark):
+    rows = spark.createDataFrame([(k, f"2024-01-01 00:00:{k % 60:02d}", 1.5 * k) for k in range(130)], "event_id long, ts string, value double")
+    lines = runlogs.app_log_from_events(rows.selectExpr("event_id", "cast(ts AS timestamp_ntz) AS ts", "value").coalesce(1))
+    assert lines.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
